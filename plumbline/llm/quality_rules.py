@@ -26,9 +26,11 @@ from plumbline.llm.common import append_columns, emit_rows, id_and_text, table
 
 BUCKET_BITS = 16
 TRUSTED_DOCS = 20_000
-SMOOTHING = 1.0
+#: Counts added to a bucket's target count and to what the raw corpus makes expect there, so that buckets with
+#: little evidence have a ratio near 0.
+SMOOTHING = 20.0
 #: Mean log-likelihood ratio from which a document is kept.
-MIN_SCORE = -0.1
+MIN_SCORE = -0.06
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
@@ -123,8 +125,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(1 << bits)
-    p, q = target + SMOOTHING, raw + SMOOTHING
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    expected = target.sum() * raw / raw.sum()
+    return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
 def judge(docs: DataFrame, ratios: np.ndarray, text_col="text", min_score=MIN_SCORE, drop=()) -> DataFrame:

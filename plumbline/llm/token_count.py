@@ -71,7 +71,7 @@ class Counter:
             return (middle[0], b[1], b[2]) if middle[1] is None else (middle[0], middle[1] + self.count(middle[2]) + b[1], b[2])
         if b[1] is None:
             return (a[0], a[1], middle[0]) if middle[1] is None else (a[0], a[1] + self.count(middle[0]) + middle[1], middle[2])
-        return a[0], a[1] + self.count(seam), b[2]
+        return a[0], a[1] + self.count(seam) + b[1], b[2]
 
     def total(self, whole) -> int:
         return self.count(whole[0]) + (0 if whole[1] is None else whole[1] + self.count(whole[2]))
