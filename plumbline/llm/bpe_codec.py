@@ -137,5 +137,20 @@ def digest(docs: DataFrame, text_col="text", drop=(), path=RANKS, pattern=public
     return append_columns(docs, text_col, make, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], drop)
 
 
+def encode_and_check(docs: DataFrame, text_col="text", drop=(), path=RANKS, pattern=public_tokenizers.PATTERN) -> DataFrame:
+    """``docs`` with n_tokens, token_ids and decoded_sha256, the digest of the decoded text."""
+
+    def make():
+        c = codec(path, pattern)
+
+        def fn(texts):
+            ids = [c.encode(t) for t in texts]
+            return [len(i) for i in ids], ids, [hashlib.sha256(c.decode(i).encode()).hexdigest() for i in ids]
+
+        return fn
+
+    return append_columns(docs, text_col, make, [("n_tokens", "long"), ("token_ids", "ints"), ("decoded_sha256", "string")], drop)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(id_and_text(table(spark, sf_dir, "documents"), "doc_id", "text"), drop=["text"])

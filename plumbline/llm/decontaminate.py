@@ -173,6 +173,13 @@ def remove_spans(text: str | None, spans: list[int]) -> str | None:
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
 
 
+def cut_out(docs: DataFrame, text_col="text", spans_col="hit_spans") -> DataFrame:
+    """``docs`` with the runs of hit words removed from the text."""
+    rows = docs.withColumn("__cut", F.when(F.size(spans_col) > 0, F.col(text_col)))
+    rows = append_columns(rows, ["__cut", spans_col], lambda: lambda t, s: [[remove_spans(x, y) for x, y in zip(t, s, strict=True)]], [("__left", "string")], ["__cut"])
+    return rows.withColumn(text_col, F.when(F.size(spans_col) > 0, F.col("__left")).otherwise(F.col(text_col))).drop("__left")
+
+
 def contaminated(n_words, n_hit):
     return (n_hit > 0) & (n_hit * WORDS_PER_HIT >= n_words)
 

@@ -254,9 +254,9 @@ def detect(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return append_columns(id_and_text(docs, id_col, text_col), "text", make, fields, drop=["text"])
 
 
-def redact_documents(docs: DataFrame, text_col="text", out_col="redacted_text") -> DataFrame:
+def redact_documents(docs: DataFrame, text_col="text", out_col="redacted_text", drop=()) -> DataFrame:
     """``docs`` with the redacted text in ``out_col``; null stays null."""
-    return append_columns(docs, text_col, lambda: lambda texts: [[redact(t) for t in texts]], [(out_col, "string")])
+    return append_columns(docs, text_col, lambda: lambda texts: [[redact(t) for t in texts]], [(out_col, "string")], drop)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
     return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
-def judge(docs: DataFrame, ratios: np.ndarray, text_col="text", min_score=MIN_SCORE, drop=()) -> DataFrame:
+def judge(docs: DataFrame, ratios: np.ndarray, text_col="text", min_score=MIN_SCORE, drop=(), prefix="") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
     bits = len(ratios).bit_length() - 1
@@ -162,7 +162,8 @@ def judge(docs: DataFrame, ratios: np.ndarray, text_col="text", min_score=MIN_SC
         return fn
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return append_columns(docs, text_col, make, [*((n, "long") for n in names), ("base_failed", "boolean"), ("score", "double"), ("kept", "boolean")], drop)
+    fields = [*((n, "long") for n in names), ("base_failed", "boolean"), ("score", "double"), ("kept", "boolean")]
+    return append_columns(docs, text_col, make, [(prefix + n, k) for n, k in fields], drop)
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from plumbline.llm.bpe_codec import op3_byte_bpe
 from plumbline.llm.decontaminate import op4_decontamination
 from plumbline.llm.langid import op2_language
+from plumbline.llm.lm_score import op9_lm_score
 from plumbline.llm.pii import op1_pii
 from plumbline.llm.quality_rules import op8_quality_rules
 from plumbline.llm.sharding import op6_sharding
@@ -13,7 +14,10 @@ from plumbline.llm.token_count import op5_token_counts
 
 
 def queries():
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_pii": op1_pii,
         "op2_language": op2_language,
         "op3_byte_bpe": op3_byte_bpe,
@@ -21,6 +25,7 @@ def queries():
         "op5_token_counts": op5_token_counts,
         "op6_sharding": op6_sharding,
         "op8_quality_rules": op8_quality_rules,
+        "op9_lm_score": op9_lm_score,
         "op10_simhash": op10_simhash,
     }
 

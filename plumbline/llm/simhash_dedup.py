@@ -179,11 +179,13 @@ def classes(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def name_components(rows: DataFrame, id_col: str, fp_col: str) -> DataFrame:
-    """(fp, component_id) for every different fingerprint."""
+def name_components(rows: DataFrame, id_col: str, fp_col: str, root: bool = False) -> DataFrame:
+    """(fp, component_id) for every different fingerprint; with ``root`` (fp, root), the least fingerprint reachable."""
     prints = cut(rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("first_id")), "prints")
     comp = components(links(prints))
     tied = prints.join(comp, prints["fp"] == comp["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    if root:
+        return tied.select("fp", "root")
     names = tied.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "__root")
     return tied.join(names, F.col("root") == F.col("__root")).select("fp", "component_id")
 
