@@ -37,10 +37,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # The least key of each fingerprint, then of each component: the first makes the second small.
     least = prints.groupBy("fp").agg(F.min("key").alias("key")).join(names.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp"))
     stay = least.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("__id"), F.col("key.h").alias("__h"))
-    rows = docs.withColumn("__hash", F.xxhash64("text"))
-    found = rows.join(stay, rows["doc_id"].eqNullSafe(stay["__id"]) & (rows["__hash"] == stay["__h"]), "left_semi")
-    # Equal rows both match; one of them stays.
-    return found.dropDuplicates(["doc_id", "__hash"]).select(*docs.columns)
+    # One key column for the join and for dropping repeats, so that texts are dealt out once.
+    name = lambda i, h: F.concat_ws(":", h.cast("string"), i.cast("string"))
+    rows = docs.withColumn("__key", name(F.col("doc_id"), F.xxhash64("text")))
+    found = rows.join(stay.select(name(F.col("__id"), F.col("__h")).alias("__key")), "__key", "left_semi")
+    return found.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

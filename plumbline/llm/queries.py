@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.llm.bpe_codec import op3_byte_bpe
+from plumbline.llm.chat_format import OP7_SQL, op7_chat_format
 from plumbline.llm.decontaminate import op4_decontamination
 from plumbline.llm.langid import op2_language
 from plumbline.llm.lm_score import op9_lm_score
@@ -24,6 +25,7 @@ def queries():
         "op4_decontamination": op4_decontamination,
         "op5_token_counts": op5_token_counts,
         "op6_sharding": op6_sharding,
+        "op7_chat_format": op7_chat_format,
         "op8_quality_rules": op8_quality_rules,
         "op9_lm_score": op9_lm_score,
         "op10_simhash": op10_simhash,
@@ -31,4 +33,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op7_chat_format": OP7_SQL}
