@@ -11,7 +11,6 @@ separate rows. Other columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -20,7 +19,7 @@ from itertools import chain
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.bpe_fst import PieceMemo, Transducer, compile_pattern, load_ranks
+from plumbline.llm.bpe_fst import PieceMemo, Transducer, compile_pattern, load_ranks, quiet_gc
 from plumbline.llm.common import append_columns, id_and_text, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -89,8 +88,7 @@ class Utf8Stream:
 @lru_cache(2)
 def codec(path: str, pattern: str) -> Codec:
     out = Codec(path, pattern)
-    gc.collect()
-    gc.freeze()
+    quiet_gc()
     return out
 
 

@@ -1,17 +1,19 @@
 """Byte-level BPE merges compiled into a lazily determinised finite-state transducer.
 
-A string of bytes has one BPE encoding, and so has each of its prefixes. The last
-token of a prefix's encoding is the one vocabulary suffix that may follow the last
-token of the rest, where "may follow" is a property of two tokens alone. A state is
-therefore (last committed token, bytes not yet committed), a transition reads one byte,
-and a token is emitted once every boundary from which a longer token could still start
-agrees on it: bounded lookahead, at most the longest token. States and transitions are
-made when first met and kept in a table of bounded size.
+A string of bytes has one BPE encoding, and so has each of its prefixes. The last token of a prefix's
+encoding is the one vocabulary suffix that may follow the last token of the rest, where "may follow" is a property
+of two tokens alone. A state therefore holds, for every position from which a longer token could still start, the
+trie node of the bytes since and the last token before it; a transition reads a byte and gives the last token of
+the encoding up to there. Once no earlier position is live, or all live ones lead back to the same boundary, the
+tokens before it are settled and emitted: bounded lookahead. For counting, a state also holds how many tokens each
+live position lies behind the end, and a transition carries the change of the count. States and transitions are made when first
+met and kept in a table of bounded size.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 import json
 
 import regex
@@ -56,6 +58,11 @@ def load_merges(path: str) -> tuple[dict[bytes, int], dict[tuple[bytes, bytes],
     return vocab, merges, special
 
 
+#: Bits for a token in a live position's number, and for how far its count lies behind, which may be less than 0.
+_T, _D = 18, 8
+_BIAS = 128
+
+
 class Transducer:
     """Deterministic transducer from bytes to token ids, or to token counts.
 
@@ -63,12 +70,16 @@ class Transducer:
     concatenation is in ``vocab``, at that token's id as the rank.
     """
 
-    def __init__(self, vocab, merges=None, counting=False, max_states=300_000):
+    def __init__(self, vocab, merges=None, counting=False, max_states=150_000):
         self.vocab, self.merges = vocab, merges
         self.counting, self.max_states = counting, max_states
+        self.none = (1 << _T) - 1
+        if max(vocab.values(), default=0) >= self.none:
+            raise ValueError("the vocabulary has too many tokens")
         self.spines: tuple[dict, dict] = ({}, {})
-        self.follows: dict[tuple, bool] = {}
+        self.follows: dict[int, bool] = {}
         self.text = {i: t for t, i in vocab.items()}
+        self.size = {i: len(t) for t, i in vocab.items()}
         # A trie of the tokens: children by node * 256 + byte, and the token that ends at each node.
         self.child: dict[int, int] = {}
         self.token: list[int | None] = [None]
@@ -87,12 +98,11 @@ class Transducer:
         self._reset()
 
     def _reset(self):
-        self.ids = {(None, b""): 0}
-        #: (last committed token, pending bytes, live positions); a live position is a trie node of the
-        #: bytes since then and the tokens before it; the first stands at the end of the pending bytes.
-        self.states = [(None, b"", ((0, ()),))]
-        self.ends = [0 if self.counting else ()]
-        self.next = [{}]
+        #: A state is its live positions, each one number: trie node, count behind the end, last token. The first is the end itself.
+        self.states: list[tuple[int, ...]] = [(_BIAS << _T | self.none,)]
+        self.ids = {self.states[0]: 0}
+        #: (next state, last token or change of the count) by state * 256 + byte.
+        self.next: dict[int, tuple[int, int]] = {}
 
     def _rank(self, a: bytes, b: bytes):
         return self.vocab.get(a + b) if self.merges is None else self.merges.get((a, b))
@@ -146,80 +156,123 @@ class Transducer:
                 j += 1
                 y, py = left[j]
 
-    def step(self, state: int, byte: int):
-        """(next state, what is emitted); made on first use."""
-        before, pending, live = self.states[state]
-        pending += bytes((byte,))
-        kept, here = [], None
-        for node, tokens in live:
-            node = self.child.get(node << 8 | byte)
+    def _pair(self, key: int) -> bool:
+        if len(self.follows) > 1 << 18:
+            self.follows.clear()
+        last = key >> _T
+        ok = self.follows[key] = self._may_follow(None if last == self.none else last, key & ((1 << _T) - 1))
+        return ok
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """(next state, last token or change of the count); made on first use."""
+        child, token, inner, follows = self.child, self.token, self.inner, self.follows
+        kept, found, behind = [], None, 0
+        for position in self.states[state]:
+            node = child.get(position >> _T + _D << 8 | byte)
             if node is None:
                 continue
-            if here is None and (t := self.token[node]) is not None:
-                pair = (tokens[-1] if tokens else before, t)
-                if (ok := self.follows.get(pair)) is None:
-                    if len(self.follows) > 1 << 19:
-                        self.follows.clear()
-                    ok = self.follows[pair] = self._may_follow(*pair)
-                if ok:
-                    here = (0, (*tokens, t))
-            if self.inner[node]:
-                kept.append((node, tokens))
-        out: tuple[int, ...] = ()
-        if not kept:  # nothing longer can start earlier: all is settled
-            out, before, pending, live = here[1], here[1][-1], b"", ((0, ()),)
-        else:
-            first, n = here[1], len(here[1])
-            for _, tokens in kept:  # what the ways to all live positions have in common is settled
-                n = min(n, len(tokens))
-                while first[:n] != tokens[:n]:
-                    n -= 1
-            if n:
-                out, before = first[:n], first[n - 1]
-                pending = pending[sum(len(self.text[t]) for t in out) :]
-                here, kept = (0, first[n:]), [(node, tokens[n:]) for node, tokens in kept]
-            live = (here, *kept)
-        to = self.ids.get((before, pending))
+            if found is None and (t := token[node]) is not None:
+                key = (position & self.none) << _T | t
+                ok = follows.get(key)
+                if self._pair(key) if ok is None else ok:
+                    found, behind = t, (position >> _T & (1 << _D) - 1) - _BIAS
+            if inner[node]:
+                kept.append(node << _T + _D | position & (1 << _T + _D) - 1)
+        change = 1 - behind
+        if self.counting and change:  # what lies behind is held against the new end
+            kept = [p + (change << _T) for p in kept]
+        live = (_BIAS << _T | found, *kept)
+        to = self.ids.get(live)
         if to is None:
-            to = self.ids[before, pending] = len(self.states)
-            self.states.append((before, pending, live))
-            self.next.append({})
-            self.ends.append(len(live[0][1]) if self.counting else live[0][1])
-        found = self.next[state][byte] = (to, len(out) if self.counting else out)
-        return found
+            to = self.ids[live] = len(self.states)
+            self.states.append(live)
+        out = self.next[state << 8 | byte] = (to, change if self.counting else found)
+        return out
 
     def encode(self, word: bytes):
         """The ids of ``word`` as a tuple, or their number if counting."""
         if len(self.states) > self.max_states:
             self._reset()
-        state, table, step = 0, self.next, self.step
+        state, get, step = 0, self.next.get, self.step
         if self.counting:
             total = 0
             for byte in word:
-                state, n = table[state].get(byte) or step(state, byte)
+                state, n = get(state << 8 | byte) or step(state, byte)
                 total += n
-            return total + self.ends[state]
-        out: list[int] = []
+            return total
+        if len(word) > LOOKAHEAD:
+            return self._encode_long(word)
+        last = []
         for byte in word:
-            state, got = table[state].get(byte) or step(state, byte)
-            if got:
-                out.extend(got)
-        return (*out, *self.ends[state])
+            state, t = get(state << 8 | byte) or step(state, byte)
+            last.append(t)
+        return self._settle(last, 0, len(last))
+
+    def _settle(self, last: list[int], start: int, end: int) -> tuple[int, ...]:
+        """The tokens of a settled stretch, by the last token up to each of its places."""
+        size, out = self.size, []
+        while end > start:
+            t = last[end - 1]
+            out.append(t)
+            end -= size[t]
+        return tuple(out[::-1])
+
+    def _encode_long(self, word: bytes) -> tuple[int, ...]:
+        """As ``encode``, emitting what is settled after every stretch of LOOKAHEAD bytes."""
+        state, last, out = 0, [], []
+        for i in range(0, len(word), LOOKAHEAD):
+            for byte in word[i : i + LOOKAHEAD]:
+                state, t = self.next.get(state << 8 | byte) or self.step(state, byte)
+                last.append(t)
+            # Ways back from the live positions, the end and those before it by their nodes' depths, to where they meet.
+            ends = {len(last) - self._depth(p >> _T + _D) for p in self.states[state]}
+            while len(ends) > 1:
+                far = max(ends)
+                ends = ends - {far} | {far - self.size[last[far - 1]]}
+            (done,) = ends
+            out += self._settle(last, 0, done)
+            del last[:done]
+        return (*out, *self._settle(last, 0, len(last)))
+
+    def _depth(self, node: int) -> int:
+        if not hasattr(self, "depths"):
+            self.depths = [0] * len(self.token)
+            for key, to in self.child.items():  # parents come before their children
+                self.depths[to] = self.depths[key >> 8] + 1
+        return self.depths[node]
+
+
+#: Bytes of one piece that are read before what is settled is given out.
+LOOKAHEAD = 512
 
 
 class PieceMemo(dict):
-    """Transducer results by piece, for pieces of ordinary length; emptied when full."""
+    """Transducer results by piece, for pieces of ordinary length. Two generations of bounded size: when the new
+    one is full it becomes the old one, from which pieces still in use come back."""
 
-    def __init__(self, transducer: Transducer, whole=None, size=400_000, longest=64):
+    def __init__(self, transducer: Transducer, whole=None, size=250_000, longest=48):
         super().__init__()
         self.run, self.whole, self.size, self.longest = transducer.encode, whole or {}, size, longest
+        self.old: dict = {}
 
     def __missing__(self, piece: str):
-        raw = piece.encode("utf-8", "surrogatepass")
-        found = self.whole.get(raw)
-        out = self.run(raw) if found is None else found
-        if len(raw) <= self.longest:
-            if len(self) >= self.size:
-                self.clear()
-            self[piece] = out
+        out = self.old.get(piece)
+        if out is None:
+            raw = piece.encode("utf-8", "surrogatepass")
+            out = self.whole.get(raw)
+            if out is None:
+                out = self.run(raw)
+            if len(raw) > self.longest:
+                return out
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = out
         return out
+
+
+def quiet_gc() -> None:
+    """For workers that hold large tables without cycles: no full scans of them."""
+    gc.collect()
+    gc.freeze()
+    gc.set_threshold(100_000, 50, 1000)

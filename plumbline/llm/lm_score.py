@@ -41,10 +41,10 @@ from plumbline.llm.common import ARROW, append_columns, crc_mod, cut, emit_rows,
 HEAD_WORDS = 1 << 20
 HOT_WORDS = 1024
 PART_EVENTS = 3_000_000
-FLUSH_EVENTS = 2_000_000
+FLUSH_EVENTS = 1_000_000
 #: Of 7 parts by identifier: never trained on, and deleted from the counts while weights are learned.
 HELD_OUT, DELETED, PARTS = 2, 3, 7
-_MEMO = 700_000
+_MEMO = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: The end of a text as a token, the start as a context; no word has a space.
@@ -96,7 +96,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     c = counts[flag - 1]
                     c.update(tokens(text))
                     c[END] += 1
-            if part is None or len(counts[0]) + len(counts[1]) > 1_000_000:
+            if part is None or len(counts[0]) + len(counts[1]) > 500_000:
                 yield from flush()
 
         return fn
@@ -118,20 +118,56 @@ class Head:
 
 
 class Numbers(dict):
-    """Word to its number in the head, or to its negative code."""
+    """Word to its number in the head, or to its negative code; filled for many words at once."""
 
     def __init__(self, head: Head):
         super().__init__()
         self.head = head
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _MEMO:
-            self.clear()
-        h = code(word)
-        i = int(np.searchsorted(self.head.codes, h))
-        found = i < len(self.head.codes) and self.head.codes[i] == h
-        out = self[word] = int(self.head.place[i]) if found else h
-        return out
+    def of(self, found: list[bytes]) -> np.ndarray:
+        ids = list(map(self.get, found))
+        if None in ids:
+            new = list({w for w, i in zip(found, ids) if i is None})
+            if len(self) + len(new) > _MEMO:
+                self.clear()
+                new = list(set(found))
+            codes = np.fromiter(map(code, new), np.int64, len(new))
+            i = np.minimum(np.searchsorted(self.head.codes, codes), len(self.head.codes) - 1)
+            self.update(zip(new, np.where(self.head.codes[i] == codes, self.head.place[i], codes).tolist()))
+            return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return np.array(ids, np.int64)
+
+
+_numbers: dict[int, Numbers] = {}
+
+
+def numbers_of(shared) -> Numbers:
+    """The table of this worker for a broadcast head; it serves all its tasks."""
+    key = id(shared.value)
+    if key not in _numbers:
+        _numbers.clear()
+        _numbers[key] = Numbers(shared.value)
+    return _numbers[key]
+
+
+def bigrams(texts: list, numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, context, word) of every token of some texts, by number: the start before the first word, the end last."""
+    found, sizes = [], []
+    for t in texts:
+        n = len(found)
+        found += tokens(t)
+        sizes.append(len(found) - n)
+    sizes = np.array(sizes, np.int64)
+    text = np.repeat(np.arange(len(texts)), sizes + 1)
+    ends = np.cumsum(sizes + 1) - 1
+    word = np.zeros(len(text), np.int64)
+    mask = np.ones(len(text), bool)
+    mask[ends] = False
+    word[mask] = numbers.of(found)
+    context = np.empty(len(text), np.int64)
+    context[1:] = word[:-1]
+    context[ends - sizes] = 1
+    return text, context, word
 
 
 def learn_head(counts: DataFrame, docs: DataFrame) -> Head:
@@ -151,16 +187,7 @@ def learn_head(counts: DataFrame, docs: DataFrame) -> Head:
     return Head(codes, np.concatenate(([n, 0], c)).astype(np.int64), np.concatenate(([gone, 0], d)).astype(np.int64), (n, gone), (total["n"] or 0, total["d"] or 0), total["v"] or 0)
 
 
-def numbered(text, numbers) -> np.ndarray:
-    """Start, words, end as numbers."""
-    found = tokens(text)
-    out = np.empty(len(found) + 2, np.int64)
-    out[0], out[-1] = 1, 0
-    out[1:-1] = np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
-    return out
-
-
-_EVENT = (np.uint64, np.uint32, np.uint32)
+_EVENT = (np.uint64, np.uint32)
 _TEXT = (np.int64, np.uint8)
 _COUNTS = (np.int64,) * 5
 
@@ -169,16 +196,16 @@ def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys * _MIX) >> np.uint64(33)) % np.uint64(parts)
 
 
-def by_part(parts: int, keys, docs, n, texts, flags, counts=()):
-    """(part, packed) rows of events: key, text and number of times, then the texts they are from, then counts."""
-    at = part_of(keys, parts)
+def by_part(parts: int, keys, docs, texts, flags, counts=()):
+    """(part, packed) rows of events: keys and text numbers by key, then the texts they are from, then counts."""
+    at = part_of(keys, parts).astype(np.uint32)
     order = np.lexsort((keys, at))
-    cuts = np.searchsorted(at[order], np.arange(parts + 1, dtype=np.uint64))
+    cuts = np.searchsorted(at[order], np.arange(parts + 1))
     for p in range(parts):
         i = order[cuts[p] : cuts[p + 1]]
         if len(i):
             used, local = np.unique(docs[i], return_inverse=True)
-            yield p, pack(keys[i], local.astype(np.uint32), n[i], texts[used], flags[used], *(c[i] for c in counts))
+            yield p, pack(keys[i], local.astype(np.uint32), texts[used], flags[used], *(c[i] for c in counts))
 
 
 #: Kinds of packed rows.
@@ -189,60 +216,44 @@ def events(docs: DataFrame, shared, parts: int) -> DataFrame:
     """(kind, part, packed): head events by model part, events with a rare word, counts of hot bigrams."""
 
     def make():
-        head = shared.value
-        numbers = Numbers(head)
-        hot = np.zeros((2, HOT_WORDS * HOT_WORDS), np.int64)
+        numbers = numbers_of(shared)
+        cells = HOT_WORDS * HOT_WORDS
+        hot = np.zeros((2, cells), np.int64)
         held: list = []
-        size = 0
+        state = {"texts": 0, "events": 0}
 
         def flush():
-            a, b, doc, n, texts, flags = [], [], [], [], [], []
-            for k, (ids, text, flag) in enumerate(held):
-                x, y = ids[:-1], ids[1:]
-                is_hot = (x >= 0) & (x < HOT_WORDS) & (y >= 0) & (y < HOT_WORDS)
-                if flag:
-                    f = np.bincount(x[is_hot] * HOT_WORDS + y[is_hot], minlength=hot.shape[1]) if is_hot.sum() > 50_000 else None
-                    for row in [0] + [1] * (flag == 2):
-                        if f is None:
-                            np.add.at(hot[row], x[is_hot] * HOT_WORDS + y[is_hot], 1)
-                        else:
-                            hot[row] += f
-                a.append(x[~is_hot])
-                b.append(y[~is_hot])
-                doc.append(np.full(len(a[-1]), k, np.uint32))
-                texts.append(text)
-                flags.append(flag)
+            doc, a, b, texts, flags = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            if not texts:
-                return
-            a, b, doc = map(np.concatenate, (a, b, doc))
-            texts, flags = np.array(texts, np.int64), np.array(flags, np.uint8)
+            state.update(texts=0, events=0)
             rare = (a < 0) | (b < 0)
             if rare.any():
                 yield [RARE_EVENTS], [0], [pack(a[rare], b[rare], doc[rare], texts, flags)]
             key = (a[~rare].astype(np.uint64) << np.uint64(32)) | b[~rare].astype(np.uint64)
-            one = np.ones(len(key), np.uint32)
-            for p, packed in by_part(parts, key, doc[~rare], one, texts, flags):
+            for p, packed in by_part(parts, key, doc[~rare], texts, flags):
                 yield [HEAD_EVENTS], [p], [packed]
 
         def fn(part):
-            nonlocal size
-            if part is None:
+            if part is not None:
+                flags = part.column("flag").to_numpy().astype(np.uint8)
+                doc, a, b = bigrams(part.column("text").to_pylist(), numbers)
+                is_hot = (a >= 0) & (a < HOT_WORDS) & (b >= 0) & (b < HOT_WORDS)
+                cell, flag = (a * HOT_WORDS + b)[is_hot], flags[doc[is_hot]]
+                hot[0] += np.bincount(cell[flag > 0], minlength=cells)
+                hot[1] += np.bincount(cell[flag == 2], minlength=cells)
+                cold = ~is_hot
+                held.append(((doc[cold] + state["texts"]).astype(np.uint32), a[cold], b[cold], part.column("text_key").to_numpy(), flags))
+                state["texts"] += len(flags)
+                state["events"] += int(cold.sum())
+            if held and (part is None or state["events"] >= FLUSH_EVENTS):
                 yield from flush()
+            if part is None:
                 at = np.flatnonzero(hot[0])
                 yield [HOT_COUNTS], [0], [pack(at, hot[0][at], hot[1][at])]
-                return
-            for text, key, flag in zip(*(part.column(c).to_pylist() for c in ("text", "text_key", "flag")), strict=True):
-                ids = numbered(text, numbers)
-                held.append((ids, key, flag))
-                size += len(ids)
-                if size >= FLUSH_EVENTS:
-                    yield from flush()
-                    size = 0
 
         return fn
 
-    return emit_rows(docs.select("text", "text_key", "flag"), make, [("kind", "int"), ("part", "int"), ("packed", "binary")], finish=True)
+    return emit_rows(docs.select("text", "text_key", "flag"), make, [("kind", "int"), ("part", "int"), ("packed", "binary")], finish=True, rows=512)
 
 
 def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> DataFrame:
@@ -291,7 +302,7 @@ def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> Dat
             doc[order] = np.cumsum(new) - 1
             texts, flags = text[order][new], flag[order][new].astype(np.uint8)
             more = (ac, ad, bc, bd, (b < 0).astype(np.int64))
-            for p, packed in by_part(parts, key, doc, np.ones(len(a), np.uint32), texts, flags, more):
+            for p, packed in by_part(parts, key, doc, texts, flags, more):
                 yield [RARE_EVENTS], [p], [packed]
 
         def fn(part):
@@ -306,31 +317,41 @@ def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> Dat
 
 
 class Part:
-    """The bigrams of one model part with their counts, from its packed rows."""
+    """The bigrams of one model part with their counts, from its packed rows. Of each event only its key, text
+    and part of the split are held; counts of words are per bigram."""
 
     def __init__(self, rows: pa.Table, head: Head):
-        cols: list[list] = [[] for _ in range(9)]
-        texts, flags, base = [], [], 0
-        for kind, data in zip(rows["kind"].to_pylist(), rows["packed"].to_pylist(), strict=True):
-            if kind == HEAD_EVENTS:
-                key, doc, n, t, f = unpack(data, *_EVENT, *_TEXT)
-                a, b = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                more = [head.c[a], head.deleted[a], head.c[b], head.deleted[b], np.zeros(len(a), np.int64)]
-                at = a == 1
-                more[0][at], more[1][at] = head.start
-            else:
-                key, doc, n, t, f, *more = unpack(data, *_EVENT, *_TEXT, *_COUNTS)
-            for col, x in zip(cols, (key, doc.astype(np.int64) + base, n.astype(np.int64), f[doc], *more), strict=True):
-                col.append(x)
+        keys, docs, flags, texts, rare, base = [], [], [], [], [], 0
+        for kind, data in zip(rows["kind"].to_pylist(), rows["packed"], strict=True):
+            types = (*_EVENT, *_TEXT, *(_COUNTS if kind == RARE_EVENTS else ()))
+            key, doc, t, f, *counts = unpack(data.as_py(), *types)
+            if counts:
+                _, first = np.unique(key, return_index=True)
+                rare.append([x[first] for x in (key, *counts)])
+            keys.append(key)
+            docs.append(doc + np.uint32(base))
+            flags.append(f[doc])
             texts.append(t)
             base += len(t)
-        key, self.doc, self.n, flag, ac, ad, bc, bd, rare_b = map(np.concatenate, cols)
         self.texts = np.concatenate(texts)
-        _, first, self.of = np.unique(key, return_index=True, return_inverse=True)
-        train = np.bincount(self.of, self.n * (flag > 0)).astype(np.int64)
-        self.pair = (train, np.bincount(self.of, self.n * (flag == 2)).astype(np.int64))
-        self.context, self.word = (ac[first], ad[first]), (bc[first], bd[first])
-        self.rare_b = rare_b[first] > 0
+        self.doc = np.concatenate(docs)
+        flag = np.concatenate(flags)
+        kinds, self.of = np.unique(np.concatenate(keys), return_inverse=True)
+        self.of = self.of.astype(np.uint32)
+        size = len(kinds)
+        self.pair = (np.bincount(self.of[flag > 0], minlength=size), np.bincount(self.of[flag == 2], minlength=size))
+        a, b = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        is_rare = kinds >> np.uint64(63) > 0
+        a[is_rare] = b[is_rare] = 0
+        ac, ad, bc, bd = head.c[a], head.deleted[a], head.c[b], head.deleted[b]
+        ac[a == 1], ad[a == 1] = head.start
+        self.rare_b = np.zeros(size, bool)
+        if rare:
+            key, *counts = map(np.concatenate, zip(*rare, strict=True))
+            at = np.searchsorted(kinds, key)
+            for x, c in zip((ac, ad, bc, bd, self.rare_b), counts, strict=True):
+                x[at] = c
+        self.context, self.word = (ac, ad), (bc, bd)
 
 
 def bucket(c: np.ndarray) -> np.ndarray:
@@ -454,9 +475,11 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         logs = log_prob(p.pair[0], p.context[0], p.word[0], weights, n, uniform)
         base = np.where(p.rare_b, base_log(p.word[0], n, kinds), 0.0)
         known = (p.rare_b & (p.word[0] > 0)).astype(np.int64)
+        # By text row first, then by text: the rows are few beside the events.
+        rows = [np.bincount(p.doc, x[p.of], minlength=len(p.texts)) for x in (logs, base, known)]
         texts, of = np.unique(p.texts, return_inverse=True)
-        of = of[p.doc]
-        return (texts, *(np.bincount(of, x[p.of] * p.n, minlength=len(texts)) for x in (logs, base)), np.bincount(of, known[p.of] * p.n, minlength=len(texts)).astype(np.int64))
+        log, own, n_known = (np.bincount(of, x, minlength=len(texts)) for x in rows)
+        return texts, log, own, np.rint(n_known).astype(np.int64)
 
     sent = per_part(model, sums, [("key", "long"), ("log", "double"), ("base", "double"), ("known", "long")])
     sent = sent.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("log", "base", "known")))
@@ -476,18 +499,17 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     def make():
         h, logs = shared.value, hot_logs.value
-        numbers = Numbers(h)
+        numbers = numbers_of(shared)
         word_logs = base_log(h.c, n, kinds)
+        word_known = (h.c > 0).astype(np.float64)
 
         def fn(texts):
-            out = []
-            for t in texts:
-                ids = numbered(t, numbers)
-                x, y = ids[:-1], ids[1:]
-                y_head = y[y >= 0]
-                is_hot = (x >= 0) & (x < HOT_WORDS) & (y >= 0) & (y < HOT_WORDS)
-                out.append((len(y), int((h.c[y_head] > 0).sum()), word_logs[y_head].sum(), logs[x[is_hot] * HOT_WORDS + y[is_hot]].sum()))
-            return list(zip(*out, strict=True)) if out else [[]] * 4
+            doc, a, b = bigrams(texts, numbers)
+            own = b >= 0
+            is_hot = (a >= 0) & (a < HOT_WORDS) & own & (b < HOT_WORDS)
+            by_text = lambda at, x: np.bincount(doc[at], x, minlength=len(texts))
+            known = np.rint(by_text(own, word_known[b[own]])).astype(np.int64)
+            return np.bincount(doc, minlength=len(texts)), known, by_text(own, word_logs[b[own]]), by_text(is_hot, logs[a[is_hot] * HOT_WORDS + b[is_hot]])
 
         return fn
 

@@ -18,7 +18,6 @@ Other columns are not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import gc
 from functools import lru_cache, reduce
 
 import public_tokenizers
@@ -26,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe_fst import _SPACE, PieceMemo, Transducer, compile_pattern, load_merges
+from plumbline.llm.bpe_fst import _SPACE, PieceMemo, Transducer, compile_pattern, load_merges, quiet_gc
 from plumbline.llm.common import append_columns, id_and_text, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,8 +86,7 @@ def scan(maps: list, compose):
 @lru_cache(2)
 def counter(path: str, pattern: str) -> Counter:
     out = Counter(path, pattern)
-    gc.collect()
-    gc.freeze()
+    quiet_gc()
     return out
 
 

@@ -11,7 +11,7 @@ from plumbline.llm import bpe_codec, token_count
 from plumbline.llm.bpe_fst import load_ranks
 from tests.llm.fixtures import awkward, documents, sample_texts
 
-LONG = ["a" * 5000, "-" * 4097, "ab" * 3000, " " * 3000, "é" * 3000, "0" * 5000, "\U0001f600" * 500, "\n" * 1000, "#$" * 1500, ". " * 500]
+LONG = ["a" * 5000, "-" * 4097, "ab" * 3000, " " * 3000, "é" * 3000, "0" * 5000, "\U0001f600" * 500, "\n" * 1000, "#$" * 1500, ". " * 500, "xyz" * 1000, "1234567890" * 300, "ÿ" * 600, "the" * 900 + "a" * 700]
 WORDS = st.text(alphabet="abcdeéßthein  \n\t'sTREll ve12٣９\U0001f600中文字\u0085\u00a0\u3000\x1c.,-_#$<|>endoftext", max_size=80)
 
 
