@@ -11,13 +11,15 @@ How it is laid out, with N tokens in all:
 
 1. Word counts: counted within a task, summed by word hash. The ``HEAD_WORDS`` most frequent words with their
    counts are broadcast (a fixed bound); rarer words are looked up by a join.
-2. Events: one pass turns texts into bigram events. Bigrams of the ``HOT_WORDS`` most frequent words are counted as a
-   table of fixed size, so that the most frequent bigrams never meet in one task. All others are packed as
-   compressed arrays, one row for each task and model part, with the text's hash and its count. Events with a
-   rare word first get its counts by a join on the word. The packed rows are written to the shared folder once.
+2. Events: one pass turns texts into bigram events. Texts that repeat within a task's block of events are taken once,
+   with the number of times they stand in the training part. Bigrams of the ``HOT_WORDS`` most frequent words are
+   counted as a table of fixed size, so that the most frequent bigrams never meet in one task. All others are packed
+   as compressed arrays, one row for each block and model part. Events with a rare word first get its counts by a join
+   on the word. The packed rows are dealt out by model part once, into a bucketed table in the shared folder.
 3. Each model part (about ``PART_EVENTS`` events, so parts grow in number, not in size) counts its bigrams: first it
-   gives histograms for the weights, then, with the weights, each text's part of the sum, added up by text hash.
-   So every bigram of the corpus counts and what is gathered grows with it; nothing is cut off.
+   gives histograms for the weights, then, with the weights, each text's part of the sum, added up by text number.
+   Both read the bucketed table without another exchange. Every bigram of the corpus counts and what is gathered
+   grows with it; nothing is cut off.
 
 Defined cases: a null text is the empty text: one end token. Equal texts have equal scores. Without training
 documents every probability is 1 and the scores are 0. Words are known by 64-bit hash. Repeated rows stay separate
@@ -27,24 +29,34 @@ rows. Other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plumbline.llm.common import ARROW, append_columns, crc_mod, cut, emit_rows, table
+from plumbline.llm.common import ARROW, append_columns, arrow_rows, checkpoint_dir, crc_mod, cut, emit_rows, slices, table
 
-HEAD_WORDS = 1 << 20
+HEAD_WORDS = 1 << 18
 HOT_WORDS = 1024
-PART_EVENTS = 3_000_000
-FLUSH_EVENTS = 1_000_000
+PART_EVENTS = 1_000_000
+#: Spark's own bound for buckets is 100,000; a bucket may hold many parts.
+MAX_BUCKETS = 50_000
+FLUSH_EVENTS = 300_000
 #: Of 7 parts by identifier: never trained on, and deleted from the counts while weights are learned.
 HELD_OUT, DELETED, PARTS = 2, 3, 7
-_MEMO = 400_000
+_MEMO = 100_000
+#: Different words that a task counts before it hands their counts on.
+FLUSH_WORDS = 150_000
+_UNSEEN = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 #: The end of a text as a token, the start as a context; no word has a space.
@@ -96,7 +108,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     c = counts[flag - 1]
                     c.update(tokens(text))
                     c[END] += 1
-            if part is None or len(counts[0]) + len(counts[1]) > 500_000:
+            if part is None or len(counts[0]) + len(counts[1]) > FLUSH_WORDS:
                 yield from flush()
 
         return fn
@@ -125,29 +137,19 @@ class Numbers(dict):
         self.head = head
 
     def of(self, found: list[bytes]) -> np.ndarray:
-        ids = list(map(self.get, found))
-        if None in ids:
-            new = list({w for w, i in zip(found, ids) if i is None})
-            if len(self) + len(new) > _MEMO:
-                self.clear()
-                new = list(set(found))
+        ids = np.fromiter(map(self.get, found, repeat(_UNSEEN)), np.int64, len(found))
+        at = np.flatnonzero(ids == _UNSEEN)
+        if len(at):
+            unseen = [found[i] for i in at.tolist()]
+            new = list(set(unseen))
             codes = np.fromiter(map(code, new), np.int64, len(new))
             i = np.minimum(np.searchsorted(self.head.codes, codes), len(self.head.codes) - 1)
-            self.update(zip(new, np.where(self.head.codes[i] == codes, self.head.place[i], codes).tolist()))
-            return np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return np.array(ids, np.int64)
-
-
-_numbers: dict[int, Numbers] = {}
-
-
-def numbers_of(shared) -> Numbers:
-    """The table of this worker for a broadcast head; it serves all its tasks."""
-    key = id(shared.value)
-    if key not in _numbers:
-        _numbers.clear()
-        _numbers[key] = Numbers(shared.value)
-    return _numbers[key]
+            own = dict(zip(new, np.where(self.head.codes[i] == codes, self.head.place[i], codes).tolist()))
+            ids[at] = np.fromiter(map(own.__getitem__, unseen), np.int64, len(at))
+            if len(self) + len(own) > _MEMO:
+                self.clear()
+            self.update(own)
+        return ids
 
 
 def bigrams(texts: list, numbers: Numbers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -180,80 +182,143 @@ def learn_head(counts: DataFrame, docs: DataFrame) -> Head:
     fits = np.cumsum(words) <= HEAD_WORDS - 1
     least = int(cs[fits][-1]) if fits.any() else (1 << 62)
     end = code(END)
-    rows = counts.filter((F.col("c") >= least) & (F.col("code") != end)).orderBy(F.desc("c"), "code").limit(HEAD_WORDS).toArrow()
+    rows = counts.filter((F.col("c") >= least) & (F.col("code") != end)).toArrow()  # at most HEAD_WORDS rows
     codes, c, d = (rows[k].to_numpy() for k in ("code", "c", "deleted"))
+    order = np.lexsort((codes, -c))
+    codes, c, d = codes[order], c[order], d[order]
     n, gone = texts["n"] or 0, texts["d"] or 0
     codes = np.concatenate(([end, code(START)], codes)).astype(np.int64)
     return Head(codes, np.concatenate(([n, 0], c)).astype(np.int64), np.concatenate(([gone, 0], d)).astype(np.int64), (n, gone), (total["n"] or 0, total["d"] or 0), total["v"] or 0)
 
 
-_EVENT = (np.uint64, np.uint32)
-_TEXT = (np.int64, np.uint8)
-_COUNTS = (np.int64,) * 5
+#: Packed head events: steps from key to key, text in the block, how often that text is in the training part and in its
+#: deleted part, and the block's first text number. Rare events have whole text numbers and the counts of their words.
+_HEAD = (np.uint64, np.uint32, np.uint32, np.uint32, np.int64)
+_RARE = (np.uint64, np.int64, np.uint32, np.uint32, *(np.int64,) * 5)
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys * _MIX) >> np.uint64(33)) % np.uint64(parts)
 
 
-def by_part(parts: int, keys, docs, texts, flags, counts=()):
-    """(part, packed) rows of events: keys and text numbers by key, then the texts they are from, then counts."""
+def by_part(parts: int, keys, *columns, tail=()):
+    """(part, packed) rows of events, sorted by key: steps of the keys, then the columns."""
     at = part_of(keys, parts).astype(np.uint32)
     order = np.lexsort((keys, at))
     cuts = np.searchsorted(at[order], np.arange(parts + 1))
-    for p in range(parts):
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
         i = order[cuts[p] : cuts[p + 1]]
-        if len(i):
-            used, local = np.unique(docs[i], return_inverse=True)
-            yield p, pack(keys[i], local.astype(np.uint32), texts[used], flags[used], *(c[i] for c in counts))
+        yield p, pack(np.diff(keys[i], prepend=np.uint64(0)), *(c[i] for c in columns), *tail)
+
 
+#: Kinds of rows that the pass over the texts gives.
+HEAD_EVENTS, RARE_EVENTS, HOT_COUNTS, TEXT, DOCUMENT = 0, 1, 2, 3, 4
+_PACKED = [("kind", "int"), ("part", "int"), ("packed", "binary")]
+_OWN = [("text_no", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("own_known", "long"), ("own_base", "double"), ("hot", "ints")]
 
-#: Kinds of packed rows.
-HEAD_EVENTS, RARE_EVENTS, HOT_COUNTS = 0, 1, 2
+
+class Block:
+    """Texts of a task until they are flushed as events: every different text once, with its events' words by number."""
+
+    def __init__(self, first: int):
+        self.first, self.place, self.times, self.events = first, {}, [[], []], []
+        self.n_events = 0
+
+    def add(self, keys: list[int], flags: list[int]) -> tuple[list[int], list[int]]:
+        """(place of each text in the block, rows whose text is new)."""
+        at, new = [], []
+        train, deleted = self.times
+        for row, (key, flag) in enumerate(zip(keys, flags)):
+            place = self.place.setdefault(key, len(train))
+            if place == len(train):
+                train.append(0)
+                deleted.append(0)
+                new.append(row)
+            train[place] += flag > 0
+            deleted[place] += flag == 2
+            at.append(place)
+        return at, new
+
+    def take(self):
+        """(text, context, word) of all events, and (times in training, times deleted) by text."""
+        text, a, b = map(np.concatenate, zip(*self.events, strict=True))
+        return text, a, b, *(np.array(t, np.uint32) for t in self.times)
 
 
 def events(docs: DataFrame, shared, parts: int) -> DataFrame:
-    """(kind, part, packed): head events by model part, events with a rare word, counts of hot bigrams."""
+    """All that is taken from the texts, in one pass: (kind, part, packed) of head events by model part, events with
+    a rare word and counts of hot bigrams; a row for each text of a block with its tokens, its head words' share of
+    n_known and base_score and its hot bigrams as cells of the hot table; and a row for each document with its text."""
+    fields = [T.StructField(n, ARROW[k][0]) for n, k in _PACKED], [T.StructField(n, ARROW[k][0]) for n, k in _OWN]
+    schema = T.StructType([*fields[0], T.StructField("doc_id", docs.schema["doc_id"].dataType), *fields[1]])
+    names = schema.names
+
+    def run(batches):
+        head = shared.value
+        numbers = Numbers(head)
+        word_logs, word_known = base_log(head.c, head.n, head.kinds), (head.c > 0).astype(np.float64)
+        hot = np.zeros((2, HOT_WORDS * HOT_WORDS), np.int64)
+        block = Block(TaskContext.get().partitionId() << 32)
+        id_type = pa.null()
 
-    def make():
-        numbers = numbers_of(shared)
-        cells = HOT_WORDS * HOT_WORDS
-        hot = np.zeros((2, cells), np.int64)
-        held: list = []
-        state = {"texts": 0, "events": 0}
+        def rows(size, **columns):
+            kinds = {n: ARROW[k][1] for n, k in (*_PACKED, *_OWN)} | {"doc_id": id_type}
+            arrays = [columns.get(n, pa.nulls(size, kinds[n])) for n in names]
+            return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, kinds[n]) for n, a in zip(names, arrays)], names)
 
         def flush():
-            doc, a, b, texts, flags = map(np.concatenate, zip(*held, strict=True))
-            held.clear()
-            state.update(texts=0, events=0)
+            if not block.events:
+                return
+            text, a, b, train, deleted = block.take()
+            is_hot = (a >= 0) & (a < HOT_WORDS) & (b >= 0) & (b < HOT_WORDS)
+            cells, of = (a * HOT_WORDS + b)[is_hot], text[is_hot]
+            np.add.at(hot[0], cells, train[of])
+            np.add.at(hot[1], cells, deleted[of])
             rare = (a < 0) | (b < 0)
             if rare.any():
-                yield [RARE_EVENTS], [0], [pack(a[rare], b[rare], doc[rare], texts, flags)]
-            key = (a[~rare].astype(np.uint64) << np.uint64(32)) | b[~rare].astype(np.uint64)
-            for p, packed in by_part(parts, key, doc[~rare], texts, flags):
-                yield [HEAD_EVENTS], [p], [packed]
-
-        def fn(part):
-            if part is not None:
-                flags = part.column("flag").to_numpy().astype(np.uint8)
-                doc, a, b = bigrams(part.column("text").to_pylist(), numbers)
-                is_hot = (a >= 0) & (a < HOT_WORDS) & (b >= 0) & (b < HOT_WORDS)
-                cell, flag = (a * HOT_WORDS + b)[is_hot], flags[doc[is_hot]]
-                hot[0] += np.bincount(cell[flag > 0], minlength=cells)
-                hot[1] += np.bincount(cell[flag == 2], minlength=cells)
-                cold = ~is_hot
-                held.append(((doc[cold] + state["texts"]).astype(np.uint32), a[cold], b[cold], part.column("text_key").to_numpy(), flags))
-                state["texts"] += len(flags)
-                state["events"] += int(cold.sum())
-            if held and (part is None or state["events"] >= FLUSH_EVENTS):
+                yield rows(1, kind=[RARE_EVENTS], part=[-1], packed=[pack(a[rare], b[rare], text[rare], train[text[rare]], deleted[text[rare]], np.array([block.first]))])
+            cold = ~(is_hot | rare)
+            text, key = text[cold], (a[cold].astype(np.uint64) << np.uint64(32)) | b[cold].astype(np.uint64)
+            for p, packed in by_part(parts, key, text, train[text], deleted[text], tail=[np.array([block.first])]):
+                yield rows(1, kind=[HEAD_EVENTS], part=[p], packed=[packed])
+
+        for part in slices(batches):
+            id_type = part.column("doc_id").type
+            flags, texts = part.column("flag").to_pylist(), part.column("text")
+            at, new = block.add(part.column("text_key").to_pylist(), flags)
+            size = len(flags)
+            # Spread over the buckets: what isn't of a model part has a part of its own below zero.
+            yield rows(size, kind=np.full(size, DOCUMENT), part=np.full(size, -2 - (block.first >> 32) % 1024), doc_id=part.column("doc_id"), text_no=block.first + np.array(at), held_out=[f == 0 for f in flags])
+            if new:
+                size, places = len(new), np.array([at[i] for i in new])
+                doc, a, b = bigrams(texts.take(pa.array(new)).to_pylist(), numbers)
+                block.events.append((places[doc].astype(np.uint32), a, b))
+                block.n_events += len(doc)
+                own, is_hot = b >= 0, (a >= 0) & (a < HOT_WORDS) & (b >= 0) & (b < HOT_WORDS)
+                known, base = (np.bincount(doc[own], x[b[own]], minlength=size) for x in (word_known, word_logs))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(doc[is_hot], minlength=size)))).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array((a * HOT_WORDS + b)[is_hot].astype(np.int32)))
+                yield rows(size, kind=np.full(size, TEXT), part=np.full(size, -2 - (block.first >> 32) % 1024), text_no=block.first + places, n_tokens=np.bincount(doc, minlength=size), own_known=np.rint(known).astype(np.int64), own_base=base, hot=cells)
+            if block.n_events >= FLUSH_EVENTS:
                 yield from flush()
-            if part is None:
-                at = np.flatnonzero(hot[0])
-                yield [HOT_COUNTS], [0], [pack(at, hot[0][at], hot[1][at])]
-
-        return fn
-
-    return emit_rows(docs.select("text", "text_key", "flag"), make, [("kind", "int"), ("part", "int"), ("packed", "binary")], finish=True, rows=512)
+                block = Block(block.first + len(block.times[0]))
+        yield from flush()
+        if len(at := np.flatnonzero(hot[0])):
+            yield rows(1, kind=[HOT_COUNTS], part=[-1], packed=[pack(at, hot[0][at], hot[1][at])])
+
+    return docs.select("doc_id", "text", "text_key", "flag").mapInArrow(run, schema)
+
+
+def by_bucket(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` dealt out by ``part`` once, as a bucketed table in the shared folder: grouping by part needs no exchange."""
+    spark, name = rows.sparkSession, f"lm_parts_{uuid.uuid4().hex}"
+    buckets = min(MAX_BUCKETS, max(8, parts // 4))
+    dealt = rows.repartition(buckets, "part")
+    dealt.write.bucketBy(buckets, "part").sortBy("part").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
+    out = spark.read.table(name)
+    out.schema  # resolved: the files stay, the name isn't needed any more
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> DataFrame:
@@ -262,12 +327,12 @@ def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> Dat
     def expand():
         def fn(part):
             for data in part.column("packed").to_pylist():
-                a, b, doc, texts, flags = unpack(data, np.int64, np.int64, np.uint32, *_TEXT)
-                yield a, b, texts[doc], flags[doc].astype(np.int32)
+                a, b, text, train, deleted, first = unpack(data, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.int64)
+                yield a, b, first[0] + text, train, deleted
 
         return fn
 
-    rows = emit_rows(packed.filter(F.col("kind") == RARE_EVENTS), expand, [("a", "long"), ("b", "long"), ("text", "long"), ("flag", "int")])
+    rows = emit_rows(packed.filter(F.col("kind") == RARE_EVENTS), expand, [(n, "long") for n in ("a", "b", "text", "train", "del")])
     rare = counts.select("code", "c", "deleted")
     first = rare.select(F.col("code").alias("a_code"), F.col("c").alias("ac"), F.col("deleted").alias("ad"))
     second = rare.select(F.col("code").alias("b_code"), F.col("c").alias("bc"), F.col("deleted").alias("bd"))
@@ -279,14 +344,14 @@ def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> Dat
     b_head = rows.filter("b >= 0").withColumns({"bc": F.lit(None).cast("long"), "bd": F.lit(None).cast("long")})
     rows = b_rare.unionByName(b_head)
 
-    names = ("a", "b", "text", "flag", "ac", "ad", "bc", "bd")
+    names = ("a", "b", "text", "train", "del", "ac", "ad", "bc", "bd")
 
     def regroup():
         head = shared.value
         held: list = []
 
         def flush():
-            a, b, text, flag, ac, ad, bc, bd = map(np.concatenate, zip(*held, strict=True))
+            a, b, text, train, deleted, ac, ad, bc, bd = map(np.concatenate, zip(*held, strict=True))
             held.clear()
             for x, c, d in ((a, ac, ad), (b, bc, bd)):
                 at = np.flatnonzero(x >= 0)
@@ -295,14 +360,7 @@ def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> Dat
             ac[at], ad[at] = head.start
             u, v = a.astype(np.uint64), b.astype(np.uint64)
             key = ((u * _MIX) ^ (v + (v << np.uint64(21)))) * _MIX | np.uint64(1 << 63)
-            # Copies of a text may be in and out of the training part: rows of texts by (text, flag).
-            order = np.lexsort((flag, text))
-            new = np.concatenate(([True], (np.diff(text[order]) != 0) | (np.diff(flag[order]) != 0)))
-            doc = np.empty(len(a), np.uint32)
-            doc[order] = np.cumsum(new) - 1
-            texts, flags = text[order][new], flag[order][new].astype(np.uint8)
-            more = (ac, ad, bc, bd, (b < 0).astype(np.int64))
-            for p, packed in by_part(parts, key, doc, texts, flags, more):
+            for p, packed in by_part(parts, key, text, train.astype(np.uint32), deleted.astype(np.uint32), ac, ad, bc, bd, (b < 0).astype(np.int64)):
                 yield [RARE_EVENTS], [p], [packed]
 
         def fn(part):
@@ -313,7 +371,7 @@ def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> Dat
 
         return fn
 
-    return emit_rows(rows.select(*names), regroup, [("kind", "int"), ("part", "int"), ("packed", "binary")], finish=True, rows=1 << 20)
+    return emit_rows(rows.select(*names), regroup, _PACKED, finish=True, rows=1 << 20)
 
 
 class Part:
@@ -321,25 +379,24 @@ class Part:
     and part of the split are held; counts of words are per bigram."""
 
     def __init__(self, rows: pa.Table, head: Head):
-        keys, docs, flags, texts, rare, base = [], [], [], [], [], 0
+        keys, texts, times, rare = [], [], ([], []), []
         for kind, data in zip(rows["kind"].to_pylist(), rows["packed"], strict=True):
-            types = (*_EVENT, *_TEXT, *(_COUNTS if kind == RARE_EVENTS else ()))
-            key, doc, t, f, *counts = unpack(data.as_py(), *types)
-            if counts:
-                _, first = np.unique(key, return_index=True)
-                rare.append([x[first] for x in (key, *counts)])
+            steps, text, train, deleted, *rest = unpack(data.as_py(), *(_RARE if kind == RARE_EVENTS else _HEAD))
+            key = np.cumsum(steps, dtype=np.uint64)
+            if kind == RARE_EVENTS:
+                first = np.flatnonzero(np.diff(key, prepend=key[0] - np.uint64(1)))
+                rare.append([x[first] for x in (key, *rest)])
+            else:
+                text = text.astype(np.int64) + rest[0][0]
             keys.append(key)
-            docs.append(doc + np.uint32(base))
-            flags.append(f[doc])
-            texts.append(t)
-            base += len(t)
+            texts.append(text)
+            times[0].append(train)
+            times[1].append(deleted)
         self.texts = np.concatenate(texts)
-        self.doc = np.concatenate(docs)
-        flag = np.concatenate(flags)
         kinds, self.of = np.unique(np.concatenate(keys), return_inverse=True)
         self.of = self.of.astype(np.uint32)
         size = len(kinds)
-        self.pair = (np.bincount(self.of[flag > 0], minlength=size), np.bincount(self.of[flag == 2], minlength=size))
+        self.pair = tuple(np.rint(np.bincount(self.of, np.concatenate(t), minlength=size)).astype(np.int64) for t in times)
         a, b = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(0xFFFFFFFF)).astype(np.int64)
         is_rare = kinds >> np.uint64(63) > 0
         a[is_rare] = b[is_rare] = 0
@@ -435,15 +492,19 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     flag = F.when(part == HELD_OUT, 0).when(part == DELETED, 2).otherwise(1).cast("int")
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_key"), flag.alias("flag"))
 
-    counts = cut(word_counts(rows), "lm-words")
+    with arrow_rows(spark):
+        counts = cut(word_counts(rows), "lm-words")
     head = learn_head(counts, rows.select("flag"))
     shared = spark.sparkContext.broadcast(head)
     n, kinds = head.n, head.kinds
     uniform = 1 / (kinds + 1)
     parts = max(8, math.ceil(n / PART_EVENTS))
 
-    packed = cut(events(rows, shared, parts), "lm-events")
-    model = packed.filter(F.col("kind") == HEAD_EVENTS).unionByName(rare_events(packed, counts, shared, parts))
+    with arrow_rows(spark):
+        made = by_bucket(events(rows, shared, parts), parts)
+    packed = made.select("kind", "part", "packed")
+    rare_parts = max(8, parts // 8)
+    models = [packed.filter(F.col("kind") == HEAD_EVENTS), cut(rare_events(packed, counts, shared, rare_parts), "lm-rare")]
 
     # Hot bigrams: a table of HOT_WORDS squared at most.
     def expand():
@@ -463,7 +524,7 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     # Weights from the deleted tokens of all parts.
     kept = head.n - head.n_deleted
-    found = per_part(model, lambda g: evidence(*_counts(Part(g, shared.value)), kept), EVIDENCE)
+    found = reduce(DataFrame.unionByName, (per_part(m, lambda g: evidence(*_counts(Part(g, shared.value)), kept), EVIDENCE) for m in models))
     found = found.groupBy("bucket", "bin2", "bin1").agg(*(F.sum(x).alias(x) for x in ("w", "s2", "s1"))).toArrow()
     seen = dict(zip((k for k, _ in EVIDENCE), evidence(*hot_counts, kept)))
     weights = mixture({k: np.concatenate((seen[k], found[k].to_numpy())) for k in seen}, uniform)
@@ -475,19 +536,14 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
         logs = log_prob(p.pair[0], p.context[0], p.word[0], weights, n, uniform)
         base = np.where(p.rare_b, base_log(p.word[0], n, kinds), 0.0)
         known = (p.rare_b & (p.word[0] > 0)).astype(np.int64)
-        # By text row first, then by text: the rows are few beside the events.
-        rows = [np.bincount(p.doc, x[p.of], minlength=len(p.texts)) for x in (logs, base, known)]
         texts, of = np.unique(p.texts, return_inverse=True)
-        log, own, n_known = (np.bincount(of, x, minlength=len(texts)) for x in rows)
+        log, own, n_known = (np.bincount(of, x[p.of], minlength=len(texts)) for x in (logs, base, known))
         return texts, log, own, np.rint(n_known).astype(np.int64)
 
-    sent = per_part(model, sums, [("key", "long"), ("log", "double"), ("base", "double"), ("known", "long")])
+    sent = reduce(DataFrame.unionByName, (per_part(m, sums, [("key", "long"), ("log", "double"), ("base", "double"), ("known", "long")]) for m in models))
     sent = sent.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("log", "base", "known")))
-    # Equal texts send their events each; every one of them gets its share.
-    copies = rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
-    sent = copies.join(sent, copies["text_key"] == sent["key"], "left").select(F.col("text_key").alias("key"), "log", "base", "known", "copies")
 
-    # The head's share of each text, where the text is read.
+    # Each text's hot bigrams.
     table_ = np.zeros(HOT_WORDS * HOT_WORDS)
     size = min(HOT_WORDS, len(head.c))
     grid_a, grid_b = np.repeat(np.arange(size), size), np.tile(np.arange(size), size)
@@ -498,32 +554,23 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     hot_logs = spark.sparkContext.broadcast(table_)
 
     def make():
-        h, logs = shared.value, hot_logs.value
-        numbers = numbers_of(shared)
-        word_logs = base_log(h.c, n, kinds)
-        word_known = (h.c > 0).astype(np.float64)
-
-        def fn(texts):
-            doc, a, b = bigrams(texts, numbers)
-            own = b >= 0
-            is_hot = (a >= 0) & (a < HOT_WORDS) & own & (b < HOT_WORDS)
-            by_text = lambda at, x: np.bincount(doc[at], x, minlength=len(texts))
-            known = np.rint(by_text(own, word_known[b[own]])).astype(np.int64)
-            return np.bincount(doc, minlength=len(texts)), known, by_text(own, word_logs[b[own]]), by_text(is_hot, logs[a[is_hot] * HOT_WORDS + b[is_hot]])
-
-        return fn
-
-    own = append_columns(rows, "text", make, [("n_tokens", "long"), ("own_known", "long"), ("own_base", "double"), ("own_log", "double")], drop=["text"])
-    out = own.join(sent, own["text_key"] == sent["key"], "left")
-    share = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("copies")
+        logs = hot_logs.value
+        return lambda found: [[float(logs[cells].sum()) for cells in found]]
+
+    texts = made.filter(F.col("kind") == TEXT).select("text_no", "n_tokens", "own_known", "own_base", "hot")
+    own = append_columns(texts, "hot", make, [("own_log", "double")], drop=["hot"])
+    own = own.join(sent, own["text_no"] == sent["key"], "left").withColumnRenamed("text_no", "__no")
+    documents = made.filter(F.col("kind") == DOCUMENT).select("doc_id", "text_no", "held_out")
+    out = documents.join(own, F.col("text_no") == F.col("__no"))
+    added = lambda mine, more: F.col(mine) + F.coalesce(more, F.lit(0))
     return out.select(
         "doc_id",
-        (F.col("flag") == 0).alias("held_out"),
+        "held_out",
         "n_tokens",
-        (F.col("own_known") + F.coalesce(F.expr("known div copies"), F.lit(0))).alias("n_known"),
+        added("own_known", "known").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("own_base") + share("base")).alias("base_score"),
-        (F.col("own_log") + share("log")).alias("score"),
+        added("own_base", "base").alias("base_score"),
+        added("own_log", "log").alias("score"),
     )
 
 
