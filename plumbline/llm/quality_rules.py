@@ -35,7 +35,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
 
-_MEMO_SIZE = 500_000
+_MEMO_SIZE = 60_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
