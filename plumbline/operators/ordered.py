@@ -60,8 +60,8 @@ def station_points(segments: DataFrame, interval: float) -> DataFrame:
     """A row for each multiple of ``interval`` in [start_station, end_station)."""
     first = F.ceil(F.col("start_station") / interval).cast("long")
     last = (F.ceil(F.col("end_station") / interval) - 1).cast("long")
-    rows = segments.filter(first <= last).withColumn("k", F.explode(F.sequence(first, last)))
-    return rows.withColumn("station", F.col("k") * interval).drop("k")
+    rows = segments.filter(first <= last).withColumn("__k", F.explode(F.sequence(first, last)))
+    return rows.withColumn("station", F.col("__k") * interval).drop("__k")
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
