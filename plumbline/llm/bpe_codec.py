@@ -23,16 +23,19 @@ from plumbline.llm.bpe_fst import PieceMemo, Transducer, compile_pattern, load_r
 from plumbline.llm.common import append_columns, id_and_text, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Most states of the transducer and most pieces remembered in a worker: about 300 MB, and 100 MB for workers that
+#: hold other tables too. Only speed depends on it.
+ROOMY, SMALL = (500_000, 250_000), (60_000, 60_000)
 
 
 class Codec:
     """Encoder and decoder for one rank file; one for each Python worker."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, room: tuple[int, int] = ROOMY):
         ranks = load_ranks(path)
         self.split = compile_pattern(pattern).findall
         # A piece that is itself a token gets that token, even where merges would not reach it.
-        self.memo = PieceMemo(Transducer(ranks), {t: (i,) for t, i in ranks.items()})
+        self.memo = PieceMemo(Transducer(ranks, max_states=room[0]), {t: (i,) for t, i in ranks.items()}, size=room[1])
         self.bytes = {i: t for t, i in ranks.items()}
         self.digits = {i: str(i) for i in ranks.values()}
 
@@ -86,8 +89,8 @@ class Utf8Stream:
 
 
 @lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    out = Codec(path, pattern)
+def codec(path: str, pattern: str, room: tuple[int, int] = ROOMY) -> Codec:
+    out = Codec(path, pattern, room)
     quiet_gc()
     return out
 
@@ -135,11 +138,11 @@ def digest(docs: DataFrame, text_col="text", drop=(), path=RANKS, pattern=public
     return append_columns(docs, text_col, make, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], drop)
 
 
-def encode_and_check(docs: DataFrame, text_col="text", drop=(), path=RANKS, pattern=public_tokenizers.PATTERN) -> DataFrame:
+def encode_and_check(docs: DataFrame, text_col="text", drop=(), path=RANKS, pattern=public_tokenizers.PATTERN, room=ROOMY) -> DataFrame:
     """``docs`` with n_tokens, token_ids and decoded_sha256, the digest of the decoded text."""
 
     def make():
-        c = codec(path, pattern)
+        c = codec(path, pattern, room)
 
         def fn(texts):
             ids = [c.encode(t) for t in texts]

@@ -70,7 +70,7 @@ class Transducer:
     concatenation is in ``vocab``, at that token's id as the rank.
     """
 
-    def __init__(self, vocab, merges=None, counting=False, max_states=60_000):
+    def __init__(self, vocab, merges=None, counting=False, max_states=100_000):
         self.vocab, self.merges = vocab, merges
         self.counting, self.max_states = counting, max_states
         self.none = (1 << _T) - 1
@@ -157,7 +157,7 @@ class Transducer:
                 y, py = left[j]
 
     def _pair(self, key: int) -> bool:
-        if len(self.follows) > 1 << 16:
+        if len(self.follows) > self.max_states:
             self.follows.clear()
         last = key >> _T
         ok = self.follows[key] = self._may_follow(None if last == self.none else last, key & ((1 << _T) - 1))
@@ -250,7 +250,7 @@ class PieceMemo(dict):
     """Transducer results by piece, for pieces of ordinary length. Two generations of bounded size: when the new
     one is full it becomes the old one, from which pieces still in use come back."""
 
-    def __init__(self, transducer: Transducer, whole=None, size=60_000, longest=48):
+    def __init__(self, transducer: Transducer, whole=None, size=80_000, longest=48):
         super().__init__()
         self.run, self.whole, self.size, self.longest = transducer.encode, whole or {}, size, longest
         self.old: dict = {}
