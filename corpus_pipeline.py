@@ -60,7 +60,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the digest of what they decode to."""
-    rows = bpe_codec.encode_and_check(docs.select("doc_id", "lang", "source", "text"), drop=["text"])
+    # The workers hold the tables of earlier stages too.
+    rows = bpe_codec.encode_and_check(docs.select("doc_id", "lang", "source", "text"), drop=["text"], room=bpe_codec.SMALL)
     return rows.select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256")
 
 
