@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from plumbline.plans.measurements import measurements
+from plumbline.plans.outputs import outputs
 from plumbline.plans.records import records
 from plumbline.plans.registry import Query
 from plumbline.plans.texts import texts
 
-_ALL = (measurements, records, texts)
+_ALL = (measurements, records, texts, outputs)
 
 
 def queries() -> dict[str, Query]:
