@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe_codec, decontaminate, pii, quality_rules, simhash_dedup
+from plumbline.llm import bpe_codec, decontaminate, near_copies, pii, quality_rules
 from plumbline.llm.common import cut, table
 
 
@@ -26,20 +26,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the least doc_id.
+    """One document of each component of near copies (5-word similarity of 0.8 or more): the one with the least doc_id.
 
-    Texts are fingerprinted where they are read; only (doc_id, fingerprint, text hash) is shuffled. The rows to
-    stay are then picked out of ``docs`` by doc_id and text hash.
+    Texts are compared by text hash; the rows to stay are then picked out of ``docs`` by doc_id and text hash.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("h"))
-    prints = cut(simhash_dedup.fingerprints(docs.select("text", key.alias("key")), drop=["text"], out_col="fp"), "pipeline-prints")
-    names = simhash_dedup.name_components(prints.select("fp", F.col("key.doc_id").alias("doc_id")), "doc_id", "fp", root=True)
-    # The least key of each fingerprint, then of each component: the first makes the second small.
-    least = prints.groupBy("fp").agg(F.min("key").alias("key")).join(names.withColumnRenamed("fp", "__fp"), F.col("fp") == F.col("__fp"))
-    stay = least.groupBy("root").agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("__id"), F.col("key.h").alias("__h"))
+    h = F.xxhash64("text")
+    roots = near_copies.near_copies(docs.select(h.alias("h"), "text"))
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", h.alias("h"))
+    # The least key of each text, then of each component: the first makes the second small.
+    least = docs.select(key.alias("key")).groupBy(F.col("key.h").alias("h")).agg(F.min("key").alias("key")).join(roots, F.col("h") == F.col("node"), "left")
+    stay = least.groupBy(F.coalesce("root", "h")).agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("__id"), F.col("key.h").alias("__h"))
     # One key column for the join and for dropping repeats, so that texts are dealt out once.
     name = lambda i, h: F.concat_ws(":", h.cast("string"), i.cast("string"))
-    rows = docs.withColumn("__key", name(F.col("doc_id"), F.xxhash64("text")))
+    rows = docs.withColumn("__key", name(F.col("doc_id"), h))
     found = rows.join(stay.select(name(F.col("__id"), F.col("__h")).alias("__key")), "__key", "left_semi")
     return found.dropDuplicates(["__key"]).select(*docs.columns)
 
@@ -67,13 +66,13 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("simhash near-dedup", near_duplicates),
+    ("near-dedup", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("personal data", personal_data),
     ("byte-level bpe", byte_bpe),
 ]
 
-#: SQL has neither the models nor the fingerprints of these stages; tests hold them against brute force.
+#: SQL has neither the models nor the shingle index of these stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
