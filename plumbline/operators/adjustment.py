@@ -6,8 +6,11 @@ Gauss-Newton loop runs on the driver and sees one number a round. Coordinates be
 folder. A network's matrix is square in its own unknowns only, so size grows with networks, not with all rows.
 
 Observations: net, obs_id, type, from_id, to_id, at_id, value, value_n, sigma. Types: ``dist``, ``bearing``, ``angle`` (at_id, from
-from_id to to_id), ``gps`` (value east, value_n north), ``lev``. Stations: net, station, x, y, h, fixed (both plane and
-height). Rows with a missing end, value or positive sigma are left out.
+from_id to to_id), ``gps`` (value east, value_n north), ``lev``, ``direction`` (from_id to to_id, read on a circle whose
+orientation is one more unknown for each set_id), ``dir`` (a bearing; with flip180 the other face counts where it is closer)
+and ``zenith`` (with hi and ht). The columns set_id, flip180, hi and ht may be absent or null: then a station's directions are one
+set, and the others are false or 0. Stations: net, station, x, y, h, fixed (both plane and height). Rows with a missing end,
+value or positive sigma are left out; a row of another type is an error.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ def with_ends(obs: DataFrame, stations: DataFrame) -> DataFrame:
     for role, key, how in (("f", "from_id", "inner"), ("t", "to_id", "inner"), ("a", "at_id", "left")):
         side = _at(stations, role)
         out = out.join(side, (F.col("net") == F.col(f"{role}_net")) & (F.col(key) == F.col(f"{role}_s")), how)
-    return out.filter((F.col("type") != "angle") | F.col("a_x").isNotNull())
+    return out.filter(~F.col("type").eqNullSafe("angle") | F.col("a_x").isNotNull())
 
 
 def _term(role: str, axis: str, value: Column) -> Column:
@@ -46,9 +49,34 @@ def _term(role: str, axis: str, value: Column) -> Column:
     return F.when(~F.col(f"{role}_fixed"), F.struct(name.alias("p"), value.alias("a")))
 
 
-def equations(obs: DataFrame, stations: DataFrame) -> DataFrame:
-    """(net, obs_id, part, type, terms, misclosure, sigma): linearised rows, observed less computed. Angles in radians."""
+KINDS = ("dist", "bearing", "angle", "gps", "lev", "direction", "dir", "zenith")
+
+
+def _optional(df: DataFrame, name: str, kind: str, default) -> Column:
+    return F.coalesce(F.col(name).cast(kind), default) if name in df.columns else default
+
+
+def _set_name(rows: DataFrame) -> Column:
+    """The name of a direction's set as an unknown."""
+    own = F.concat(F.lit("at "), F.col("from_id").cast("string"))
+    given = F.concat(F.lit("set "), F.col("set_id").cast("string")) if "set_id" in rows.columns else own
+    return F.concat(F.coalesce(given, own), F.lit(":o"))
+
+
+def orientations(obs: DataFrame, stations: DataFrame) -> DataFrame:
+    """(o_net, o_p, o): each direction set's orientation, the mean direction of readings less azimuths."""
+    rows = with_ends(obs.filter("type = 'direction'"), stations)
+    turn, w = F.col("value") - F.atan2(F.col("t_x") - F.col("f_x"), F.col("t_y") - F.col("f_y")), 1 / (F.col("sigma") * F.col("sigma"))
+    return rows.groupBy(F.col("net").alias("o_net"), _set_name(rows).alias("o_p")).agg(F.atan2(F.sum(w * F.sin(turn)), F.sum(w * F.cos(turn))).alias("o"))
+
+
+def equations(obs: DataFrame, stations: DataFrame, turned: DataFrame | None = None) -> DataFrame:
+    """(net, obs_id, part, type, terms, misclosure, sigma): linearised rows, observed less computed. Angles in radians. ``turned``
+    has the orientations of direction sets; without it they are the mean ones."""
     rows = with_ends(obs, stations)
+    rows = rows.withColumn("o_name", F.when(F.col("type") == "direction", _set_name(rows)))
+    turned = orientations(obs, stations) if turned is None else turned
+    rows = rows.join(turned, (F.col("net") == F.col("o_net")) & (F.col("o_name") == F.col("o_p")), "left")
     dx, dy = F.col("t_x") - F.col("f_x"), F.col("t_y") - F.col("f_y")
     d = F.greatest(F.hypot(dx, dy), F.lit(1e-9))
     fx, fy, tx, ty = (F.col(f"{r}_{c}") for r in "ft" for c in "xy")
@@ -59,6 +87,13 @@ def equations(obs: DataFrame, stations: DataFrame) -> DataFrame:
     gx_t, gy_t = (ty - ay) / dt2, -(tx - ax) / dt2
     gx_f, gy_f = -(fy - ay) / df2, (fx - ax) / df2
 
+    half_turn = F.when(_optional(rows, "flip180", "boolean", F.lit(False)) & (F.abs(wrap_pi(F.col("value") + math.pi - az)) < F.abs(wrap_pi(F.col("value") - az))), math.pi).otherwise(0.0)
+    turn = F.struct(F.col("o_name").alias("p"), F.lit(1.0).alias("a"))
+    dh = F.col("t_h") + _optional(rows, "ht", "double", F.lit(0.0)) - F.col("f_h") - _optional(rows, "hi", "double", F.lit(0.0))
+    flat = F.hypot(dx, dy)
+    slope2 = F.greatest(flat**2 + dh**2, F.lit(1e-18))
+    zx, zy, zh = dh * dx / (slope2 * d), dh * dy / (slope2 * d), -flat / slope2
+
     def row(kind, part, misclosure, *terms):
         return F.when(F.col("type") == kind, F.struct(F.lit(part).alias("part"), misclosure.alias("misclosure"), F.array_compact(F.array(*terms)).alias("terms")))
 
@@ -71,8 +106,13 @@ def equations(obs: DataFrame, stations: DataFrame) -> DataFrame:
             row("gps", 0, v - dx, _term("f", "x", F.lit(-1.0)), _term("t", "x", F.lit(1.0))),
             row("gps", 1, vn - dy, _term("f", "y", F.lit(-1.0)), _term("t", "y", F.lit(1.0))),
             row("lev", 0, v - (F.col("t_h") - F.col("f_h")), _term("f", "h", F.lit(-1.0)), _term("t", "h", F.lit(1.0))),
+            row("direction", 0, wrap_pi(v - az - F.col("o")), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2), turn),
+            row("dir", 0, wrap_pi(v + half_turn - az), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2)),
+            row("zenith", 0, v - F.atan2(flat, dh), _term("f", "x", -zx), _term("f", "y", -zy), _term("f", "h", -zh), _term("t", "x", zx), _term("t", "y", zy), _term("t", "h", zh)),
         )
     )
+    unknown = F.raise_error(F.concat(F.lit("unknown type of observation: "), F.coalesce("type", F.lit("null"))))
+    made = F.when(F.coalesce(F.col("type").isin(*KINDS), F.lit(False)), made).otherwise(unknown)
     return rows.select("net", "obs_id", "type", "sigma", F.explode(made).alias("r")).select("net", "obs_id", "r.part", "type", "r.terms", "r.misclosure", "sigma")
 
 
@@ -126,7 +166,7 @@ def solve_networks(normals: DataFrame, covariance: bool = False) -> DataFrame:
 
 
 def _moved(stations: DataFrame, dx: DataFrame) -> DataFrame:
-    parts = dx.withColumn("station", F.regexp_replace("p", ":[xyh]$", "")).withColumn("axis", F.right("p", F.lit(1)))
+    parts = dx.filter(~F.col("p").endswith(":o")).withColumn("station", F.regexp_replace("p", ":[xyh]$", "")).withColumn("axis", F.right("p", F.lit(1)))
     wide = parts.groupBy("net", "station").agg(*(F.sum(F.when(F.col("axis") == a, F.col("dx"))).alias(f"d{a}") for a in "xyh"))
     joined = stations.withColumn("__s", F.col("station").cast("string")).join(wide.withColumnsRenamed({"net": "__net", "station": "__w"}), (F.col("net") == F.col("__net")) & (F.col("__s") == F.col("__w")), "left")
     return joined.withColumns({a: F.col(a) + F.coalesce(f"d{a}", F.lit(0.0)) for a in "xyh"}).select(*stations.columns)
@@ -140,6 +180,12 @@ class Adjusted:
     converged: bool
 
 
+def _turned(turned: DataFrame, dx: DataFrame) -> DataFrame:
+    moves = dx.select("net", "p", "dx")
+    joined = turned.join(moves, (F.col("o_net") == F.col("net")) & (F.col("o_p") == F.col("p")), "left")
+    return joined.select("o_net", "o_p", (F.col("o") + F.coalesce("dx", F.lit(0.0))).alias("o"))
+
+
 def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: int = 15, robust_k: float | None = None) -> Adjusted:
     """Gauss-Newton on all networks together until no coordinate moves by more than ``tolerance``; with ``robust_k``
     each round weights residuals by Huber's function of the last ones."""
@@ -147,12 +193,15 @@ def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: i
     if robust_k is not None:
         weight = weight * huber_weight("misclosure", "sigma", robust_k)
     stations, done, turn = cut(stations, "adjust"), False, 0
+    turned = cut(orientations(obs, stations), "adjust-turned")
+    has_sets = not turned.isEmpty()
     while turn < most and not done:
         turn += 1
-        dx = cut(solve_networks(normal_equations(equations(obs, stations), weight if turn > 1 else None)), "adjust-dx")
+        dx = cut(solve_networks(normal_equations(equations(obs, stations, turned), weight if turn > 1 else None)), "adjust-dx")
         stations = cut(_moved(stations, dx), "adjust")
+        turned = cut(_turned(turned, dx), "adjust-turned") if has_sets else turned
         done = (dx.agg(F.max(F.abs("dx")).alias("m")).first()["m"] or 0.0) <= tolerance
-    return Adjusted(stations, equations(obs, stations), turn, done)
+    return Adjusted(stations, equations(obs, stations, turned), turn, done)
 
 
 def degrees_of_freedom(rows: DataFrame) -> DataFrame:
