@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.tables import cut
+
 
 def active_rows(obs: DataFrame, excluded: DataFrame, key: str, is_2d: bool = False) -> DataFrame:
     """Rows that a solution uses: not excluded; in two dimensions neither levelled nor zenith rows."""
@@ -131,20 +133,48 @@ def boxes_overlap(boxes: DataFrame, key: str, cell: float) -> DataFrame:
     return a.join(b, ["cx", "cy"]).filter(F.col("a") < F.col("b")).filter(hit & own).select("a", "b")
 
 
-def resolve_aliases(ids: DataFrame, rules: DataFrame, most: int = 50) -> DataFrame:
-    """(id, resolved, steps, cycle): each id's chain of (from_id, to_id) rules followed to its end. One join for each step of
-    the longest chain; an id that comes back to itself keeps its name and is marked."""
-    rule = rules.groupBy(F.col("from_id").alias("__from")).agg(F.max("to_id").alias("__to"))
-    state = ids.select("id", F.col("id").alias("resolved"), F.lit(0).alias("steps"), F.lit(False).alias("cycle"))
-    for _ in range(most):
-        step = state.join(rule, (F.col("resolved") == F.col("__from")) & ~F.col("cycle"), "left")
-        back = F.col("__to") == F.col("id")
-        state = step.select(
-            "id",
-            F.when(back, F.col("id")).otherwise(F.coalesce("__to", "resolved")).alias("resolved"),
-            (F.col("steps") + F.col("__to").isNotNull().cast("int")).alias("steps"),
-            (F.col("cycle") | F.coalesce(back, F.lit(False))).alias("cycle"),
+def _chains(rule: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(node, at, steps, low, live) for each node of ``rule`` (node, at): the end of its chain, by pointer doubling. Where ``live`` is
+    true the chain has no end; then ``at`` is on its cycle, and ``low`` of a node on a cycle is the cycle's least node."""
+    jump = cut(rule.select("node", "at", F.lit(1).cast("long").alias("steps"), F.col("node").alias("low")), "chains")
+    before = None
+    for _ in range(most_rounds):
+        on = jump.select(F.col("node").alias("__node"), F.col("at").alias("__at"), F.col("steps").alias("__steps"), F.col("low").alias("__low"))
+        joined = jump.join(on, F.col("at") == F.col("__node"), "left")
+        jump = cut(
+            joined.select(
+                "node",
+                F.coalesce("__at", "at").alias("at"),
+                (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"),
+                F.least("low", "__low").alias("low"),  # least passes over nulls
+                F.col("__node").isNotNull().alias("live"),
+            ),
+            "chains",
         )
-        if state.join(rule, (F.col("resolved") == F.col("__from")) & ~F.col("cycle"), "left_semi").isEmpty():
-            break
-    return state
+        state = jump.filter("live").agg(F.count(F.lit(1)), F.count_distinct("at"), F.sum(F.xxhash64("node", "low").cast("decimal(38,0)"))).first()
+        # Chains that a doubling neither ends nor brings onto fewer nodes are on or lead into cycles.
+        if not state[0] or state == before:
+            return jump
+        before = state
+    raise RuntimeError(f"alias chains did not settle in {most_rounds} rounds")
+
+
+def resolve_aliases(ids: DataFrame, rules: DataFrame) -> DataFrame:
+    """(id, resolved, steps, cycle): each id's chain of (from_id, to_id) rules followed to its end, in rounds of the logarithm of
+    the longest chain. Of several rules for an id the one with the greatest to_id counts; a rule to itself is none. A chain
+    that comes to a cycle stops at the second visit of the cycle's first id and is marked."""
+    rule = rules.filter("from_id is not null and to_id is not null and from_id <> to_id").groupBy(F.col("from_id").alias("node")).agg(F.max("to_id").alias("at"))
+    found = _chains(rule)
+    ends = found.filter(~F.col("live")).select("node", "at", "steps", F.lit(False).alias("cycle"))
+    if not found.filter("live").isEmpty():
+        on_cycle = found.filter("live").select(F.col("at").alias("node")).distinct()
+        low = found.join(on_cycle, "node").select("node", "low")
+        length = low.groupBy("low").agg(F.count(F.lit(1)).alias("length"))
+        around = cut(low.join(length, "low").select("node", "length"), "cycles")
+        into = rule.join(found.filter("live").select("node"), "node", "left_semi").join(around, "node", "left_anti")
+        entry = _chains(into).join(around.withColumnRenamed("node", "__node"), F.col("at") == F.col("__node"))
+        marked = around.select("node", F.col("node").alias("at"), F.col("length").alias("steps"))
+        marked = marked.unionByName(entry.select("node", "at", (F.col("steps") + F.col("length")).alias("steps")))
+        ends = ends.unionByName(marked.withColumn("cycle", F.lit(True)))
+    out = ids.select("id").join(ends, F.col("id") == F.col("node"), "left")
+    return out.select("id", F.coalesce("at", "id").alias("resolved"), F.coalesce("steps", F.lit(0)).cast("int").alias("steps"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
