@@ -234,23 +234,24 @@ def joined(spans) -> str:
 
 
 def detect(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """doc_id, the count of each kind (n_email, ..., n_account), base_sha256 and spans of every row."""
+    """doc_id, the count of each kind (n_email, ..., n_account), base_sha256, spans and has_pii (any span) of every row."""
 
     def make():
         def fn(texts):
-            cols: list[list] = [[] for _ in range(len(KINDS) + 2)]
+            cols: list[list] = [[] for _ in range(len(KINDS) + 3)]
             for text in texts:
                 spans = find_spans(text)
                 for col, kind in zip(cols, KINDS):
                     col.append(sum(s[0] == kind for s in spans))
                 base = joined(s for s in spans if s[0] in BASE_KINDS)
-                cols[-2].append(hashlib.sha256(base.encode()).hexdigest())
-                cols[-1].append(joined(spans))
+                cols[-3].append(hashlib.sha256(base.encode()).hexdigest())
+                cols[-2].append(joined(spans))
+                cols[-1].append(bool(spans))
             return cols
 
         return fn
 
-    fields = [*((f"n_{k}", "long") for k in KINDS), ("base_sha256", "string"), ("spans", "string")]
+    fields = [*((f"n_{k}", "long") for k in KINDS), ("base_sha256", "string"), ("spans", "string"), ("has_pii", "boolean")]
     return append_columns(id_and_text(docs, id_col, text_col), "text", make, fields, drop=["text"])
 
 

@@ -61,6 +61,7 @@ def test_table(spark):
     texts = ["", "x a@b.c y", "9" * 5000, "a@b.c" * 2000]
     rows = pii.detect(awkward(spark, texts)).collect()
     assert len(rows) == len(texts) + 3
+    assert all(r["has_pii"] == (r["spans"] != "") for r in rows) and sum(r["has_pii"] for r in rows) == 2
     empty = hashlib.sha256(b"").hexdigest()
     for r in rows:
         if r["doc_id"] is None:
