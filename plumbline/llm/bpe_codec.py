@@ -50,11 +50,27 @@ class Codec:
 
     def stream(self, ids: Iterable[int], at_once: int = 4096) -> Iterator[str]:
         """The text in parts, as ids arrive: a character is given out once its last byte is there."""
-        machine, ids = Utf8Stream(), iter(ids)
-        while part := list(_take(ids, at_once)):
-            yield machine.feed(self.decode_bytes(part))
+        machine = Utf8Stream()
+        for data in self.byte_parts(ids, at_once):
+            yield machine.feed(data)
         yield machine.close()
 
+    def byte_parts(self, ids: Iterable[int], at_once: int = 4096) -> Iterator[bytes]:
+        ids = iter(ids)
+        while part := list(_take(ids, at_once)):
+            yield self.decode_bytes(part)
+
+    def check(self, ids: list[int], text: str | None) -> tuple[str, bool]:
+        """The digest of the decoded bytes, and whether they stream back to ``text``."""
+        sha, machine, at, same, text = hashlib.sha256(), Utf8Stream(), 0, True, text or ""
+        for data in self.byte_parts(ids):
+            sha.update(data)
+            part = machine.feed(data)
+            same = same and text.startswith(part, at)
+            at += len(part)
+        rest = machine.close()
+        return sha.hexdigest(), same and not rest and at == len(text)
+
 
 def _take(ids: Iterator[int], n: int) -> Iterator[int]:
     for _, i in zip(range(n), ids, strict=False):
@@ -116,37 +132,33 @@ def decode(docs: DataFrame, ids_col="token_ids", out_col="decoded", path=RANKS,
 
 
 def digest(docs: DataFrame, text_col="text", drop=(), path=RANKS, pattern=public_tokenizers.PATTERN) -> DataFrame:
-    """``docs`` with n_tokens, ids_sha256 and decoded_sha256: encodes, decodes the ids, keeps the digests."""
+    """``docs`` with n_tokens, ids_sha256, decoded_sha256 (of the decoded bytes) and round_trip (whether they are the text)."""
 
     def make():
         c = codec(path, pattern)
 
         def fn(texts):
-            n, ids_sha, text_sha = [], [], []
+            out = []
             for text in texts:
                 ids = c.encode(text)
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(c.digits.__getitem__, ids)).encode()).hexdigest())
-                sha = hashlib.sha256()
-                for part in c.stream(ids):
-                    sha.update(part.encode())
-                text_sha.append(sha.hexdigest())
-            return n, ids_sha, text_sha
+                out.append((len(ids), hashlib.sha256(",".join(map(c.digits.__getitem__, ids)).encode()).hexdigest(), *c.check(ids, text)))
+            return list(zip(*out, strict=True)) if out else [[]] * 4
 
         return fn
 
-    return append_columns(docs, text_col, make, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")], drop)
+    fields = [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"), ("round_trip", "boolean")]
+    return append_columns(docs, text_col, make, fields, drop)
 
 
 def encode_and_check(docs: DataFrame, text_col="text", drop=(), path=RANKS, pattern=public_tokenizers.PATTERN, room=ROOMY) -> DataFrame:
-    """``docs`` with n_tokens, token_ids and decoded_sha256, the digest of the decoded text."""
+    """``docs`` with n_tokens, token_ids and decoded_sha256, the digest of the decoded bytes."""
 
     def make():
         c = codec(path, pattern, room)
 
         def fn(texts):
             ids = [c.encode(t) for t in texts]
-            return [len(i) for i in ids], ids, [hashlib.sha256(c.decode(i).encode()).hexdigest() for i in ids]
+            return [len(i) for i in ids], ids, [c.check(i, t)[0] for i, t in zip(ids, texts, strict=True)]
 
         return fn
 

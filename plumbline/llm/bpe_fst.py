@@ -189,24 +189,35 @@ class Transducer:
         out = self.next[state << 8 | byte] = (to, change if self.counting else found)
         return out
 
+    def _bounded(self, state: int) -> int:
+        """``state``, after the tables were emptied if they are full: its live positions then are a state anew."""
+        if len(self.states) <= self.max_states and len(self.next) <= 4 * self.max_states:
+            return state
+        live = self.states[state]
+        self._reset()
+        to = self.ids.setdefault(live, len(self.states))
+        if to == len(self.states):
+            self.states.append(live)
+        return to
+
     def encode(self, word: bytes):
-        """The ids of ``word`` as a tuple, or their number if counting."""
-        if len(self.states) > self.max_states:
-            self._reset()
-        state, get, step = 0, self.next.get, self.step
-        if self.counting:
-            total = 0
-            for byte in word:
-                state, n = get(state << 8 | byte) or step(state, byte)
-                total += n
-            return total
-        if len(word) > LOOKAHEAD:
+        """The ids of ``word`` as a tuple, or their number if counting. The tables' bound is held within a word too."""
+        if not self.counting and len(word) > LOOKAHEAD:
             return self._encode_long(word)
-        last = []
-        for byte in word:
-            state, t = get(state << 8 | byte) or step(state, byte)
-            last.append(t)
-        return self._settle(last, 0, len(last))
+        state, total, last = self._bounded(0), 0, []
+        for i in range(0, len(word), LOOKAHEAD):
+            if i:
+                state = self._bounded(state)
+            get, step = self.next.get, self.step
+            if self.counting:
+                for byte in word[i : i + LOOKAHEAD]:
+                    state, n = get(state << 8 | byte) or step(state, byte)
+                    total += n
+            else:
+                for byte in word[i : i + LOOKAHEAD]:
+                    state, t = get(state << 8 | byte) or step(state, byte)
+                    last.append(t)
+        return total if self.counting else self._settle(last, 0, len(last))
 
     def _settle(self, last: list[int], start: int, end: int) -> tuple[int, ...]:
         """The tokens of a settled stretch, by the last token up to each of its places."""
@@ -221,6 +232,7 @@ class Transducer:
         """As ``encode``, emitting what is settled after every stretch of LOOKAHEAD bytes."""
         state, last, out = 0, [], []
         for i in range(0, len(word), LOOKAHEAD):
+            state = self._bounded(state)
             for byte in word[i : i + LOOKAHEAD]:
                 state, t = self.next.get(state << 8 | byte) or self.step(state, byte)
                 last.append(t)

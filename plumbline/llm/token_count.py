@@ -120,7 +120,9 @@ def count_chunk_rows(chunks: DataFrame, id_col="doc_id", no_col="chunk_no", text
     """(doc_id, n_tokens) of texts that are stored as rows of chunks, numbered in order from any start.
 
     For texts too long for one task: every row becomes its map where it lies, and only maps are
-    shuffled. Neighbouring maps compose in rounds of 64, so no task gathers a whole text's chunks.
+    shuffled. Neighbouring maps compose in rounds of 64. A map holds the text before its first and after its last
+    synchronising position, so it is small for any text with white space; a stretch without any (one piece of the
+    tokenizer or a run of them) stays in the maps as it is, and the task that composes them holds that stretch.
     Null chunks are empty. Rows with a null or repeated number are composed in no defined order.
     """
 

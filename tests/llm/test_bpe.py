@@ -8,7 +8,7 @@ import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from plumbline.llm import bpe_codec, token_count
-from plumbline.llm.bpe_fst import load_ranks
+from plumbline.llm.bpe_fst import LOOKAHEAD, Transducer, load_merges, load_ranks
 from tests.llm.fixtures import awkward, documents, sample_texts
 
 LONG = ["a" * 5000, "-" * 4097, "ab" * 3000, " " * 3000, "é" * 3000, "0" * 5000, "\U0001f600" * 500, "\n" * 1000, "#$" * 1500, ". " * 500, "xyz" * 1000, "1234567890" * 300, "ÿ" * 600, "the" * 900 + "a" * 700]
@@ -84,7 +84,7 @@ def test_tables(spark, library, counts):
     for r in bpe_codec.digest(docs.drop("n_tokens")).collect():
         ids = library.encode_ordinary(r["text"] or "")
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest() and r["round_trip"]
     back = bpe_codec.decode(bpe_codec.encode(docs)).collect()
     assert all(r["decoded"] == (r["text"] or "") for r in back)
     assert token_count.count_tokens(docs.filter("doc_id < 0")).collect() == []
@@ -97,3 +97,24 @@ def test_chunk_rows(spark, counts):
     r.shuffle(rows)
     found = token_count.count_chunk_rows(spark.createDataFrame(rows, "doc_id long, chunk_no int, text string")).collect()
     assert {x["doc_id"]: x["n_tokens"] for x in found} == {i: len(counts.encode(t, add_special_tokens=False).ids) for i, t in texts.items()}
+
+
+def test_tables_of_states_stay_bounded_within_a_piece(library, counts):
+    r = random.Random(9)
+    pieces = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(40_000)), "中文字符" * 4000, "xyz" * 9000]
+    most = 2000
+    vocab, merges, _ = load_merges(token_count.TOKENIZER)
+    ranks = load_ranks(bpe_codec.RANKS)
+    encoder, counter = Transducer(ranks, max_states=most), Transducer(vocab, merges, counting=True, max_states=most)
+    for piece in pieces:
+        assert list(encoder.encode(piece.encode())) == library.encode_ordinary(piece)
+        assert counter.encode(piece.encode()) == len(counts.encode(piece, add_special_tokens=False).ids)
+        for t in (encoder, counter):
+            assert len(t.states) <= most + LOOKAHEAD + 1 and len(t.next) <= 4 * most + LOOKAHEAD
+
+
+def test_check_tells_other_texts_apart(library):
+    c = bpe_codec.codec(bpe_codec.RANKS, public_tokenizers.PATTERN)
+    ids = library.encode_ordinary("aé\U0001f600")
+    assert c.check(ids, "aé\U0001f600") == (hashlib.sha256("aé\U0001f600".encode()).hexdigest(), True)
+    assert not c.check(ids, "aé")[1] and not c.check(ids, "aé\U0001f600b")[1] and c.check([], None)[1]
