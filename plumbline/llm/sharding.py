@@ -16,7 +16,7 @@ Law: ``bytes``. Copies of one text are one group; where that group alone exceeds
 as large as the group and the other shards share the rest evenly.
 
 Defined cases: the size of a null text is 1, of the empty text too; they are two groups (null texts are equal to
-each other). Repeated rows get a slot each. Null identifiers are allowed. Other columns are not read. Empty
+each other). Repeated rows get a slot each, however many they are. Null identifiers are allowed. Other columns are not read. Empty
 shards just have no rows.
 """
 
@@ -33,6 +33,8 @@ from plumbline.llm.common import cut, table
 SHARDS = 8
 SIZE_BITS = 12
 BUCKET_ROWS = 20_000
+#: Repeats of one row that are written out at once.
+COPIES_AT_ONCE = 1 << 16
 
 
 def size_class(size: Column) -> Column:
@@ -85,6 +87,17 @@ def _running(rows: DataFrame, keys: list[str], bucket: str, order: list[str], we
     return rows.join(sums, on).withColumn(name, F.col("__base") + F.col("__in")).drop("__base", "__in", *(f"__{k}" for k in (*keys, bucket)))
 
 
+def written_out(rows: DataFrame, at_once: int) -> DataFrame:
+    """One row for each of ``copies`` slots from ``slot`` on. A row repeated more than ``at_once`` times is first cut
+    into parts of so many, which are dealt out to all tasks."""
+    first, n = F.col("slot"), F.col("copies")
+    few = rows.filter(n <= at_once)
+    many = rows.filter(n > at_once).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / at_once))))
+    start = F.col("__part") * at_once
+    many = many.withColumns({"slot": first + start, "copies": F.least(F.lit(at_once), n - start)}).repartition("slot").drop("__part")
+    return few.unionByName(many).withColumn("slot", F.explode(F.sequence(first, first + n - 1)))
+
+
 def assign(docs: DataFrame, id_col="doc_id", text_col="text", shards=SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of ``docs``."""
     text = docs[text_col].cast("string")
@@ -117,13 +130,13 @@ def assign(docs: DataFrame, id_col="doc_id", text_col="text", shards=SHARDS) ->
     rows = rows.join(shard_of, rows["group"] == shard_of["__group"]).drop("__group")
     rows = cut(rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "group"), F.lit(max(1, total // BUCKET_ROWS)))), "shard-placed")
     rows = _running(rows, ["shard"], "bucket", ["doc_id", "group"], F.col("copies"), "slot")
-    return rows.select(
+    return written_out(rows, COPIES_AT_ONCE).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        F.explode(F.sequence(F.col("slot"), F.col("slot") + F.col("copies") - 1)).alias("slot"),
+        "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
 

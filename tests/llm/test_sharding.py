@@ -56,3 +56,11 @@ def test_awkward(spark):
         slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
         assert slots == list(range(len(slots)))
     assert sharding.assign(awkward(spark, ["a"]).filter("doc_id < 0")).collect() == []
+
+
+def test_rows_repeated_very_often_are_written_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES_AT_ONCE", 7)
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 7 + [(3, "c")], "doc_id long, text string")
+    rows = sharding.assign(docs, shards=1).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(58))
+    assert sorted(r["doc_id"] for r in rows) == [1] * 50 + [2] * 7 + [3]
