@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows handed to Python at once; a batch from Spark is cut into slices of so many.
 SLICE_ROWS = 256
+#: Bytes of a row group of a working table.
+ROW_GROUP_BYTES = 16 << 20
 
 ARROW = {
     "long": (T.LongType(), pa.int64()),
@@ -112,20 +114,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: a lost executor costs no recomputing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # A writer holds a row group in memory, so row groups are kept small.
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int = 2 * SLICE_ROWS):
-    """Jobs that run inside send so many rows to Python at once, which bounds the buffers on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+def arrow_rows(spark: SparkSession, rows: int = 2 * SLICE_ROWS, size: str = "4m"):
+    """Jobs that run inside send so many rows or bytes to Python at once, which bounds the buffers on both sides."""
+    keys = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

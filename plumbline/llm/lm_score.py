@@ -10,16 +10,18 @@ the counts, and the weights make its tokens most probable. Scoring then uses all
 How it is laid out, with N tokens in all:
 
 1. Word counts: counted within a task, summed by word hash. The ``HEAD_WORDS`` most frequent words with their
-   counts are broadcast (a fixed bound); rarer words are looked up by a join.
-2. Events: one pass turns texts into bigram events. Texts that repeat within a task's block of events are taken once,
+   counts are broadcast (a fixed bound); the counts of rarer words travel to where they are used.
+2. Events: one pass turns texts into bigram events. Texts that repeat within a block of events are taken once,
    with the number of times they stand in the training part. Bigrams of the ``HOT_WORDS`` most frequent words are
    counted as a table of fixed size, so that the most frequent bigrams never meet in one task. All others are packed
-   as compressed arrays, one row for each block and model part. Events with a rare word first get its counts by a join
-   on the word. The packed rows are dealt out by model part once, into a bucketed table in the shared folder.
-3. Each model part (about ``PART_EVENTS`` events, so parts grow in number, not in size) counts its bigrams: first it
-   gives histograms for the weights, then, with the weights, each text's part of the sum, added up by text number.
-   Both read the bucketed table without another exchange. Every bigram of the corpus counts and what is gathered
-   grows with it; nothing is cut off.
+   as compressed arrays, one row for each block and model part, and dealt out by part. Events with a rare word go
+   to that word's part, where its count goes too; where both words are rare, they go on to the second one's part.
+   Parts are of about ``PART_EVENTS`` events and grow in number, not in size. Beyond ``FAN_OUT`` parts, events are dealt out in
+   two steps, so that packed rows stay of a useful size.
+3. A model part counts its bigrams. It gives its evidence for the weights, and for each event its text and which of
+   the part's different (bigram, context, word) counts it has: all that scoring needs once the weights are known, so texts'
+   events are dealt out by part once. Then every part's share of a text's score is packed by block of texts and added up.
+   Every bigram of the corpus counts and what is gathered grows with it; nothing is cut off.
 
 Defined cases: a null text is the empty text: one end token. Equal texts have equal scores. Without training
 documents every probability is 1 and the scores are 0. Words are known by 64-bit hash. Repeated rows stay separate
@@ -29,10 +31,8 @@ rows. Other columns are not read.
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
-from functools import reduce
-from itertools import repeat
+from itertools import groupby, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,20 +42,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import ARROW, append_columns, arrow_rows, checkpoint_dir, crc_mod, cut, emit_rows, slices, table
+from plumbline.llm.common import ARROW, arrow_rows, crc_mod, cut, emit_rows, slices, table
 
 HEAD_WORDS = 1 << 18
 HOT_WORDS = 1024
 PART_EVENTS = 1_000_000
-#: Spark's own bound for buckets is 100,000; a bucket may hold many parts.
-MAX_BUCKETS = 50_000
+#: Events of a block of texts, which are packed together. A block has at most 2 ** TEXT_BITS different texts.
 FLUSH_EVENTS = 300_000
+TEXT_BITS, BLOCK_BITS = 20, 20
+#: Parts that one pass deals out to at once, and most tasks of a step; a task may hold many parts.
+FAN_OUT, MAX_TASKS = 4096, 20_000
 #: Of 7 parts by identifier: never trained on, and deleted from the counts while weights are learned.
 HELD_OUT, DELETED, PARTS = 2, 3, 7
 _MEMO = 100_000
 #: Different words that a task counts before it hands their counts on.
-FLUSH_WORDS = 150_000
+FLUSH_WORDS = 300_000
 _UNSEEN = -(1 << 63)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,6 +130,24 @@ class Head:
         self.start = start  # (training texts, deleted texts): the counts of the start as a context
         self.n, self.n_deleted = total
         self.kinds = kinds
+        # Each token of a rare word is in two events.
+        n_events = self.n - int(c.sum())
+        self.parts = max(8, math.ceil(self.n / PART_EVENTS)), max(8, math.ceil(2 * n_events / PART_EVENTS))
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for rare ones."""
+        i = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[i] == codes, self.place[i], -1)
+
+    def counts(self, a: np.ndarray, b: np.ndarray):
+        """(context, word) counts of head words, each (in training, deleted). ``a`` may be the start."""
+        start = a == 1
+        context = tuple(np.where(start, s, x[a]) for x, s in zip((self.c, self.deleted), self.start))
+        return context, (self.c[b], self.deleted[b])
+
+    def rare_part(self, codes: np.ndarray) -> np.ndarray:
+        """The part of a rare word, after those of head words."""
+        return self.parts[0] + part_of(codes.astype(np.uint64), self.parts[1]).astype(np.int64)
 
 
 class Numbers(dict):
@@ -143,8 +164,8 @@ class Numbers(dict):
             unseen = [found[i] for i in at.tolist()]
             new = list(set(unseen))
             codes = np.fromiter(map(code, new), np.int64, len(new))
-            i = np.minimum(np.searchsorted(self.head.codes, codes), len(self.head.codes) - 1)
-            own = dict(zip(new, np.where(self.head.codes[i] == codes, self.head.place[i], codes).tolist()))
+            places = self.head.find(codes)
+            own = dict(zip(new, np.where(places < 0, codes, places).tolist()))
             ids[at] = np.fromiter(map(own.__getitem__, unseen), np.int64, len(at))
             if len(self) + len(own) > _MEMO:
                 self.clear()
@@ -191,30 +212,37 @@ def learn_head(counts: DataFrame, docs: DataFrame) -> Head:
     return Head(codes, np.concatenate(([n, 0], c)).astype(np.int64), np.concatenate(([gone, 0], d)).astype(np.int64), (n, gone), (total["n"] or 0, total["d"] or 0), total["v"] or 0)
 
 
-#: Packed head events: steps from key to key, text in the block, how often that text is in the training part and in its
-#: deleted part, and the block's first text number. Rare events have whole text numbers and the counts of their words.
-_HEAD = (np.uint64, np.uint32, np.uint32, np.uint32, np.int64)
-_RARE = (np.uint64, np.int64, np.uint32, np.uint32, *(np.int64,) * 5)
-
-
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     return ((keys * _MIX) >> np.uint64(33)) % np.uint64(parts)
 
 
-def by_part(parts: int, keys, *columns, tail=()):
+#: Kinds of rows, and what is packed in them. Events: steps from key to key (of the word, where it is rare), text, how
+#: often that text is in the training part and in its deleted part. Rare events: the other word, and whether it stands first.
+HEAD_EVENTS, RARE_EVENTS, WORDS, SECOND_EVENTS, HOT_COUNTS, TEXTS, DOCUMENT, EVIDENCE, SCORED = range(9)
+PACKED = {
+    HEAD_EVENTS: (np.uint64, np.uint64, np.uint32, np.uint32),
+    RARE_EVENTS: (np.uint64, np.uint64, np.uint32, np.uint32, np.int64, np.bool_),
+    WORDS: (np.int64,) * 3,
+    # Of each bigram: second word, context counts, own counts. Of each event: text, bigram.
+    SECOND_EVENTS: (*(np.int64,) * 5, np.uint64, np.uint32),
+    HOT_COUNTS: (np.int64,) * 3,
+    # Of each text: number, tokens, known tokens, base score, hot bigrams; then the cells of all hot bigrams.
+    TEXTS: (np.uint64, np.uint32, np.uint32, np.float64, np.uint32, np.uint32),
+    EVIDENCE: (np.int64, np.int64, np.int64, np.float64, np.float64, np.float64),
+    # Of each event, by text: steps from text to text, and which counts. The different counts: bigram, context, word, rare word.
+    SCORED: (np.uint64, np.uint32, np.int64, np.int64, np.int64, np.bool_),
+}
+_ROW = [("kind", "int"), ("part", "long"), ("packed", "binary"), ("text_no", "long"), ("held_out", "boolean")]
+
+
+def by_part(at: np.ndarray, keys, *columns):
     """(part, packed) rows of events, sorted by key: steps of the keys, then the columns."""
-    at = part_of(keys, parts).astype(np.uint32)
     order = np.lexsort((keys, at))
-    cuts = np.searchsorted(at[order], np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        i = order[cuts[p] : cuts[p + 1]]
-        yield p, pack(np.diff(keys[i], prepend=np.uint64(0)), *(c[i] for c in columns), *tail)
-
-
-#: Kinds of rows that the pass over the texts gives.
-HEAD_EVENTS, RARE_EVENTS, HOT_COUNTS, TEXT, DOCUMENT = 0, 1, 2, 3, 4
-_PACKED = [("kind", "int"), ("part", "int"), ("packed", "binary")]
-_OWN = [("text_no", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("own_known", "long"), ("own_base", "double"), ("hot", "ints")]
+    at = at[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(at)) + 1, [len(at)]))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        i = order[lo:hi]
+        yield int(at[lo]), pack(np.diff(keys[i], prepend=np.uint64(0)), *(c[i] for c in columns))
 
 
 class Block:
@@ -239,32 +267,47 @@ class Block:
             at.append(place)
         return at, new
 
+    def full(self) -> bool:
+        return self.n_events >= FLUSH_EVENTS or len(self.times[0]) >= 1 << TEXT_BITS - 1
+
     def take(self):
         """(text, context, word) of all events, and (times in training, times deleted) by text."""
         text, a, b = map(np.concatenate, zip(*self.events, strict=True))
         return text, a, b, *(np.array(t, np.uint32) for t in self.times)
 
 
-def events(docs: DataFrame, shared, parts: int) -> DataFrame:
-    """All that is taken from the texts, in one pass: (kind, part, packed) of head events by model part, events with
-    a rare word and counts of hot bigrams; a row for each text of a block with its tokens, its head words' share of
-    n_known and base_score and its hot bigrams as cells of the hot table; and a row for each document with its text."""
-    fields = [T.StructField(n, ARROW[k][0]) for n, k in _PACKED], [T.StructField(n, ARROW[k][0]) for n, k in _OWN]
-    schema = T.StructType([*fields[0], T.StructField("doc_id", docs.schema["doc_id"].dataType), *fields[1]])
-    names = schema.names
+class Rows:
+    """Makes batches of one schema from the columns that a kind of row has."""
+
+    def __init__(self, id_type):
+        self.kinds = {n: ARROW[k][1] for n, k in _ROW} | {"doc_id": id_type}
+
+    def __call__(self, size: int, **columns) -> pa.RecordBatch:
+        arrays = [pa.nulls(size, t) if (c := columns.get(n)) is None else c if isinstance(c, pa.Array) else pa.array(c, t) for n, t in self.kinds.items()]
+        return pa.RecordBatch.from_arrays(arrays, list(self.kinds))
+
+    def packed(self, kind: int, rows):
+        for p, data in rows:
+            yield self(1, kind=[kind], part=[p], packed=[data])
+
+
+def row_schema(docs: DataFrame) -> T.StructType:
+    return T.StructType([*(T.StructField(n, ARROW[k][0]) for n, k in _ROW), T.StructField("doc_id", docs.schema["doc_id"].dataType)])
+
+
+def events(docs: DataFrame, shared) -> DataFrame:
+    """All that is taken from the texts, in one pass: events by model part, the counts of hot bigrams, rows of texts with
+    their tokens, their head words' share of n_known and base_score and their hot bigrams as cells of the hot table, and a
+    row for each document with its text."""
 
     def run(batches):
-        head = shared.value
+        head, task = shared.value, TaskContext.get().partitionId()
         numbers = Numbers(head)
         word_logs, word_known = base_log(head.c, head.n, head.kinds), (head.c > 0).astype(np.float64)
         hot = np.zeros((2, HOT_WORDS * HOT_WORDS), np.int64)
-        block = Block(TaskContext.get().partitionId() << 32)
-        id_type = pa.null()
-
-        def rows(size, **columns):
-            kinds = {n: ARROW[k][1] for n, k in (*_PACKED, *_OWN)} | {"doc_id": id_type}
-            arrays = [columns.get(n, pa.nulls(size, kinds[n])) for n in names]
-            return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a, kinds[n]) for n, a in zip(names, arrays)], names)
+        block = Block(task << TEXT_BITS + BLOCK_BITS)
+        make = None
+        no_part = -1 - task % 1024  # what isn't of a model part, spread over the tasks that follow
 
         def flush():
             if not block.events:
@@ -275,20 +318,22 @@ def events(docs: DataFrame, shared, parts: int) -> DataFrame:
             np.add.at(hot[0], cells, train[of])
             np.add.at(hot[1], cells, deleted[of])
             rare = (a < 0) | (b < 0)
+            number = text.astype(np.uint64) + np.uint64(block.first)
             if rare.any():
-                yield rows(1, kind=[RARE_EVENTS], part=[-1], packed=[pack(a[rare], b[rare], text[rare], train[text[rare]], deleted[text[rare]], np.array([block.first]))])
+                x, y, second = np.where(a < 0, a, b)[rare], np.where(a < 0, b, a)[rare], (a >= 0)[rare]
+                of = text[rare]
+                yield from make.packed(RARE_EVENTS, by_part(first_hop(head.rare_part(x)), x.view(np.uint64), number[rare], train[of], deleted[of], y, second))
             cold = ~(is_hot | rare)
             text, key = text[cold], (a[cold].astype(np.uint64) << np.uint64(32)) | b[cold].astype(np.uint64)
-            for p, packed in by_part(parts, key, text, train[text], deleted[text], tail=[np.array([block.first])]):
-                yield rows(1, kind=[HEAD_EVENTS], part=[p], packed=[packed])
+            if len(text):
+                yield from make.packed(HEAD_EVENTS, by_part(first_hop(part_of(key, head.parts[0]).astype(np.int64)), key, number[cold], train[text], deleted[text]))
 
         for part in slices(batches):
-            id_type = part.column("doc_id").type
+            make = make or Rows(part.column("doc_id").type)
             flags, texts = part.column("flag").to_pylist(), part.column("text")
             at, new = block.add(part.column("text_key").to_pylist(), flags)
             size = len(flags)
-            # Spread over the buckets: what isn't of a model part has a part of its own below zero.
-            yield rows(size, kind=np.full(size, DOCUMENT), part=np.full(size, -2 - (block.first >> 32) % 1024), doc_id=part.column("doc_id"), text_no=block.first + np.array(at), held_out=[f == 0 for f in flags])
+            yield make(size, kind=np.full(size, DOCUMENT), part=np.full(size, no_part), doc_id=part.column("doc_id"), text_no=block.first + np.array(at), held_out=[f == 0 for f in flags])
             if new:
                 size, places = len(new), np.array([at[i] for i in new])
                 doc, a, b = bigrams(texts.take(pa.array(new)).to_pylist(), numbers)
@@ -296,119 +341,203 @@ def events(docs: DataFrame, shared, parts: int) -> DataFrame:
                 block.n_events += len(doc)
                 own, is_hot = b >= 0, (a >= 0) & (a < HOT_WORDS) & (b >= 0) & (b < HOT_WORDS)
                 known, base = (np.bincount(doc[own], x[b[own]], minlength=size) for x in (word_known, word_logs))
-                ends = np.concatenate(([0], np.cumsum(np.bincount(doc[is_hot], minlength=size)))).astype(np.int32)
-                cells = pa.ListArray.from_arrays(pa.array(ends), pa.array((a * HOT_WORDS + b)[is_hot].astype(np.int32)))
-                yield rows(size, kind=np.full(size, TEXT), part=np.full(size, -2 - (block.first >> 32) % 1024), text_no=block.first + places, n_tokens=np.bincount(doc, minlength=size), own_known=np.rint(known).astype(np.int64), own_base=base, hot=cells)
-            if block.n_events >= FLUSH_EVENTS:
+                cells = (a * HOT_WORDS + b)[is_hot].astype(np.uint32)
+                own_texts = (block.first + places).astype(np.uint64), np.bincount(doc, minlength=size), np.rint(known), base, np.bincount(doc[is_hot], minlength=size), cells
+                yield from make.packed(TEXTS, [(no_part, pack(*(x.astype(t) for x, t in zip(own_texts, PACKED[TEXTS]))))])
+            if block.full():
                 yield from flush()
-                block = Block(block.first + len(block.times[0]))
+                block = Block(block.first + (1 << TEXT_BITS))
         yield from flush()
         if len(at := np.flatnonzero(hot[0])):
-            yield rows(1, kind=[HOT_COUNTS], part=[-1], packed=[pack(at, hot[0][at], hot[1][at])])
+            yield from make.packed(HOT_COUNTS, [(no_part, pack(at, hot[0][at], hot[1][at]))])
 
-    return docs.select("doc_id", "text", "text_key", "flag").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "text_key", "flag").mapInArrow(run, row_schema(docs))
 
 
-def by_bucket(rows: DataFrame, parts: int) -> DataFrame:
-    """``rows`` dealt out by ``part`` once, as a bucketed table in the shared folder: grouping by part needs no exchange."""
-    spark, name = rows.sparkSession, f"lm_parts_{uuid.uuid4().hex}"
-    buckets = min(MAX_BUCKETS, max(8, parts // 4))
-    dealt = rows.repartition(buckets, "part")
-    dealt.write.bucketBy(buckets, "part").sortBy("part").option("path", f"{checkpoint_dir(spark).rstrip('/')}/{name}").saveAsTable(name)
-    out = spark.read.table(name)
-    out.schema  # resolved: the files stay, the name isn't needed any more
-    spark.sql(f"DROP TABLE {name}")
-    return out
-
-
-def rare_events(packed: DataFrame, counts: DataFrame, shared, parts: int) -> DataFrame:
-    """(kind, part, packed) of the events with a rare word, whose counts come by joins on the word."""
+def first_hop(parts: np.ndarray) -> np.ndarray:
+    """Where events go first: to their part or, with more parts than FAN_OUT, to their group of parts."""
+    return parts % FAN_OUT
 
-    def expand():
-        def fn(part):
-            for data in part.column("packed").to_pylist():
-                a, b, text, train, deleted, first = unpack(data, np.int64, np.int64, np.uint32, np.uint32, np.uint32, np.int64)
-                yield a, b, first[0] + text, train, deleted
 
-        return fn
+def rare_words(counts: DataFrame, shared, docs: DataFrame) -> DataFrame:
+    """The counts of rare words as packed rows by their part."""
 
-    rows = emit_rows(packed.filter(F.col("kind") == RARE_EVENTS), expand, [(n, "long") for n in ("a", "b", "text", "train", "del")])
-    rare = counts.select("code", "c", "deleted")
-    first = rare.select(F.col("code").alias("a_code"), F.col("c").alias("ac"), F.col("deleted").alias("ad"))
-    second = rare.select(F.col("code").alias("b_code"), F.col("c").alias("bc"), F.col("deleted").alias("bd"))
-    # Head words, which are frequent, don't take part in a join: only rows whose own word is rare are dealt by it.
-    a_rare = rows.filter("a < 0").join(first, F.col("a") == F.col("a_code"), "left").drop("a_code")
-    a_head = rows.filter("a >= 0").withColumns({"ac": F.lit(None).cast("long"), "ad": F.lit(None).cast("long")})
-    rows = a_rare.unionByName(a_head)
-    b_rare = rows.filter("b < 0").join(second, F.col("b") == F.col("b_code"), "left").drop("b_code")
-    b_head = rows.filter("b >= 0").withColumns({"bc": F.lit(None).cast("long"), "bd": F.lit(None).cast("long")})
-    rows = b_rare.unionByName(b_head)
-
-    names = ("a", "b", "text", "train", "del", "ac", "ad", "bc", "bd")
-
-    def regroup():
-        head = shared.value
-        held: list = []
+    def run(batches):
+        head, held = shared.value, []
+        make = Rows(id_type)
 
         def flush():
-            a, b, text, train, deleted, ac, ad, bc, bd = map(np.concatenate, zip(*held, strict=True))
+            codes, c, d = map(np.concatenate, zip(*held, strict=True))
             held.clear()
-            for x, c, d in ((a, ac, ad), (b, bc, bd)):
-                at = np.flatnonzero(x >= 0)
-                c[at], d[at] = head.c[x[at]], head.deleted[x[at]]
-            at = np.flatnonzero(a == 1)
-            ac[at], ad[at] = head.start
-            u, v = a.astype(np.uint64), b.astype(np.uint64)
-            key = ((u * _MIX) ^ (v + (v << np.uint64(21)))) * _MIX | np.uint64(1 << 63)
-            for p, packed in by_part(parts, key, text, train.astype(np.uint32), deleted.astype(np.uint32), ac, ad, bc, bd, (b < 0).astype(np.int64)):
-                yield [RARE_EVENTS], [p], [packed]
-
-        def fn(part):
-            if part is not None:
-                held.append([part.column(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in names])
-            if held and (part is None or sum(len(x[0]) for x in held) >= FLUSH_EVENTS):
+            rare = head.find(codes) < 0
+            codes, c, d = codes[rare], c[rare], d[rare]
+            at = head.rare_part(codes)
+            order = np.argsort(at, kind="stable")
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(at[order])) + 1, [len(at)]))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                if hi > lo:
+                    i = order[lo:hi]
+                    yield from make.packed(WORDS, [(int(at[i[0]]), pack(codes[i], c[i], d[i]))])
+
+        for batch in batches:
+            held.append([batch.column(k).to_numpy() for k in ("code", "c", "deleted")])
+            if sum(len(x[0]) for x in held) >= FLUSH_EVENTS:
                 yield from flush()
+        if held:
+            yield from flush()
+
+    schema = row_schema(docs)
+    id_type = to_arrow_type(schema["doc_id"].dataType)
+    return counts.select("code", "c", "deleted").mapInArrow(run, schema)
+
+
+def grouped(batches):
+    """Runs of equal parts from a partition sorted by part: (part, batches) for model parts, (None, batch) for other rows."""
+
+    def runs():
+        for batch in batches:
+            at = batch.column("part").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if hi > lo:
+                    yield int(at[lo]), batch.slice(lo, hi - lo)
+
+    for part, found in groupby(runs(), lambda r: r[0]):
+        if part < 0:
+            yield from ((None, r) for _, r in found)
+        else:
+            yield part, [r for _, r in found]
+
+
+def unpacked(found: list[pa.RecordBatch], kind: int):
+    """The arrays of all rows of a kind, joined; None without any. Keys that are held as steps are summed up."""
+    out = []
+    for batch in found:
+        for k, data in zip(batch.column("kind").to_pylist(), batch.column("packed")):
+            if k == kind:
+                arrays = unpack(data.as_py(), *PACKED[kind])
+                if kind in (HEAD_EVENTS, RARE_EVENTS):
+                    arrays[0] = np.cumsum(arrays[0], dtype=np.uint64)
+                elif kind == SECOND_EVENTS:
+                    arrays[6] = arrays[6] + sum(len(o[0]) for o in out)
+                out.append(arrays)
+    return [np.concatenate(c) for c in zip(*out, strict=True)] if out else None
+
+
+def redealt(made: DataFrame, shared, docs: DataFrame) -> DataFrame:
+    """The second step of dealing out, for more than FAN_OUT parts: events of a group of parts go to their own part."""
+    schema = row_schema(docs)
+    id_type = to_arrow_type(schema["doc_id"].dataType)
 
-        return fn
+    def run(batches):
+        head, make = shared.value, Rows(id_type)
+
+        def flush(held):
+            for kind in (HEAD_EVENTS, RARE_EVENTS):
+                if (got := unpacked(held, kind)) is not None:
+                    key = got[0]
+                    at = part_of(key, head.parts[0]).astype(np.int64) if kind == HEAD_EVENTS else head.rare_part(key.view(np.int64))
+                    yield from make.packed(kind, by_part(at, *got))
+
+        held: list = []
+        for batch in batches:
+            moved = np.isin(batch.column("kind").to_numpy(), (HEAD_EVENTS, RARE_EVENTS))
+            if not moved.all():
+                yield batch.filter(pa.array(~moved))
+            held.append(batch.filter(pa.array(moved)))
+            if sum(b.nbytes for b in held) >= 8 * FLUSH_EVENTS:
+                yield from flush(held)
+                held = []
+        yield from flush(held)
 
-    return emit_rows(rows.select(*names), regroup, _PACKED, finish=True, rows=1 << 20)
+    return made.repartition(FAN_OUT, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-class Part:
-    """The bigrams of one model part with their counts, from its packed rows. Of each event only its key, text
-    and part of the split are held; counts of words are per bigram."""
+def model_parts(rows: DataFrame, shared) -> DataFrame:
+    """EVIDENCE and SCORED rows of every model part of ``rows``, SECOND_EVENTS to be dealt out again, and all other rows as they are."""
+    schema = rows.schema
+    id_type = to_arrow_type(schema["doc_id"].dataType)
 
-    def __init__(self, rows: pa.Table, head: Head):
-        keys, texts, times, rare = [], [], ([], []), []
-        for kind, data in zip(rows["kind"].to_pylist(), rows["packed"], strict=True):
-            steps, text, train, deleted, *rest = unpack(data.as_py(), *(_RARE if kind == RARE_EVENTS else _HEAD))
-            key = np.cumsum(steps, dtype=np.uint64)
-            if kind == RARE_EVENTS:
-                first = np.flatnonzero(np.diff(key, prepend=key[0] - np.uint64(1)))
-                rare.append([x[first] for x in (key, *rest)])
+    def run(batches):
+        head, make = shared.value, Rows(id_type)
+        n_kept = head.n - head.n_deleted
+        no_part = -1 - TaskContext.get().partitionId() % 1024
+
+        def scored(pair, context, word, rare, texts, of):
+            """The evidence and the events' counts of some bigrams; ``of`` gives each event's bigram."""
+            yield from make.packed(EVIDENCE, [(no_part, pack(*(x.astype(t) for x, t in zip(evidence(pair, context, word, n_kept), PACKED[EVIDENCE]))))])
+            counts = (pair[0], context[0], word[0], rare)
+            mixed = np.zeros(len(rare), np.uint64)
+            for x in counts:
+                mixed = (mixed ^ x.astype(np.uint64)) * _MIX
+                mixed ^= mixed >> np.uint64(29)
+            _, first, which = np.unique(mixed, return_index=True, return_inverse=True)
+            order = np.argsort(texts, kind="stable")
+            texts = texts[order]
+            yield from make.packed(SCORED, [(no_part, pack(np.diff(texts, prepend=np.uint64(0)), which[of[order]].astype(np.uint32), *(x[first].astype(t) for x, t in zip(counts, PACKED[SCORED][2:]))))])
+
+        def sums(of, size, *times):
+            return tuple(np.rint(np.bincount(of, t, minlength=size)).astype(np.int64) for t in times)
+
+        def head_events(found):
+            if (got := unpacked(found, HEAD_EVENTS)) is None:
+                return
+            key, texts, train, deleted = got
+            kinds, of = np.unique(key, return_inverse=True)
+            pair = sums(of, len(kinds), train, deleted)
+            context, word = head.counts((kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(0xFFFFFFFF)).astype(np.int64))
+            yield from scored(pair, context, word, np.zeros(len(kinds), bool), texts, of)
+
+        def lookup(words, codes):
+            """The counts of rare words; those never seen in training have none."""
+            if words is None or not len(words[0]):
+                return np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+            order = np.argsort(words[0])
+            i = np.minimum(np.searchsorted(words[0], codes, sorter=order), len(order) - 1)
+            hit = words[0][order[i]] == codes
+            return tuple(np.where(hit, x[order[i]], 0) for x in words[1:])
+
+        def rare_events(found):
+            words = unpacked(found, WORDS)
+            if (got := unpacked(found, RARE_EVENTS)) is not None:
+                key, texts, train, deleted, other, second = got
+                own = key.view(np.int64)
+                mixed = ((key * _MIX) ^ (other.view(np.uint64) + (other.view(np.uint64) << np.uint64(21)) + second)) * _MIX
+                _, first, of = np.unique(mixed, return_index=True, return_inverse=True)
+                own, other, second = own[first], other[first], second[first]
+                pair, mine = sums(of, len(first), train, deleted), lookup(words, own)
+                theirs = np.maximum(other, 0)
+                (ac, ad), (bc, bd) = head.counts(theirs, theirs)
+                context = np.where(second, ac, mine[0]), np.where(second, ad, mine[1])
+                word = np.where(second, mine[0], bc), np.where(second, mine[1], bd)
+                on = other < 0  # both words are rare: the second one's count is elsewhere
+                if not on.all():
+                    place, here = np.cumsum(~on) - 1, ~on[of]
+                    yield from scored(*(tuple(x[~on] for x in c) for c in (pair, context, word)), second[~on], texts[here], place[of[here]])
+                if on.any():
+                    at = head.rare_part(other)
+                    events_on = np.flatnonzero(on[of])
+                    events_on = events_on[np.argsort(at[of[events_on]], kind="stable")]
+                    targets = at[of[events_on]]
+                    cuts = np.concatenate(([0], np.flatnonzero(np.diff(targets)) + 1, [len(targets)]))
+                    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                        i = events_on[lo:hi]
+                        pairs, mine_of = np.unique(of[i], return_inverse=True)
+                        yield from make.packed(SECOND_EVENTS, [(int(targets[lo]), pack(other[pairs], context[0][pairs], context[1][pairs], pair[0][pairs], pair[1][pairs], texts[i], mine_of.astype(np.uint32)))])
+            if (got := unpacked(found, SECOND_EVENTS)) is not None:
+                codes, ac, ad, pc, pd, texts, of = got
+                yield from scored((pc, pd), (ac, ad), lookup(words, codes), np.ones(len(codes), bool), texts, of)
+
+        for part, found in grouped(batches):
+            if part is None:
+                yield found
+            elif part < head.parts[0]:
+                yield from head_events(found)
             else:
-                text = text.astype(np.int64) + rest[0][0]
-            keys.append(key)
-            texts.append(text)
-            times[0].append(train)
-            times[1].append(deleted)
-        self.texts = np.concatenate(texts)
-        kinds, self.of = np.unique(np.concatenate(keys), return_inverse=True)
-        self.of = self.of.astype(np.uint32)
-        size = len(kinds)
-        self.pair = tuple(np.rint(np.bincount(self.of, np.concatenate(t), minlength=size)).astype(np.int64) for t in times)
-        a, b = (kinds >> np.uint64(32)).astype(np.int64), (kinds & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        is_rare = kinds >> np.uint64(63) > 0
-        a[is_rare] = b[is_rare] = 0
-        ac, ad, bc, bd = head.c[a], head.deleted[a], head.c[b], head.deleted[b]
-        ac[a == 1], ad[a == 1] = head.start
-        self.rare_b = np.zeros(size, bool)
-        if rare:
-            key, *counts = map(np.concatenate, zip(*rare, strict=True))
-            at = np.searchsorted(kinds, key)
-            for x, c in zip((ac, ad, bc, bd, self.rare_b), counts, strict=True):
-                x[at] = c
-        self.context, self.word = (ac, ad), (bc, bd)
+                yield from rare_events(found)
+
+    tasks = min(sum(shared.value.parts), MAX_TASKS)
+    return rows.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def bucket(c: np.ndarray) -> np.ndarray:
@@ -428,6 +557,8 @@ def evidence(pair, context, word, n_kept):
     """(bucket, bin of bigram estimate, bin of unigram estimate, tokens, and the sums of the estimates) of deleted tokens."""
     w = pair[1]
     at = np.flatnonzero(w)
+    if not len(at):
+        return [np.zeros(0)] * 6
     kept = [(x[0] - x[1])[at] for x in (pair, context, word)]
     w = w[at].astype(np.float64)
     f2, f1 = ratio(kept[0], kept[1]), kept[2] / max(n_kept, 1)
@@ -437,7 +568,7 @@ def evidence(pair, context, word, n_kept):
     return [*keys, *(np.bincount(of, x) for x in (w, w * f2, w * f1))]
 
 
-EVIDENCE = [("bucket", "long"), ("bin2", "long"), ("bin1", "long"), ("w", "double"), ("s2", "double"), ("s1", "double")]
+EVIDENCE_FIELDS = [("bucket", "long"), ("bin2", "long"), ("bin1", "long"), ("w", "double"), ("s2", "double"), ("s1", "double")]
 
 
 def mixture(rows, uniform: float, rounds: int = 200) -> np.ndarray:
@@ -472,16 +603,94 @@ def base_log(c, n, kinds):
     return np.log10((c + 1) / (n + kinds + 1))
 
 
-def per_part(rows: DataFrame, fn, fields) -> DataFrame:
-    """``fn`` of each model part's packed rows; a part has a bounded number of events."""
-    schema = ", ".join(f"{n} {ARROW[k][0].simpleString()}" for n, k in fields)
-    types = [ARROW[k][1] for _, k in fields]
-    names = [n for n, _ in fields]
+#: A block's share of its texts' sums: text in the block, tokens, known tokens, base score, score.
+_SHARE = (np.uint32, np.uint32, np.uint32, np.float64, np.float64)
+_LOCAL = np.uint64((1 << TEXT_BITS) - 1)
+
+
+def by_block(texts: np.ndarray, *columns):
+    """(block, packed share) rows of sums by text, in order of the texts."""
+    block = (texts >> np.uint64(TEXT_BITS)).astype(np.int64)
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(block)) + 1, [len(block)]))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if hi > lo:
+            yield int(block[lo]), pack(*(c[lo:hi].astype(t) for c, t in zip((texts & _LOCAL, *columns), _SHARE)))
+
+
+def shares(made: DataFrame, weights: np.ndarray, n: int, kinds: int, hot_logs) -> DataFrame:
+    """(block, packed) of the sums of events and of texts' own rows."""
+    uniform = 1 / (kinds + 1)
+
+    def make():
+        def scored(data):
+            steps, which, pair, context, word, rare = unpack(data, *PACKED[SCORED])
+            logs = log_prob(pair, context, word, weights, n, uniform)[which]
+            base = np.where(rare, base_log(word, n, kinds), 0.0)[which]
+            known = (rare & (word > 0))[which].astype(np.int64)
+            first = np.flatnonzero(np.concatenate(([True], steps[1:] > 0)))
+            texts = np.cumsum(steps, dtype=np.uint64)[first]
+            known, base, logs = (np.add.reduceat(x, first) for x in (known, base, logs))
+            yield from by_block(texts, np.zeros(len(texts), np.int64), known, base, logs)
+
+        def own(data):
+            texts, tokens, known, base, n_hot, cells = unpack(data, *PACKED[TEXTS])
+            of = np.repeat(np.arange(len(texts)), n_hot)
+            yield from by_block(texts, tokens, known, base, np.bincount(of, hot_logs.value[cells], minlength=len(texts)))
+
+        def fn(part):
+            blocks, out = [], []
+            for kind, data in zip(part.column("kind").to_pylist(), part.column("packed")):
+                for block, packed in (scored if kind == SCORED else own)(data.as_py()):
+                    blocks.append(block)
+                    out.append(packed)
+            yield blocks, out
+
+        return fn
+
+    return emit_rows(made.filter(F.col("kind").isin(SCORED, TEXTS)).select("kind", "packed"), make, [("block", "long"), ("packed", "binary")], rows=16)
+
+
+def text_sums(rows: DataFrame) -> DataFrame:
+    """(key, n_tokens, n_known, base_score, score) of every text, from its block's shares. A block's texts are of a bounded
+    number of events, and so are its shares."""
 
     def run(group: pa.Table) -> pa.Table:
-        return pa.table([pa.array(c, t) for c, t in zip(fn(group), types, strict=True)], names)
+        first = group["block"][0].as_py() << TEXT_BITS
+        local, *columns = (np.concatenate(c) for c in zip(*(unpack(x.as_py(), *_SHARE) for x in group["packed"]), strict=True))
+        size = int(local.max()) + 1
+        tokens, known, base, score = (np.bincount(local, c, minlength=size) for c in columns)
+        return pa.table([pa.array(first + np.arange(size)), *(pa.array(np.rint(c).astype(np.int64)) for c in (tokens, known)), pa.array(base), pa.array(score)], ["key", "n_tokens", "n_known", "base_score", "score"])
+
+    return rows.groupBy("block").applyInArrow(run, "key long, n_tokens long, n_known long, base_score double, score double")
+
+
+def hot_counts(made: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells, counts, deleted counts) of the hot bigrams: a table of HOT_WORDS squared at most."""
+
+    def expand():
+        def fn(batch):
+            for data in batch.column("packed").to_pylist():
+                yield unpack(data, *PACKED[HOT_COUNTS])
+
+        return fn
+
+    hot = emit_rows(made.filter(F.col("kind") == HOT_COUNTS).select("packed"), expand, [("key", "long"), ("c", "long"), ("deleted", "long")])
+    hot = hot.groupBy("key").agg(F.sum("c").alias("c"), F.sum("deleted").alias("deleted")).toArrow()
+    return tuple(hot[k].to_numpy() for k in ("key", "c", "deleted"))
+
+
+def all_evidence(made: list[DataFrame]):
+    """The evidence of all model parts, summed by bins: a bounded table."""
+
+    def expand():
+        def fn(batch):
+            for data in batch.column("packed").to_pylist():
+                yield unpack(data, *PACKED[EVIDENCE])
 
-    return rows.groupBy("part").applyInArrow(run, schema)
+        return fn
+
+    rows = [emit_rows(m.filter(F.col("kind") == EVIDENCE).select("packed"), expand, EVIDENCE_FIELDS) for m in made]
+    return rows[0].unionByName(rows[1]).groupBy("bucket", "bin2", "bin1").agg(*(F.sum(x).alias(x) for x in ("w", "s2", "s1"))).toArrow()
 
 
 def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -494,88 +703,40 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
 
     with arrow_rows(spark):
         counts = cut(word_counts(rows), "lm-words")
-    head = learn_head(counts, rows.select("flag"))
-    shared = spark.sparkContext.broadcast(head)
-    n, kinds = head.n, head.kinds
-    uniform = 1 / (kinds + 1)
-    parts = max(8, math.ceil(n / PART_EVENTS))
-
-    with arrow_rows(spark):
-        made = by_bucket(events(rows, shared, parts), parts)
-    packed = made.select("kind", "part", "packed")
-    rare_parts = max(8, parts // 8)
-    models = [packed.filter(F.col("kind") == HEAD_EVENTS), cut(rare_events(packed, counts, shared, rare_parts), "lm-rare")]
-
-    # Hot bigrams: a table of HOT_WORDS squared at most.
-    def expand():
-        def fn(batch):
-            for data in batch.column("packed").to_pylist():
-                yield unpack(data, np.int64, np.int64, np.int64)
-
-        return fn
-
-    hot = emit_rows(packed.filter(F.col("kind") == HOT_COUNTS), expand, [("key", "long"), ("c", "long"), ("deleted", "long")])
-    hot = hot.groupBy("key").agg(F.sum("c").alias("c"), F.sum("deleted").alias("deleted")).toArrow()
-    at, c, d = (hot[k].to_numpy() for k in ("key", "c", "deleted"))
-    a, b = at // HOT_WORDS, at % HOT_WORDS
-    contexts = [x.copy() for x in (head.c, head.deleted)]
-    contexts[0][1], contexts[1][1] = head.start
-    hot_counts = ((c, d), tuple(x[a] for x in contexts), (head.c[b], head.deleted[b]))
-
-    # Weights from the deleted tokens of all parts.
-    kept = head.n - head.n_deleted
-    found = reduce(DataFrame.unionByName, (per_part(m, lambda g: evidence(*_counts(Part(g, shared.value)), kept), EVIDENCE) for m in models))
-    found = found.groupBy("bucket", "bin2", "bin1").agg(*(F.sum(x).alias(x) for x in ("w", "s2", "s1"))).toArrow()
-    seen = dict(zip((k for k, _ in EVIDENCE), evidence(*hot_counts, kept)))
-    weights = mixture({k: np.concatenate((seen[k], found[k].to_numpy())) for k in seen}, uniform)
+        head = learn_head(counts, rows.select("flag"))
+        shared = spark.sparkContext.broadcast(head)
+        n, kinds = head.n, head.kinds
+        found = events(rows, shared)
+        if sum(head.parts) > FAN_OUT:
+            found = redealt(found, shared, rows)
+        made = cut(model_parts(found.unionByName(rare_words(counts, shared, rows)), shared), "lm-parts")
+        second = made.filter(F.col("kind") == SECOND_EVENTS)
+        more = cut(model_parts(second.unionByName(rare_words(counts, shared, rows)), shared), "lm-second")
+
+        at, c, d = hot_counts(made)
+        a, b = at // HOT_WORDS, at % HOT_WORDS
+        seen = evidence((c, d), *head.counts(a, b), head.n - head.n_deleted)
+        learned = all_evidence([made, more])
+    weights = mixture({k: np.concatenate((x, learned[k].to_numpy())) for (k, _), x in zip(EVIDENCE_FIELDS, seen)}, 1 / (kinds + 1))
     if not n:
         weights = np.tile([0.0, 0.0, 1.0], (64, 1))
 
-    def sums(group):
-        p = Part(group, shared.value)
-        logs = log_prob(p.pair[0], p.context[0], p.word[0], weights, n, uniform)
-        base = np.where(p.rare_b, base_log(p.word[0], n, kinds), 0.0)
-        known = (p.rare_b & (p.word[0] > 0)).astype(np.int64)
-        texts, of = np.unique(p.texts, return_inverse=True)
-        log, own, n_known = (np.bincount(of, x[p.of], minlength=len(texts)) for x in (logs, base, known))
-        return texts, log, own, np.rint(n_known).astype(np.int64)
-
-    sent = reduce(DataFrame.unionByName, (per_part(m, sums, [("key", "long"), ("log", "double"), ("base", "double"), ("known", "long")]) for m in models))
-    sent = sent.groupBy("key").agg(*(F.sum(x).alias(x) for x in ("log", "base", "known")))
-
-    # Each text's hot bigrams.
-    table_ = np.zeros(HOT_WORDS * HOT_WORDS)
+    # The score of every hot bigram, seen or not.
+    logs = np.zeros(HOT_WORDS * HOT_WORDS)
     size = min(HOT_WORDS, len(head.c))
-    grid_a, grid_b = np.repeat(np.arange(size), size), np.tile(np.arange(size), size)
+    a, b = np.repeat(np.arange(size), size), np.tile(np.arange(size), size)
     pair = np.zeros(HOT_WORDS * HOT_WORDS, np.int64)
     pair[at] = c
-    cells = grid_a * HOT_WORDS + grid_b
-    table_[cells] = log_prob(pair[cells], contexts[0][grid_a], head.c[grid_b], weights, n, uniform)
-    hot_logs = spark.sparkContext.broadcast(table_)
+    context, word = head.counts(a, b)
+    logs[a * HOT_WORDS + b] = log_prob(pair[a * HOT_WORDS + b], context[0], word[0], weights, n, 1 / (kinds + 1))
+    hot_logs = spark.sparkContext.broadcast(logs)
 
-    def make():
-        logs = hot_logs.value
-        return lambda found: [[float(logs[cells].sum()) for cells in found]]
-
-    texts = made.filter(F.col("kind") == TEXT).select("text_no", "n_tokens", "own_known", "own_base", "hot")
-    own = append_columns(texts, "hot", make, [("own_log", "double")], drop=["hot"])
-    own = own.join(sent, own["text_no"] == sent["key"], "left").withColumnRenamed("text_no", "__no")
+    with arrow_rows(spark):
+        found = [shares(m, weights, n, kinds, hot_logs) for m in (made, more)]
+        own = cut(text_sums(found[0].unionByName(found[1])), "lm-texts")
     documents = made.filter(F.col("kind") == DOCUMENT).select("doc_id", "text_no", "held_out")
-    out = documents.join(own, F.col("text_no") == F.col("__no"))
-    added = lambda mine, more: F.col(mine) + F.coalesce(more, F.lit(0))
-    return out.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        added("own_known", "known").alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"),
-        added("own_base", "base").alias("base_score"),
-        added("own_log", "log").alias("score"),
-    )
-
-
-def _counts(p: Part):
-    return p.pair, p.context, p.word
+    out = documents.join(own, F.col("text_no") == F.col("key"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

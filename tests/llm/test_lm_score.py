@@ -65,8 +65,10 @@ def check(got, docs, expected):
         ), (r, by_id[r["doc_id"]])
 
 
-@pytest.mark.parametrize("head,hot", [(1 << 20, 1024), (300, 16), (3, 4)])
-def test_scores_equal_brute_force(spark, monkeypatch, head, hot):
+@pytest.mark.parametrize("head,hot,fan", [(1 << 20, 1024, 4096), (300, 16, 4096), (300, 16, 5), (3, 4, 4096)])
+def test_scores_equal_brute_force(spark, monkeypatch, head, hot, fan):
+    """With few head words both words of many events are rare; with a small fan-out parts are dealt out in two steps."""
+    monkeypatch.setattr(lm, "FAN_OUT", fan)
     monkeypatch.setattr(lm, "HEAD_WORDS", head)
     monkeypatch.setattr(lm, "HOT_WORDS", hot)
     monkeypatch.setattr(lm, "PART_EVENTS", 5000)
