@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+import pytest
 import xxhash
 from plumbline.llm import simhash_dedup as s
 from tests.llm.fixtures import awkward, documents, sample_texts
@@ -52,7 +54,10 @@ def test_components_of_documents(spark):
     assert len(set(expected.values())) < len(expected)
 
 
-def test_dense_and_chained_fingerprints(spark):
+@pytest.mark.parametrize("most", [1024, 3])
+def test_dense_and_chained_fingerprints(spark, monkeypatch, most):
+    """Lists of more than ``most`` are posted again."""
+    monkeypatch.setattr(s, "LIST_MOST", most)
     r = random.Random(4)
     prints = set()
     for _ in range(6):  # clouds: many fingerprints that differ in two bytes
@@ -77,3 +82,11 @@ def test_awkward(spark):
     assert len(zero) == 3 and {r["component_id"] for r in zero} == {2}
     assert {r["component_id"] for r in rows if r["doc_id"] in (0, 1)} == {0}
     assert s.classes(awkward(spark, ["a"]).filter("doc_id < 0")).collect() == []
+
+
+def test_shared_bytes():
+    r = random.Random(8)
+    pairs = [(r.getrandbits(64), r.getrandbits(64)) for _ in range(200)]
+    pairs += [(p, p ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))) for p, _ in pairs]
+    got = s.shared_bytes(np.array([a ^ b for a, b in pairs], np.uint64)).tolist()
+    assert got == [sum(x == y for x, y in zip(a.to_bytes(8, "little"), b.to_bytes(8, "little"))) for a, b in pairs]
