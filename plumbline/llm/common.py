@@ -6,7 +6,9 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -66,6 +68,24 @@ def append_columns(
     return df.mapInArrow(run, schema)
 
 
+def sift_rows(docs: DataFrame, make: Callable[[], Callable[[list], tuple[Sequence[bool] | None, Sequence | None]]], text_col="text") -> DataFrame:
+    """Rows of ``docs`` with all their columns: ``make()`` gives a function from the texts of a slice to (which rows stay,
+    their new texts), None for all or for the old ones. A text goes to Python once, and only rows that stay come back."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for part in slices(batches):
+            stay, texts = fn(part.column(at).to_pylist())
+            if texts is not None:
+                columns = [part.column(i) if i != at else pa.array(texts, part.column(i).type) for i in range(len(names))]
+                part = pa.RecordBatch.from_arrays(columns, names)
+            yield part if stay is None else part.filter(pa.array(stay, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def emit_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterator[Sequence]]],
@@ -119,6 +139,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed string: each as its bytes by place, which makes small numbers cheap."""
+    out = [np.array([len(a) for a in arrays] + [a.dtype.itemsize for a in arrays], np.int64).tobytes()]
+    out += [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
+
+
+def unpack(data: bytes, *types) -> list[np.ndarray]:
+    raw, k = zstandard.ZstdDecompressor().decompress(data), len(types)
+    head = np.frombuffer(raw, np.int64, 2 * k)
+    out, at = [], 16 * k
+    for n, size, t in zip(head[:k].tolist(), head[k:].tolist(), types, strict=True):
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
+        at += n * size
+    return out
+
+
 @contextmanager
 def arrow_rows(spark: SparkSession, rows: int = 2 * SLICE_ROWS, size: str = "4m"):
     """Jobs that run inside send so many rows or bytes to Python at once, which bounds the buffers on both sides."""

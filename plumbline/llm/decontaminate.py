@@ -4,9 +4,10 @@ Method: the normalised n-grams of the benchmark become a broadcast hash set; eve
 token windows are hashed with a rolling polynomial and looked up; a hit is verified word by word;
 then spans or whole documents are removed.
 
-The benchmark is counted before it is broadcast. Up to ``MAX_WINDOWS`` windows go in one set;
-beyond, the benchmark is cut into blocks of that size and the documents are read once for each
-block, their hits carried along. Texts are never shuffled.
+The benchmark is measured before it is broadcast. Up to ``BLOCK_BYTES`` of normalised text go in one set (about 25 bytes
+a window and 150 a different word); beyond, the benchmark is cut into blocks of that size, items longer than a piece into
+pieces that overlap by a window. Then the documents are written once with a row number and read once for each block, which gives only
+the rows that it hits, and hits are joined by row number. The result is the same for any number of blocks.
 
 Defined cases: a null or wordless text has no words and no hits; a benchmark item without words
 has no window. An item shorter than a window is itself one window. Items with a null item_id count
@@ -17,17 +18,17 @@ rows. Other columns are not read. An empty benchmark hits nothing.
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import append_columns, cut, id_and_text, table
+from plumbline.llm.common import append_columns, cut, emit_rows, id_and_text, sift_rows, table
 
 WINDOW = 13
-#: Windows in one broadcast set: about 100 bytes each with their words.
-MAX_WINDOWS = 1_000_000
+#: Normalised text in one broadcast set, and words in a piece of an item.
+BLOCK_BYTES = 8 << 20
+PIECE_WORDS = 100_000
 #: A document is contaminated from one hit word in so many on.
 WORDS_PER_HIT = 20
 
@@ -50,33 +51,38 @@ def rolling(ids: np.ndarray, k: int) -> np.ndarray:
 
 
 class NgramSet:
-    """The windows of some benchmark items: words by number, and for each window length the sorted
-    hashes, the windows themselves for verifying, and the items of each."""
+    """The windows of some pieces of benchmark items as arrays: all words by number, one after the other; and for each window
+    length the sorted hashes with the place of each window among the words, for verifying, and its item."""
 
-    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
+    def __init__(self, pieces: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        found: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words(text)]
+        self.items = sorted({item for item, _ in pieces if item is not None})
+        number = {item: i for i, item in enumerate(self.items)}
+        parts, found, at = [], {}, 0
+        for item, tokens in pieces:
+            if not tokens:
+                continue
+            ids = np.fromiter((self.vocab.setdefault(w, len(self.vocab) + 1) for w in tokens), np.int32, len(tokens))
             k = min(window, len(ids))
-            for i in range(len(ids) - k + 1 if k else 0):
-                found[k][tuple(ids[i : i + k])].add(item)
+            hashes = rolling(ids, k)
+            found.setdefault(k, []).append((hashes, at + np.arange(len(hashes)), np.full(len(hashes), number.get(item, -1), np.int32)))
+            parts.append(ids)
+            at += len(ids)
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
         self.sets = []
         for k in sorted(found):
-            rows = np.array(list(found[k]), np.int64)
-            hashes = rolling(rows.reshape(-1), k)[::k]
+            hashes, places, items = map(np.concatenate, zip(*found[k], strict=True))
             order = np.argsort(hashes, kind="stable")
-            items_of = list(found[k].values())
-            self.sets.append((k, hashes[order], rows[order], [tuple(sorted(x for x in items_of[i] if x is not None)) for i in order]))
+            self.sets.append((k, hashes[order], places[order], items[order]))
 
     def scan(self, tokens: list[bytes]) -> tuple[np.ndarray | None, set]:
         """(which words are hit, or None if none is; the items with a window here)."""
         if not self.sets or not tokens:
             return None, set()
-        ids = np.fromiter((self.vocab.get(w, 0) for w in tokens), np.int64, len(tokens))
+        ids = np.fromiter((self.vocab.get(w, 0) for w in tokens), np.int32, len(tokens))
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
-        hit, items = None, set()
-        for k, hashes, rows, items_of in self.sets:
+        hit, found = None, set()
+        for k, hashes, places, items in self.sets:
             n = len(ids) - k + 1
             if n <= 0:
                 continue
@@ -84,70 +90,135 @@ class NgramSet:
             if not len(at):
                 continue
             h = rolling(ids, k)[at]
-            first = np.searchsorted(hashes, h)
-            maybe = hashes[np.minimum(first, len(hashes) - 1)] == h
-            for i, j in zip(at[maybe].tolist(), first[maybe].tolist()):
-                seen, h_i = ids[i : i + k], hashes[j]
-                while j < len(hashes) and hashes[j] == h_i:  # equal hashes of other words are passed over
-                    if np.array_equal(rows[j], seen):
-                        if hit is None:
-                            hit = np.zeros(len(ids), bool)
-                        hit[i : i + k] = True
-                        items.update(items_of[j])
-                        break
-                    j += 1
-        return hit, items
-
-
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int):
-    """The benchmark's (item, text) rows in lists of about ``most`` windows, one list at a time."""
+            first, last = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            maybe, done = last > first, set()
+            for i, lo, hi in zip(at[maybe].tolist(), first[maybe].tolist(), last[maybe].tolist()):
+                if lo in done:  # this window was met before in the text
+                    hit[i : i + k] = True
+                    continue
+                seen = ids[i : i + k]
+                same = (self.words[places[lo:hi, None] + np.arange(k)] == seen).all(axis=1)  # equal hashes of other words are passed over
+                if same.any():
+                    hit = np.zeros(len(ids), bool) if hit is None else hit
+                    hit[i : i + k] = True
+                    found.update(items[lo:hi][same].tolist())
+                    if same.all():
+                        done.add(lo)
+        found.discard(-1)
+        return hit, {self.items[i] for i in found}
+
+
+def benchmark_pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item, words) of the benchmark: items' words joined by spaces, cut into pieces that overlap so that each window is in one."""
     rows = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
-    rows = rows.filter("text is not null")
-    total = rows.agg(F.sum(F.size(F.split(F.lower("text"), "[^0-9a-z\\x{80}-\\x{10FFFF}]+"))).alias("n")).first()["n"] or 0
+
+    def make():
+        def fn(part):
+            for item, text in zip(part.column("item").to_pylist(), part.column("text").to_pylist(), strict=True):
+                found = words(text)
+                starts = range(0, max(1, len(found) - window + 1), PIECE_WORDS)
+                pieces = [b" ".join(found[i : i + PIECE_WORDS + window - 1]) for i in starts] if found else []
+                if pieces:
+                    yield [item] * len(pieces), pieces
+
+        return fn
+
+    return emit_rows(rows, make, [("item", "string"), ("words", "binary")])
+
+
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> tuple[int, object]:
+    """(number of blocks, a function that collects one of them): the benchmark's pieces in blocks of about ``most`` bytes."""
+    rows = benchmark_pieces(benchmark, item_col, text_col, window)
+    total = rows.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
     blocks = max(1, math.ceil(total / most))
-    for b in range(blocks):
-        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        yield [(r["item"], r["text"]) for r in part.collect()], b == blocks - 1
+    if blocks > 1:
+        rows = cut(rows, "decontaminate-benchmark")
+
+    def block(b: int):
+        part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
+        return [(r["item"], bytes(r["words"]).split()) for r in part.collect()]  # at most about BLOCK_BYTES
+
+    return blocks, block
 
 
 def find_hits(
-    docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, max_windows=MAX_WINDOWS, drop=()
+    docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, block_bytes=BLOCK_BYTES, drop=(), prefix=""
 ) -> DataFrame:
     """``docs`` with hit_words (words in the text), hit_spans (word numbers of the runs of hit words: start, end,
-    start, end, ...) and hit_items (sorted as strings). Columns in ``drop`` are left out."""
+    start, end, ...) and hit_items (sorted as strings). Columns in ``drop`` are left out; ``prefix`` goes before the new names."""
     spark = docs.sparkSession
-    fields = [("hit_words", "long"), ("hit_spans", "ints"), ("hit_items", "strings")]
-    names, out = docs.columns, docs
-    blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, max_windows)
-    for b, (items, last) in enumerate(blocks):
-        shared = spark.sparkContext.broadcast(NgramSet(items, window))
+    fields = [(prefix + n, k) for n, k in (("hit_words", "long"), ("hit_spans", "ints"), ("hit_items", "strings"))]
+    blocks, block = benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)
 
-        def make(shared=shared):
+    def scanner(b):
+        shared = spark.sparkContext.broadcast(NgramSet(block(b), window))
+
+        def make():
             grams = shared.value
 
-            def fn(texts, old_spans=None, old_items=None):
-                n, spans, found = [], [], []
-                for k, text in enumerate(texts):
+            def fn(texts):
+                out = []
+                for text in texts:
                     tokens = words(text)
                     hit, items = grams.scan(tokens)
-                    if old_spans and old_spans[k]:
-                        hit = np.zeros(len(tokens), bool) if hit is None else hit
-                        for i in range(0, len(old_spans[k]), 2):
-                            hit[old_spans[k][i] : old_spans[k][i + 1]] = True
-                    n.append(len(tokens))
-                    spans.append([] if hit is None else runs(hit))
-                    found.append(sorted(items.union(old_items[k] if old_items else ())))
-                return n, spans, found
+                    out.append((len(tokens), [] if hit is None else runs(hit), sorted(items)))
+                return list(zip(*out, strict=True)) if out else [[]] * 3
 
             return fn
 
-        gone = list(drop) if last else []
-        if not b:
-            out = append_columns(out, text_col, make, fields, drop=gone)
-        else:  # the hits of earlier blocks are carried along
-            out = cut(out.withColumnsRenamed({"hit_spans": "old_spans", "hit_items": "old_items"}).drop("hit_words"), "decontaminate")
-            out = append_columns(out, [text_col, "old_spans", "old_items"], make, fields, drop=[*gone, "old_spans", "old_items"])
-    return out.select(*(n for n in names if n not in drop), "hit_words", "hit_spans", "hit_items")
+        return make
+
+    if blocks == 1:
+        return append_columns(docs, text_col, scanner(0), fields, drop)
+
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
+    found = None
+    for b in range(blocks):
+        hits = append_columns(rows.select("__row", text_col), text_col, scanner(b), [("__words", "long"), ("__spans", "ints"), ("__items", "strings")], [text_col])
+        hits = cut(hits.filter(F.size("__spans") > 0).select("__row", "__spans", "__items"), "decontaminate-hits")
+        found = hits if found is None else found.unionByName(hits)
+    # A row has hits from so many blocks at most.
+    merged = found.groupBy(F.col("__row").alias("__hit")).agg(F.flatten(F.collect_list("__spans")).alias("__all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    merged = append_columns(merged, "__all", lambda: lambda spans: [[joined(s) for s in spans]], [("__spans", "ints")], ["__all"])
+    counted = append_columns(rows, text_col, lambda: lambda texts: [[len(words(t)) for t in texts]], [("__words", "long")], drop)
+    out = counted.join(merged, F.col("__row") == F.col("__hit"), "left")
+    new = F.col("__words"), F.coalesce("__spans", F.array().cast("array<int>")), F.coalesce("__items", F.array().cast("array<string>"))
+    return out.select(*(n for n in docs.columns if n not in drop), *(c.alias(n) for c, (n, _) in zip(new, fields)))
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="item_id", item_text_col="text", window=WINDOW, block_bytes=BLOCK_BYTES) -> DataFrame:
+    """``docs`` without contaminated rows; in those with fewer hits the runs of hit words are cut out of the text."""
+    blocks, block = benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)
+    if blocks > 1:
+        found = find_hits(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes, prefix="__")
+        clean = found.filter(~contaminated(F.col("__hit_words"), n_hit("__hit_spans")))
+        return cut_out(clean, text_col, "__hit_spans").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(NgramSet(block(0), window))
+
+    def make():
+        grams = shared.value
+
+        def one(text):
+            tokens = words(text)
+            hit, _ = grams.scan(tokens)
+            if hit is None:
+                return True, text
+            return int(hit.sum()) * WORDS_PER_HIT < len(tokens), remove_spans(text, runs(hit))
+
+        return lambda texts: tuple(zip(*map(one, texts), strict=True)) if texts else ([], [])
+
+    return sift_rows(docs, make, text_col)
+
+
+def joined(spans: list[int]) -> list[int]:
+    """Runs (start, end, start, end, ...) of several blocks as the runs of their union."""
+    out: list[int] = []
+    for a, b in sorted(zip(spans[::2], spans[1::2])):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
 
 
 def runs(hit: np.ndarray) -> list[int]:

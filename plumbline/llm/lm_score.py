@@ -37,14 +37,13 @@ from itertools import groupby, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from plumbline.llm.common import ARROW, arrow_rows, crc_mod, cut, emit_rows, slices, table
+from plumbline.llm.common import ARROW, arrow_rows, crc_mod, cut, emit_rows, pack, slices, table, unpack
 
 HEAD_WORDS = 1 << 18
 HOT_WORDS = 1024
@@ -75,23 +74,6 @@ def code(word: bytes) -> int:
     return -(xxhash.xxh64_intdigest(word) >> 1) - 1
 
 
-def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed string: each as its bytes by place, which makes small numbers cheap."""
-    out = [np.array([len(a) for a in arrays] + [a.dtype.itemsize for a in arrays], np.int64).tobytes()]
-    out += [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(out))
-
-
-def unpack(data: bytes, *types) -> list[np.ndarray]:
-    raw, k = zstandard.ZstdDecompressor().decompress(data), len(types)
-    head = np.frombuffer(raw, np.int64, 2 * k)
-    out, at = [], 16 * k
-    for n, size, t in zip(head[:k].tolist(), head[k:].tolist(), types, strict=True):
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T).view(t).reshape(n))
-        at += n * size
-    return out
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """(code, c, deleted): how often a word occurs in training texts, and in those among them to be deleted."""
 

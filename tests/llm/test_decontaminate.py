@@ -38,17 +38,39 @@ def tables(spark):
     return items, texts, awkward(spark, texts), spark.createDataFrame(items, "item_id long, text string")
 
 
-def test_against_brute_force(spark):
+def test_against_brute_force(spark, monkeypatch):
     items, texts, docs, bench = tables(spark)
     expected = {i: brute(t, items) for i, t in enumerate(texts)}
-    for most in (1_000_000, 60):  # one set, then blocks
-        rows = d.report(docs, bench, max_windows=most).collect()
+    for most, piece in ((1_000_000, 100_000), (60, 100_000), (100, 1), (1_000_000, 2)):  # one set, then blocks, then pieces
+        monkeypatch.setattr(d, "PIECE_WORDS", piece)
+        rows = d.report(docs, bench, block_bytes=most).collect()
         assert len(rows) == len(texts) + 3
         for r in rows:
             assert tuple(r)[1:] == (brute("", items) if r["doc_id"] is None else expected[r["doc_id"]])
     assert any(e[1] and not e[4] for e in expected.values()) and any(e[4] for e in expected.values())
 
 
+def test_cleaned(spark):
+    """What stays, and with which text, is the same for one block and for many; only hit words go."""
+    items, texts, docs, bench = tables(spark)
+    got = []
+    for most in (1_000_000, 60):
+        rows = d.cleaned(docs, bench, block_bytes=most).collect()
+        assert set(rows[0].asDict()) == set(docs.columns)
+        got.append(sorted((str(r["doc_id"]), r["text"] or "") for r in rows))
+    assert got[0] == got[1]
+    stay = {i for i, t in enumerate(texts) if not brute(t, items)[4]}
+    assert {i for i, _ in got[0] if i != "None"} == {str(i) for i in stay}
+    for i, left in got[0]:
+        if i != "None":
+            n, hit, *_ = brute(texts[int(i)], items)
+            assert len(WORD.findall(low(left))) == n - hit and (hit or left == texts[int(i)])
+
+
+def test_joined():
+    assert d.joined([5, 9, 1, 3, 3, 4, 8, 12]) == [1, 4, 5, 12] and d.joined([]) == []
+
+
 def test_empty_tables(spark):
     _, texts, docs, bench = tables(spark)
     rows = d.report(docs, bench.filter("item_id < 0")).collect()
