@@ -1,86 +1,5 @@
-"""The text pipeline: quality rules, near-duplicates, decontamination, personal data, byte-level BPE.
+"""The text pipeline: its stages are in ``plumbline.llm.pipeline``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a table; ``docs`` has the columns of ``documents``, of
-which doc_id and text are used. A stage's table is written and read again as the next one's ``docs``. Rows keep all
-their columns until the last stage, which returns doc_id, lang, source, n_tokens, token_ids and decoded_sha256.
+from plumbline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-Defined cases, besides those of each operator: a null text fails the quality rules. Where rows of one component
-share the least doc_id, the one with the least text hash stays, and of equal rows one. A component whose
-rows all have a null doc_id keeps one of them likewise.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from plumbline.llm import bpe_codec, decontaminate, near_copies, pii, quality_rules
-from plumbline.llm.common import cut, table
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep. The raw counts are of ``docs``, the trusted ones from ``labels``."""
-    ratios = quality_rules.log_ratios(docs, table(spark, sf_dir, "labels"))
-    rows = docs.select("*", F.col("text").alias("__text"))
-    return quality_rules.judge(rows, ratios, "__text", drop=["__text"], prefix="__").filter("__kept").select(*docs.columns)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies (5-word similarity of 0.8 or more): the one with the least doc_id.
-
-    Texts are compared by text hash; the rows to stay are then picked out of ``docs`` by doc_id and text hash.
-    """
-    h = F.xxhash64("text")
-    roots = near_copies.near_copies(docs.select(h.alias("h"), "text"))
-    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", h.alias("h"))
-    # The least key of each text, then of each component: the first makes the second small.
-    least = docs.select(key.alias("key")).groupBy(F.col("key.h").alias("h")).agg(F.min("key").alias("key")).join(roots, F.col("h") == F.col("node"), "left")
-    stay = least.groupBy(F.coalesce("root", "h")).agg(F.min("key").alias("key")).select(F.col("key.doc_id").alias("__id"), F.col("key.h").alias("__h"))
-    # One key column for the join and for dropping repeats, so that texts are dealt out once.
-    name = lambda i, h: F.concat_ws(":", h.cast("string"), i.cast("string"))
-    rows = docs.withColumn("__key", name(F.col("doc_id"), h))
-    found = rows.join(stay.select(name(F.col("__id"), F.col("__h")).alias("__key")), "__key", "left_semi")
-    return found.dropDuplicates(["__key"]).select(*docs.columns)
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated; in those with fewer hits the hit passages are cut out."""
-    rows = docs.select("*", F.col("text").alias("__text"))
-    found = decontaminate.find_hits(rows, table(spark, sf_dir, "benchmark"), "__text", drop=["__text"])
-    clean = found.filter(~decontaminate.contaminated(F.col("hit_words"), decontaminate.n_hit()))
-    return decontaminate.cut_out(clean, "text", "hit_spans").select(*docs.columns)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with every span of personal data replaced by its kind."""
-    rows = pii.redact_documents(docs, "text", "__redacted", drop=["text"])
-    return rows.withColumnRenamed("__redacted", "text").select(*docs.columns)
-
-
-def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, and the digest of what they decode to."""
-    # The workers hold the tables of earlier stages too.
-    rows = bpe_codec.encode_and_check(docs.select("doc_id", "lang", "source", "text"), drop=["text"], room=bpe_codec.SMALL)
-    return rows.select("doc_id", "lang", "source", "n_tokens", "token_ids", "decoded_sha256")
-
-
-STAGES = [
-    ("quality rules", quality),
-    ("near-dedup", near_duplicates),
-    ("benchmark decontamination", decontamination),
-    ("personal data", personal_data),
-    ("byte-level bpe", byte_bpe),
-]
-
-#: SQL has neither the models nor the shingle index of these stages; tests hold them against brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each result written and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = cut(docs, f"pipeline-{name.replace(' ', '-')}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]

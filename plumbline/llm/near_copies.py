@@ -1,51 +1,62 @@
 """Near copies by similarity: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-Distances of SimHash fingerprints guarantee nothing about this similarity, so candidates come from a prefix index
-instead, which misses no pair: in any one order of all shingles, two sets of similarity t share a shingle among the first
-n - ceil(t n) + 1 of each. The order puts shingles that a sample finds common last, which keeps lists short; pairs whose
-sizes or places in the list rule the similarity out are passed over. Every pair left is verified on its texts.
+SimHash finds most of them: 64-bit fingerprints of the shingles, linked by the byte-position index of ``simhash_dedup``.
+But distances of fingerprints guarantee nothing about this similarity, so a prefix index adds what they miss, and misses no pair: in
+any one order of all shingles, two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each. The order
+puts shingles that a sample finds common last, which keeps lists short; results don't depend on it.
 
-In a list all members are first held against its least one, which ties large groups together with as many pairs
-as members. Then all pairs of a list that are still in different components follow, none left out.
+Candidates are sifted before any text is fetched, by rules that never rule out a similar pair: sizes, places in the list,
+and parities. A text's parity bits say for each of m slots whether an odd number of its shingles falls there; each shingle that only
+one of two texts has can change one bit, so more differing bits than dissimilar shingles allowed rule a pair out.
+What is left is verified on whole texts, in two rounds: first a few pairs that would tie each list's candidates together, then
+all candidates of a list that are still in different components, none left out.
+
+Texts are read and never shuffled, but for those of candidates. Postings are packed as arrays, a row for each block of texts and
+part of the shingles; parts are of about ``PART_POSTINGS`` postings and grow in number.
 
 Defined cases: words as in SimHash. A text of fewer than five words is one shingle; wordless and null texts are alike.
 """
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import append_columns, arrow_rows, cut
-from plumbline.llm.simhash_dedup import components
+from plumbline.llm.common import append_columns, arrow_rows, cut, emit_rows, pack, unpack
+from plumbline.llm.quality_rules import word_hashes
+from plumbline.llm.simhash_dedup import _signed, components, links, set_bits
 
 SHINGLE = 5
 #: Similarity as a fraction, so that bounds are whole numbers.
 NUM, DEN = 4, 5
-SEED = 42
-#: Texts and shingles of the sample that the order of shingles comes from; results don't depend on it.
+#: Texts and shingles of the sample that the order of shingles comes from.
 SAMPLE_TEXTS = 5_000
 MOST_COMMON = 100_000
-#: Candidate pairs a list hands on at once.
+PART_POSTINGS = 1_000_000
+FLUSH_POSTINGS = 400_000
+#: Bytes of text to a posting, to tell the number of parts.
+BYTES_A_POSTING = 30
+#: Candidate pairs that are handed on at once, and most parity bits of a text.
 PAIRS_AT_ONCE = 100_000
+PARITY_BITS = 1 << 16
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None) -> np.ndarray:
     """The different shingles of a text as sorted hashes."""
-    tokens = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    flat = b" ".join(tokens)
-    n = len(tokens) - SHINGLE + 1
-    if n <= 1:
-        return np.array([xxhash.xxh64_intdigest(flat, SEED)], np.uint64).view(np.int64)
-    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(flat[a:b], SEED) for a, b in zip(starts, ends[SHINGLE - 1 :].tolist(), strict=True)), np.uint64, n).view(np.int64))
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower()) if text else np.zeros(0, np.uint64)
+    size = min(SHINGLE, len(h))
+    if not size:
+        return np.zeros(1, np.uint64)
+    out = np.zeros(len(h) - size + 1, np.uint64)
+    for k in range(size):
+        out = (out * _MIX) ^ h[k : k + len(out)]
+    return np.unique(out ^ out >> np.uint64(31))
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -72,80 +83,229 @@ def possible(n, i, m, j):
     return (np.minimum(n, m) * DEN >= NUM * np.maximum(n, m)) & (rest * (NUM + DEN) >= NUM * (n + m))
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """The parity bits of a set as 64-bit words, their number a power of two."""
+    size = min(PARITY_BITS, max(64, 1 << (len(found) - 1).bit_length()))
+    slots = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(slots.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The last axis of parity bits, folded to so many words: as if there had been fewer slots."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+class Members:
+    """The members of a list: sizes, places, and parity bits in one table for each width."""
+
+    def __init__(self, h, n, i, root, bits: list[bytes]):
+        self.h, self.n, self.i, self.root = h, n, i, root
+        raw = [np.frombuffer(b, np.uint64) for b in bits]
+        self.width = np.array([len(b) for b in raw])
+        self.row = np.zeros(len(raw), np.int64)
+        self.tables = {}
+        for w in set(self.width.tolist()):
+            at = np.flatnonzero(self.width == w)
+            self.row[at] = np.arange(len(at))
+            self.tables[w] = np.stack([raw[k] for k in at.tolist()])
+
+    def candidates(self, k: int, others: np.ndarray) -> np.ndarray:
+        """Those of ``others`` that may be similar to member k and are in another component."""
+        others = others[(self.root[others] != self.root[k]) & possible(self.n[k], self.i[k], self.n[others], self.i[others])]
+        if not len(others):
+            return others
+        mine, keep = self.tables[self.width[k]][self.row[k]], np.zeros(len(others), bool)
+        for w in set(self.width[others].tolist()):
+            at = np.flatnonzero(self.width[others] == w)
+            words = min(w, len(mine))
+            x = folded(self.tables[w][self.row[others[at]]], words) ^ folded(mine, words)
+            differ = np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+            # |A xor B| is at most (1 - t) / (1 + t) of |A| + |B| for a similar pair.
+            keep[at] = differ * (NUM + DEN) <= (DEN - NUM) * (self.n[k] + self.n[others[at]])
+        return others[keep]
+
+    def some(self):
+        """Pairs that tie the candidates together: each member that is left takes its candidates away with it."""
+        left = np.arange(len(self.h))
+        while len(left) > 1:
+            k, left = left[0], left[1:]
+            found = self.candidates(k, left)
+            if len(found):
+                yield k, found
+                left = left[~np.isin(left, found)]
+
+    def all(self):
+        every = np.arange(len(self.h))
+        for k in range(len(self.h) - 1):
+            found = self.candidates(k, every[k + 1 :])
+            if len(found):
+                yield k, found
+
+
 def _order(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of a sample, sorted, and their ranks from 1 on."""
     every = max(1, rows // SAMPLE_TEXTS)
-    sample = texts.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0)
-    sets = append_columns(sample, "text", lambda: lambda texts: [[shingles(t) for t in texts]], [("s", "longs")], ["text"])
+    sample = texts.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).dropDuplicates(["h"])
+    sets = append_columns(sample, "text", lambda: lambda texts: [[shingles(t).view(np.int64) for t in texts]], [("s", "longs")], ["text"])
     counts = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
     found = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
-    common, n = found["s"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+    common, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
     rank = np.empty(len(common), np.int64)
     rank[np.lexsort((common, n))] = np.arange(1, len(common) + 1)
     order = np.argsort(common)
     return common[order], rank[order]
 
 
-def _lists(texts: DataFrame, common: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """(list, h, n, i): the index's lists of two members or more, one row for each member."""
+#: Packed postings: steps of the shingles' hashes, whose text, place in the prefix; then the texts and their sizes.
+_POSTINGS = (np.uint64, np.uint32, np.uint32, np.int64, np.uint32)
+_KEY_BITS = np.uint64(16)  # low bits of a hash that a list does without; a list too many is only more candidates
+
+
+def _sets(texts: DataFrame, common: np.ndarray, rank: np.ndarray, parts: int) -> DataFrame:
+    """One pass over the texts: a row (h, n, fp, bits) for each different text of a task, and packed postings by part."""
     shared = texts.sparkSession.sparkContext.broadcast((common, rank))
 
     def make():
         common, rank = shared.value
-
-        def fn(texts):
-            sets = [shingles(t) for t in texts]
-            return [len(s) for s in sets], [prefix(s, common, rank) for s in sets]
+        seen, held, table = set(), [], []
+
+        def flush():
+            size = [len(p) for p in held]
+            key, text = np.concatenate(held) >> _KEY_BITS, np.repeat(np.arange(len(held)), size)
+            place = np.concatenate([np.arange(n) for n in size])
+            h, n = (np.array(c, np.int64) for c in zip(*table))
+            held.clear()
+            table.clear()
+            at = ((key * _MIX) >> np.uint64(33)) % np.uint64(parts)
+            order = np.lexsort((key, at))
+            cuts = np.searchsorted(at[order], np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(cuts)).tolist():
+                i = order[cuts[p] : cuts[p + 1]]
+                own, of = np.unique(text[i], return_inverse=True)
+                packed = pack(np.diff(key[i], prepend=np.uint64(0)), of.astype(np.uint32), place[i].astype(np.uint32), h[own], n[own].astype(np.uint32))
+                yield [p], [packed], *([None] for _ in range(4))
+
+        def fn(part):
+            if part is not None:
+                rows = []
+                for h, text in zip(part.column("h").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if h in seen:
+                        continue
+                    seen.add(h)
+                    found = shingles(text)
+                    held.append(prefix(found, common, rank))
+                    table.append((h, len(found)))
+                    rows.append((None, None, h, len(found), _signed(set_bits(found)), parities(found).tobytes()))
+                if rows:
+                    yield list(zip(*rows))
+            if held and (part is None or sum(map(len, held)) >= FLUSH_POSTINGS):
+                yield from flush()
 
         return fn
 
-    with arrow_rows(texts.sparkSession):
-        rows = cut(append_columns(texts, "text", make, [("n", "int"), ("s", "longs")], ["text"]), "near-prefixes")
-    rows = rows.groupBy("h").agg(F.first("n").alias("n"), F.first("s").alias("s"))
-    posts = rows.select("h", "n", F.posexplode("s").alias("i", "list"))
-    return posts.groupBy("list").agg(F.collect_list(F.struct("h", "n", "i")).alias("m")).filter(F.size("m") > 1)
+    fields = [("part", "int"), ("packed", "binary"), ("h", "long"), ("n", "int"), ("fp", "long"), ("bits", "binary")]
+    return emit_rows(texts.select("h", "text"), make, fields, finish=True)
 
 
-def _first_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b) of each list's least member and the others."""
-    rows = lists.withColumn("k", F.array_min("m")).select("k", F.explode("m").alias("m")).filter("m.h <> k.h")
-    n, m, i, j = (F.col(c) for c in ("k.n", "m.n", "k.i", "m.i"))
-    can = (F.least(n, m) * DEN >= NUM * F.greatest(n, m)) & (F.least(n - i, m - j) * (NUM + DEN) >= NUM * (n + m))
-    return rows.filter(can).select(F.col("k.h").alias("a"), F.col("m.h").alias("b")).distinct()
+def _lists(packed: DataFrame, parts: int) -> DataFrame:
+    """(list, h, n, i) of every member of the index's lists of two texts or more."""
 
+    def run(batches):
+        held, part = [], None
 
-def _other_pairs(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """(a, b) of all members of a list that are in different components."""
-    flat = lists.select("list", F.explode("m").alias("m")).select("list", "m.*")
-    named = flat.join(roots.withColumnRenamed("node", "__h"), F.col("h") == F.col("__h"), "left").withColumn("root", F.coalesce("root", "h"))
-    again = named.groupBy("list").agg(F.collect_list(F.struct("h", "n", "i", "root")).alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-    again = again.filter("low < high").select(*(F.col(f"m.{c}").alias(c) for c in ("h", "n", "i", "root")))
+        def lists():
+            found = [unpack(x, *_POSTINGS) for x in held]
+            key = np.concatenate([np.cumsum(f[0], dtype=np.uint64) for f in found])
+            h, n = (np.concatenate([f[c][f[1]] for f in found]) for c in (3, 4))
+            place = np.concatenate([f[2] for f in found])
+            order = np.lexsort((h, key))
+            key, h, n, place = (x[order] for x in (key, h, n, place))
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (h[1:] != h[:-1])))
+            key, h, n, place = (x[new] for x in (key, h, n, place))
+            same = key[1:] == key[:-1]
+            more = np.concatenate((same, [False])) | np.concatenate(([False], same))
+            out = pa.RecordBatch.from_arrays([pa.array(x[more].astype(t)) for x, t in ((key, np.int64), (h, np.int64), (n, np.int32), (place, np.int32))], ["list", "h", "n", "i"])
+            for start in range(0, out.num_rows, 1 << 14):
+                yield out.slice(start, 1 << 14)
 
-    def pairs(batches):
-        a, b, made = [], [], 0
         for batch in batches:
-            for h, n, i, root in zip(batch["h"], batch["n"], batch["i"], batch["root"]):
-                order = np.argsort(h)
-                h, n, i, root = h[order], n[order].astype(np.int64), i[order].astype(np.int64), root[order]
-                for k in range(len(h) - 1):
-                    at = k + 1 + np.flatnonzero((root[k + 1 :] != root[k]) & possible(n[k], i[k], n[k + 1 :], i[k + 1 :]))
-                    a.append(np.full(len(at), h[k]))
-                    b.append(h[at])
-                    made += len(at)
-                    if made >= PAIRS_AT_ONCE:
-                        yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-                        a, b, made = [], [], 0
-        if made:
-            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return again.mapInPandas(pairs, "a long, b long").distinct()
+            for p, data in zip(batch.column("part").to_pylist(), batch.column("packed")):
+                if p != part and held:
+                    yield from lists()
+                    held = []
+                part = p
+                held.append(data.as_py())
+        if held:
+            yield from lists()
+
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "list long, h long, n int, i int")
+
+
+def _pairs(members: DataFrame, every: bool) -> DataFrame:
+    """(a, b) of a list's candidates in different components: all of them or, at first, enough to tie them together."""
+
+    def run(batches):
+        held: list = []
+        made: list = [[], []]
+
+        def flush():
+            out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in made], ["a", "b"])
+            made[0].clear()
+            made[1].clear()
+            return out
+
+        def one_list():
+            h, n, i, root = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("h", "n", "i", "root"))
+            held_bits = [x for b in held for x in b.column("bits").to_pylist()]
+            held.clear()
+            order = np.argsort(h)
+            m = Members(*(x[order] for x in (h, n, i, root)), [held_bits[k] for k in order.tolist()])
+            for k, found in m.all() if every else m.some():
+                made[0].append(np.full(len(found), m.h[k]))
+                made[1].append(m.h[found])
+                if sum(map(len, made[0])) >= PAIRS_AT_ONCE:
+                    yield flush()
+
+        name = None
+        for batch in batches:
+            at = batch.column("list").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if at[lo] != name and held:
+                    yield from one_list()
+                name = at[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield from one_list()
+        if made[0]:
+            yield flush()
+
+    return members.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
+
+
+def _named(lists: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of all lists that hold texts of two components or more, with their roots and parity bits."""
+    rows = lists.join(roots.withColumnRenamed("node", "__h"), F.col("h") == F.col("__h"), "left").withColumn("root", F.coalesce("root", "h")).drop("__h")
+    open_lists = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("list")
+    rows = rows.join(open_lists, "list", "left_semi")
+    return rows.join(sets.select(F.col("h").alias("__h"), "bits"), F.col("h") == F.col("__h")).drop("__h")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose texts are similar."""
+    """Those of ``pairs`` whose texts are similar. Texts are sifted by a table of bits, of a fixed size that is broadcast, before they
+    are dealt out: one bit for each of 2 ** 24 values of the hash."""
     pairs = cut(pairs, "near-pairs")
     need = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).distinct()
-    found = cut(texts.join(need, "h", "left_semi").dropDuplicates(["h"]), "near-texts")
+    word, bit = F.col("h").bitwiseAND(F.lit((1 << 18) - 1)), F.shiftright("h", 18).bitwiseAND(F.lit(63)).cast("int")
+    sieve = need.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(h, 18) & 63 as int))")).alias("mask"))
+    sieve = cut(sieve, "near-sieve")
+    maybe = texts.select("h", "text").join(F.broadcast(sieve), word == F.col("word")).filter(F.getbit(F.col("mask"), bit) == 1).select("h", "text")
+    found = cut(maybe.join(need, "h", "left_semi").groupBy("h").agg(F.first("text").alias("text")), "near-texts")
     side = lambda c: found.select(F.col("h").alias(f"h_{c}"), F.col("text").alias(f"text_{c}"))
     both = pairs.join(side("a"), F.col("a") == F.col("h_a")).join(side("b"), F.col("b") == F.col("h_b")).select("a", "b", "text_a", "text_b")
 
@@ -153,15 +313,31 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         of = lru_cache(64)(shingles)
         return lambda x, y: [[similar(of(s), of(t)) for s, t in zip(x, y, strict=True)]]
 
-    with arrow_rows(texts.sparkSession):
-        return cut(append_columns(both, ["text_a", "text_b"], make, [("similar", "boolean")], ["text_a", "text_b"]).filter("similar").select("a", "b"), "near-links")
+    return cut(append_columns(both, ["text_a", "text_b"], make, [("similar", "boolean")], ["text_a", "text_b"]).filter("similar").select("a", "b"), "near-links")
+
+
+def _by_fingerprint(sets: DataFrame) -> DataFrame:
+    """(a, b) of texts with one fingerprint, each with the least of them, and of the least with linked fingerprints."""
+    prints = cut(sets.groupBy("fp").agg(F.min("h").alias("first")), "near-prints")
+    named = prints.select(F.col("fp").alias("__fp"), "first")
+    equal = sets.join(named, F.col("fp") == F.col("__fp")).filter("h <> first").select(F.col("first").alias("a"), F.col("h").alias("b"))
+    edges = links(prints.select("fp"))
+    for c in ("a", "b"):
+        edges = edges.join(named.withColumnRenamed("first", f"h_{c}"), F.col(c) == F.col("__fp")).drop("__fp")
+    return equal.unionByName(edges.select(F.least("h_a", "h_b").alias("a"), F.greatest("h_a", "h_b").alias("b")))
 
 
 def near_copies(texts: DataFrame) -> DataFrame:
     """(node, root) for every text hash with a near copy: the least hash of its component. ``texts`` has h, a hash
     of the text, and text; rows may repeat."""
-    lists = cut(_lists(texts, *_order(texts, texts.count())), "near-lists")
-    edges = _verified(_first_pairs(lists), texts)
-    roots = components(edges)
-    more = _verified(_other_pairs(lists, roots), texts)
-    return roots if more.isEmpty() else components(edges.unionByName(more))
+    with arrow_rows(texts.sparkSession):
+        size = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
+        parts = max(8, math.ceil(((size["bytes"] or 0) / BYTES_A_POSTING + size["rows"]) / PART_POSTINGS))
+        made = cut(_sets(texts, *_order(texts, size["rows"]), parts), "near-sets")
+        sets = made.filter("h is not null").select("h", "n", "fp", "bits").dropDuplicates(["h"])
+        lists = cut(_lists(made.filter("packed is not null").select("part", "packed"), parts), "near-lists")
+        edges = _verified(_by_fingerprint(sets), texts)
+        for every in (False, True):
+            roots = components(edges)
+            edges = edges.unionByName(_verified(_pairs(_named(lists, sets, roots), every), texts))
+        return components(edges)

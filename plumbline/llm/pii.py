@@ -31,7 +31,7 @@ from functools import lru_cache
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm.common import append_columns, id_and_text, table
+from plumbline.llm.common import append_columns, id_and_text, sift_rows, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
@@ -260,5 +260,10 @@ def redact_documents(docs: DataFrame, text_col="text", out_col="redacted_text",
     return append_columns(docs, text_col, lambda: lambda texts: [[redact(t) for t in texts]], [(out_col, "string")], drop)
 
 
+def redacted(docs: DataFrame, text_col="text") -> DataFrame:
+    """``docs`` with the redacted text in place of the text."""
+    return sift_rows(docs, lambda: lambda texts: (None, [redact(t) for t in texts]), text_col)
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect(table(spark, sf_dir, "documents"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import append_columns, emit_rows, id_and_text, table
+from plumbline.llm.common import append_columns, emit_rows, id_and_text, sift_rows, table
 
 BUCKET_BITS = 16
 TRUSTED_DOCS = 20_000
@@ -129,43 +129,41 @@ def log_ratios(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="te
     return np.log((target + SMOOTHING) / (expected + SMOOTHING))
 
 
+def verdict(text: str | None, ratios: np.ndarray, min_score=MIN_SCORE) -> tuple:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept of a text."""
+    text = text or ""
+    h = word_hashes(text.encode("utf-8", "surrogatepass"))
+    n, repeated = len(h), n_repeat_words(h)
+    failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
+    score = float(ratios[features(h, len(ratios).bit_length() - 1)].mean()) if n else 0.0
+    chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
+    return n, chars, sum(map(text.count, SYMBOLS)), n_dup_lines(text), repeated, failed, score, not failed and score >= min_score
+
+
 def judge(docs: DataFrame, ratios: np.ndarray, text_col="text", min_score=MIN_SCORE, drop=(), prefix="") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept."""
     shared = docs.sparkSession.sparkContext.broadcast(ratios)
-    bits = len(ratios).bit_length() - 1
 
     def make():
         table = shared.value
-
-        def fn(texts):
-            rows = []
-            for text in texts:
-                text = text or ""
-                h = word_hashes(text.encode("utf-8", "surrogatepass"))
-                n, repeated = len(h), n_repeat_words(h)
-                failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
-                score = float(table[features(h, bits)].mean()) if n else 0.0
-                rows.append(
-                    (
-                        n,
-                        len(text) - sum(map(text.count, " \t\n\r\x0b\x0c")),
-                        sum(map(text.count, SYMBOLS)),
-                        n_dup_lines(text),
-                        repeated,
-                        failed,
-                        score,
-                        not failed and score >= min_score,
-                    )
-                )
-            return list(zip(*rows, strict=True)) if rows else [[]] * 8
-
-        return fn
+        return lambda texts: list(zip(*(verdict(t, table, min_score) for t in texts), strict=True)) if texts else [[]] * 8
 
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     fields = [*((n, "long") for n in names), ("base_failed", "boolean"), ("score", "double"), ("kept", "boolean")]
     return append_columns(docs, text_col, make, [(prefix + n, k) for n, k in fields], drop)
 
 
+def keep_good(docs: DataFrame, ratios: np.ndarray, text_col="text", min_score=MIN_SCORE) -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps."""
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+
+    def make():
+        table = shared.value
+        return lambda texts: ([verdict(t, table, min_score)[-1] for t in texts], None)
+
+    return sift_rows(docs, make, text_col)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     ratios = log_ratios(docs, table(spark, sf_dir, "labels"))

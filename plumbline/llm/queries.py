@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm import pipeline
 from plumbline.llm.bpe_codec import op3_byte_bpe
 from plumbline.llm.chat_format import OP7_SQL, op7_chat_format
 from plumbline.llm.decontaminate import op4_decontamination
@@ -15,10 +16,8 @@ from plumbline.llm.token_count import op5_token_counts
 
 
 def queries():
-    import corpus_pipeline
-
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_pii": op1_pii,
         "op2_language": op2_language,
         "op3_byte_bpe": op3_byte_bpe,

@@ -1,7 +1,9 @@
 import random
 
-import corpus_pipeline
+import numpy as np
+import pytest
 from plumbline.llm import near_copies as n
+from plumbline.llm import pipeline
 from tests.llm.fixtures import documents
 
 
@@ -27,7 +29,7 @@ def brute_roots(texts):
 
 def stays(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    return sorted(r["doc_id"] for r in pipeline.near_duplicates(spark, docs, "").collect())
 
 
 def test_documents(spark):
@@ -55,4 +57,32 @@ def test_groups_and_chains(spark, monkeypatch):
     want = sorted(set(brute_roots(texts)))
     assert len(want) < len(texts) - 50
     monkeypatch.setattr(n, "PAIRS_AT_ONCE", 7)
+    monkeypatch.setattr(n, "PART_POSTINGS", 300)
+    monkeypatch.setattr(n, "FLUSH_POSTINGS", 200)
     assert stays(spark, texts) == want
+    # Without fingerprints, and with no sifting by parities, the same stay.
+    monkeypatch.setattr(n, "_by_fingerprint", lambda sets: sets.select("h", "h").toDF("a", "b").limit(0))
+    assert stays(spark, texts) == want
+
+
+@pytest.mark.parametrize("size", [3, 64, 65, 500, 3000])
+def test_parities_never_rule_out_a_similar_pair(size):
+    r = np.random.default_rng(size)
+    base = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+    for share in (0, 0.05, 0.1, 0.15, 0.19, 0.2):
+        gone = int(share * len(base))
+        other = np.unique(np.concatenate((base[gone:], r.integers(0, 1 << 63, int(gone * r.random())).astype(np.uint64))))
+        sets = [base, other]
+        m = n.Members(np.array([1, 2]), np.array([len(x) for x in sets]), np.zeros(2, np.int64), np.array([1, 2]), [n.parities(x).tobytes() for x in sets])
+        if n.similar(*sets):
+            assert m.candidates(0, np.array([1])).tolist() == [1] and m.candidates(1, np.array([0])).tolist() == [0]
+        both = len(np.intersect1d(*sets))
+        assert n.similar(*sets) == (both * 5 >= 4 * (len(base) + len(other) - both))
+    far = np.unique(r.integers(0, 1 << 63, size).astype(np.uint64))
+    m = n.Members(np.array([1, 2]), np.array([len(base), len(far)]), np.zeros(2, np.int64), np.array([1, 2]), [n.parities(x).tobytes() for x in (base, far)])
+    assert size < 64 or not len(m.candidates(0, np.array([1])))
+
+
+def test_shingles_are_told_apart_as_tuples_are():
+    for _, text in documents(None, 200):
+        assert len(n.shingles(text)) == len(brute(text.encode().decode("ascii", "replace"))) or not text.isascii()

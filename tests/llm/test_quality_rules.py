@@ -44,6 +44,18 @@ def brute_ratios(rows, trusted):
     return np.log((target + q.SMOOTHING) / (target.sum() * raw / raw.sum() + q.SMOOTHING))
 
 
+def brute_kept(rows, labels):
+    """Which (doc_id, text) rows stay, by labels of (doc_id, quality, toxic)."""
+    against = {i for i, good, toxic in labels if good != 1 or toxic}
+    trusted = {i for i, good, toxic in labels if good == 1 and not toxic and i is not None} - against
+    ratios = brute_ratios(rows, trusted)
+    out = []
+    for _, text in rows:
+        f = q.features(q.word_hashes((text or "").encode()), q.BUCKET_BITS).astype(int)
+        out.append(not base(text)[5] and ratios[f].mean() >= q.MIN_SCORE)
+    return out
+
+
 def test_documents(spark):
     docs, labels = documents(None), pq.read_table(f"{SF}/labels.parquet").to_pylist()
     trusted = {r["doc_id"] for r in labels if r["quality"] == 1 and r["toxic"] == 0}
