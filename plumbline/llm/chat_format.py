@@ -1,32 +1,38 @@
 """Chat formatting: tool-call linking.
 
-Method: results are reduced to one for each call identifier (the first by turn), then hash-joined to the calls by
-identifier; calls are ordered topologically by what they come after; arguments are validated against the
+Method: results are reduced to one for each call of a conversation (the first by turn), then hash-joined to the calls by
+conversation and identifier; calls are ordered topologically by what they come after; arguments are validated against the
 tool's schema; every linked call is serialised as canonical JSON (keys sorted, no spaces, UTF-8 as it is).
 
-A call's level is 0 if it waits for no other call, else one more than the highest level it waits for; (level, turn,
-identifier) is a topological order of a conversation. Levels are found in rounds, one for each level, over the
-calls that still wait, so a conversation is never gathered; one JSON text is made for each call, not for each
-conversation. The order comes from a range sort on (conversation, level, turn), which splits a hot conversation.
+A call's level is 0 if it waits for no other call of its conversation, else one more than the highest level it waits for; (level, turn,
+identifier) is a topological order of a conversation. The waits of a conversation are counted: up to ``MOST_WAITS``, which one task
+surely holds, they are sorted in one go; longer conversations are found in rounds of joins, one for each level, and are never
+gathered. Both give the same levels. One JSON text is made for each call, not for each conversation. The order comes from a range
+sort on (conversation, level, turn), which splits a hot conversation.
 
 Defined cases: a call without a result has status ``no_result``, a result without a call is a row of status ``no_call``
-with null level and arguments. A call with a null identifier links to nothing and has level 0. Of several results the first
-by (turn, content) counts, and n_results says how many there were; calls that repeat an identifier each get it.
-Identifiers that nobody has are not waited for. Calls in a cycle, and those that wait for one, have a null level. Arguments
-that are null, not JSON or not to the schema have args_valid false; they are serialised as null if they are
-not JSON. An unknown tool has no valid arguments. Other columns are not read.
+with null level and arguments. Identifiers are of one conversation: two conversations may use the same. A call with a null
+identifier or conversation links to nothing and has level 0. Of several results the first by (turn, content) counts, and n_results
+says how many there were; calls that repeat an identifier each get it. Identifiers that nobody has, and null ones, are not
+waited for. Calls in a cycle, and those that wait for one, have a null level. Arguments that are null, not JSON or not to the schema
+have args_valid false; they are serialised as null if they are not JSON. Numbers out of a double's range, NaN and integers of more than
+4300 digits are not JSON here. A lone surrogate stays as its escape. An unknown tool has no valid arguments. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import append_columns, cut, table
 
+#: Waits of a conversation that are sorted in one task.
+MOST_WAITS = 50_000
+
 #: The tools of ``op7_chat_format``.
 SCHEMAS = {
     "configure": {"type": "object", "required": ["text"], "properties": {"text": {"type": "string"}}, "additionalProperties": False},
@@ -53,7 +59,7 @@ def valid(value, schema: dict) -> bool:
     kinds = [kinds] if isinstance(kinds, str) else kinds
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if kinds and not any(
-        (k == "number" and number) or (k == "integer" and number and float(value).is_integer()) or isinstance(value, _TYPES.get(k, ())) for k in kinds
+        (k == "number" and number) or (k == "integer" and number and (isinstance(value, int) or value.is_integer())) or isinstance(value, _TYPES.get(k, ())) for k in kinds
     ):
         return False
     if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
@@ -74,34 +80,86 @@ def valid(value, schema: dict) -> bool:
     return True
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def _reject(_):
     raise ValueError("not JSON")
 
 
+def _finite(digits: str) -> float:
+    x = float(digits)
+    return x if math.isfinite(x) else _reject(digits)
+
+
+def parsed(arguments: str | None):
+    """The value of a JSON text, None if it isn't one."""
+    try:
+        return None if arguments is None else json.loads(arguments, parse_constant=_reject, parse_float=_finite)
+    except (ValueError, RecursionError):
+        return None
+
+
+def sorted_levels(waits: list[tuple[str, str]]) -> dict[str, int | None]:
+    """The level of every identifier that waits for another one, from (identifier, what it waits for); None in or behind a cycle."""
+    behind, left = {}, {}
+    for call, dep in waits:
+        behind.setdefault(dep, []).append(call)
+        left[call] = left.get(call, 0) + 1
+    level = dict.fromkeys(left)
+    ready = [(dep, 0) for dep in behind if dep not in left]
+    for dep, n in ready:  # grows as it goes: by level, since what is freed stands one above what frees it last
+        for call in behind.get(dep, ()):
+            left[call] -= 1
+            if not left[call]:
+                level[call] = n + 1
+                ready.append((call, n + 1))
+    return level
+
+
 def levels(calls: DataFrame) -> DataFrame:
-    """(call_id, level) of every identifier that waits for another one; null in or behind a cycle."""
-    known = calls.select(F.col("call_id").alias("__known")).filter("__known is not null").distinct()
-    waits = calls.filter("call_id is not null").select("call_id", F.explode("after").alias("dep")).distinct()
-    waits = cut(waits.join(known, F.col("dep") == F.col("__known"), "left_semi"), "chat-waits")
-    done = None
-    ready = known.join(waits.select(F.col("call_id").alias("__w")).distinct(), F.col("__known") == F.col("__w"), "left_anti")
-    level = 0
+    """(conv, id, level) of every identifier that waits for another one of its conversation; null in or behind a cycle."""
+    own = calls.filter("conv_id is not null and call_id is not null")
+    known = own.select(F.col("conv_id").alias("conv"), F.col("call_id").alias("dep")).distinct()
+    waits = own.select(F.col("conv_id").alias("conv"), F.col("call_id").alias("id"), F.explode("after").alias("dep")).distinct()
+    waits = cut(waits.join(known, ["conv", "dep"], "left_semi").select("conv", "id", "dep"), "chat-waits")
+    long = cut(waits.groupBy("conv").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_WAITS).select("conv"), "chat-long")
+    some_long = not long.isEmpty()
+    short = waits.join(long, "conv", "left_anti") if some_long else waits
+    gathered = short.groupBy("conv").agg(F.collect_list(F.struct("id", "dep")).alias("waits"))
+
+    def make():
+        def fn(found):
+            got = [sorted_levels([(w["id"], w["dep"]) for w in waits]) for waits in found]
+            return [list(g) for g in got], [list(g.values()) for g in got]
+
+        return fn
+
+    rows = append_columns(gathered, "waits", make, [("ids", "strings"), ("levels", "ints")], ["waits"])
+    out = rows.select("conv", F.explode(F.arrays_zip("ids", "levels")).alias("l")).select("conv", F.col("l.ids").alias("id"), F.col("l.levels").alias("level"))
+    return out.unionByName(level_rounds(waits.join(long, "conv", "left_semi"), known)) if some_long else out
+
+
+def level_rounds(waits: DataFrame, known: DataFrame) -> DataFrame:
+    """As ``levels``, by joins alone: each round frees the calls that wait for none but those freed before."""
+    ids = waits.select("conv", "id").distinct()
+    ready = known.withColumnRenamed("dep", "id").join(ids, ["conv", "id"], "left_anti")
+    done, level = None, 0
     while not waits.isEmpty():
         level += 1
-        left = cut(waits.join(ready, F.col("dep") == F.col("__known"), "left_anti"), "chat-waits")
-        still = left.select(F.col("call_id").alias("__w")).distinct()
-        freed = waits.select("call_id").distinct().join(still, F.col("call_id") == F.col("__w"), "left_anti")
+        left = cut(waits.join(ready.withColumnRenamed("id", "dep"), ["conv", "dep"], "left_anti"), "chat-waits")
+        freed = waits.select("conv", "id").distinct().join(left.select("conv", "id").distinct(), ["conv", "id"], "left_anti")
         freed = cut(freed.withColumn("level", F.lit(level)), "chat-levels")
         if freed.isEmpty():
-            freed = waits.select("call_id").distinct().withColumn("level", F.lit(None).cast("int"))
-            return freed if done is None else done.unionByName(freed)
+            freed, left = waits.select("conv", "id").distinct().withColumn("level", F.lit(None).cast("int")), left.limit(0)
         done = freed if done is None else done.unionByName(freed)
-        ready, waits = freed.select(F.col("call_id").alias("__known")), left
-    return done if done is not None else calls.sparkSession.createDataFrame([], "call_id string, level int")
+        ready, waits = freed.select("conv", "id"), left
+    return done if done is not None else ids.withColumn("level", F.lit(None).cast("int"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
@@ -112,10 +170,11 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMA
     """
     calls = calls.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("call_id").cast("string").alias("call_id"), "name", "arguments", "after")
     results = results.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("call_id").cast("string").alias("call_id"), F.col("content").cast("string").alias("content"))
-    named = results.filter("call_id is not null").groupBy(F.col("call_id").alias("__id"))
+    named = results.filter("conv_id is not null and call_id is not null").groupBy(F.col("conv_id").alias("__conv"), F.col("call_id").alias("__id"))
     first = named.agg(F.min(F.struct("turn", "content")).alias("__first"), F.count(F.lit(1)).alias("n_results"))
-    level = levels(calls).withColumnRenamed("call_id", "__level_id")
-    linked = calls.join(first, F.col("call_id") == F.col("__id"), "left").join(level, F.col("call_id") == F.col("__level_id"), "left")
+    level = levels(calls).withColumnsRenamed({"conv": "__level_conv", "id": "__level_id"})
+    same = lambda conv, name: (F.col("conv_id") == F.col(conv)) & (F.col("call_id") == F.col(name))
+    linked = calls.join(first, same("__conv", "__id"), "left").join(level, same("__level_conv", "__level_id"), "left")
     linked = linked.select(
         "conv_id",
         "turn",
@@ -127,8 +186,8 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMA
         "arguments",
         F.col("__first.content").alias("content"),
     )
-    ids = calls.select(F.col("call_id").alias("__id")).filter("__id is not null").distinct()
-    orphans = results.join(ids, F.col("call_id") == F.col("__id"), "left_anti").select(
+    ids = calls.select(F.col("conv_id").alias("__conv"), F.col("call_id").alias("__id")).distinct()
+    orphans = results.join(ids, same("__conv", "__id"), "left_anti").select(
         "conv_id", "turn", "call_id", F.lit(None).cast("int").alias("level"), F.lit("no_call").alias("status"), F.lit(1).cast("long").alias("n_results"),
         F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), "content",
     )
@@ -137,10 +196,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMA
         def fn(ids, levels, names, arguments, contents, statuses):
             good, out = [], []
             for call_id, lev, name, args, content, status in zip(ids, levels, names, arguments, contents, statuses, strict=True):
-                try:
-                    value = json.loads(args, parse_constant=_reject) if args is not None else None
-                except (ValueError, RecursionError):
-                    value = None
+                value = parsed(args)
                 ok = args is not None and value is not None and name in schemas and valid(value, schemas[name])
                 good.append(None if status == "no_call" else ok)
                 out.append(canonical({"arguments": value, "id": call_id, "level": lev, "name": name, "result": content, "valid": good[-1]}))
@@ -156,7 +212,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMA
 def conversation_calls(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of (conv_id, turn, role, text): a user's message calls ``reply``, a system message
     ``configure``; an assistant's message is the result of the call one turn before. A user's call waits for a
-    system message one turn before."""
+    system message one turn before. Messages of another role, or of none, are neither calls nor results and give no row."""
     at = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     own = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), at(F.col("turn")))
     before = F.when(F.col("conv_id").isNotNull() & F.col("turn").isNotNull(), at(F.col("turn") - 1))
