@@ -3,7 +3,8 @@
 SimHash finds most of them: 64-bit fingerprints of the shingles, linked by the byte-position index of ``simhash_dedup``.
 But distances of fingerprints guarantee nothing about this similarity, so a prefix index adds what they miss, and misses no pair: in
 any one order of all shingles, two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each. The order
-puts shingles that a sample finds common last, which keeps lists short; results don't depend on it.
+puts common shingles last, which keeps lists short: a pass over all texts counts shingles by slots of a table, about
+``PER_SLOT`` to a slot and at most ``MOST_SLOTS`` slots, which is summed up by ranges of slots and broadcast. Results don't depend on it.
 
 Candidates are sifted before any text is fetched, by rules that never rule out a similar pair: sizes, places in the list,
 and parities. A text's parity bits say for each of m slots whether an odd number of its shingles falls there; each shingle that only
@@ -34,16 +35,17 @@ from plumbline.llm.simhash_dedup import _signed, components, links, set_bits
 SHINGLE = 5
 #: Similarity as a fraction, so that bounds are whole numbers.
 NUM, DEN = 4, 5
-#: Texts and shingles of the sample that the order of shingles comes from.
-SAMPLE_TEXTS = 5_000
-MOST_COMMON = 100_000
+#: Shingles to a slot of the table of counts, its most slots, those of one range, and shingles that a task counts at once.
+PER_SLOT = 64
+MOST_SLOTS, RANGE_SLOTS = 1 << 24, 1 << 14
+COUNT_AT_ONCE = 500_000
 PART_POSTINGS = 1_000_000
 FLUSH_POSTINGS = 400_000
-#: Bytes of text to a posting, to tell the number of parts.
-BYTES_A_POSTING = 30
-#: Candidate pairs that are handed on at once, and most parity bits of a text.
+#: Bytes of text to a shingle and to a posting, to tell sizes beforehand.
+BYTES_A_SHINGLE, BYTES_A_POSTING = 6, 30
+#: Candidate pairs that are handed on at once, parity bits to a shingle, and most of a text.
 PAIRS_AT_ONCE = 100_000
-PARITY_BITS = 1 << 16
+BITS_A_SHINGLE, PARITY_BITS = 4, 1 << 18
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,15 +68,15 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * DEN >= NUM * (len(a) + len(b) - both)
 
 
-def prefix(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first n - ceil(t n) + 1 shingles: uncommon ones by hash, then common ones by rank."""
+def slot_of(found: np.ndarray, slots: int) -> np.ndarray:
+    return ((found * _MIX) >> np.uint64(64 - (slots - 1).bit_length())).astype(np.int64)
+
+
+def prefix(found: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first n - ceil(t n) + 1 shingles: by the rank of their slot, then by hash."""
     n = len(found)
     k = n - -(-NUM * n // DEN) + 1
-    if not len(common):
-        return found[:k]
-    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-    order = np.where(common[at] == found, rank[at], 0)
-    return found[np.argsort(order, kind="stable")[:k]]
+    return found[np.argsort(rank[slot_of(found, len(rank))], kind="stable")[:k]]
 
 
 def possible(n, i, m, j):
@@ -85,7 +87,7 @@ def possible(n, i, m, j):
 
 def parities(found: np.ndarray) -> np.ndarray:
     """The parity bits of a set as 64-bit words, their number a power of two."""
-    size = min(PARITY_BITS, max(64, 1 << (len(found) - 1).bit_length()))
+    size = min(PARITY_BITS, max(64, 1 << (BITS_A_SHINGLE * len(found) - 1).bit_length()))
     slots = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(slots.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -145,18 +147,45 @@ class Members:
                 yield k, found
 
 
-def _order(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles of a sample, sorted, and their ranks from 1 on."""
-    every = max(1, rows // SAMPLE_TEXTS)
-    sample = texts.filter(F.pmod(F.xxhash64("h"), F.lit(every)) == 0).dropDuplicates(["h"])
-    sets = append_columns(sample, "text", lambda: lambda texts: [[shingles(t).view(np.int64) for t in texts]], [("s", "longs")], ["text"])
-    counts = sets.select(F.explode("s").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    found = counts.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toPandas()
-    common, n = found["s"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
-    rank = np.empty(len(common), np.int64)
-    rank[np.lexsort((common, n))] = np.arange(1, len(common) + 1)
-    order = np.argsort(common)
-    return common[order], rank[order]
+def _ranks(texts: DataFrame, slots: int) -> np.ndarray:
+    """For each slot how common its shingles are, in steps that grow with the count: a byte."""
+    size = min(RANGE_SLOTS, slots)
+
+    def make():
+        counts, held, seen = np.zeros(slots, np.uint32), [], set()
+
+        def add():
+            counts[:] += np.bincount(slot_of(np.concatenate(held), slots), minlength=slots).astype(np.uint32)
+            held.clear()
+
+        def fn(part):
+            if part is not None:
+                for h, text in zip(part.column("h").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if h not in seen:
+                        seen.add(h)
+                        held.append(shingles(text))
+                if sum(map(len, held)) >= COUNT_AT_ONCE:
+                    add()
+                return
+            if held:
+                add()
+            for r in range(0, slots, size):
+                if counts[r : r + size].any():
+                    yield [r // size], [pack(counts[r : r + size])]
+
+        return fn
+
+    def added(group: pa.Table) -> pa.Table:
+        total = np.zeros(size, np.uint64)
+        for data in group["packed"]:
+            total += unpack(data.as_py(), np.uint32)[0]
+        return pa.table([group["range"].slice(0, 1), pa.array([pack(np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8))])], ["range", "packed"])
+
+    parts = emit_rows(texts.select("h", "text"), make, [("range", "int"), ("packed", "binary")], finish=True)
+    out = np.zeros(slots, np.uint8)
+    for r in parts.groupBy("range").applyInArrow(added, "range int, packed binary").collect():
+        out[r["range"] * size : (r["range"] + 1) * size] = unpack(bytes(r["packed"]), np.uint8)[0]
+    return out
 
 
 #: Packed postings: steps of the shingles' hashes, whose text, place in the prefix; then the texts and their sizes.
@@ -164,12 +193,12 @@ _POSTINGS = (np.uint64, np.uint32, np.uint32, np.int64, np.uint32)
 _KEY_BITS = np.uint64(16)  # low bits of a hash that a list does without; a list too many is only more candidates
 
 
-def _sets(texts: DataFrame, common: np.ndarray, rank: np.ndarray, parts: int) -> DataFrame:
+def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
     """One pass over the texts: a row (h, n, fp, bits) for each different text of a task, and packed postings by part."""
-    shared = texts.sparkSession.sparkContext.broadcast((common, rank))
+    shared = texts.sparkSession.sparkContext.broadcast(rank)
 
     def make():
-        common, rank = shared.value
+        rank = shared.value
         seen, held, table = set(), [], []
 
         def flush():
@@ -196,7 +225,7 @@ def _sets(texts: DataFrame, common: np.ndarray, rank: np.ndarray, parts: int) ->
                         continue
                     seen.add(h)
                     found = shingles(text)
-                    held.append(prefix(found, common, rank))
+                    held.append(prefix(found, rank))
                     table.append((h, len(found)))
                     rows.append((None, None, h, len(found), _signed(set_bits(found)), parities(found).tobytes()))
                 if rows:
@@ -332,8 +361,10 @@ def near_copies(texts: DataFrame) -> DataFrame:
     of the text, and text; rows may repeat."""
     with arrow_rows(texts.sparkSession):
         size = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-        parts = max(8, math.ceil(((size["bytes"] or 0) / BYTES_A_POSTING + size["rows"]) / PART_POSTINGS))
-        made = cut(_sets(texts, *_order(texts, size["rows"]), parts), "near-sets")
+        n_bytes = size["bytes"] or 0
+        parts = max(8, math.ceil((n_bytes / BYTES_A_POSTING + size["rows"]) / PART_POSTINGS))
+        slots = min(MOST_SLOTS, max(1 << 10, 1 << int(n_bytes / BYTES_A_SHINGLE / PER_SLOT).bit_length()))
+        made = cut(_sets(texts, _ranks(texts, slots), parts), "near-sets")
         sets = made.filter("h is not null").select("h", "n", "fp", "bits").dropDuplicates(["h"])
         lists = cut(_lists(made.filter("packed is not null").select("part", "packed"), parts), "near-lists")
         edges = _verified(_by_fingerprint(sets), texts)
