@@ -21,16 +21,20 @@ def finite_or(c, default) -> Column:
 
 
 def natural_key(c) -> Column:
-    """A sort key under which 2 < 10, and P9 < P10: digit runs padded, letters in lower case."""
+    """A sort key under which 2 < 10, and P9 < P10, for numbers of any length: before each number stands how many digits it
+    has; letters in lower case."""
     c = col(c).cast("string")
-    parts = F.regexp_extract_all(c, F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+(?=[0-9])", ""), 20, "0")).otherwise(F.lower(x))), "")
+    parts = F.regexp_extract_all(c, F.lit(r"([0-9]+|[^0-9]+)"), 1)
+    plain = lambda x: F.regexp_replace(x, "^0+(?=[0-9])", "")
+    number = lambda x: F.concat(F.lpad(F.length(plain(x)).cast("string"), 10, "0"), plain(x))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), number(x)).otherwise(F.lower(x))), "")
 
 
 def pair_key(a, b, sep: str = "|") -> Column:
-    """One key for both directions of a pair, in natural order."""
+    """One key for both directions of a pair, in natural order; names that it finds equal (P1, P01) go by their characters."""
     a, b = col(a).cast("string"), col(b).cast("string")
-    return F.when(natural_key(a) <= natural_key(b), F.concat_ws(sep, a, b)).otherwise(F.concat_ws(sep, b, a))
+    first = F.struct(natural_key(a), a) <= F.struct(natural_key(b), b)
+    return F.when(first, F.concat_ws(sep, a, b)).otherwise(F.concat_ws(sep, b, a))
 
 
 def edm_sigma(distance, const_m: float, ppm: float, propagated: bool = False) -> Column:

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.functions.numbers import col
 
-#: Letters with marks and the plain letters they fold to, for the Latin range of European texts.
-MARKED = "àáâãäåāçćčèéêëēėęìíîïīñńòóôõöøōšśùúûüūýÿžźż"
-PLAIN = "aaaaaaacccèéêëēėęiiiiinnooooooossuuuuuyyzzz".translate(str.maketrans("èéêëēėę", "eeeeeee"))
+def _marked_letters() -> tuple[str, str]:
+    """All letters whose canonical decomposition is an ASCII letter with marks, and those ASCII letters."""
+    found = []
+    for c in map(chr, range(0xC0, 0x2200)):
+        plain = unicodedata.normalize("NFD", c)
+        if plain[0].isascii() and plain[0].isalpha() and len(plain) > 1 or c == "\u212a":
+            found.append((c, plain[0].lower()))
+    return "".join(c for c, _ in found), "".join(p for _, p in found)
+
+
+MARKED, PLAIN = _marked_letters()
+#: Marks that stand alone: combining ones, and the spacing ones that count as diacritics.
+LONE_MARKS = r"[\p{M}^`\x{A8}\x{AF}\x{B4}\x{B7}\x{B8}\x{2B0}-\x{2FF}]"
 
 
 def fold(c) -> Column:
     """Lower case without marks."""
-    return F.translate(F.lower(col(c).cast("string")), MARKED, PLAIN)
+    return F.lower(F.translate(F.regexp_replace(col(c).cast("string"), LONE_MARKS, ""), MARKED, PLAIN))
 
 
 def search_text(c) -> Column:
     """For searching: folded, only letters, digits, dots and hyphens, single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(fold(c), r"[^a-z0-9. \-]+", " "), r" +", " "))
+    return F.trim(F.regexp_replace(fold(c), r"[^a-z0-9.\-]+", " "))
 
 
 def search_tokens(c) -> Column:
@@ -75,35 +87,69 @@ def snippet(text, query, before: int = 90, length: int = 260) -> Column:
 
 
 #: Named character references that pages use.
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&amp;": "&"}
+ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " "}
 
 
 def decode_entities(c) -> Column:
-    out = col(c)
-    for name, value in ENTITIES.items():  # the ampersand last, so that nothing is decoded twice
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return out
+    """Character references decoded in one pass, so that nothing is decoded twice: numbers in decimal or hexadecimal, and the names
+    above in any case; others stay as they are."""
+    parts = F.regexp_extract_all(col(c), F.lit("(?i)(&(?:#x[0-9a-f]{1,6}|#[0-9]{1,7}|[a-z]+);|[^&]+|&)"), 1)
+    names = F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
+
+    def one(p):
+        low = F.lower(p)
+        code = F.when(low.startswith("&#x"), F.conv(F.regexp_extract(low, "^&#x([0-9a-f]+);$", 1), 16, 10)).otherwise(F.regexp_extract(low, "^&#([0-9]+);$", 1)).try_cast("int")
+        good = code.isNotNull() & (code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return F.when(low.startswith("&#") & good, char).when(low.rlike("^&[a-z]+;$"), F.coalesce(names[F.substring(low, F.lit(2), F.length(low) - 2)], p)).otherwise(p)
+
+    return F.array_join(F.transform(parts, one), "")
 
 
 def strip_hidden(html) -> Column:
     """HTML without scripts, styles, forms and navigation."""
     out = col(html)
     for tag in ("script", "style", "form", "nav"):
-        out = F.regexp_replace(out, f"(?is)<{tag}\\b.*?</{tag}>", " ")
+        out = F.regexp_replace(out, f"(?is)<{tag}\\b.*?</{tag}>", "")
     return out
 
 
 def html_to_text(html) -> Column:
-    """Visible text: line breaks at <br> and block ends, `` | `` after cells, tags out, entities decoded, white space
-    collapsed within lines and empty lines dropped."""
-    out = F.regexp_replace(strip_hidden(html), "(?is)<!--.*?-->", " ")
-    out = F.regexp_replace(out, r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)\s*>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(td|th)\s*>", " | ")
-    out = decode_entities(F.regexp_replace(out, r"(?s)<[^>]*>", ""))
-    out = F.regexp_replace(F.regexp_replace(out, "[ \t\r\f]+", " "), " ?\n ?", "\n")
-    return F.regexp_replace(F.regexp_replace(out, "\n{2,}", "\n"), r"^\s+|\s+$", "")
+    """Visible text: line breaks at <br> and block ends, `` | `` before table cells, tags out, entities decoded, blanks collapsed within
+    lines and more than one empty line to one."""
+    out = F.regexp_replace(strip_hidden(html), r"(?i)<br\s*/?>", "\n")
+    out = F.regexp_replace(out, r"(?i)</(div|p|li|tr|h[1-6])>", "\n")
+    out = F.regexp_replace(out, r"(?i)<td[^>]*>", " | ")
+    out = decode_entities(F.regexp_replace(out, r"<[^>]+>", ""))
+    out = F.regexp_replace(F.regexp_replace(out, "\r\n?", "\n"), "\u00a0", " ")
+    out = F.regexp_replace(F.regexp_replace(out, "[ \t\f\x0b]+", " "), " *\n *", "\n")
+    return F.regexp_replace(F.regexp_replace(out, "\n{3,}", "\n\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def html_title(html) -> Column:
     return F.trim(decode_entities(F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+
+
+def concept_key(c) -> Column:
+    """A key under which forms of a word agree: folded, without a plural's ending."""
+    t = F.regexp_replace(search_text(c), r"[.\-]", " ")
+    t = F.regexp_replace(t, r"([a-z]{2,})ies\b", "$1y")
+    t = F.regexp_replace(t, r"([a-z]{2,}(?:s|x|z|ch|sh))es\b", "$1")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"([a-z]{2,}[^s ])s\b", "$1"), " +", " "))
+
+
+def pair_token(c, sep: str = "-") -> tuple[Column, Column]:
+    """The two ends of ``A-B``; null unless there are just two, neither empty."""
+    parts = F.split(F.trim(col(c)), f"\\Q{sep}\\E", -1)
+    good = (F.size(parts) == 2) & (F.trim(F.get(parts, F.lit(0))) != "") & (F.trim(F.get(parts, F.lit(1))) != "")
+    return F.when(good, F.trim(F.get(parts, F.lit(0)))), F.when(good, F.trim(F.get(parts, F.lit(1))))
+
+
+def rewritten_id(c, prefix: tuple[str, str] | None = None, suffix: tuple[str, str] | None = None, add: int = 0) -> Column:
+    """An identifier with a prefix and a suffix exchanged where it has them, and a number added to it if it is a whole number."""
+    out = col(c).cast("string")
+    if prefix:
+        out = F.when(out.startswith(prefix[0]), F.concat(F.lit(prefix[1]), F.substring(out, F.lit(len(prefix[0]) + 1), F.length(out)))).otherwise(out)
+    if suffix:
+        out = F.when(out.endswith(suffix[0]), F.concat(F.substring(out, F.lit(1), F.length(out) - len(suffix[0])), F.lit(suffix[1]))).otherwise(out)
+    return F.when(out.rlike("^[0-9]+$"), (out.cast("decimal(38,0)") + add).cast("string")).otherwise(out) if add else out

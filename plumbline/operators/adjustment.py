@@ -9,8 +9,16 @@ Observations: net, obs_id, type, from_id, to_id, at_id, value, value_n, sigma. T
 from_id to to_id), ``gps`` (value east, value_n north), ``lev``, ``direction`` (from_id to to_id, read on a circle whose
 orientation is one more unknown for each set_id), ``dir`` (a bearing; with flip180 the other face counts where it is closer)
 and ``zenith`` (with hi and ht). The columns set_id, flip180, hi and ht may be absent or null: then a station's directions are one
-set, and the others are false or 0. Stations: net, station, x, y, h, fixed (both plane and height). Rows with a missing end,
-value or positive sigma are left out; a row of another type is an error.
+set, and the others are false or 0. A ``gps`` row may have value_u (up), sigma_n, sigma_u and the correlations corr_en, corr_eu and
+corr_nu; where they are absent or null, north and up are as good as east, nothing is correlated, and without value_u the
+row is a plane vector. Stations: net, station, x, y, h, fixed (both plane and height), and for weighted control sx, sy, sh with
+the coordinates held as target_x, target_y, target_h (default: those given) and corr_xy. Rows with a missing end, value or positive
+sigma are left out; a row of another type is an error.
+
+Correlated components become independent rows: each is reduced by what those before it say about it (the Cholesky factor of
+their covariance), which gives the same normal equations as the full weight matrix.
+
+A network whose equations don't determine it, not even with something added to the diagonal, is left as it is and marked.
 """
 
 from __future__ import annotations
@@ -24,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.angles import wrap_pi
-from plumbline.functions.numbers import huber_weight, is_finite
+from plumbline.functions.numbers import clip, huber_weight, is_finite
 from plumbline.tables import cut
 
 
@@ -43,10 +51,38 @@ def with_ends(obs: DataFrame, stations: DataFrame) -> DataFrame:
     return out.filter(~F.col("type").eqNullSafe("angle") | F.col("a_x").isNotNull())
 
 
-def _term(role: str, axis: str, value: Column) -> Column:
+def _term(role: str, axis: str, value: Column, only: Column | None = None) -> Column:
     """A coefficient; null at a fixed station, so that it falls out."""
     name = F.concat_ws(":", F.col(f"{role}_s").cast("string"), F.lit(axis))
-    return F.when(~F.col(f"{role}_fixed"), F.struct(name.alias("p"), value.alias("a")))
+    free = ~F.col(f"{role}_fixed")
+    return F.when(free if only is None else free & only, F.struct(name.alias("p"), value.alias("a")))
+
+
+@dataclass
+class Reduced:
+    """Independent parts of up to three correlated components: of each its sigma and the shares of the components before it."""
+
+    sigma: list[Column]
+    shares: list[list[Column]]
+
+
+def reduced(sigmas: list[Column], corr: dict[tuple[int, int], Column]) -> Reduced:
+    """From sigmas and correlations (held within 0.999), by the Cholesky factor L of the covariance: component i less its shares
+    of the components before has sigma L[i][i]."""
+    n = len(sigmas)
+    low: list[list[Column]] = [[F.lit(0.0)] * n for _ in range(n)]
+    for i in range(n):
+        for j in range(i + 1):
+            c = sigmas[i] * sigmas[j] * (1.0 if i == j else clip(corr[j, i], -0.999, 0.999))
+            rest = c - sum((low[i][k] * low[j][k] for k in range(j)), F.lit(0.0))
+            low[i][j] = F.sqrt(F.greatest(rest, F.lit(1e-24))) if i == j else rest / low[j][j]
+    shares = []
+    for i in range(n):
+        own = [F.lit(0.0)] * i  # solves share * L = row i of L, from the last component back
+        for j in reversed(range(i)):
+            own[j] = (low[i][j] - sum((own[k] * low[k][j] for k in range(j + 1, i)), F.lit(0.0))) / low[j][j]
+        shares.append(own)
+    return Reduced([low[i][i] for i in range(n)], shares)
 
 
 KINDS = ("dist", "bearing", "angle", "gps", "lev", "direction", "dir", "zenith")
@@ -94,17 +130,30 @@ def equations(obs: DataFrame, stations: DataFrame, turned: DataFrame | None = No
     slope2 = F.greatest(flat**2 + dh**2, F.lit(1e-18))
     zx, zy, zh = dh * dx / (slope2 * d), dh * dy / (slope2 * d), -flat / slope2
 
-    def row(kind, part, misclosure, *terms):
-        return F.when(F.col("type") == kind, F.struct(F.lit(part).alias("part"), misclosure.alias("misclosure"), F.array_compact(F.array(*terms)).alias("terms")))
+    def row(kind, part, misclosure, *terms, sigma=F.col("sigma"), only=F.lit(True)):
+        return F.when((F.col("type") == kind) & only, F.struct(F.lit(part).alias("part"), misclosure.alias("misclosure"), sigma.alias("sigma"), F.array_compact(F.array(*terms)).alias("terms")))
+
+    v = F.col("value")
+    none = F.lit(0.0)
+    up = _optional(rows, "value_u", "double", F.lit(None).cast("double"))
+    gps = reduced(
+        [F.col("sigma"), _optional(rows, "sigma_n", "double", F.col("sigma")), _optional(rows, "sigma_u", "double", F.col("sigma"))],
+        {(0, 1): _optional(rows, "corr_en", "double", none), (0, 2): _optional(rows, "corr_eu", "double", none), (1, 2): _optional(rows, "corr_nu", "double", none)},
+    )
+    parts = [("x", v - dx), ("y", F.col("value_n") - dy), ("h", up - (F.col("t_h") - F.col("f_h")))]
+
+    def vector(i):
+        """Component i of a vector less its shares of those before."""
+        shares = [*(-s for s in gps.shares[i]), F.lit(1.0)]
+        terms = [_term(r, parts[k][0], w if r == "t" else -w, w != 0) for k, w in enumerate(shares) for r in "ft"]
+        return row("gps", i, sum((w * parts[k][1] for k, w in enumerate(shares)), none), *terms, sigma=gps.sigma[i], only=up.isNotNull() if i == 2 else F.lit(True))
 
-    v, vn = F.col("value"), F.col("value_n")
     made = F.array_compact(
         F.array(
             row("dist", 0, v - F.hypot(dx, dy), _term("f", "x", -dx / d), _term("f", "y", -dy / d), _term("t", "x", dx / d), _term("t", "y", dy / d)),
             row("bearing", 0, wrap_pi(v - az), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2)),
             row("angle", 0, wrap_pi(v - angle), _term("t", "x", gx_t), _term("t", "y", gy_t), _term("f", "x", gx_f), _term("f", "y", gy_f), _term("a", "x", -(gx_t + gx_f)), _term("a", "y", -(gy_t + gy_f))),
-            row("gps", 0, v - dx, _term("f", "x", F.lit(-1.0)), _term("t", "x", F.lit(1.0))),
-            row("gps", 1, vn - dy, _term("f", "y", F.lit(-1.0)), _term("t", "y", F.lit(1.0))),
+            *(vector(i) for i in range(3)),
             row("lev", 0, v - (F.col("t_h") - F.col("f_h")), _term("f", "h", F.lit(-1.0)), _term("t", "h", F.lit(1.0))),
             row("direction", 0, wrap_pi(v - az - F.col("o")), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2), turn),
             row("dir", 0, wrap_pi(v + half_turn - az), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2)),
@@ -113,16 +162,54 @@ def equations(obs: DataFrame, stations: DataFrame, turned: DataFrame | None = No
     )
     unknown = F.raise_error(F.concat(F.lit("unknown type of observation: "), F.coalesce("type", F.lit("null"))))
     made = F.when(F.coalesce(F.col("type").isin(*KINDS), F.lit(False)), made).otherwise(unknown)
-    return rows.select("net", "obs_id", "type", "sigma", F.explode(made).alias("r")).select("net", "obs_id", "r.part", "type", "r.terms", "r.misclosure", "sigma")
+    out = rows.select("net", "obs_id", "type", F.explode(made).alias("r")).select("net", "obs_id", "r.part", "type", "r.terms", "r.misclosure", "r.sigma")
+    control = control_equations(stations, out.schema["obs_id"].dataType)
+    return out if control is None else out.unionByName(control)
+
+
+def control_equations(stations: DataFrame, id_type) -> DataFrame | None:
+    """Equation rows of type ``control`` that hold free stations to their targets; None for stations without the column sx. A station
+    may be held in any of x, y and h; x and y may be correlated."""
+    if "sx" not in stations.columns:
+        return None
+    given = lambda c, other: F.coalesce(F.col(c), F.col(other)) if c in stations.columns else F.col(other)
+    held = lambda s: is_finite(s) & (F.col(s) > 0)
+    both = held("sx") & held("sy")
+    corr = F.when(both, _optional(stations, "corr_xy", "double", F.lit(0.0))).otherwise(0.0)
+    xy = reduced([F.coalesce("sx", F.lit(1.0)), F.coalesce("sy", F.lit(1.0))], {(0, 1): corr})
+    off = {a: given(f"target_{a}", a) - F.col(a) for a in "xyh"}
+    term = lambda a, w: F.when(w != 0, F.struct(F.concat_ws(":", F.col("station").cast("string"), F.lit(a)).alias("p"), w.alias("a")))
+
+    def row(part, on, misclosure, sigma, *terms):
+        return F.when(on, F.struct(F.lit(part).alias("part"), misclosure.alias("misclosure"), sigma.alias("sigma"), F.array_compact(F.array(*terms)).alias("terms")))
+
+    share = F.when(both, xy.shares[1][0]).otherwise(0.0)
+    made = F.array_compact(
+        F.array(
+            row(0, held("sx"), off["x"], F.col("sx"), term("x", F.lit(1.0))),
+            row(1, held("sy"), off["y"] - share * off["x"], F.when(both, xy.sigma[1]).otherwise(F.col("sy")), term("y", F.lit(1.0)), term("x", -share)),
+            row(2, held("sh"), off["h"], F.col("sh"), term("h", F.lit(1.0))),
+        )
+    )
+    # An identifier below all others, so that it stands apart from those of observations.
+    name = F.concat(F.lit("control "), F.col("station").cast("string")) if id_type.simpleString() == "string" else -F.pmod(F.xxhash64("station"), F.lit(1 << 30)) - 1
+    rows = stations.filter(~F.col("fixed")).select("net", name.cast(id_type).alias("obs_id"), F.lit("control").alias("type"), F.explode(made).alias("r"))
+    return rows.select("net", "obs_id", "r.part", "type", "r.terms", "r.misclosure", "r.sigma")
 
 
 def normal_equations(rows: DataFrame, weight: Column | None = None) -> DataFrame:
-    """(net, i, j, value) of A'PA, with j null for A'PL: one grouped sum over pairs of coefficients within a row."""
+    """(net, i, j, value) of A'PA, with j null for A'PL: one grouped sum over pairs of coefficients within a row. Only one triangle
+    is summed up, then mirrored."""
     w = 1 / (F.col("sigma") * F.col("sigma")) if weight is None else weight
-    pairs = F.flatten(F.transform("terms", lambda s: F.transform("terms", lambda t: F.struct(s["p"].alias("i"), t["p"].alias("j"), (s["a"] * t["a"]).alias("v")))))
+    pair = lambda s, t: F.struct(s["p"].alias("i"), t["p"].alias("j"), (s["a"] * t["a"]).alias("v"))
+    pairs = F.flatten(F.transform("terms", lambda s: F.transform(F.filter("terms", lambda t: t["p"] >= s["p"]), lambda t: pair(s, t))))
     right = F.transform("terms", lambda s: F.struct(s["p"].alias("i"), F.lit(None).cast("string").alias("j"), (s["a"] * F.col("misclosure")).alias("v")))
     cells = rows.select("net", w.alias("w"), F.explode(F.concat(pairs, right)).alias("c"))
-    return cells.groupBy("net", F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.sum(F.col("w") * F.col("c.v")).alias("value"))
+    half = cells.groupBy("net", F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.sum(F.col("w") * F.col("c.v")).alias("value"))
+    own = F.struct(F.col("i"), F.col("j"), F.col("value"))
+    mirror = F.struct(F.col("j").alias("i"), F.col("i").alias("j"), F.col("value"))
+    both = F.when(F.col("j").isNull() | (F.col("i") == F.col("j")), F.array(own)).otherwise(F.array(own, mirror))
+    return half.select("net", F.explode(both).alias("c")).select("net", "c.i", "c.j", "c.value")
 
 
 def _system(cells: pd.DataFrame):
@@ -137,32 +224,44 @@ def _system(cells: pd.DataFrame):
 
 
 def damped_factor(n: np.ndarray, attempts: int = 24):
-    """(Cholesky factor of the scaled matrix, scale): diagonal scaling first, then ever more on the diagonal if it fails."""
+    """(Cholesky factor of the scaled matrix, scale, damping): diagonal scaling first, then ever more on the diagonal if it fails."""
     scale = 1 / np.sqrt(np.where(np.diag(n) > 0, np.diag(n), 1.0))
     scaled, damping = n * scale[:, None] * scale[None, :], 0.0
     for _ in range(attempts):
         try:
-            return np.linalg.cholesky(scaled + damping * np.eye(len(n))), scale
+            return np.linalg.cholesky(scaled + damping * np.eye(len(n))), scale, damping
         except np.linalg.LinAlgError:
             damping = max(1e-12, damping * 10)
     raise np.linalg.LinAlgError("not positive definite")
 
 
+#: Unknowns of a network that one task solves: a dense matrix of so many squared doubles.
+MOST_UNKNOWNS = 6000
+
+
 def solve_networks(normals: DataFrame, covariance: bool = False) -> DataFrame:
-    """(net, p, dx) of each network, or (net, i, j, q) of its inverse with ``covariance``. One group is one network."""
+    """(net, p, dx, damping) of each network, or (net, i, j, q) of its inverse with ``covariance``. One group is one network of at
+    most MOST_UNKNOWNS unknowns; a larger one is an error. A network that can't be solved has null dx, and no inverse."""
     net = normals.schema["net"].dataType.simpleString()
 
     def run(cells: pd.DataFrame) -> pd.DataFrame:
         names, n, u = _system(cells)
-        factor, scale = damped_factor(n)
+        if len(names) > MOST_UNKNOWNS:
+            raise ValueError(f"network {cells['net'].iloc[0]} has {len(names)} unknowns; one task solves {MOST_UNKNOWNS}")
+        try:
+            factor, scale, damping = damped_factor(n)
+        except np.linalg.LinAlgError:
+            if covariance:
+                return pd.DataFrame({"net": [], "i": [], "j": [], "q": []})
+            return pd.DataFrame({"net": cells["net"].iloc[0], "p": names, "dx": pd.array([None] * len(names), "Float64"), "damping": float("inf")})
         half = np.linalg.inv(factor) * scale[None, :]
         q = half.T @ half
         if covariance:
             i, j = np.meshgrid(range(len(names)), range(len(names)), indexing="ij")
             return pd.DataFrame({"net": cells["net"].iloc[0], "i": np.array(names)[i.ravel()], "j": np.array(names)[j.ravel()], "q": q.ravel()})
-        return pd.DataFrame({"net": cells["net"].iloc[0], "p": names, "dx": q @ u})
+        return pd.DataFrame({"net": cells["net"].iloc[0], "p": names, "dx": q @ u, "damping": damping})
 
-    return normals.groupBy("net").applyInPandas(run, f"net {net}, i string, j string, q double" if covariance else f"net {net}, p string, dx double")
+    return normals.groupBy("net").applyInPandas(run, f"net {net}, i string, j string, q double" if covariance else f"net {net}, p string, dx double, damping double")
 
 
 def _moved(stations: DataFrame, dx: DataFrame) -> DataFrame:
@@ -177,7 +276,8 @@ class Adjusted:
     stations: DataFrame
     rows: DataFrame  # equation rows at the solution, with weights
     iterations: int
-    converged: bool
+    converged: bool  # all networks
+    summary: DataFrame  # net, iterations, step (the last one's largest), damping (the largest), converged
 
 
 def _turned(turned: DataFrame, dx: DataFrame) -> DataFrame:
@@ -187,21 +287,29 @@ def _turned(turned: DataFrame, dx: DataFrame) -> DataFrame:
 
 
 def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: int = 15, robust_k: float | None = None) -> Adjusted:
-    """Gauss-Newton on all networks together until no coordinate moves by more than ``tolerance``; with ``robust_k``
-    each round weights residuals by Huber's function of the last ones."""
+    """Gauss-Newton on all networks together until no coordinate of a network moves by more than ``tolerance``, at most ``most``
+    times; with ``robust_k`` each round weights residuals by Huber's function of the last ones. A network that has come to
+    rest takes no further part; which ones have not is in ``summary``."""
     weight = 1 / (F.col("sigma") * F.col("sigma"))
     if robust_k is not None:
         weight = weight * huber_weight("misclosure", "sigma", robust_k)
-    stations, done, turn = cut(stations, "adjust"), False, 0
+    stations, done, turn, going, log = cut(stations, "adjust"), False, 0, obs, None
     turned = cut(orientations(obs, stations), "adjust-turned")
     has_sets = not turned.isEmpty()
     while turn < most and not done:
         turn += 1
-        dx = cut(solve_networks(normal_equations(equations(obs, stations, turned), weight if turn > 1 else None)), "adjust-dx")
+        rows = equations(going, stations if turn == 1 else stations.join(left, "net", "left_semi"), turned)
+        dx = cut(solve_networks(normal_equations(rows, weight if turn > 1 else None)), "adjust-dx")
         stations = cut(_moved(stations, dx), "adjust")
         turned = cut(_turned(turned, dx), "adjust-turned") if has_sets else turned
-        done = (dx.agg(F.max(F.abs("dx")).alias("m")).first()["m"] or 0.0) <= tolerance
-    return Adjusted(stations, equations(obs, stations, turned), turn, done)
+        step = dx.groupBy("net").agg(F.max(F.abs("dx")).alias("step"), F.max("damping").alias("damping"), F.lit(turn).alias("iterations"))
+        log = step if log is None else log.unionByName(step)
+        left = cut(step.filter(F.col("step") > tolerance).select("net"), "adjust-left")
+        done = left.isEmpty()
+        going = obs.join(left, "net", "left_semi")
+    last = log.groupBy("net").agg(F.max("iterations").alias("iterations"), F.max_by("step", "iterations").alias("step"), F.max("damping").alias("damping"))
+    summary = cut(last.withColumn("converged", F.coalesce(F.col("step") <= tolerance, F.lit(False))), "adjust-summary")
+    return Adjusted(stations, equations(obs, stations, turned), turn, done and summary.filter("not converged").isEmpty(), summary)
 
 
 def degrees_of_freedom(rows: DataFrame) -> DataFrame:
@@ -250,7 +358,9 @@ def drop_worst(obs: DataFrame, stations: DataFrame, threshold: float = 4.0, min_
         if turn == cycles:
             break
         stats = residual_statistics(result.rows, solve_networks(normal_equations(result.rows), covariance=True), degrees_of_freedom(result.rows))
-        bad = stats.filter((F.abs("std_res") >= threshold) & (F.col("redundancy") >= min_redundancy))
+        # Where all rows fit, standardised residuals are those of rounding errors.
+        some = F.abs("residual") > 1e-6 * F.col("sigma")
+        bad = stats.filter(some & (F.abs("std_res") >= threshold) & (F.col("redundancy") >= min_redundancy))
         worst = bad.groupBy("net").agg(F.max(F.struct(F.abs("std_res").alias("t"), F.col("redundancy"), F.col("obs_id")))["obs_id"].alias("obs_id"))
         worst = cut(worst, "drop-worst")
         if worst.isEmpty():

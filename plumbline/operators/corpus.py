@@ -1,12 +1,13 @@
-"""The text corpus: pages to text, integrity, an inverted index and ranked search. An index is a table of postings, so it
-grows in rows, never in one task; a query joins its few terms to it."""
+"""The text corpus: pages to text and sections, integrity, inventories, references and audits. Search is in ``search``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plumbline.functions.text import html_title, html_to_text, search_text, search_tokens
+from plumbline.functions.numbers import natural_key
+from plumbline.functions.text import html_title, html_to_text
 
 
 def pages_as_text(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -20,46 +21,71 @@ def markers_found(df: DataFrame, key: str, text: str, markers: list[str]) -> Dat
     return df.select(key, F.array_join(found, ",").alias("markers"), F.size(found).alias("n_markers"))
 
 
-def postings(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, term, tf, length): one row for each term of each field."""
-    parts = [docs.select(F.col(key), F.lit(f).alias("field"), search_tokens(f).alias("t")) for f in fields]
-    rows = parts[0]
-    for more in parts[1:]:
-        rows = rows.unionByName(more)
-    rows = rows.select(key, "field", F.size("t").alias("length"), F.explode("t").alias("term"))
-    return rows.groupBy(key, "field", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-
-
-def bm25(docs: DataFrame, key: str, fields: list[str], terms: list[str], boosts: dict[str, float] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(key, hits, score) of every document with one of ``terms``: BM25 by field, boosted; hits counts different terms.
-
-    Only postings of the terms are aggregated; totals are one row for each field.
-    """
-    totals = [docs.select(F.lit(f).alias("field"), F.size(search_tokens(f)).alias("length")) for f in fields]
-    stats = totals[0]
-    for more in totals[1:]:
-        stats = stats.unionByName(more)
-    stats = stats.groupBy("field").agg(F.count_if(F.col("length") > 0).alias("n"), F.avg(F.when(F.col("length") > 0, F.col("length"))).alias("mean"))
-    found = postings(docs, key, fields).filter(F.col("term").isin(terms))
-    frequency = found.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-    rows = found.join(F.broadcast(frequency), ["field", "term"]).join(F.broadcast(stats), "field")  # terms times fields, and fields
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    boost = F.coalesce(F.create_map(*(F.lit(x) for kv in (boosts or {"": 1.0}).items() for x in kv))[F.col("field")], F.lit(1.0))
-    return rows.groupBy(key).agg(F.count_distinct("term").alias("hits"), F.sum(boost * idf * tf).alias("score"))
-
-
-def search(docs: DataFrame, key: str, fields: list[str], query: str, limit: int, **kw) -> DataFrame:
-    """The first ``limit`` documents: those with all words of the query before those with some, then by score and key."""
-    terms = sorted({t for t in query.lower().split() if t})
-    scored = bm25(docs, key, fields, terms, **kw).withColumn("all_terms", F.col("hits") == len(terms))
-    return scored.orderBy(F.col("all_terms").desc(), F.round("score", 6).desc(), key).limit(limit)
-
-
-def exact_boost(df: DataFrame, text: str, query: str) -> DataFrame:
-    """What an exact match adds: the whole text, its start or somewhere within."""
-    t, q = search_text(text), query.lower()
-    return df.withColumn("boost", F.when(t == q, 5000).when(t.startswith(q), 1500).when(t.contains(q), 500).otherwise(0))
+def sections(pages: DataFrame, key: str, html: str, start: str, label: str) -> DataFrame:
+    """(key, position, label, source_key, text, content_hash) of the parts of each page that begin where ``start`` matches, up to the next
+    one. The label is what the first group of ``label`` finds in a part; the source key counts labels that come again (``a``, ``a#2``).
+    What stands before the first start, and parts without text, are left out."""
+    mark = "\u0001"
+    parts = F.split(F.regexp_replace(F.regexp_replace(html, mark, ""), f"({start})", mark + "$1"), mark, -1)
+    rows = pages.select(key, F.posexplode(parts).alias("position", "part")).filter("position > 0")
+    rows = rows.select(key, "position", F.lower(F.trim(html_to_text(F.regexp_extract("part", label, 1)))).alias("label"), html_to_text("part").alias("text")).filter("text <> ''")
+    n = F.row_number().over(Window.partitionBy(key, "label").orderBy("position"))
+    name = F.when(F.col("__n") == 1, F.col("label")).otherwise(F.concat_ws("#", "label", "__n"))
+    return rows.withColumn("__n", n).select(key, "position", "label", name.alias("source_key"), "text", F.sha2("text", 256).alias("content_hash"))
+
+
+def integrity(parts: DataFrame, key: str, markers: list[str]) -> DataFrame:
+    """(key, parts, empty, repeated, contaminated) of each page's sections: how many, how many labels are empty or come again, and how
+    many hold a marker of boilerplate."""
+    low = F.lower("text")
+    dirty = F.lit(False)
+    for m in markers:
+        dirty = dirty | low.contains(m.lower())
+    return parts.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), F.count_if(F.col("label") == "").alias("empty"), F.count_if(F.col("source_key") != F.col("label")).alias("repeated"), F.count_if(dirty).alias("contaminated"))
+
+
+def only_label(kind, label, text) -> Column:
+    """``reference-only`` for a form whose text is just its own label, else ``complete``."""
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")))
+    return F.when((F.col(kind) == "form") & (plain(text) == plain(label)), "reference-only").otherwise("complete")
+
+
+def label_order(kind_rank: Column, label: str, tie: str) -> list[Column]:
+    """Order of parts of a law: by kind, by label with numbers by value, then by key."""
+    return [kind_rank, natural_key(label), F.col(tie)]
+
+
+def inventory(docs: DataFrame, by: list[str], reasons: dict[str, Column]) -> DataFrame:
+    """(by, n, ready, a count for each reason) of a corpus: documents that a reason blocks, and those that none does."""
+    blocked = F.lit(False)
+    for c in reasons.values():
+        blocked = blocked | F.coalesce(c, F.lit(False))
+    return docs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(~blocked).alias("ready"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(r) for r, c in reasons.items()))
+
+
+def references_to_review(units: DataFrame, components: DataFrame) -> DataFrame:
+    """(unit_id, changed, missing): whether any of a unit's references (source_key, hash_at_link) has other content by now, or none."""
+    now = components.groupBy(F.col("source_key").alias("k")).agg(F.max("content_hash").alias("now"))
+    refs = units.join(now, F.col("source_key") == F.col("k"), "left")
+    return refs.groupBy("unit_id").agg(F.bool_or(F.coalesce(F.col("now") != F.col("hash_at_link"), F.lit(False))).alias("changed"), F.bool_or(F.col("k").isNull()).alias("missing"))
+
+
+def overlapping_proposals(proposals: DataFrame, units: DataFrame) -> DataFrame:
+    """(proposal, key, others, existing): proposals that share a source key with other proposals or with a unit."""
+    p = proposals.select("proposal", "key").distinct()
+    counts = p.groupBy(F.col("key").alias("k")).agg((F.count(F.lit(1)) - 1).alias("others"))
+    have = units.groupBy(F.col("key").alias("u")).agg(F.count_distinct("unit_id").alias("existing"))
+    out = p.join(counts, F.col("key") == F.col("k")).join(have, F.col("key") == F.col("u"), "left").na.fill(0, ["existing"])
+    return out.select("proposal", "key", "others", "existing").filter("others > 0 or existing > 0")
+
+
+def audit_changes(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
+    """(key, score_change, added, removed) of documents whose score or warnings changed between two audits (key, score, warnings)."""
+    b = before.select(F.col(key).alias("__k"), F.col("score").alias("__s"), F.col("warnings").alias("__w"))
+    rows = after.join(b, F.col(key) == F.col("__k"))
+    text = lambda a: F.array_join(F.array_sort(a), ",")
+    out = rows.select(key, (F.col("score") - F.col("__s")).alias("score_change"), text(F.array_except("warnings", "__w")).alias("added"), text(F.array_except("__w", "warnings")).alias("removed"))
+    return out.filter("score_change <> 0 or added <> '' or removed <> ''")
 
 
 def content_hash(df: DataFrame, by: str, order: str, text: str) -> DataFrame:

@@ -3,10 +3,15 @@ key, so they scale with the number of keys; a rank over everything is a bounded
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from plumbline.tables import cut
+
 
 def forward_fill(df: DataFrame, columns: list[str], by: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -82,12 +87,69 @@ def due_queue(units: DataFrame, now: Column, new_cap: int = 5, limit: int = 25)
     return ranked(due.filter("group <> 3").unionByName(fresh), order, limit)
 
 
-def review_queue(sources: list[DataFrame], limit: int | None = None) -> DataFrame:
-    """Rows of several sources (severity, source, line, item) as one queue: by severity, source, line, item."""
+def review_rows(sources: list[DataFrame]) -> tuple[DataFrame, list[Column]]:
+    """Rows of several sources (severity, source, line, item) as one queue, and its order: by severity, source, line, item."""
     severity = F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2)
     rows = sources[0]
     for more in sources[1:]:
         rows = rows.unionByName(more, allowMissingColumns=True)
-    rows = rows.withColumn("severity_rank", severity)
-    order = [F.col("severity_rank"), F.col("source"), F.col("line").asc_nulls_last(), F.col("item")]
-    return rows.orderBy(*order) if limit is None else ranked(rows, order, limit)
+    return rows.withColumn("severity_rank", severity), [F.col("severity_rank"), F.col("source"), F.col("line").asc_nulls_last(), F.col("item")]
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with every row's place in an order, from 1 on. Rows are sorted by ranges, a range in a task; only each range's
+    number of rows is added up in one place."""
+    rows = df.orderBy(*order).withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = cut(rows, "numbered")
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row for each task
+    starts = ends.select(F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    out = rows.join(starts, F.col("__range") == F.col("__of"))
+    return out.withColumn(name, F.col("__start") + F.col("__at") + 1).drop("__range", "__at", "__of", "__start")
+
+
+def _by_key(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], start, step, finish, schema: str) -> DataFrame:
+    names = [f"__o{i}" for i in range(len(order))]
+    rows = df.select(*keys, *columns, *(o.alias(n) for n, o in zip(names, order)))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, *names).select(*keys, *columns)
+    out_schema = T.StructType.fromDDL(schema)
+    k = len(keys)
+
+    def run(batches):
+        arrow, done, own, state = to_arrow_schema(out_schema), [], None, None
+
+        def full():
+            out = pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in done], arrow)
+            done.clear()
+            return out
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if own is None or row[:k] != own:
+                    if own is not None and finish:
+                        done.append((*own, *finish(state)))
+                    own, state = row[:k], start()
+                if finish:
+                    state = step(state, row[k:])
+                else:
+                    state, out = step(state, row[k:])
+                    done.append((*own, *out))
+                if len(done) >= 1000:
+                    yield full()
+        if own is not None and finish:
+            done.append((*own, *finish(state)))
+        yield full()
+
+    return rows.mapInArrow(run, out_schema)
+
+
+def ordered_fold(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], start, step, finish, schema: str) -> DataFrame:
+    """A row for each key from its rows in an order: ``step(state, row)`` from ``start()`` on, then ``finish(state)``, whose tuple
+    follows the keys in ``schema``. Rows are dealt out by key and sorted; a task holds one state and one batch, so a key may have any
+    number of rows."""
+    return _by_key(df, keys, order, columns, start, step, finish, schema)
+
+
+def ordered_scan(df: DataFrame, keys: list[str], order: list[Column], columns: list[str], start, step, schema: str) -> DataFrame:
+    """As ``ordered_fold``, with a row for each row: ``step(state, row)`` gives (state, tuple)."""
+    return _by_key(df, keys, order, columns, start, step, None, schema)

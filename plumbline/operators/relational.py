@@ -21,9 +21,10 @@ def active_rows(obs: DataFrame, excluded: DataFrame, key: str, is_2d: bool = Fal
     return out.filter(~F.col("type").isin("lev", "zenith")) if is_2d else out
 
 
-def override(base: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """``base`` with the non-null values of ``changes`` in ``columns``; of several changes to a key the last by all columns counts."""
-    last = changes.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*columns)).alias("__new"))
+def override(base: DataFrame, changes: DataFrame, key: str, columns: list[str], order: list[str] | None = None) -> DataFrame:
+    """``base`` with the non-null values of ``changes`` in ``columns``; of several changes to a key the last by ``order`` (then
+    by the columns themselves) counts."""
+    last = changes.groupBy(F.col(key).alias("__key")).agg(F.max(F.struct(*(order or []), *columns)).alias("__new"))
     joined = base.join(last, F.col(key) == F.col("__key"), "left")
     return joined.withColumns({c: F.coalesce(F.col(f"__new.{c}"), F.col(c)) for c in columns}).drop("__key", "__new")
 

@@ -75,11 +75,41 @@ def robust_summary(obs: DataFrame, k: float = 1.5) -> DataFrame:
     return robust_weights(obs, k).agg(F.count(F.lit(1)).alias("n"), F.count_if(w < 1).alias("downweighted"), F.avg(w).alias("mean_weight"), F.min(w).alias("min_weight"))
 
 
+#: Values that a step of ``value_at_rank`` may bring to the driver, and the parts that it cuts a range into.
+RANK_ROWS, RANK_PARTS = 20_000, 1024
+
+
+def value_at_rank(df: DataFrame, value: str, rank: int) -> float:
+    """The value at a place (from 0) in the order of a column without nulls or NaN: counts by parts of the range lead to the part
+    that holds it, which is cut again until it is small or all one value. No task holds more than the counts."""
+    rows = df.select(F.col(value).cast("double").alias("v"))
+    while True:
+        s = rows.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+        if s["low"] == s["high"]:
+            return s["low"]
+        if s["n"] <= RANK_ROWS:
+            return sorted(r["v"] for r in rows.collect())[rank]
+        part = F.least(F.floor((F.col("v") - s["low"]) / (s["high"] - s["low"]) * RANK_PARTS), F.lit(RANK_PARTS - 1))
+        counts = sorted(map(tuple, rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()))
+        for p, n in counts:
+            if rank < n:
+                break
+            rank -= n
+        rows = rows.filter(part == p)
+
+
+def exact_median(df: DataFrame, value: str) -> float | None:
+    n = df.count()
+    if not n:
+        return None
+    low = value_at_rank(df, value, (n - 1) // 2)
+    return low if n % 2 else (low + value_at_rank(df, value, n // 2)) / 2
+
+
 def median_ratio_classes(df: DataFrame, value: str, watch: float = 1.6, weak: float = 2.5) -> DataFrame:
     """Ratio of each value to the exact median of the positive finite ones, and its class."""
-    good = df.filter(is_finite(value) & (F.col(value) > 0)).agg(F.percentile(value, F.lit(0.5)).alias("median"))
-    ratio = F.when(F.col("median") > 0, F.col(value) / F.col("median"))
-    rows = df.crossJoin(F.broadcast(good)).withColumn("ratio", ratio)
+    median = exact_median(df.filter(is_finite(value) & (F.col(value) > 0)), value)
+    rows = df.withColumn("ratio", F.lit(None).cast("double") if median is None else F.col(value) / median)
     return rows.withColumn("class", F.when(F.col("ratio") >= weak, "weak").when(F.col("ratio") >= watch, "watch").otherwise("ok"))
 
 

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from plumbline.plans.measurements import measurements
+from plumbline.plans.networks import networks
 from plumbline.plans.outputs import outputs
 from plumbline.plans.records import records
 from plumbline.plans.registry import Query
+from plumbline.plans.reviews import reviews
 from plumbline.plans.texts import texts
 
-_ALL = (measurements, records, texts, outputs)
+_ALL = (measurements, networks, records, reviews, texts, outputs)
 
 
 def queries() -> dict[str, Query]:

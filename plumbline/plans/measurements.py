@@ -115,7 +115,7 @@ WITH {OBS_SQL}, {_FIT}, s AS (SELECT net, sum(w) AS s0, sum(w * a1) AS s1, sum(w
 SELECT net, 'a' AS p, round((s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1), 6) AS dx FROM s
 UNION ALL SELECT net, 'b', round((s0 * t1 - s1 * t0) / (s0 * s2 - s1 * s1), 6) FROM s""")
 def wls_line_fit(spark, sf_dir):
-    return rounded(adjustment.solve_networks(adjustment.normal_equations(_line_rows(spark, sf_dir))))
+    return rounded(adjustment.solve_networks(adjustment.normal_equations(_line_rows(spark, sf_dir))).select("net", "p", "dx"))
 
 
 @measurements.query(f"""
@@ -132,7 +132,7 @@ def wls_redundancy(spark, sf_dir):
     wide = q.groupBy("net").agg(pick("a", "a").alias("q00"), pick("a", "b").alias("q01"), pick("b", "b").alias("q11"))
     x = F.col("terms")[1]["a"]
     fit = F.col("q00") + 2 * F.col("q01") * x + F.col("q11") * x * x
-    out = rows.join(F.broadcast(wide), "net").groupBy("net")
+    out = rows.join(wide, "net").groupBy("net")
     return rounded(out.agg(F.count(F.lit(1)).alias("n"), F.sum(1 - fit / (F.col("sigma") * F.col("sigma"))).alias("redundancy_sum"), F.max(F.sqrt(F.greatest(fit, F.lit(0.0)))).alias("max_fit_sigma")))
 
 
@@ -184,58 +184,6 @@ def reduction_usage(spark, sf_dir):
     return statistics.usage_table(observations(spark, sf_dir), "from_id", "type", ["A", "N", "R"])
 
 
-def _squares(spark: SparkSession, sf_dir: str):
-    """A braced square for each nation: two fixed corners, two free ones whose approximate places are off by centimetres,
-    all distances and levels to a tenth of a millimetre, so that the truth must come back."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("net"), (100.0 + F.col("n_nationkey")).alias("s"))
-    corner = [(1, 0.0, 0.0, True), (2, 1.0, 0.0, True), (3, 1.0, 1.0, False), (4, 0.0, 1.0, False)]
-    place = F.array(*(F.struct(F.lit(k).alias("station"), (F.col("s") * x).alias("tx"), (F.col("s") * y).alias("ty"), F.lit(float(k)).alias("th"), F.lit(f).alias("fixed")) for k, x, y, f in corner))
-    truth = n.select("net", F.explode(place).alias("p")).select("net", "p.*")
-    off = F.when(F.col("fixed"), 0.0).otherwise(0.05)
-    stations = truth.select("net", "station", (F.col("tx") + off).alias("x"), (F.col("ty") - off).alias("y"), (F.col("th") + off).alias("h"), "fixed")
-    a, b = truth.alias("a"), truth.alias("b")
-    ends = a.join(b, (F.col("a.net") == F.col("b.net")) & (F.col("a.station") < F.col("b.station")))
-    common = ["a.net", (F.col("a.station") * 10 + F.col("b.station")).alias("k"), F.col("a.station").alias("from_id"), F.col("b.station").alias("to_id")]
-    dist = ends.select(*common, F.lit("dist").alias("type"), F.hypot(F.col("b.tx") - F.col("a.tx"), F.col("b.ty") - F.col("a.ty")).alias("value"))
-    lev = ends.select(*common, F.lit("lev").alias("type"), (F.col("b.th") - F.col("a.th")).alias("value"))
-    obs = dist.unionByName(lev).withColumn("obs_id", F.when(F.col("type") == "lev", F.col("k") + 100).otherwise(F.col("k")))
-    obs = obs.select("net", "obs_id", "type", "from_id", "to_id", F.lit(None).cast("int").alias("at_id"), "value", F.lit(None).cast("double").alias("value_n"), F.lit(0.001).alias("sigma"))
-    return obs, stations
-
-
-@measurements.query("""
-WITH c(station, x, y) AS (VALUES (1, 0.0, 0.0), (2, 1.0, 0.0), (3, 1.0, 1.0), (4, 0.0, 1.0))
-SELECT n_nationkey AS net, station, round(CAST((100 + n_nationkey) * x AS DOUBLE), 4) AS x, round(CAST((100 + n_nationkey) * y AS DOUBLE), 4) AS y, CAST(station AS DOUBLE) AS h FROM nation, c""")
-def network_adjust(spark, sf_dir):
-    """Gauss-Newton on all networks together; exact observations give back the true coordinates."""
-    obs, stations = _squares(spark, sf_dir)
-    out = adjustment.adjust(obs, stations).stations
-    # A tiny offset keeps -0.0 from the result.
-    return out.select("net", "station", *(F.round(F.round(c, 4) + 0.0, 4).alias(c) for c in ("x", "y", "h")))
-
-
-@measurements.query("SELECT n_nationkey AS net, 113 AS obs_id FROM nation")
-def auto_adjust(spark, sf_dir):
-    """One levelled height is wrong by 5 cm: a cycle of adjusting and dropping the worst row finds just that
-    one. With 6 degrees of freedom no standardised residual can pass 2.45, hence the threshold."""
-    obs, stations = _squares(spark, sf_dir)
-    obs = obs.withColumn("value", F.when(F.col("obs_id") == 113, F.col("value") + 0.05).otherwise(F.col("value")))
-    return adjustment.drop_worst(obs, stations, threshold=2.0, cycles=1)[1]
-
-
-@measurements.query()
-def error_ellipses(spark, sf_dir):
-    obs, stations = _squares(spark, sf_dir)
-    rows = adjustment.equations(obs, stations)
-    return rounded(adjustment.ellipses(adjustment.solve_networks(adjustment.normal_equations(rows), covariance=True), 2.447746830680816))
-
-
-@measurements.query()
-def leave_one_out_impact(spark, sf_dir):
-    obs, stations = _squares(spark, sf_dir)
-    return rounded(adjustment.leave_one_out(obs, stations, obs.filter("obs_id in (13, 24)").select("net", "obs_id")))
-
-
 @measurements.query("""SELECT s_suppkey, round(degrees(atan2(s_acctbal, s_nationkey * 100.0 + 1)) - floor(degrees(atan2(s_acctbal, s_nationkey * 100.0 + 1)) / 360) * 360, 6) AS azimuth,
 round(sqrt(s_acctbal * s_acctbal + (s_nationkey * 100.0 + 1) * (s_nationkey * 100.0 + 1)), 6) AS distance FROM supplier""")
 def inverse_azimuth_distance(spark, sf_dir):

@@ -32,11 +32,22 @@ def points_csv(spark, sf_dir):
     return exports.delimited(table(spark, sf_dir, "part"), ["p_partkey", "p_name", "p_size"])
 
 
-@outputs.query()
+@outputs.query("""SELECT s_suppkey, CAST(to_json({'type': 'Feature', 'geometry': {'type': 'Point', 'coordinates': [s_acctbal, CAST(s_nationkey AS DOUBLE)]}, 'properties': {'id': CAST(s_suppkey AS VARCHAR)}}) AS VARCHAR) AS feature FROM supplier""")
 def network_geojson(spark, sf_dir):
     return exports.geojson_points(table(spark, sf_dir, "supplier").withColumn("y", F.col("s_nationkey").cast("double")), "s_suppkey", "s_acctbal", "y")
 
 
+@outputs.query("""
+WITH o AS (SELECT o_custkey % 40 + 1 AS f, o_orderkey % 37 + 1 AS t, o_orderstatus AS k FROM orders WHERE o_custkey % 40 <> o_orderkey % 37),
+p AS (SELECT least(f, t) AS a, greatest(f, t) AS b, string_agg(DISTINCT k, ',' ORDER BY k) AS types, count(*) AS n FROM o GROUP BY 1, 2)
+SELECT a || '|' || b AS pair, CAST(to_json({'type': 'Feature', 'geometry': {'type': 'LineString', 'coordinates': [[x.s_acctbal, CAST(x.s_nationkey AS DOUBLE)], [y.s_acctbal, CAST(y.s_nationkey AS DOUBLE)]]},
+  'properties': {'pair': a || '|' || b, 'types': types, 'observations': n}}) AS VARCHAR) AS feature FROM p JOIN supplier x ON x.s_suppkey = a JOIN supplier y ON y.s_suppkey = b""")
+def network_lines(spark, sf_dir):
+    obs = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40 + 1).alias("from_id"), (F.col("o_orderkey") % 37 + 1).alias("to_id"), F.col("o_orderstatus").alias("type"))
+    points = table(spark, sf_dir, "supplier").withColumn("y", F.col("s_nationkey").cast("double"))
+    return exports.geojson_lines(obs, points, "s_suppkey", "s_acctbal", "y")
+
+
 @outputs.query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return rounded(windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"], "value"), 4)

@@ -218,14 +218,16 @@ def queue_due_order(spark, sf_dir):
 WITH {OBS_SQL}, q AS (
   SELECT CASE WHEN abs(std_res) >= 4 THEN 'high' WHEN abs(std_res) >= 3 THEN 'medium' ELSE 'low' END AS severity, 'residual' AS source, CAST(obs_id AS VARCHAR) AS item FROM obs WHERE abs(std_res) >= 2
   UNION ALL SELECT CASE WHEN o_totalprice >= 450000 THEN 'high' ELSE 'medium' END, 'price', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_totalprice >= 400000)
-SELECT severity, source, item, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS severity_rank FROM q""")
+SELECT severity, source, item, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END AS severity_rank,
+  row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, source, item) AS rank FROM q""")
 def severity_review_queue(spark, sf_dir):
     t = F.abs("std_res")
     obs = observations(spark, sf_dir).filter(t >= 2)
     a = obs.select(F.when(t >= 4, "high").when(t >= 3, "medium").otherwise("low").alias("severity"), F.lit("residual").alias("source"), F.lit(None).cast("long").alias("line"), F.col("obs_id").cast("string").alias("item"))
     o = table(spark, sf_dir, "orders").filter("o_totalprice >= 400000")
     b = o.select(F.when(F.col("o_totalprice") >= 450000, "high").otherwise("medium").alias("severity"), F.lit("price").alias("source"), F.col("o_orderkey").cast("string").alias("item"))
-    return ordered.review_queue([a, b]).drop("line")
+    queue, order = ordered.review_rows([a, b])
+    return ordered.numbered(queue, order).drop("line")
 
 
 @records.query("""
@@ -284,43 +286,21 @@ def quality_score(spark, sf_dir):
     return statistics.penalty_scores(issues, "user_id", "event_type", {"error": 2, "signup": 1})
 
 
-@records.query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey")
+@records.query("SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS rank FROM supplier")
 def natural_order(spark, sf_dir):
-    """Names in natural order, as a table of the names with their numbers."""
+    """The places of names in natural order, which is that of the numbers in them."""
     from plumbline.functions.numbers import natural_key
 
-    return table(spark, sf_dir, "supplier").orderBy(natural_key("s_name")).select("s_suppkey", "s_name")
-
-
-def _level_edges(spark, sf_dir):
-    """A levelling net for each region: a ring of its nations and a way from the first to every other."""
-    from pyspark.sql.window import Window
-
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("net"), "n_name", "n_nationkey")
-    w = Window.partitionBy("net").orderBy("n_nationkey")
-    n = n.withColumns({"next": F.coalesce(F.lead("n_name").over(w), F.first("n_name").over(w)), "first": F.first("n_name").over(w)})
-    ring = n.select("net", F.concat(F.lit("r"), "n_nationkey").alias("edge_id"), F.col("n_name").alias("a"), F.col("next").alias("b"), F.lit(0.002).alias("dh"), F.lit(1.0).alias("length_km"))
-    spokes = n.filter("n_name <> first").select("net", F.concat(F.lit("s"), "n_nationkey").alias("edge_id"), F.col("first").alias("a"), F.col("n_name").alias("b"), F.lit(0.001).alias("dh"), F.lit(2.0).alias("length_km"))
-    return ring.unionByName(spokes)
-
-
-@records.query()
-def loop_closures(spark, sf_dir):
-    return rounded(graph.loop_closures(_level_edges(spark, sf_dir), 0.0, 0.004))
-
-
-@records.query()
-def minimax_paths(spark, sf_dir):
-    edges = _level_edges(spark, sf_dir).select("net", "a", "b", F.col("length_km").alias("weight"))
-    anchors = edges.groupBy("net").agg(F.min("a").alias("node"))
-    return rounded(graph.minimax_paths(edges, anchors))
+    return ordered.numbered(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), [natural_key("s_name")])
 
 
 @records.query("""
-WITH RECURSIVE r AS (SELECT n_name AS from_id, 'NATION_' || (n_nationkey + 5) AS to_id FROM nation WHERE n_nationkey < 20),
-c AS (SELECT n_name AS id, n_name AS resolved, 0 AS steps FROM nation UNION ALL SELECT c.id, r.to_id, c.steps + 1 FROM c JOIN r ON c.resolved = r.from_id)
-SELECT id, first(resolved ORDER BY steps DESC) AS resolved, max(steps) AS steps, false AS cycle FROM c GROUP BY id""")
+SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 9 THEN c_custkey ELSE c_custkey // 10 * 10 + 9 END AS resolved, CAST(CASE WHEN c_custkey // 10 * 10 + 9 > (SELECT max(c_custkey) FROM customer) THEN 0 ELSE 9 - c_custkey % 10 END AS INTEGER) AS steps, false AS cycle
+FROM customer WHERE c_custkey // 10 * 10 + 9 <= (SELECT max(c_custkey) FROM customer)""")
 def alias_resolution(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    rules = n.filter("n_nationkey < 20").select(F.col("n_name").alias("from_id"), F.concat(F.lit("NATION_"), F.col("n_nationkey") + 5).alias("to_id"))
-    return relational.resolve_aliases(n.select(F.col("n_name").alias("id")), rules)
+    """Chains of up to nine rules, k to k + 1 within each ten."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    top = c.agg(F.max("id").alias("top")).first()["top"]
+    ids = c.filter(F.floor(F.col("id") / 10) * 10 + 9 <= top)
+    rules = ids.filter("id % 10 <> 9").select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
+    return relational.resolve_aliases(ids, rules)

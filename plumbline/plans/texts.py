@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import ENTITIES, snippet
-from plumbline.operators import corpus, scheduling
+from plumbline.operators import corpus, scheduling, search
 from plumbline.plans.measurements import rounded
 from plumbline.plans.registry import Registry
 from plumbline.tables import table
@@ -21,22 +21,91 @@ def _steps(start: str, steps: list[tuple[str, str]], flags: str = "g") -> str:
 
 
 def _decoded(start: str) -> str:
-    for name, value in ENTITIES.items():
-        start = f"replace({start}, '{name.replace(chr(39), chr(39) * 2)}', '{value.replace(chr(39), chr(39) * 2)}')"
-    return start
+    """One pass over references and what stands between them."""
+    names = " ".join(f"WHEN '&{n};' THEN '{v.replace(chr(39), chr(39) * 2)}'" for n, v in ENTITIES.items())
+    one = f"""CASE WHEN regexp_matches(x, '^&#[0-9]+;$') THEN chr(CAST(x[3:-2] AS INTEGER)) ELSE CASE lower(x) {names} ELSE x END END"""
+    return f"array_to_string(list_transform(regexp_extract_all({start}, '(?i)(&(?:#x[0-9a-f]+|#[0-9]+|[a-z]+);|[^&]+|&)'), lambda x: {one}), '')"
+
+
+def text_of(html: str) -> str:
+    """SQL of ``functions.text.html_to_text``."""
+    visible = _steps(html, [(rf"(?is)<{t}\b.*?</{t}>", "") for t in ("script", "style", "form", "nav")])
+    broken = _steps(visible, [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</(div|p|li|tr|h[1-6])>", "\n"), (r"(?i)<td[^>]*>", " | "), ("<[^>]+>", "")])
+    return _steps(_decoded(broken), [("\r\n?", "\n"), ("\u00a0", " "), ("[ \t\f\x0b]+", " "), (" *\n *", "\n"), ("\n{3,}", "\n\n"), (r"^[ \n]+|[ \n]+$", "")])
 
 
-_VISIBLE = _steps("html", [*((rf"(?is)<{t}\b.*?</{t}>", " ") for t in ("script", "style", "form", "nav")), ("(?is)<!--.*?-->", " ")])
-_BROKEN = _steps(_VISIBLE, [(r"(?i)<br\s*/?>", "\n"), (r"(?i)</(p|div|li|tr|h[1-6]|section|article|ul|ol|table)\s*>", "\n"), (r"(?i)</(td|th)\s*>", " | "), (r"(?s)<[^>]*>", "")])
-HTML_TEXT = _steps(_decoded(_BROKEN), [("[ \t\r\f]+", " "), (" ?\n ?", "\n"), ("\n{2,}", "\n"), (r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")])
 HTML_TITLE = "trim(" + _decoded("coalesce(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '')") + ", ' ')"
 
 
-@texts.query(f"SELECT page_id, {HTML_TITLE} AS title, {HTML_TEXT} AS text FROM pages")
+@texts.query(f"SELECT page_id, {HTML_TITLE} AS title, {text_of('html')} AS text FROM pages")
 def html_to_text(spark, sf_dir):
     return corpus.pages_as_text(table(spark, sf_dir, "pages"))
 
 
+START = r"<(?:h1|p|footer)\b[^>]*>"
+_SECTIONS = f"""parts AS (SELECT page_id, unnest(string_split(regexp_replace(html, '({START})', chr(1) || '\\1', 'g'), chr(1))) AS part, unnest(range(len(string_split(regexp_replace(html, '({START})', chr(1) || '\\1', 'g'), chr(1))))) AS position FROM pages),
+named AS (SELECT page_id, CAST(position AS INTEGER) AS position, lower(trim({text_of("regexp_extract(part, '^<([a-z0-9]+)', 1)")}, ' ')) AS label, {text_of('part')} AS text FROM parts WHERE position > 0),
+sections AS (SELECT *, row_number() OVER (PARTITION BY page_id, label ORDER BY position) AS n FROM named WHERE text <> '')"""
+
+
+def _sections(spark, sf_dir):
+    return corpus.sections(table(spark, sf_dir, "pages"), "page_id", "html", START, "^<([a-z0-9]+)")
+
+
+@texts.query(f"WITH {_SECTIONS} SELECT page_id, position, label, CASE WHEN n = 1 THEN label ELSE label || '#' || n END AS source_key, text, sha256(text) AS content_hash FROM sections")
+def page_sections(spark, sf_dir):
+    return _sections(spark, sf_dir)
+
+
+@texts.query(f"WITH {_SECTIONS} SELECT page_id, count(*) AS parts, count(*) FILTER (label = '') AS empty, count(*) FILTER (n > 1) AS repeated, count(*) FILTER (contains(lower(text), 'copyright') OR contains(lower(text), '&copy;')) AS contaminated FROM sections GROUP BY page_id")
+def section_integrity(spark, sf_dir):
+    return corpus.integrity(_sections(spark, sf_dir), "page_id", ["copyright", "&copy;"])
+
+
+@texts.query("""
+SELECT source, count(*) AS n, count(*) FILTER (NOT (coalesce(length(text) < 200, false) OR coalesce(lang = 'de', false) OR text IS NULL)) AS ready, count(*) FILTER (coalesce(length(text) < 200, false)) AS short, count(*) FILTER (coalesce(lang = 'de', false)) AS german,
+  count(*) FILTER (text IS NULL) AS empty FROM documents GROUP BY source""")
+def corpus_inventory(spark, sf_dir):
+    return corpus.inventory(table(spark, sf_dir, "documents"), ["source"], {"short": F.length("text") < 200, "german": F.col("lang") == "de", "empty": F.col("text").isNull()})
+
+
+@texts.query("""
+WITH c AS (SELECT 'k' || c_custkey AS k, c_mktsegment AS h FROM customer), r AS (SELECT o_orderkey % 300 AS unit_id, 'k' || (o_custkey + o_orderkey % 40) AS k, c_mktsegment AS h FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT unit_id, bool_or(coalesce(c.h <> r.h, false)) AS changed, bool_or(c.k IS NULL) AS missing FROM r LEFT JOIN c ON c.k = r.k GROUP BY unit_id""")
+def reference_review(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    o = table(spark, sf_dir, "orders").join(c, F.col("c_custkey") == F.col("o_custkey"))
+    units = o.select((F.col("o_orderkey") % 300).alias("unit_id"), F.concat(F.lit("k"), F.col("o_custkey") + F.col("o_orderkey") % 40).alias("source_key"), F.col("c_mktsegment").alias("hash_at_link"))
+    return corpus.references_to_review(units, c.select(F.concat(F.lit("k"), "c_custkey").alias("source_key"), F.col("c_mktsegment").alias("content_hash")))
+
+
+@texts.query("""
+WITH p AS (SELECT DISTINCT o_orderkey AS proposal, o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0), u AS (SELECT o_custkey AS k, count(DISTINCT o_orderkey % 100) AS e FROM orders WHERE o_orderkey % 5 = 1 GROUP BY 1), c AS (SELECT k, count(*) - 1 AS o FROM p GROUP BY k)
+SELECT proposal, p.k AS key, c.o AS others, coalesce(e, 0) AS existing FROM p JOIN c ON p.k = c.k LEFT JOIN u ON p.k = u.k WHERE c.o > 0 OR coalesce(e, 0) > 0""")
+def proposal_overlaps(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("key"))
+    return corpus.overlapping_proposals(o.filter("k % 5 = 0").withColumnRenamed("k", "proposal"), o.filter("k % 5 = 1").select((F.col("k") % 100).alias("unit_id"), "key"))
+
+
+@texts.query("""
+WITH b AS (SELECT l_orderkey AS k, count(*) AS s, list(DISTINCT l_returnflag) AS w FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1), a AS (SELECT l_orderkey AS k, count(*) AS s, list(DISTINCT l_returnflag) AS w FROM lineitem WHERE l_linenumber > 3 GROUP BY 1),
+d AS (SELECT a.k, a.s - b.s AS score_change, array_to_string(list_sort(list_filter(a.w, lambda x: NOT list_contains(b.w, x))), ',') AS added, array_to_string(list_sort(list_filter(b.w, lambda x: NOT list_contains(a.w, x))), ',') AS removed FROM a JOIN b ON a.k = b.k)
+SELECT * FROM d WHERE score_change <> 0 OR added <> '' OR removed <> ''""")
+def audit_changes(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    audit = lambda rows: rows.groupBy(F.col("l_orderkey").alias("k")).agg(F.count(F.lit(1)).alias("score"), F.collect_set("l_returnflag").alias("warnings"))
+    return corpus.audit_changes(audit(li.filter("l_linenumber <= 3")), audit(li.filter("l_linenumber > 3")), "k")
+
+
+@texts.query("""
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'form' ELSE 'section' END AS kind, p_name AS label, CASE WHEN p_partkey % 3 = 0 THEN '  ' || upper(p_name) || ' ' ELSE p_name || ' and more' END AS text FROM part)
+SELECT CASE WHEN kind = 'form' AND lower(trim(text)) = lower(label) THEN 'reference-only' ELSE 'complete' END AS status, count(*) AS n FROM p GROUP BY 1""")
+def extraction_status(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select(F.when(k % 2 == 0, "form").otherwise("section").alias("kind"), F.col("p_name").alias("label"), F.when(k % 3 == 0, F.concat(F.lit("  "), F.upper("p_name"), F.lit(" "))).otherwise(F.concat("p_name", F.lit(" and more"))).alias("text"))
+    return p.groupBy(corpus.only_label("kind", "label", "text").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 MARKERS = ["license", "cookie", "copyright", "subscribe", "<script", "nav"]
 
 
@@ -47,18 +116,43 @@ def boilerplate_flags(spark, sf_dir):
     return corpus.markers_found(table(spark, sf_dir, "pages"), "page_id", "html", MARKERS)
 
 
-_TOKENS = """tok AS (SELECT item_id, list_filter(string_split(trim(regexp_replace(regexp_replace(translate(lower(text), 'àáâãäåāçćčèéêëēėęìíîïīñńòóôõöøōšśùúûüūýÿžźż', 'aaaaaaaccceeeeeeeiiiiinnooooooossuuuuuyyzzz'), '[^a-z0-9. \\-]+', ' ', 'g'), ' +', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM benchmark)"""
+#: A query with a mark, and with words that stand in texts in other forms.
+QUERY, BOOSTS, EACH = "Lïcense termz", {"title": 8.0, "body": 1.0}, 3
+
+
+def _folded(c: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents(regexp_replace({c}, '[\\^`\u00a8\u00af\u00b4\u00b7\u00b8\u02b0-\u02ff]', '', 'g'))), '[^a-z0-9.\\-]+', ' ', 'g'), ' ')"
 
 
 @texts.query(f"""
-WITH {_TOKENS}, s AS (SELECT count(*) FILTER (len(t) > 0) AS n, avg(len(t)) FILTER (len(t) > 0) AS mean FROM tok),
-p AS (SELECT item_id, term, count(*) AS tf, first(len) AS len FROM (SELECT item_id, unnest(t) AS term, len(t) AS len FROM tok) GROUP BY item_id, term),
-f AS (SELECT * FROM p WHERE term IN ('the', 'and', 'of')), d AS (SELECT term, count(*) AS df FROM f GROUP BY term),
-r AS (SELECT item_id, count(*) AS hits, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM f JOIN d USING (term), s GROUP BY item_id)
-SELECT item_id, hits, round(score, 6) AS score, hits = 3 AS all_terms FROM r ORDER BY all_terms DESC, round(score, 6) DESC, item_id LIMIT 20""")
+WITH docs AS (SELECT doc_id AS key, source AS category, {_folded("coalesce(split_part(text, chr(10), 1), '')")} AS title, {_folded("coalesce(text, '')")} AS body FROM documents),
+f AS (SELECT key, 'title' AS field, list_filter(string_split(title, ' '), lambda x: x <> '') AS t FROM docs UNION ALL SELECT key, 'body', list_filter(string_split(body, ' '), lambda x: x <> '') FROM docs),
+s AS (SELECT field, count(*) FILTER (len(t) > 0) AS n, avg(len(t)) FILTER (len(t) > 0) AS mean FROM f GROUP BY field),
+p AS (SELECT key, field, term, count(*) AS tf, any_value(len) AS len FROM (SELECT key, field, unnest(t) AS term, len(t) AS len FROM f) GROUP BY key, field, term),
+d AS (SELECT term, field, count(*) AS df FROM p GROUP BY ALL), w AS (SELECT unnest(['license', 'termz']) AS word),
+m AS (SELECT word, term, CASE WHEN term = word THEN 1.0 ELSE greatest(CASE WHEN starts_with(term, word) THEN 0.375 * length(term) / (length(term) + 0.3 * (length(term) - length(word))) END,
+    CASE WHEN levenshtein(term, word) <= 1 THEN 0.45 * length(term) / (length(term) + levenshtein(term, word)) END) END AS weight
+  FROM (SELECT DISTINCT term FROM d), w WHERE starts_with(term, word) OR levenshtein(term, word) <= 1),
+b AS (SELECT key, word, field, max(weight * CASE field WHEN 'title' THEN 8.0 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * len / mean)))) AS s
+  FROM p JOIN m USING (term) JOIN d USING (term, field) JOIN s USING (field) GROUP BY ALL),
+r AS (SELECT key, count(DISTINCT word) AS words, sum(s) AS s FROM b GROUP BY key),
+x AS (SELECT r.key, category, words = 2 AS all_words, s + CASE WHEN title = 'license termz' THEN 5000 WHEN contains(title, 'license termz') THEN 1500 WHEN contains(body, 'license termz') THEN 1300 WHEN contains(body, 'license') AND contains(body, 'termz') THEN 500 ELSE 0 END AS score
+  FROM r JOIN docs ON docs.key = r.key)
+SELECT key, category, all_words, round(score, 5) AS score, row_number() OVER (PARTITION BY category ORDER BY all_words DESC, round(score, 6) DESC, key) AS rank FROM x QUALIFY rank <= {EACH}""")
 def search_ranked(spark, sf_dir):
-    """The 20 best items for a query: all words before some, then BM25."""
-    return rounded(corpus.search(table(spark, sf_dir, "benchmark"), "item_id", ["text"], "the and of", 20))
+    """The best documents of each source for a query, from an index of first lines and texts."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
+    index = search.build(docs, "doc_id", "source", ["title", "body"])
+    return rounded(search.search(index, QUERY, BOOSTS, "title", "body", EACH), 5)
+
+
+@texts.query("""
+WITH t AS (SELECT item_id, lower(text) AS t FROM benchmark), w AS (SELECT unnest(['the', 'ou']) AS w),
+o AS (SELECT item_id, w, unnest(range(1, len(string_split(t, w)))) AS i, string_split(t, w) AS p FROM t, w)
+SELECT item_id, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(w) + 1 AS INTEGER) AS start, CAST(length(w) AS INTEGER) AS length FROM o""")
+def highlight_spans(spark, sf_dir):
+    spans = search.highlights("text", ["the", "ou"])
+    return table(spark, sf_dir, "benchmark").select("item_id", F.explode(spans).alias("s")).select("item_id", "s.start", "s.length")
 
 
 @texts.query("""
@@ -70,23 +164,78 @@ def snippet_window(spark, sf_dir):
     return docs.select("doc_id", snippet("text", F.lit("license")).alias("snippet"))
 
 
-_RATED = """a AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'again' WHEN 'view' THEN 'hard' WHEN 'click' THEN 'good' ELSE 'easy' END AS rating FROM events WHERE ts IS NOT NULL)"""
+_RATED = """a AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'again' WHEN 'signup' THEN 'hard' WHEN 'click' THEN 'good' WHEN 'purchase' THEN 'easy' END AS rating FROM events WHERE ts IS NOT NULL)"""
 
 
-def _attempts(spark, sf_dir):
-    rating = F.when(F.col("event_type") == "error", "again").when(F.col("event_type") == "view", "hard").when(F.col("event_type") == "click", "good").otherwise("easy")
-    return table(spark, sf_dir, "events").select("user_id", "ts", "event_id", rating.alias("rating"))
+def _log(spark, sf_dir):
+    """The events as a log of attempts; a view is a reading, without a rating."""
+    rating = F.create_map(*(F.lit(x) for kv in (("error", "again"), ("signup", "hard"), ("click", "good"), ("purchase", "easy")) for x in kv))[F.col("event_type")]
+    return table(spark, sf_dir, "events").filter("ts is not null").select("user_id", "ts", "event_id", rating.alias("rating"))
 
 
 @texts.query(f"""
-WITH {_RATED}, l AS (SELECT user_id, count(*) AS attempts, count(*) FILTER (rating IN ('good', 'easy')) AS good, count(DISTINCT CAST(ts AS DATE)) AS days,
-  count(DISTINCT CAST(ts AS DATE)) FILTER (rating IN ('good', 'easy')) AS gd, first(rating ORDER BY ts DESC, rating DESC) AS last, max(ts) AS last_at FROM a GROUP BY user_id)
-SELECT user_id, CAST(attempts AS BIGINT) AS attempts, CAST(good AS BIGINT) AS good, days, CASE WHEN last = 'again' THEN 'relearning' WHEN gd >= 2 THEN 'review' ELSE 'learning' END AS phase,
-  CAST(CAST(last_at AS DATE) + CASE last WHEN 'again' THEN 0 WHEN 'hard' THEN 1 WHEN 'good' THEN 3 ELSE 7 END AS DATE) AS due FROM l""")
+WITH {_RATED}, r0 AS (SELECT user_id, min({{'t': ts, 'e': event_id}}) AS t0 FROM a WHERE rating IS NULL GROUP BY 1),
+s AS (SELECT a.user_id, {{'t': ts, 'e': event_id}} AS w FROM a JOIN r0 ON a.user_id = r0.user_id WHERE rating IN ('good', 'easy') AND {{'t': ts, 'e': event_id}} > t0),
+d1 AS (SELECT user_id, CAST(w.t AS DATE) AS d, min(w) AS f FROM s GROUP BY 1, 2), t1 AS (SELECT user_id, f AS t1 FROM d1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY d) = 2),
+d2 AS (SELECT s.user_id, CAST(w.t AS DATE) AS d, min(w) AS f FROM s JOIN t1 ON s.user_id = t1.user_id WHERE w > t1 GROUP BY 1, 2), t2 AS (SELECT user_id, f AS t2 FROM d2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY d) = 2),
+t3 AS (SELECT s.user_id, min(w) AS t3 FROM s JOIN t2 ON s.user_id = t2.user_id WHERE w > t2 GROUP BY 1),
+l AS (SELECT user_id, count(rating) AS attempts, first(rating ORDER BY ts DESC, event_id DESC) AS last, max(ts) AS last_at FROM (SELECT user_id, ts, event_id, coalesce(rating, '-') AS r2, rating FROM a) GROUP BY user_id),
+k AS (SELECT user_id, first(coalesce(rating, '-') ORDER BY ts DESC, event_id DESC) AS last FROM a GROUP BY user_id)
+SELECT l.user_id, CASE WHEN t3 IS NOT NULL THEN 'maintenance' WHEN t2 IS NOT NULL THEN 'application' WHEN t1 IS NOT NULL THEN 'free-recall' WHEN t0 IS NOT NULL THEN 'guided-recall' ELSE 'unread' END AS phase, attempts,
+  last_at + to_days(CASE k.last WHEN 'hard' THEN 1 WHEN 'good' THEN 3 WHEN 'easy' THEN 7 ELSE 0 END) AS due_at
+FROM l JOIN k ON l.user_id = k.user_id LEFT JOIN r0 ON l.user_id = r0.user_id LEFT JOIN t1 ON l.user_id = t1.user_id LEFT JOIN t2 ON l.user_id = t2.user_id LEFT JOIN t3 ON l.user_id = t3.user_id""")
 def phase_fold(spark, sf_dir):
-    return scheduling.unit_phases(_attempts(spark, sf_dir), "user_id", "ts", "rating")
+    """The phase machine over each user's log."""
+    return scheduling.unit_phases(_log(spark, sf_dir), "user_id", "ts", "rating", "event_id")
+
+
+@texts.query()
+def memory_states(spark, sf_dir):
+    """Spaced repetition over each user's log."""
+    return rounded(scheduling.memory_states(_log(spark, sf_dir), "user_id", "ts", "rating", "event_id"))
 
 
 @texts.query(f"WITH {_RATED} SELECT user_id, event_id, rating FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_attempt(spark, sf_dir):
-    return scheduling.latest_attempts(_attempts(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "rating")
+    return scheduling.latest_attempts(_log(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "rating")
+
+
+@texts.query(f"WITH {_RATED} SELECT user_id, count(*) AS left_over, max(event_id) AS last_event FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 1) GROUP BY user_id")
+def undo_last(spark, sf_dir):
+    left = scheduling.without_last(_log(spark, sf_dir), "user_id", "ts", "event_id")
+    return left.groupBy("user_id").agg(F.count(F.lit(1)).alias("left_over"), F.max("event_id").alias("last_event"))
+
+
+_UNITS = """units AS (SELECT o_orderkey AS unit_id, o_orderpriority AS title, o_orderkey % 13 = 0 AS needs_review, CASE WHEN o_orderkey % 7 = 0 THEN 'unread' ELSE 'free-recall' END AS phase, o_orderdate AS due_at FROM orders)"""
+NOW = "1997-06-01"
+
+
+def _units(spark, sf_dir):
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(k.alias("unit_id"), F.col("o_orderpriority").alias("title"), (k % 13 == 0).alias("needs_review"), F.when(k % 7 == 0, "unread").otherwise("free-recall").alias("phase"), F.col("o_orderdate").alias("due_at"))
+
+
+@texts.query(f"""
+WITH {_UNITS} SELECT CASE WHEN needs_review THEN 'source-review' WHEN phase = 'unread' THEN 'new' WHEN due_at < TIMESTAMP '{NOW}' - INTERVAL 1 DAY THEN 'overdue' WHEN due_at <= TIMESTAMP '{NOW}' THEN 'due' WHEN due_at <= TIMESTAMP '{NOW}' + INTERVAL 7 DAY THEN 'soon' ELSE 'later' END AS class,
+  count(*) AS n FROM units GROUP BY 1""")
+def due_classes(spark, sf_dir):
+    return scheduling.due_classes(_units(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@texts.query(f"WITH {_UNITS} SELECT unit_id, title, due_at FROM units WHERE due_at > TIMESTAMP '{NOW}' AND phase <> 'unread' AND NOT needs_review ORDER BY due_at, title, unit_id LIMIT 1")
+def next_review(spark, sf_dir):
+    return scheduling.next_review(_units(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).select("unit_id", "title", F.col("due_at").cast("timestamp_ntz").alias("due_at"))
+
+
+@texts.query(f"WITH {_RATED} SELECT c_custkey AS user_id FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_at FROM a WHERE user_id % 3 <> 0 GROUP BY 1) l ON c_custkey = l.user_id WHERE c_custkey <= 150 AND last_at IS NOT NULL ORDER BY last_at, c_custkey LIMIT 10")
+def surprise_units(spark, sf_dir):
+    """The ten units whose last attempt is longest ago."""
+    log = _log(spark, sf_dir).filter("user_id % 3 <> 0")
+    units = table(spark, sf_dir, "customer").filter("c_custkey <= 150").select(F.col("c_custkey").alias("user_id")).join(log.select("user_id").distinct(), "user_id", "left_semi")
+    return scheduling.least_recent(units, log, "user_id", "ts", 10).select("user_id")
+
+
+@texts.query(f"WITH {_RATED} SELECT CAST(ts AS DATE) AS day, count(*) AS reviewed, count(*) FILTER (rating = 'again') AS again, count(*) FILTER (rating = 'hard') AS hard, count(*) FILTER (rating = 'good') AS good, count(*) FILTER (rating = 'easy') AS easy FROM a WHERE rating IS NOT NULL GROUP BY 1")
+def session_summary(spark, sf_dir):
+    rows = _log(spark, sf_dir).filter("rating is not null").withColumn("day", F.to_date("ts"))
+    return scheduling.session_summary(rows, "day", "rating")

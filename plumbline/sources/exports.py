@@ -25,6 +25,19 @@ def geojson_points(points: DataFrame, key: str, x: str, y: str) -> DataFrame:
     return points.select(key, F.to_json(feature, {"ignoreNullFields": "false"}).alias("feature"))
 
 
+def geojson_lines(obs: DataFrame, points: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(pair, feature): one GeoJSON line for each pair that observations (from_id, to_id, type) connect, whichever way, with their kinds.
+    Pairs with an unknown end are left out."""
+    pairs = connections(obs.filter("from_id <> to_id")).withColumnRenamed("n", "observations")
+    ends = obs.select(pair_key("from_id", "to_id").alias("p"), F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).dropDuplicates(["p"])
+    rows = pairs.join(ends, F.col("pair") == F.col("p"))
+    for end in "ab":
+        rows = rows.join(points.select(F.col(key).alias(f"{end}_k"), F.array(x, y).alias(f"{end}_xy")), F.col(end) == F.col(f"{end}_k"))
+    geometry = F.struct(F.lit("LineString").alias("type"), F.array("a_xy", "b_xy").alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct("pair", "types", "observations").alias("properties"))
+    return rows.select("pair", F.to_json(feature).alias("feature"))
+
+
 def delimited(points: DataFrame, columns: list[str], delimiter: str = ",") -> DataFrame:
     """(line): the columns as text, quoted where needed."""
     return points.select(F.concat_ws(delimiter, *(csv_field(c) for c in columns)).alias("line"))

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a row group of a working table.
+ROW_GROUP_BYTES = 16 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one under the warehouse."""
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset on one machine, as in tests, one under the warehouse.
+    On a cluster it has to be set: the warehouse may be a local folder there."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    return (at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints").rstrip("/")
+    if not at:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return at.rstrip("/")
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: a lost executor costs no recomputing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # A writer holds a row group in memory, so row groups are kept small.
+    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -46,24 +46,3 @@ def test_sql(spark, duck, name):
     assert len(got) == len(want) and not bad, (len(got), len(want), bad[:3])
     assert got
     assert not [t for t in map(str, ref.types) if t.startswith(("DECIMAL", "HUGEINT"))], ref.types
-
-
-def test_loops(spark):
-    out = catalogue.queries()["loop_closures"](spark, SF).collect()
-    # A region of n nations has n ring edges and n - 1 spokes on n stations: n loops.
-    assert len(out) == 25 and all(r["tolerance"] > 0 for r in out)
-
-
-def test_minimax(spark):
-    out = catalogue.queries()["minimax_paths"](spark, SF).collect()
-    assert len(out) == 25 and all(r["worst"] <= 1.0 for r in out)
-
-
-def test_ellipses(spark):
-    out = catalogue.queries()["error_ellipses"](spark, SF).collect()
-    assert len(out) == 50 and all(0 < r["minor"] <= r["major"] for r in out)
-
-
-def test_leave_one_out(spark):
-    out = catalogue.queries()["leave_one_out_impact"](spark, SF).collect()
-    assert len(out) == 50 and all(abs(r["delta_s0"]) < 1e-3 for r in out)
