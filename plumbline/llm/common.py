@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -13,10 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.tables import cut, table
+
+__all__ = ["ARROW", "SLICE_ROWS", "append_columns", "arrow_rows", "crc_mod", "cut", "emit_rows", "id_and_text", "pack", "sift_rows", "slices", "table", "unpack"]
+
 #: Rows handed to Python at once; a batch from Spark is cut into slices of so many.
 SLICE_ROWS = 256
-#: Bytes of a row group of a working table.
-ROW_GROUP_BYTES = 16 << 20
 
 ARROW = {
     "long": (T.LongType(), pa.int64()),
@@ -122,23 +123,6 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; where it is unset, as in tests, one under the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    return at
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder as Parquet and read again: a lost executor costs no recomputing."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    # A writer holds a row group in memory, so row groups are kept small.
-    df.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed string: each as its bytes by place, which makes small numbers cheap."""
     out = [np.array([len(a) for a in arrays] + [a.dtype.itemsize for a in arrays], np.int64).tobytes()]
@@ -170,10 +154,6 @@ def arrow_rows(spark: SparkSession, rows: int = 2 * SLICE_ROWS, size: str = "4m"
             spark.conf.set(k, v)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def crc_mod(id_col, n: int):
     """crc32 of the identifier as text, modulo ``n``; a null identifier counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))

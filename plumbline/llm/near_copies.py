@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.common import append_columns, arrow_rows, cut, emit_rows, pack, unpack
 from plumbline.llm.quality_rules import word_hashes
-from plumbline.llm.simhash_dedup import _signed, components, links, set_bits
+from plumbline.llm.simhash_dedup import _signed, links, set_bits
+from plumbline.operators.graph import components
 
 SHINGLE = 5
 #: Similarity as a fraction, so that bounds are whole numbers.

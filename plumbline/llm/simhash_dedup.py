@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import append_columns, cut, id_and_text, table
+from plumbline.operators.graph import components
 
 SHINGLE = 3
 SEED = 42
@@ -179,33 +180,6 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges``: the least node of its component.
-
-    Large-star and small-star in turn: every node's larger neighbours, then all smaller ones, are tied to its
-    least neighbour, until nothing changes. Each round sends only a minimum by node over its edges.
-    """
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
-    before = None
-    for _ in range(max_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["x"]).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "x")
-        joined = large.join(least, large["u"] == least["x"])
-        small = joined.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.filter("u <> v").distinct(), "components")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
-
-
 def classes(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the least doc_id reachable) of every row."""
     rows = cut(fingerprints(id_and_text(docs, id_col, text_col), drop=["text"]), "fingerprints")
