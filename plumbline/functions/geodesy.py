@@ -5,9 +5,10 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.angles import wrap_two_pi
 from plumbline.functions.numbers import col
 
 
@@ -175,3 +176,35 @@ def bilinear(row, column, q00, q01, q10, q11) -> Column:
     """Value at (row, column) within a grid cell from its four corners, by the fractions of row and column."""
     u, v = col(row) - F.floor(col(row)), col(column) - F.floor(col(column))
     return (1 - u) * (1 - v) * col(q00) + (1 - u) * v * col(q01) + u * (1 - v) * col(q10) + u * v * col(q11)
+
+
+def convergence(lat, lon, lon0: float) -> Column:
+    """Meridian convergence of a transverse Mercator grid, in radians: east of the axis grid north lies east of true north."""
+    return F.atan(F.tan(F.radians(col(lon) - lon0)) * F.sin(F.radians(col(lat))))
+
+
+def grid_azimuth(true_azimuth, lat, lon, lon0: float) -> Column:
+    """A true azimuth as one from grid north."""
+    return wrap_two_pi(col(true_azimuth) - convergence(lat, lon, lon0))
+
+
+def corrected_distance(distance, prism: float = 0.0, ppm: float = 0.0, scale=1.0) -> Column:
+    """A measured distance with its prism constant and scale corrections, at grid scale."""
+    return (col(distance) + prism) * (1 + ppm * 1e-6) * (scale if isinstance(scale, Column) else F.lit(scale))
+
+
+def orthometric(ellipsoidal, undulation) -> Column:
+    return col(ellipsoidal) - col(undulation)
+
+
+def grid_values(points: DataFrame, x: str, y: str, grid: DataFrame, step: float) -> DataFrame:
+    """``points`` with the value of a grid (i, j, value at x = j step, y = i step), bilinear in its cell; null where a corner is missing. Corners come by
+    one join on the cell."""
+    rows = points.withColumns({"__r": F.col(y) / step, "__c": F.col(x) / step})
+    rows = rows.withColumns({"__i": F.floor("__r"), "__j": F.floor("__c")})
+    at = lambda di, dj: F.struct((F.col("i") - di).alias("i"), (F.col("j") - dj).alias("j"), F.lit(2 * di + dj).alias("k"))
+    spread = grid.select("value", F.explode(F.array(*(at(a, b) for a in (0, 1) for b in (0, 1)))).alias("c"))
+    corner = lambda k: F.max(F.when(F.col("c.k") == k, F.col("value"))).alias(f"__q{k}")
+    cells = spread.groupBy(F.col("c.i").alias("__ci"), F.col("c.j").alias("__cj")).agg(*map(corner, range(4)))
+    out = rows.join(cells, (F.col("__i") == F.col("__ci")) & (F.col("__j") == F.col("__cj")), "left")
+    return out.withColumn("value", bilinear("__r", "__c", "__q0", "__q1", "__q2", "__q3")).drop("__r", "__c", "__i", "__j", "__ci", "__cj", "__q0", "__q1", "__q2", "__q3")

@@ -371,6 +371,26 @@ def drop_worst(obs: DataFrame, stations: DataFrame, threshold: float = 4.0, min_
     return result, gone
 
 
+def deweight_outliers(obs: DataFrame, stations: DataFrame, threshold: float = 3.0, factor: float = 4.0, cycles: int = 3) -> tuple[Adjusted, DataFrame]:
+    """Adjusts, makes the sigma of each network's worst row over ``threshold`` so many times larger and repeats, up to ``cycles`` times. Returns
+    the last adjustment and the (net, obs_id, times) that were made larger."""
+    left, marked = obs, None
+    for turn in range(cycles + 1):
+        result = adjust(left, stations)
+        if turn == cycles:
+            break
+        stats = residual_statistics(result.rows, solve_networks(normal_equations(result.rows), covariance=True), degrees_of_freedom(result.rows))
+        bad = stats.filter((F.abs("residual") > 1e-6 * F.col("sigma")) & (F.abs("std_res") >= threshold) & (F.col("type") != "control"))
+        worst = cut(bad.groupBy("net").agg(F.max(F.struct(F.abs("std_res").alias("t"), F.col("obs_id")))["obs_id"].alias("obs_id")), "deweight")
+        if worst.isEmpty():
+            break
+        marked = worst if marked is None else marked.unionByName(worst)
+        hit = worst.withColumn("__hit", F.lit(True))
+        left = cut(left.join(hit, ["net", "obs_id"], "left").withColumn("sigma", F.when(F.col("__hit"), F.col("sigma") * factor).otherwise(F.col("sigma"))).select(*obs.columns), "deweight")
+    marked = obs.select("net", "obs_id").limit(0) if marked is None else marked
+    return result, marked.groupBy("net", "obs_id").agg(F.count(F.lit(1)).alias("times"))
+
+
 def leave_one_out(obs: DataFrame, stations: DataFrame, candidates: DataFrame) -> DataFrame:
     """(net, obs_id, s0, base_s0, delta_s0): what the a posteriori standard deviation becomes without each candidate. Every
     candidate is a scenario of its own, and all scenarios are adjusted together as networks."""
@@ -425,3 +445,13 @@ def chi_square_test(ss: float, dof: int, alpha: float = 0.05) -> dict:
         return {"pass": None, "low": None, "high": None, "p": None}
     low, high = chi_square_quantile(alpha / 2, dof), chi_square_quantile(1 - alpha / 2, dof)
     return {"pass": low <= ss <= high, "low": low, "high": high, "p": 1 - gamma_p(dof / 2, ss / 2)}
+
+
+def chi_square_tests(summary: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """``summary`` (ss, dof) with low, high and pass of each network's global test; null without degrees of freedom. Limits are found once for each
+    number of degrees of freedom."""
+    dofs = [r["dof"] for r in summary.filter("dof > 0").select("dof").distinct().collect()]
+    limits = [(int(d), chi_square_quantile(alpha / 2, d), chi_square_quantile(1 - alpha / 2, d)) for d in dofs]
+    table = summary.sparkSession.createDataFrame(limits, "d int, low double, high double")
+    out = summary.join(table, F.col("dof") == F.col("d"), "left").drop("d")
+    return out.withColumn("pass", F.col("ss").between(F.col("low"), F.col("high")))

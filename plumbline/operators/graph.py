@@ -1,7 +1,7 @@
 """Graphs: connected components as joins; spanning forests, loops and minimax paths within one network.
 
-Components run over all edges at once, in rounds of joins. Loops and paths are by network: rows of one
-network (a survey job, some thousands of edges at most) meet in one task, networks spread over all tasks.
+Components run over all edges at once, in rounds of joins: about the logarithm of the longest chain, and an error beyond ``max_rounds``.
+Loops and paths are by network: the rows of one network meet in one task, up to a checked number, and networks spread over all tasks.
 """
 
 from __future__ import annotations
@@ -49,49 +49,86 @@ def natural(name) -> list:
     return [(0, int(p), "") if p.isdigit() else (1, 0, p.lower()) for p in re.findall(r"\d+|\D+", str(name))]
 
 
-def loop_closures(edges: DataFrame, base_m: float, per_sqrt_km_m: float) -> DataFrame:
-    """(net, loop, n_edges, closure, length_km, tolerance, pass): one loop for each edge off the spanning forest.
+def _loops(rows: pd.DataFrame, values: list[str]) -> list[tuple]:
+    """(edge, number of edges, sums of ``values`` around) of the loop of each edge off the spanning forest. The first value counts on both
+    ways alike (a length), the others change their sign with the direction. The forest is grown breadth first from the least name, neighbours in
+    natural order, so that loops are the same in any input order."""
+    rows = rows.dropna(subset=["a", "b", *values[1:]]).sort_values("edge_id", kind="stable")
+    around, tree, out = defaultdict(list), {}, []
+    signs = [1] + [-1] * (len(values) - 1)
+    for r in rows.itertuples():
+        v = [getattr(r, c) for c in values]
+        around[r.a].append((r.b, r.edge_id, v))
+        around[r.b].append((r.a, r.edge_id, [s * x for s, x in zip(signs, v)]))
+    used = set()
+    for root in sorted(around, key=natural):
+        if root in tree:
+            continue
+        tree[root] = (None, [0.0] * len(values), 0)  # parent, sums from the root, depth
+        queue = [root]
+        for node in queue:
+            for to, edge, v in sorted(around[node], key=lambda e: (natural(e[0]), e[1])):
+                if to not in tree:
+                    tree[to] = (node, [x + y for x, y in zip(tree[node][1], v)], tree[node][2] + 1)
+                    used.add(edge)
+                    queue.append(to)
+    for r in rows.itertuples():
+        if r.edge_id in used or r.a == r.b:
+            continue
+        a, b = r.a, r.b
+        while a != b:  # up to where the two ways to the root meet
+            if tree[a][2] >= tree[b][2]:
+                a = tree[a][0]
+            else:
+                b = tree[b][0]
+        n = tree[r.a][2] + tree[r.b][2] - 2 * tree[a][2] + 1
+        sums = [tree[r.a][1][k] + s * tree[r.b][1][k] + getattr(r, c) - (2 * tree[a][1][k] if s > 0 else 0) for k, (c, s) in enumerate(zip(values, signs))]
+        out.append((r, n, sums))
+    return out
+
+
+#: Edges of a network whose loops one task finds.
+MOST_EDGES = 500_000
+
+
+def _per_network(edges: DataFrame, make, schema: str) -> DataFrame:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        if len(rows) > MOST_EDGES:
+            raise ValueError(f"network {rows['net'].iloc[0]} has {len(rows)} edges; one task takes {MOST_EDGES}")
+        return make(rows)
 
-    ``edges``: net, edge_id, a, b, dh, length_km. The forest is grown breadth first from the least name, neighbours in
-    natural order, so that loops are the same in any input order. Edges with a null end or difference are left out.
-    """
+    return edges.groupBy("net").applyInPandas(run, schema)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["a", "b", "dh"]).sort_values("edge_id", kind="stable")
-        around, tree, out = defaultdict(list), {}, []
-        for r in rows.itertuples():
-            around[r.a].append((r.b, r.edge_id, r.dh, r.length_km))
-            around[r.b].append((r.a, r.edge_id, -r.dh, r.length_km))
-        used = set()
-        for root in sorted(around, key=natural):
-            if root in tree:
-                continue
-            tree[root] = (None, 0.0, 0.0, 0)  # parent, height from the root, way from the root, depth
-            queue = [root]
-            for node in queue:
-                for to, edge, dh, km in sorted(around[node], key=lambda e: (natural(e[0]), e[1])):
-                    if to not in tree:
-                        tree[to] = (node, tree[node][1] + dh, tree[node][2] + km, tree[node][3] + 1)
-                        used.add(edge)
-                        queue.append(to)
-        for r in rows.itertuples():
-            if r.edge_id in used or r.a == r.b:
-                continue
-            a, b = r.a, r.b
-            while a != b:  # up to where the two ways to the root meet
-                if tree[a][3] >= tree[b][3]:
-                    a = tree[a][0]
-                else:
-                    b = tree[b][0]
-            n = tree[r.a][3] + tree[r.b][3] - 2 * tree[a][3] + 1
-            km = tree[r.a][2] + tree[r.b][2] - 2 * tree[a][2] + r.length_km
-            closure = tree[r.a][1] + r.dh - tree[r.b][1]
+
+def loop_closures(edges: DataFrame, base_m: float, per_sqrt_km_m: float) -> DataFrame:
+    """(net, loop, n_edges, closure, length_km, tolerance, pass) of levelling: one loop for each edge off the spanning forest. ``edges``: net,
+    edge_id, a, b, dh, length_km. Edges with a null end or difference are left out; a network of over MOST_EDGES is an error."""
+
+    def make(rows):
+        out = []
+        for r, n, (km, closure) in _loops(rows, ["length_km", "dh"]):
             tolerance = base_m + per_sqrt_km_m * km**0.5
             out.append((r.net, f"{r.a}|{r.b}|{r.edge_id}", n, closure, km, tolerance, abs(closure) <= tolerance))
         return pd.DataFrame(out, columns=["net", "loop", "n_edges", "closure", "length_km", "tolerance", "pass"])
 
     kind = edges.schema["net"].dataType.simpleString()
-    return edges.groupBy("net").applyInPandas(run, f"net {kind}, loop string, n_edges int, closure double, length_km double, tolerance double, pass boolean")
+    return _per_network(edges, make, f"net {kind}, loop string, n_edges int, closure double, length_km double, tolerance double, pass boolean")
+
+
+def vector_loop_closures(edges: DataFrame, base_m: float, ppm: float) -> DataFrame:
+    """(net, loop, n_edges, closure_e, closure_n, length, tolerance, pass) of satellite vectors (net, edge_id, a, b, de, dn), as ``loop_closures``;
+    the tolerance grows with the length of the loop."""
+
+    def make(rows):
+        rows = rows.assign(length=(rows["de"] ** 2 + rows["dn"] ** 2) ** 0.5)
+        out = []
+        for r, n, (length, e, north) in _loops(rows, ["length", "de", "dn"]):
+            tolerance = base_m + length * ppm * 1e-6
+            out.append((r.net, f"{r.a}|{r.b}|{r.edge_id}", n, e, north, length, tolerance, (e * e + north * north) ** 0.5 <= tolerance))
+        return pd.DataFrame(out, columns=["net", "loop", "n_edges", "closure_e", "closure_n", "length", "tolerance", "pass"])
+
+    kind = edges.schema["net"].dataType.simpleString()
+    return _per_network(edges, make, f"net {kind}, loop string, n_edges int, closure_e double, closure_n double, length double, tolerance double, pass boolean")
 
 
 def minimax_paths(edges: DataFrame, anchors: DataFrame) -> DataFrame:

@@ -236,3 +236,43 @@ def resolve_names(tokens: DataFrame, names: list[str], aliases: dict[str, str])
     name = F.when(F.col("means").isNotNull(), F.col("means")).when(whole, F.col("t")).when(F.size("names") == 1, F.col("names")[0])
     state = F.when(F.col("means").isNotNull(), "alias").when(whole, "name").when(F.size("names") == 1, "prefix").when(F.size("names") > 1, "ambiguous").otherwise("unknown")
     return rows.select("token", name.alias("name"), state.alias("state"), F.when(state == "ambiguous", F.array_join("names", ",")).otherwise("").alias("candidates"))
+
+
+#: Tolerances of levelling loops by name, in millimetres: constant, and to the root of the length in kilometres.
+LEVEL_TOLERANCES = {"default": (0, 4), "tight": (0, 3), "balanced": (1, 5), "relaxed": (2, 8)}
+
+
+def tolerance_name(base_mm, per_sqrt_km_mm) -> Column:
+    """The name of a tolerance, ``custom`` for any other."""
+    out = F.lit("custom")
+    for name, (base, per) in LEVEL_TOLERANCES.items():
+        out = F.when((F.abs(base_mm - base) <= 1e-9) & (F.abs(per_sqrt_km_mm - per) <= 1e-9), name).otherwise(out)
+    return out
+
+
+def direction_repeatability(obs: DataFrame, reduced: str) -> DataFrame:
+    """(at_id, to_id, sets, spread, rms, score) of every target over the sets of its station: how far its reduced directions differ from their mean.
+    Directions of a target lie close together, so plain means serve after turning them to the first."""
+    from plumbline.functions.angles import wrap_pi
+
+    first = obs.groupBy("at_id", "to_id").agg(F.min(F.struct("set_id", F.col(reduced).alias("r")))["r"].alias("first"))
+    rows = obs.join(first, ["at_id", "to_id"]).withColumn("d", wrap_pi(F.col(reduced) - F.col("first")))
+    out = rows.groupBy("at_id", "to_id").agg(F.count_distinct("set_id").alias("sets"), (F.max("d") - F.min("d")).alias("spread"), F.stddev_pop("d").alias("rms"))
+    return out.filter("sets >= 2").withColumn("score", F.col("spread") * ARCSEC + 2 * F.col("rms") * ARCSEC)
+
+
+def default_sigmas(obs: DataFrame, instruments: DataFrame) -> DataFrame:
+    """``obs`` with sigma and its source: its own, else the default of its instrument by type (dist: constant and ppm part; angles: hz_sigma),
+    else null. ``instruments``: inst, edm_const, edm_ppm, hz_sigma."""
+    i = instruments.select(F.col("inst").alias("__inst"), "edm_const", "edm_ppm", "hz_sigma")
+    rows = obs.join(i, F.col("inst") == F.col("__inst"), "left")
+    own = F.when(F.col("type") == "dist", F.col("edm_const") + F.abs("value") * F.col("edm_ppm") * 1e-6).when(F.col("type").isin(*ANGULAR), F.col("hz_sigma"))
+    source = F.when(F.col("sigma").isNotNull(), "explicit").when(own.isNotNull(), "default")
+    return rows.withColumns({"source": source, "sigma": F.coalesce("sigma", own)}).drop("__inst", "edm_const", "edm_ppm", "hz_sigma")
+
+
+def decision_counts(clusters: DataFrame, decisions: DataFrame) -> DataFrame:
+    """One row (candidates, approved, rejected, pending) of clusters and the decisions on them; a later decision counts."""
+    last = decisions.groupBy(F.col("cluster").alias("__c")).agg(F.max_by("decision", "at").alias("decision"))
+    rows = clusters.select("cluster").distinct().join(last, F.col("cluster") == F.col("__c"), "left")
+    return rows.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("decision") == "approve").alias("approved"), F.count_if(F.col("decision") == "reject").alias("rejected"), F.count_if(F.col("decision").isNull()).alias("pending"))

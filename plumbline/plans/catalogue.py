@@ -8,9 +8,11 @@ from plumbline.plans.outputs import outputs
 from plumbline.plans.records import records
 from plumbline.plans.registry import Query
 from plumbline.plans.reviews import reviews
+from plumbline.plans.shapes import shapes
+from plumbline.plans.studies import studies
 from plumbline.plans.texts import texts
 
-_ALL = (measurements, networks, records, reviews, texts, outputs)
+_ALL = (measurements, networks, records, reviews, shapes, studies, texts, outputs)
 
 
 def queries() -> dict[str, Query]:

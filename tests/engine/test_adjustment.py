@@ -66,3 +66,82 @@ def test_unknown_types_are_errors(spark):
     obs, stations = network(spark, {"dir"}).replace("dir", "azimut", "type"), spark.createDataFrame(place({3, 4}), PLACES)
     with pytest.raises(PySparkException, match="unknown type"):
         adjustment.equations(obs, stations).collect()
+
+
+VECTORS = "net int, obs_id int, type string, from_id int, to_id int, at_id int, value double, value_n double, value_u double, sigma double, sigma_n double, sigma_u double, corr_en double, corr_eu double, corr_nu double"
+
+
+def test_correlated_vectors_and_control_equal_the_full_weight_matrix(spark):
+    """Two vectors with full covariances and a station held to a correlated target, against the normal equations by matrices."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows, n, u = [], np.zeros((3, 3)), np.zeros(3)
+    at = np.array([49.9, 70.2, 12.1])
+    for i in range(2):
+        s, c = r.uniform(0.002, 0.01, 3), r.uniform(-0.6, 0.6, 3)
+        v = np.array([50.0, 70.0, 2.0]) + r.normal(0, 0.01, 3)
+        cov = np.diag(s) @ np.array([[1, c[0], c[1]], [c[0], 1, c[2]], [c[1], c[2], 1]]) @ np.diag(s)
+        w = np.linalg.inv(cov)
+        n, u = n + w, u + w @ (v - (at - [0, 0, 10]))
+        rows.append((1, i, "gps", 1, 2, None, *map(float, v), *map(float, s), *map(float, c)))
+    sx, sy, sh, corr, target = 0.02, 0.03, 0.05, 0.7, np.array([50.03, 69.98, 12.01])
+    w = np.zeros((3, 3))
+    w[:2, :2] = np.linalg.inv([[sx * sx, corr * sx * sy], [corr * sx * sy, sy * sy]])
+    w[2, 2] = 1 / sh**2
+    n, u = n + w, u + w @ (target - at)
+    schema = "net int, station int, x double, y double, h double, fixed boolean, sx double, sy double, sh double, corr_xy double, target_x double, target_y double, target_h double"
+    places = [(1, 1, 0.0, 0.0, 10.0, True, *[None] * 7), (1, 2, *map(float, at), False, sx, sy, sh, corr, *map(float, target))]
+    stations = spark.createDataFrame(places, schema)
+    obs = spark.createDataFrame(rows, VECTORS)
+    got = adjustment.normal_equations(adjustment.equations(obs, stations)).collect()
+    axis = {"2:x": 0, "2:y": 1, "2:h": 2}
+    for g in got:
+        want = u[axis[g["i"]]] if g["j"] is None else n[axis[g["i"]], axis[g["j"]]]
+        assert g["value"] == pytest.approx(want, rel=1e-9)
+    out = adjustment.adjust(obs, stations)
+    p = {x["station"]: x for x in out.stations.collect()}[2]
+    assert (p["x"], p["y"], p["h"]) == pytest.approx(tuple(at + np.linalg.solve(n, u)), abs=1e-9) and out.converged
+    assert adjustment.degrees_of_freedom(out.rows).first()["dof"] == 6
+
+
+def levels(spark, values, net=1):
+    rows = [(net, i, "lev", 1, 2, None, v, None, 0.002) for i, v in enumerate(values)]
+    obs = spark.createDataFrame(rows, "net int, obs_id int, type string, from_id int, to_id int, at_id int, value double, value_n double, sigma double")
+    return obs, spark.createDataFrame([(net, 1, 0.0, 0.0, 10.0, True), (net, 2, 0.0, 0.0, 11.2, False)], PLACES)
+
+
+def test_robust_weights_and_outliers(spark):
+    values = [1.0, 1.001, 0.999, 1.002, 0.998, 1.3]
+    obs, stations = levels(spark, values)
+    h = 1.2  # as the loop does it: weights from the residuals before
+    for turn in range(15):
+        w = [1.0 if turn == 0 or abs(v - h) / 0.002 <= 1.5 else max(0.001, 1.5 / (abs(v - h) / 0.002)) for v in values]
+        new = sum(a * b for a, b in zip(w, values)) / sum(w)
+        if abs(new - h) <= 1e-6:
+            break
+        h = new
+    out = adjustment.adjust(obs, stations, robust_k=1.5)
+    assert {r["station"]: r["h"] for r in out.stations.collect()}[2] == pytest.approx(10 + new, abs=1e-6)
+    result, marked = adjustment.deweight_outliers(obs, stations, threshold=2.0, cycles=2)
+    assert [(r["obs_id"], r["times"]) for r in marked.collect()] == [(5, 2)]
+    w = [1 / 0.002**2] * 5 + [1 / 0.032**2]
+    assert {r["station"]: r["h"] for r in result.stations.collect()}[2] == pytest.approx(10 + sum(a * b for a, b in zip(w, values)) / sum(w), abs=1e-9)
+
+
+def test_networks_come_to_rest_on_their_own(spark):
+    """An exact network rests after two rounds, a distorted one takes longer, one without control can't be solved or is damped; none
+    holds up another."""
+    exact, at = levels(spark, [1.2, 1.2])
+    far, place_far = levels(spark, [1.0, 1.0], 2)
+    loose = exact.withColumn("net", exact["net"] + 2)
+    free = at.withColumn("net", at["net"] + 2).withColumn("fixed", at["fixed"] & (at["station"] > 5))
+    out = adjustment.adjust(exact.unionByName(far).unionByName(loose), at.unionByName(place_far).unionByName(free))
+    got = {r["net"]: r for r in out.summary.collect()}
+    assert got[1]["iterations"] == 1 and got[2]["iterations"] == 2 and got[1]["converged"] and got[2]["converged"]
+    assert got[1]["damping"] == 0.0 and got[3]["damping"] > 0
+
+
+def test_drop_worst_leaves_exact_networks_alone(spark):
+    obs, stations = levels(spark, [1.0, 1.0, 1.0])
+    assert adjustment.drop_worst(obs, stations, threshold=0.5, cycles=1)[1].collect() == []
