@@ -9,8 +9,8 @@ puts common shingles last, which keeps lists short: a pass over all texts counts
 Candidates are sifted before any text is fetched, by rules that never rule out a similar pair: sizes, places in the list,
 and parities. A text's parity bits say for each of m slots whether an odd number of its shingles falls there; each shingle that only
 one of two texts has can change one bit, so more differing bits than dissimilar shingles allowed rule a pair out.
-What is left is verified on whole texts, in two rounds: first a few pairs that would tie each list's candidates together, then
-all candidates of a list that are still in different components, none left out.
+What is left is verified on whole texts, in two rounds: first each list's least member with the others, which ties large groups of
+copies together with few pairs, then all candidates of a list that are still in different components, none left out.
 
 Texts are read and never shuffled, but for those of candidates. Postings are packed as arrays, a row for each block of texts and
 part of the shingles; parts are of about ``PART_POSTINGS`` postings and grow in number.
@@ -46,7 +46,7 @@ FLUSH_POSTINGS = 400_000
 BYTES_A_SHINGLE, BYTES_A_POSTING = 6, 30
 #: Candidate pairs that are handed on at once, parity bits to a shingle, and most of a text.
 PAIRS_AT_ONCE = 100_000
-BITS_A_SHINGLE, PARITY_BITS = 4, 1 << 18
+BITS_A_SHINGLE, PARITY_BITS = 2, 1 << 17
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -130,16 +130,6 @@ class Members:
             keep[at] = differ * (NUM + DEN) <= (DEN - NUM) * (self.n[k] + self.n[others[at]])
         return others[keep]
 
-    def some(self):
-        """Pairs that tie the candidates together: each member that is left takes its candidates away with it."""
-        left = np.arange(len(self.h))
-        while len(left) > 1:
-            k, left = left[0], left[1:]
-            found = self.candidates(k, left)
-            if len(found):
-                yield k, found
-                left = left[~np.isin(left, found)]
-
     def all(self):
         every = np.arange(len(self.h))
         for k in range(len(self.h) - 1):
@@ -241,7 +231,7 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
 
 
 def _lists(packed: DataFrame, parts: int) -> DataFrame:
-    """(list, h, n, i) of every member of the index's lists of two texts or more."""
+    """(list, h, n, i, h0, n0, i0) of every member of the index's lists of two texts or more; h0, n0, i0 are of the least member."""
 
     def run(batches):
         held, part = [], None
@@ -257,7 +247,9 @@ def _lists(packed: DataFrame, parts: int) -> DataFrame:
             key, h, n, place = (x[new] for x in (key, h, n, place))
             same = key[1:] == key[:-1]
             more = np.concatenate((same, [False])) | np.concatenate(([False], same))
-            out = pa.RecordBatch.from_arrays([pa.array(x[more].astype(t)) for x, t in ((key, np.int64), (h, np.int64), (n, np.int32), (place, np.int32))], ["list", "h", "n", "i"])
+            first = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(key)), 0))[more]
+            columns = ((key[more], np.int64), (h[more], np.int64), (n[more], np.int32), (place[more], np.int32), (h[first], np.int64), (n[first], np.int32), (place[first], np.int32))
+            out = pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in columns], ["list", "h", "n", "i", "h0", "n0", "i0"])
             for start in range(0, out.num_rows, 1 << 14):
                 yield out.slice(start, 1 << 14)
 
@@ -271,11 +263,36 @@ def _lists(packed: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from lists()
 
-    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "list long, h long, n int, i int")
+    return packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(run, "list long, h long, n int, i int, h0 long, n0 int, i0 int")
+
+
+def _first_pairs(lists: DataFrame) -> DataFrame:
+    """(a, b) of each list's least member and the others."""
+    n, m, i, j = (F.col(c) for c in ("n0", "n", "i0", "i"))
+    can = (F.least(n, m) * DEN >= NUM * F.greatest(n, m)) & (F.least(n - i, m - j) * (NUM + DEN) >= NUM * (n + m))
+    return lists.filter((F.col("h") != F.col("h0")) & can).select(F.col("h0").alias("a"), F.col("h").alias("b")).distinct()
+
+
+def _sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that parities don't rule out."""
+    side = lambda c: sets.select(F.col("h").alias(f"h_{c}"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("h_a")).join(side("b"), F.col("b") == F.col("h_b")).select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def make():
+        def one(n, m, x, y):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            words = min(len(x), len(y))
+            differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+            return differ * (NUM + DEN) <= (DEN - NUM) * (n + m)
+
+        return lambda *columns: [[one(*row) for row in zip(*columns, strict=True)]]
+
+    inputs = ["n_a", "n_b", "bits_a", "bits_b"]
+    return append_columns(both, inputs, make, [("maybe", "boolean")], inputs).filter("maybe").select("a", "b")
 
 
-def _pairs(members: DataFrame, every: bool) -> DataFrame:
-    """(a, b) of a list's candidates in different components: all of them or, at first, enough to tie them together."""
+def _other_pairs(members: DataFrame) -> DataFrame:
+    """(a, b) of all candidates of a list that are in different components."""
 
     def run(batches):
         held: list = []
@@ -293,7 +310,7 @@ def _pairs(members: DataFrame, every: bool) -> DataFrame:
             held.clear()
             order = np.argsort(h)
             m = Members(*(x[order] for x in (h, n, i, root)), [held_bits[k] for k in order.tolist()])
-            for k, found in m.all() if every else m.some():
+            for k, found in m.all():
                 made[0].append(np.full(len(found), m.h[k]))
                 made[1].append(m.h[found])
                 if sum(map(len, made[0])) >= PAIRS_AT_ONCE:
@@ -368,8 +385,8 @@ def near_copies(texts: DataFrame) -> DataFrame:
         made = cut(_sets(texts, _ranks(texts, slots), parts), "near-sets")
         sets = made.filter("h is not null").select("h", "n", "fp", "bits").dropDuplicates(["h"])
         lists = cut(_lists(made.filter("packed is not null").select("part", "packed"), parts), "near-lists")
-        edges = _verified(_by_fingerprint(sets), texts)
-        for every in (False, True):
-            roots = components(edges)
-            edges = edges.unionByName(_verified(_pairs(_named(lists, sets, roots), every), texts))
-        return components(edges)
+        first = _by_fingerprint(sets).unionByName(_first_pairs(lists)).distinct()
+        edges = _verified(_sifted(first, sets), texts)
+        roots = components(edges)
+        more = _verified(_other_pairs(_named(lists.select("list", "h", "n", "i"), sets, roots)), texts)
+        return roots if more.isEmpty() else components(edges.unionByName(more))
