@@ -3,14 +3,15 @@
 SimHash finds most of them: 64-bit fingerprints of the shingles, linked by the byte-position index of ``simhash_dedup``.
 But distances of fingerprints guarantee nothing about this similarity, so a prefix index adds what they miss, and misses no pair: in
 any one order of all shingles, two sets of similarity t share a shingle among the first n - ceil(t n) + 1 of each. The order
-puts common shingles last, which keeps lists short: a pass over all texts counts shingles by slots of a table, about
-``PER_SLOT`` to a slot and at most ``MOST_SLOTS`` slots, which is summed up by ranges of slots and broadcast. Results don't depend on it.
+puts common shingles last, which keeps lists short: a pass over all texts counts shingles by the slots of a table of fixed
+size, which is summed up by ranges of slots and broadcast. Results don't depend on it.
 
 Candidates are sifted before any text is fetched, by rules that never rule out a similar pair: sizes, places in the list,
 and parities. A text's parity bits say for each of m slots whether an odd number of its shingles falls there; each shingle that only
 one of two texts has can change one bit, so more differing bits than dissimilar shingles allowed rule a pair out.
-What is left is verified on whole texts, in two rounds: first each list's least member with the others, which ties large groups of
-copies together with few pairs, then all candidates of a list that are still in different components, none left out.
+What is left is verified on whole texts, in two rounds: first one pair for each text, with the least of those that it met as, or together
+with, the least member of a list, which ties large groups of copies together with few pairs; then all candidates that are still in
+different components, none left out.
 
 Texts are read and never shuffled, but for those of candidates. Postings are packed as arrays, a row for each block of texts and
 part of the shingles; parts are of about ``PART_POSTINGS`` postings and grow in number.
@@ -36,14 +37,13 @@ from plumbline.operators.graph import components
 SHINGLE = 5
 #: Similarity as a fraction, so that bounds are whole numbers.
 NUM, DEN = 4, 5
-#: Shingles to a slot of the table of counts, its most slots, those of one range, and shingles that a task counts at once.
-PER_SLOT = 64
-MOST_SLOTS, RANGE_SLOTS = 1 << 24, 1 << 14
+#: Slots of the table of counts, those of one range, and shingles that a task counts at once.
+SLOTS, RANGE_SLOTS = 1 << 20, 1 << 14
 COUNT_AT_ONCE = 500_000
 PART_POSTINGS = 1_000_000
 FLUSH_POSTINGS = 400_000
-#: Bytes of text to a shingle and to a posting, to tell sizes beforehand.
-BYTES_A_SHINGLE, BYTES_A_POSTING = 6, 30
+#: Bytes of text to a posting, to tell the number of parts.
+BYTES_A_POSTING = 30
 #: Candidate pairs that are handed on at once, parity bits to a shingle, and most of a text.
 PAIRS_AT_ONCE = 100_000
 BITS_A_SHINGLE, PARITY_BITS = 2, 1 << 17
@@ -343,6 +343,14 @@ def _named(lists: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(sets.select(F.col("h").alias("__h"), "bits"), F.col("h") == F.col("__h")).drop("__h")
 
 
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose ends are in different components."""
+    for c in ("a", "b"):
+        side = roots.select(F.col("node").alias(f"__{c}"), F.col("root").alias(f"root_{c}"))
+        pairs = pairs.join(side, F.col(c) == F.col(f"__{c}"), "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)).drop(f"__{c}")
+    return pairs.filter("root_a <> root_b").select("a", "b")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs`` whose texts are similar. Texts are sifted by a table of bits, of a fixed size that is broadcast, before they
     are dealt out: one bit for each of 2 ** 24 values of the hash."""
@@ -379,14 +387,14 @@ def near_copies(texts: DataFrame) -> DataFrame:
     of the text, and text; rows may repeat."""
     with arrow_rows(texts.sparkSession):
         size = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
-        n_bytes = size["bytes"] or 0
-        parts = max(8, math.ceil((n_bytes / BYTES_A_POSTING + size["rows"]) / PART_POSTINGS))
-        slots = min(MOST_SLOTS, max(1 << 10, 1 << int(n_bytes / BYTES_A_SHINGLE / PER_SLOT).bit_length()))
-        made = cut(_sets(texts, _ranks(texts, slots), parts), "near-sets")
+        parts = max(8, math.ceil(((size["bytes"] or 0) / BYTES_A_POSTING + size["rows"]) / PART_POSTINGS))
+        made = cut(_sets(texts, _ranks(texts, SLOTS), parts), "near-sets")
         sets = made.filter("h is not null").select("h", "n", "fp", "bits").dropDuplicates(["h"])
         lists = cut(_lists(made.filter("packed is not null").select("part", "packed"), parts), "near-lists")
-        first = _by_fingerprint(sets).unionByName(_first_pairs(lists)).distinct()
-        edges = _verified(_sifted(first, sets), texts)
+        maybe = cut(_sifted(_by_fingerprint(sets).unionByName(_first_pairs(lists)).distinct(), sets), "near-maybe")
+        least = maybe.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")).select("a", "b")
+        edges = _verified(least, texts)
         roots = components(edges)
-        more = _verified(_other_pairs(_named(lists.select("list", "h", "n", "i"), sets, roots)), texts)
+        others = _apart(maybe, roots).unionByName(_other_pairs(_named(lists.select("list", "h", "n", "i"), sets, roots))).distinct()
+        more = _verified(others, texts)
         return roots if more.isEmpty() else components(edges.unionByName(more))
