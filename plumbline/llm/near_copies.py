@@ -47,6 +47,8 @@ BYTES_A_POSTING = 30
 #: Candidate pairs that are handed on at once, parity bits to a shingle, and most of a text.
 PAIRS_AT_ONCE = 100_000
 BITS_A_SHINGLE, PARITY_BITS = 2, 1 << 17
+#: 64-bit words of parity bits that go along with the members of lists; pairs are held against all bits afterwards.
+LIST_WORDS = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -206,7 +208,7 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
                 i = order[cuts[p] : cuts[p + 1]]
                 own, of = np.unique(text[i], return_inverse=True)
                 packed = pack(np.diff(key[i], prepend=np.uint64(0)), of.astype(np.uint32), place[i].astype(np.uint32), h[own], n[own].astype(np.uint32))
-                yield [p], [packed], *([None] for _ in range(4))
+                yield [p], [packed], *([None] for _ in range(5))
 
         def fn(part):
             if part is not None:
@@ -218,7 +220,8 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
                     found = shingles(text)
                     held.append(prefix(found, rank))
                     table.append((h, len(found)))
-                    rows.append((None, None, h, len(found), _signed(set_bits(found)), parities(found).tobytes()))
+                    bits = parities(found)
+                    rows.append((None, None, h, len(found), _signed(set_bits(found)), bits.tobytes(), folded(bits, LIST_WORDS).tobytes()))
                 if rows:
                     yield list(zip(*rows))
             if held and (part is None or sum(map(len, held)) >= FLUSH_POSTINGS):
@@ -226,7 +229,7 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
 
         return fn
 
-    fields = [("part", "int"), ("packed", "binary"), ("h", "long"), ("n", "int"), ("fp", "long"), ("bits", "binary")]
+    fields = [("part", "int"), ("packed", "binary"), ("h", "long"), ("n", "int"), ("fp", "long"), ("bits", "binary"), ("few_bits", "binary")]
     return emit_rows(texts.select("h", "text"), make, fields, finish=True)
 
 
@@ -340,7 +343,7 @@ def _named(lists: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
     rows = lists.join(roots.withColumnRenamed("node", "__h"), F.col("h") == F.col("__h"), "left").withColumn("root", F.coalesce("root", "h")).drop("__h")
     open_lists = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("list")
     rows = rows.join(open_lists, "list", "left_semi")
-    return rows.join(sets.select(F.col("h").alias("__h"), "bits"), F.col("h") == F.col("__h")).drop("__h")
+    return rows.join(sets.select(F.col("h").alias("__h"), F.col("few_bits").alias("bits")), F.col("h") == F.col("__h")).drop("__h")
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -389,12 +392,13 @@ def near_copies(texts: DataFrame) -> DataFrame:
         size = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
         parts = max(8, math.ceil(((size["bytes"] or 0) / BYTES_A_POSTING + size["rows"]) / PART_POSTINGS))
         made = cut(_sets(texts, _ranks(texts, SLOTS), parts), "near-sets")
-        sets = made.filter("h is not null").select("h", "n", "fp", "bits").dropDuplicates(["h"])
+        sets = made.filter("h is not null").select("h", "n", "fp", "bits", "few_bits").dropDuplicates(["h"])
         lists = cut(_lists(made.filter("packed is not null").select("part", "packed"), parts), "near-lists")
         maybe = cut(_sifted(_by_fingerprint(sets).unionByName(_first_pairs(lists)).distinct(), sets), "near-maybe")
         least = maybe.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")).select("a", "b")
         edges = _verified(least, texts)
         roots = components(edges)
-        others = _apart(maybe, roots).unionByName(_other_pairs(_named(lists.select("list", "h", "n", "i"), sets, roots))).distinct()
+        met = _other_pairs(_named(lists.select("list", "h", "n", "i"), sets, roots))
+        others = _apart(maybe, roots).unionByName(_sifted(met, sets)).distinct()
         more = _verified(others, texts)
         return roots if more.isEmpty() else components(edges.unionByName(more))
