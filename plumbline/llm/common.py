@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from plumbline.tables import cut, table
 
-__all__ = ["ARROW", "SLICE_ROWS", "append_columns", "arrow_rows", "crc_mod", "cut", "emit_rows", "id_and_text", "pack", "sift_rows", "slices", "table", "unpack"]
+__all__ = ["ARROW", "SLICE_ROWS", "append_columns", "arrow_rows", "crc_mod", "cut", "emit_rows", "id_and_text", "numbered", "pack", "sift_rows", "slices", "table", "unpack"]
 
 #: Rows handed to Python at once; a batch from Spark is cut into slices of so many.
 SLICE_ROWS = 256
@@ -157,3 +159,22 @@ def arrow_rows(spark: SparkSession, rows: int = 2 * SLICE_ROWS, size: str = "4m"
 def crc_mod(id_col, n: int):
     """crc32 of the identifier as text, modulo ``n``; a null identifier counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(n))
+
+
+#: Bits of an identifier of Spark's that number the rows within a partition.
+_ROW_BITS = 33
+
+
+def numbered(rows: DataFrame, keys: Sequence[Column], name: str, label: str) -> DataFrame:
+    """``rows`` range-sorted by ``keys`` and written, with each row's place from 0 on as ``name``.
+
+    The places within a partition come with the sort; what stands before a partition is a sum over the counts of partitions,
+    of which there are as many as tasks. A hot key is split as far as ``keys`` tell its rows apart.
+    """
+    at, part, before = (f"{n}_{uuid.uuid4().hex}" for n in ("at", "part", "before"))
+    rows = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), label)
+    counts = rows.groupBy(F.shiftright(at, _ROW_BITS).alias(part)).agg(F.count(F.lit(1)).alias("n"))
+    earlier = F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(part, F.coalesce(earlier, F.lit(0)).alias(before))
+    out = rows.join(F.broadcast(counts), F.shiftright(at, _ROW_BITS) == F.col(part))
+    return out.withColumn(name, F.col(before) + F.col(at).bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop(at, part, before)

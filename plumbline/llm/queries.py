@@ -8,6 +8,7 @@ from plumbline.llm.chat_format import OP7_SQL, op7_chat_format
 from plumbline.llm.decontaminate import op4_decontamination
 from plumbline.llm.langid import op2_language
 from plumbline.llm.lm_score import op9_lm_score
+from plumbline.llm.mixing import OP11_SQL, op11_mixing
 from plumbline.llm.pii import op1_pii
 from plumbline.llm.quality_rules import op8_quality_rules
 from plumbline.llm.sharding import op6_sharding
@@ -28,8 +29,9 @@ def queries():
         "op8_quality_rules": op8_quality_rules,
         "op9_lm_score": op9_lm_score,
         "op10_simhash": op10_simhash,
+        "op11_mixing": op11_mixing,
     }
 
 
 def oracle_sql():
-    return {"op7_chat_format": OP7_SQL}
+    return {"op7_chat_format": OP7_SQL, "op11_mixing": OP11_SQL}
