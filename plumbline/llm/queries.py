@@ -6,6 +6,7 @@ from plumbline.llm import pipeline
 from plumbline.llm.bpe_codec import op3_byte_bpe
 from plumbline.llm.chat_format import OP7_SQL, op7_chat_format
 from plumbline.llm.decontaminate import op4_decontamination
+from plumbline.llm.importance import op12_importance
 from plumbline.llm.langid import op2_language
 from plumbline.llm.lm_score import op9_lm_score
 from plumbline.llm.mixing import OP11_SQL, op11_mixing
@@ -30,6 +31,7 @@ def queries():
         "op9_lm_score": op9_lm_score,
         "op10_simhash": op10_simhash,
         "op11_mixing": op11_mixing,
+        "op12_importance": op12_importance,
     }
 
 
