@@ -6,6 +6,7 @@ from plumbline.llm import pipeline
 from plumbline.llm.bpe_codec import op3_byte_bpe
 from plumbline.llm.chat_format import OP7_SQL, op7_chat_format
 from plumbline.llm.decontaminate import op4_decontamination
+from plumbline.llm.hard_negatives import OP13_SQL, op13_hard_negatives
 from plumbline.llm.importance import op12_importance
 from plumbline.llm.langid import op2_language
 from plumbline.llm.lm_score import op9_lm_score
@@ -32,8 +33,9 @@ def queries():
         "op10_simhash": op10_simhash,
         "op11_mixing": op11_mixing,
         "op12_importance": op12_importance,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql():
-    return {"op7_chat_format": OP7_SQL, "op11_mixing": OP11_SQL}
+    return {"op7_chat_format": OP7_SQL, "op11_mixing": OP11_SQL, "op13_hard_negatives": OP13_SQL}
