@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.plans.measurements import measurements
+from plumbline.plans.merges import merges
 from plumbline.plans.networks import networks
 from plumbline.plans.outputs import outputs
 from plumbline.plans.plannings import plannings
@@ -13,7 +14,7 @@ from plumbline.plans.shapes import shapes
 from plumbline.plans.studies import studies
 from plumbline.plans.texts import texts
 
-_ALL = (measurements, networks, plannings, records, reviews, shapes, studies, texts, outputs)
+_ALL = (measurements, merges, networks, plannings, records, reviews, shapes, studies, texts, outputs)
 
 
 def queries() -> dict[str, Query]:
