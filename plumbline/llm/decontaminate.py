@@ -5,19 +5,20 @@ token windows are hashed with a rolling polynomial and looked up; a hit is verif
 then spans or whole documents are removed.
 
 The benchmark is measured before it is broadcast. Up to ``BLOCK_BYTES`` of normalised text go in one set (about 25 bytes
-a window and 150 a different word); beyond, the benchmark is cut into blocks of that size, items longer than a piece into
+a window and 150 a different word); beyond, repeated pieces go once and the benchmark is cut into blocks of about that size, items longer than a piece into
 pieces that overlap by a window. Then the documents are written once with a row number and read once for each block, which gives only
 the rows that it hits, and hits are joined by row number. The result is the same for any number of blocks.
 
 Defined cases: a null or wordless text has no words and no hits; a benchmark item without words
 has no window. An item shorter than a window is itself one window. Items with a null item_id count
 for hits but are in no list; rows with equal item_id are one item. Repeated document rows stay separate
-rows. Other columns are not read. An empty benchmark hits nothing.
+rows. Other columns are not read and may have any name. An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from plumbline.llm.common import append_columns, cut, emit_rows, id_and_text, sift_rows, table
 
 WINDOW = 13
-#: Normalised text in one broadcast set, and words in a piece of an item.
+#: Normalised text in one broadcast set, and in a piece of an item: so much, or one window where its words are longer.
 BLOCK_BYTES = 8 << 20
-PIECE_WORDS = 100_000
+PIECE_BYTES = 1 << 20
 #: A document is contaminated from one hit word in so many on.
 WORDS_PER_HIT = 20
 
@@ -108,16 +109,34 @@ class NgramSet:
         return hit, {self.items[i] for i in found}
 
 
+def _own(*names: str) -> list[str]:
+    """Column names that no table has."""
+    tag = uuid.uuid4().hex
+    return [f"{n}_{tag}" for n in names]
+
+
+def cut_pieces(found: list[bytes], window: int, most: int) -> list[bytes]:
+    """The words of an item as pieces of about ``most`` bytes that overlap, so that each window is in one."""
+    if not found:
+        return []
+    ends = np.cumsum([len(w) + 1 for w in found])
+    out, start, last = [], 0, max(1, len(found) - window + 1)  # windows start before ``last``
+    while start < last:
+        before = ends[start - 1] if start else 0
+        stop = min(last, max(start + 1, int(np.searchsorted(ends, before + most, "right")) - window + 1))
+        out.append(b" ".join(found[start : stop + window - 1]))
+        start = stop
+    return out
+
+
 def benchmark_pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """(item, words) of the benchmark: items' words joined by spaces, cut into pieces that overlap so that each window is in one."""
+    """(item, words) of the benchmark: items' words joined by spaces, cut into pieces."""
     rows = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
 
     def make():
         def fn(part):
             for item, text in zip(part.column("item").to_pylist(), part.column("text").to_pylist(), strict=True):
-                found = words(text)
-                starts = range(0, max(1, len(found) - window + 1), PIECE_WORDS)
-                pieces = [b" ".join(found[i : i + PIECE_WORDS + window - 1]) for i in starts] if found else []
+                pieces = cut_pieces(words(text), window, PIECE_BYTES)
                 if pieces:
                     yield [item] * len(pieces), pieces
 
@@ -127,16 +146,19 @@ def benchmark_pieces(benchmark: DataFrame, item_col: str, text_col: str, window:
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> tuple[int, object]:
-    """(number of blocks, a function that collects one of them): the benchmark's pieces in blocks of about ``most`` bytes."""
+    """(number of blocks, a function that collects one of them): the benchmark's pieces in blocks of about ``most`` bytes. Different
+    pieces are dealt out by their hash, so a block exceeds that by little."""
     rows = benchmark_pieces(benchmark, item_col, text_col, window)
-    total = rows.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
+    size = lambda: rows.agg(F.sum(F.octet_length("words")).alias("n")).first()["n"] or 0
+    total = size()
+    if total > most:
+        rows = cut(rows.distinct(), "decontaminate-benchmark")
+        total = size()
     blocks = max(1, math.ceil(total / most))
-    if blocks > 1:
-        rows = cut(rows, "decontaminate-benchmark")
 
     def block(b: int):
         part = rows if blocks == 1 else rows.filter(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == b)
-        return [(r["item"], bytes(r["words"]).split()) for r in part.collect()]  # at most about BLOCK_BYTES
+        return [(r["item"], bytes(r["words"]).split()) for r in part.collect()]
 
     return blocks, block
 
@@ -171,18 +193,19 @@ def find_hits(
     if blocks == 1:
         return append_columns(docs, text_col, scanner(0), fields, drop)
 
-    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate-rows")
+    row, n_words, spans, items, every, hit = _own("row", "words", "spans", "items", "all", "hit")
+    rows = cut(docs.withColumn(row, F.monotonically_increasing_id()), "decontaminate-rows")
     found = None
     for b in range(blocks):
-        hits = append_columns(rows.select("__row", text_col), text_col, scanner(b), [("__words", "long"), ("__spans", "ints"), ("__items", "strings")], [text_col])
-        hits = cut(hits.filter(F.size("__spans") > 0).select("__row", "__spans", "__items"), "decontaminate-hits")
+        hits = append_columns(rows.select(row, text_col), text_col, scanner(b), [(n_words, "long"), (spans, "ints"), (items, "strings")], [text_col])
+        hits = cut(hits.filter(F.size(spans) > 0).select(row, spans, items), "decontaminate-hits")
         found = hits if found is None else found.unionByName(hits)
     # A row has hits from so many blocks at most.
-    merged = found.groupBy(F.col("__row").alias("__hit")).agg(F.flatten(F.collect_list("__spans")).alias("__all"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
-    merged = append_columns(merged, "__all", lambda: lambda spans: [[joined(s) for s in spans]], [("__spans", "ints")], ["__all"])
-    counted = append_columns(rows, text_col, lambda: lambda texts: [[len(words(t)) for t in texts]], [("__words", "long")], drop)
-    out = counted.join(merged, F.col("__row") == F.col("__hit"), "left")
-    new = F.col("__words"), F.coalesce("__spans", F.array().cast("array<int>")), F.coalesce("__items", F.array().cast("array<string>"))
+    merged = found.groupBy(F.col(row).alias(hit)).agg(F.flatten(F.collect_list(spans)).alias(every), F.array_sort(F.array_distinct(F.flatten(F.collect_list(items)))).alias(items))
+    merged = append_columns(merged, every, lambda: lambda found: [[joined(s) for s in found]], [(spans, "ints")], [every])
+    counted = append_columns(rows, text_col, lambda: lambda texts: [[len(words(t)) for t in texts]], [(n_words, "long")], drop)
+    out = counted.join(merged, F.col(row) == F.col(hit), "left")
+    new = F.col(n_words), F.coalesce(spans, F.array().cast("array<int>")), F.coalesce(items, F.array().cast("array<string>"))
     return out.select(*(n for n in docs.columns if n not in drop), *(c.alias(n) for c, (n, _) in zip(new, fields)))
 
 
@@ -190,9 +213,10 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, text_col="text", item_col="it
     """``docs`` without contaminated rows; in those with fewer hits the runs of hit words are cut out of the text."""
     blocks, block = benchmark_blocks(benchmark, item_col, item_text_col, window, block_bytes)
     if blocks > 1:
-        found = find_hits(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes, prefix="__")
-        clean = found.filter(~contaminated(F.col("__hit_words"), n_hit("__hit_spans")))
-        return cut_out(clean, text_col, "__hit_spans").select(*docs.columns)
+        (prefix,) = _own("hits")
+        found = find_hits(docs, benchmark, text_col, item_col, item_text_col, window, block_bytes, prefix=prefix)
+        clean = found.filter(~contaminated(F.col(f"{prefix}hit_words"), n_hit(f"{prefix}hit_spans")))
+        return cut_out(clean, text_col, f"{prefix}hit_spans").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(NgramSet(block(0), window))
 
     def make():
@@ -246,9 +270,10 @@ def remove_spans(text: str | None, spans: list[int]) -> str | None:
 
 def cut_out(docs: DataFrame, text_col="text", spans_col="hit_spans") -> DataFrame:
     """``docs`` with the runs of hit words removed from the text."""
-    rows = docs.withColumn("__cut", F.when(F.size(spans_col) > 0, F.col(text_col)))
-    rows = append_columns(rows, ["__cut", spans_col], lambda: lambda t, s: [[remove_spans(x, y) for x, y in zip(t, s, strict=True)]], [("__left", "string")], ["__cut"])
-    return rows.withColumn(text_col, F.when(F.size(spans_col) > 0, F.col("__left")).otherwise(F.col(text_col))).drop("__left")
+    hit, left = _own("cut", "left")
+    rows = docs.withColumn(hit, F.when(F.size(spans_col) > 0, F.col(text_col)))
+    rows = append_columns(rows, [hit, spans_col], lambda: lambda t, s: [[remove_spans(x, y) for x, y in zip(t, s, strict=True)]], [(left, "string")], [hit])
+    return rows.withColumn(text_col, F.when(F.size(spans_col) > 0, F.col(left)).otherwise(F.col(text_col))).drop(left)
 
 
 def contaminated(n_words, n_hit):

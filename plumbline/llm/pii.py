@@ -48,9 +48,14 @@ _VALUE = _ALNUM | frozenset("_-")
 _URL_END = frozenset(" \t\n\r\x0b\x0c<>\"'`|{}[]()")
 
 
-def _run(text: str, i: int, chars: frozenset) -> int:
-    """End of the run of ``chars`` from i."""
-    n = len(text)
+#: Letters of the longest scheme, and characters of the longest IBAN.
+_LONGEST_SCHEME = max(map(len, SCHEMES))
+_LONGEST_IBAN = 34
+
+
+def _run(text: str, i: int, chars: frozenset, most: int | None = None) -> int:
+    """End of the run of ``chars`` from i, after ``most`` of them at the latest."""
+    n = len(text) if most is None else min(len(text), i + most)
     while i < n and text[i] in chars:
         i += 1
     return i
@@ -122,15 +127,17 @@ def parse_phone(text: str, plus: int, _floor: int):
 
 def parse_url(text: str, colon: int, floor: int):
     start = colon
-    while start > floor and text[start - 1] in _LETTERS:
+    while start > floor and colon - start <= _LONGEST_SCHEME and text[start - 1] in _LETTERS:
         start -= 1
-    end = colon + 3
+    # What is no scheme before a host is not read on: texts may hold very many of them.
+    if text[start:colon].lower() not in SCHEMES or text[colon + 3 : colon + 4] not in _ALNUM:
+        return floor, None
+    end = colon + 4
     while end < len(text) and text[end] not in _URL_END:
         end += 1
-    while end > colon + 3 and text[end - 1] in ".,;:!?":
+    while text[end - 1] in ".,;:!?":
         end -= 1
-    good = text[start:colon].lower() in SCHEMES and end > colon + 3 and text[colon + 3] in _ALNUM
-    return (end, (start, end)) if good else (floor, None)
+    return end, (start, end)
 
 
 def iban_ok(value: str) -> bool:
@@ -159,14 +166,17 @@ def parse_iban(text: str, digit: int, floor: int):
     start = digit - 2
     if start < floor or not (text[start:digit].isascii() and text[start:digit].isupper()) or (start and text[start - 1] in _ALNUM):
         return floor, None
-    end = _run(text, digit, _ALNUM)
-    while end + 1 < len(text) and text[end] == " " and (more := _run(text, end + 1, _ALNUM)) and 1 <= more - end - 1 <= 4 and text[end + 1 : more].upper() == text[end + 1 : more]:
+    # Groups are read on until they are too long for an IBAN, so there are few ends to try.
+    end = _run(text, digit, _ALNUM, _LONGEST_IBAN)
+    ends, size = [end], end - start
+    while size <= _LONGEST_IBAN and end + 1 < len(text) and text[end] == " " and 1 <= (more := _run(text, end + 1, _ALNUM, 5)) - end - 1 <= 4 and text[end + 1 : more].upper() == text[end + 1 : more]:
+        size += more - end - 1
         end = more
-    while end > digit:
+        ends.append(end)
+    for end in reversed(ends):
         value = text[start:end].replace(" ", "")
         if value.isascii() and iban_ok(value):
             return end, (start, end)
-        end = text.rfind(" ", digit, end)
     return floor, None
 
 

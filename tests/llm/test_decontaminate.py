@@ -41,8 +41,8 @@ def tables(spark):
 def test_against_brute_force(spark, monkeypatch):
     items, texts, docs, bench = tables(spark)
     expected = {i: brute(t, items) for i, t in enumerate(texts)}
-    for most, piece in ((1_000_000, 100_000), (60, 100_000), (100, 1), (1_000_000, 2)):  # one set, then blocks, then pieces
-        monkeypatch.setattr(d, "PIECE_WORDS", piece)
+    for most, piece in ((1_000_000, 100_000), (60, 100_000), (100, 1), (1_000_000, 30)):  # one set, then blocks, then pieces
+        monkeypatch.setattr(d, "PIECE_BYTES", piece)
         rows = d.report(docs, bench, block_bytes=most).collect()
         assert len(rows) == len(texts) + 3
         for r in rows:
@@ -67,6 +67,35 @@ def test_cleaned(spark):
             assert len(WORD.findall(low(left))) == n - hit and (hit or left == texts[int(i)])
 
 
+def test_any_column_name_and_repeated_items(spark):
+    """Blocks take no column of the table for their own, and repeated benchmark rows don't fill them."""
+    items, texts, _, _ = tables(spark)
+    names = ["__row", "__words", "__spans", "__items", "__all", "__hit", "__hit_words", "__cut", "__left", "hit_spans", "__hit_spans"]
+    rows = [(i, t, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    bench = spark.createDataFrame(items * 40, "item_id long, text string")
+    out = d.cleaned(docs, bench, block_bytes=60)
+    assert out.columns == docs.columns
+    stay = {i for i, t in enumerate(texts) if not brute(t, items)[4]}
+    got = out.collect()
+    assert {r["doc_id"] for r in got} == stay and all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+    blocks, block = d.benchmark_blocks(bench, "item_id", "text", 13, 60)
+    sizes = [len(block(b)) for b in range(blocks)]
+    assert sum(sizes) == len({(str(i), tuple(d.words(t))) for i, t in items if d.words(t)}) and max(sizes) < 8
+
+
+def test_pieces_are_bounded_in_bytes():
+    r = random.Random(1)
+    for _ in range(200):
+        found = [b"w" * r.choice([1, 2, 30]) + str(i).encode() for i in range(r.randint(0, 60))]
+        k, most = r.randint(1, 5), r.choice([1, 40, 200])
+        pieces = [p.split() for p in d.cut_pieces(found, k, most)]
+        windows = [tuple(p[i : i + k]) for p in pieces for i in range(len(p) - k + 1)]
+        assert windows == [tuple(found[i : i + k]) for i in range(len(found) - k + 1)]
+        assert all(len(p) == min(k, len(found)) or len(b" ".join(p)) <= most for p in pieces)
+        assert bool(pieces) == bool(found)
+
+
 def test_joined():
     assert d.joined([5, 9, 1, 3, 3, 4, 8, 12]) == [1, 4, 5, 12] and d.joined([]) == []
 
