@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.plans.levels import levels
 from plumbline.plans.measurements import measurements
 from plumbline.plans.merges import merges
 from plumbline.plans.networks import networks
@@ -14,7 +15,7 @@ from plumbline.plans.shapes import shapes
 from plumbline.plans.studies import studies
 from plumbline.plans.texts import texts
 
-_ALL = (measurements, merges, networks, plannings, records, reviews, shapes, studies, texts, outputs)
+_ALL = (levels, measurements, merges, networks, plannings, records, reviews, shapes, studies, texts, outputs)
 
 
 def queries() -> dict[str, Query]:

@@ -116,34 +116,49 @@ def boilerplate_flags(spark, sf_dir):
     return corpus.markers_found(table(spark, sf_dir, "pages"), "page_id", "html", MARKERS)
 
 
-#: A query with a mark, and with words that stand in texts in other forms.
-QUERY, BOOSTS, EACH = "Lïcense termz", {"title": 8.0, "body": 1.0}, 3
+#: A query with a mark and three misspelt words, of 7, 16 and 20 letters, that stand in texts in their right form.
+QUERY, EACH = "L\u00efzense rezponzibilitiez internationalizetiom", 3
+BOOSTS = {"citation": 10.0, "title": 8.0, "heading": 6.0, "metadata": 4.0, "body": 1.0}
+_WORDS = {"lizense": 1, "rezponzibilitiez": 3, "internationalizetiom": 3}
+_LONG = ("internationalization", "responsibilities", "misunderstanding")
 
 
 def _folded(c: str) -> str:
     return f"trim(regexp_replace(lower(strip_accents(regexp_replace({c}, '[\\^`\u00a8\u00af\u00b4\u00b7\u00b8\u02b0-\u02ff]', '', 'g'))), '[^a-z0-9.\\-]+', ' ', 'g'), ' ')"
 
 
+_ASKED = " ".join(_WORDS)
+_FIELDS = ("title", "citation", "heading", "metadata", "body")
+_LINE = lambda n: _folded(f"coalesce(split_part(text, chr(10), {n}), '')")
+
+
 @texts.query(f"""
-WITH docs AS (SELECT doc_id AS key, source AS category, {_folded("coalesce(split_part(text, chr(10), 1), '')")} AS title, {_folded("coalesce(text, '')")} AS body FROM documents),
-f AS (SELECT key, 'title' AS field, list_filter(string_split(title, ' '), lambda x: x <> '') AS t FROM docs UNION ALL SELECT key, 'body', list_filter(string_split(body, ' '), lambda x: x <> '') FROM docs),
+WITH docs AS (SELECT doc_id AS key, source AS category, {_LINE(1)} AS title, {_LINE(2)} AS heading, 'c-' || doc_id % 50 || coalesce(' ' || lang, '') AS citation, {_folded("coalesce(source, '')")} || ' ' || ['{"', '".join(_LONG)}'][doc_id % 3 + 1] || CASE WHEN doc_id % 4 = 0 THEN ' {_LONG[1]}' ELSE '' END AS metadata, {_folded("coalesce(text, '')")} AS body FROM documents),
+f AS ({" UNION ALL ".join(f"SELECT key, '{c}' AS field, list_filter(string_split({c}, ' '), lambda x: x <> '') AS t FROM docs" for c in _FIELDS)}),
 s AS (SELECT field, count(*) FILTER (len(t) > 0) AS n, avg(len(t)) FILTER (len(t) > 0) AS mean FROM f GROUP BY field),
 p AS (SELECT key, field, term, count(*) AS tf, any_value(len) AS len FROM (SELECT key, field, unnest(t) AS term, len(t) AS len FROM f) GROUP BY key, field, term),
-d AS (SELECT term, field, count(*) AS df FROM p GROUP BY ALL), w AS (SELECT unnest(['license', 'termz']) AS word),
+d AS (SELECT term, field, count(*) AS df FROM p GROUP BY ALL), w AS (SELECT unnest([{", ".join(f"{{'word': '{w}', 'far': {n}}}" for w, n in _WORDS.items())}], recursive := true)),
 m AS (SELECT word, term, CASE WHEN term = word THEN 1.0 ELSE greatest(CASE WHEN starts_with(term, word) THEN 0.375 * length(term) / (length(term) + 0.3 * (length(term) - length(word))) END,
-    CASE WHEN levenshtein(term, word) <= 1 THEN 0.45 * length(term) / (length(term) + levenshtein(term, word)) END) END AS weight
-  FROM (SELECT DISTINCT term FROM d), w WHERE starts_with(term, word) OR levenshtein(term, word) <= 1),
-b AS (SELECT key, word, field, max(weight * CASE field WHEN 'title' THEN 8.0 ELSE 1.0 END * ln(1 + (n - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * len / mean)))) AS s
+    CASE WHEN levenshtein(term, word) <= far THEN 0.45 * length(term) / (length(term) + levenshtein(term, word)) END) END AS weight
+  FROM (SELECT DISTINCT term FROM d), w WHERE starts_with(term, word) OR levenshtein(term, word) <= far),
+b AS (SELECT key, word, field, max(weight * CASE field {" ".join(f"WHEN '{f}' THEN {v}" for f, v in BOOSTS.items())} END * ln(1 + (n - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * len / mean)))) AS s
   FROM p JOIN m USING (term) JOIN d USING (term, field) JOIN s USING (field) GROUP BY ALL),
 r AS (SELECT key, count(DISTINCT word) AS words, sum(s) AS s FROM b GROUP BY key),
-x AS (SELECT r.key, category, words = 2 AS all_words, s + CASE WHEN title = 'license termz' THEN 5000 WHEN contains(title, 'license termz') THEN 1500 WHEN contains(body, 'license termz') THEN 1300 WHEN contains(body, 'license') AND contains(body, 'termz') THEN 500 ELSE 0 END AS score
+x AS (SELECT r.key, category, words = 3 AS all_words, s + CASE WHEN '{_ASKED}' IN (title, citation) THEN 5000 WHEN contains(title, '{_ASKED}') OR contains(citation, '{_ASKED}') THEN 1500 WHEN contains(body, '{_ASKED}') THEN 1300
+    WHEN {" AND ".join(f"contains(body, '{w}')" for w in _WORDS)} THEN 500 ELSE 0 END AS score
   FROM r JOIN docs ON docs.key = r.key)
 SELECT key, category, all_words, round(score, 5) AS score, row_number() OVER (PARTITION BY category ORDER BY all_words DESC, round(score, 6) DESC, key) AS rank FROM x QUALIFY rank <= {EACH}""")
 def search_ranked(spark, sf_dir):
-    """The best documents of each source for a query, from an index of first lines and texts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"))
-    index = search.build(docs, "doc_id", "source", ["title", "body"])
-    return rounded(search.search(index, QUERY, BOOSTS, "title", "body", EACH), 5)
+    """The best documents of each source for a query of misspelt words, from an index of five fields."""
+    k = F.col("doc_id")
+    line = lambda n: F.coalesce(F.get(F.split("text", "\n"), F.lit(n)), F.lit(""))
+    long = F.element_at(F.array(*map(F.lit, _LONG)), (k % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", line(0).alias("title"), line(1).alias("heading"), F.concat(F.lit("c-"), k % 50, F.coalesce(F.concat(F.lit(" "), "lang"), F.lit(""))).alias("citation"),
+        F.concat_ws(" ", F.coalesce("source", F.lit("")), long, F.when(k % 4 == 0, _LONG[1])).alias("metadata"), F.col("text").alias("body"),
+    )
+    index = search.build(docs, "doc_id", "source", list(_FIELDS))
+    return rounded(search.search(index, QUERY, BOOSTS, "title", "body", EACH, citation="citation"), 5)
 
 
 @texts.query("""
