@@ -1,6 +1,7 @@
-"""Graphs: connected components as joins; spanning forests, loops and minimax paths within one network.
+"""Graphs: connected components as forests and joins; spanning forests, loops and minimax paths within one network.
 
-Components run over all edges at once, in rounds of joins: about the logarithm of the longest chain, and an error beyond ``max_rounds``.
+Components run over all edges at once: each task first makes a forest of the edges it reads, up to ``FOREST_EDGES``, so that few are left; where one task
+reads them all, that is all. Then rounds of joins: about the logarithm of the longest chain, and an error beyond ``max_rounds``.
 Loops and paths are by network: the rows of one network meet in one task, up to a checked number, and networks spread over all tasks.
 """
 
@@ -11,12 +12,51 @@ import re
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.tables import cut
 
 
+#: Edges of which one task makes a forest.
+FOREST_EDGES = 1_000_000
+
+
+def local_forests(edges: DataFrame, tasks: int) -> DataFrame:
+    """``edges`` (u, v) of numbers or texts as stars: each of ``tasks`` ties the nodes of its edges to the least node that they reach in it."""
+    texts = edges.schema["u"].dataType.simpleString() == "string"
+
+    def run(batches):
+        above: dict = {}
+
+        def top(x):
+            root = x
+            while (up := above.get(root, root)) != root:
+                root = up
+            while above.get(x, x) != root:
+                above[x], x = root, above[x]
+            return root
+
+        for batch in batches:
+            for a, b in zip(*(batch.column(c).to_pylist() for c in ("u", "v")), strict=True):
+                if texts:  # by their bytes, as Spark orders them
+                    a, b = a.encode(), b.encode()
+                a, b = top(a), top(b)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+                    above.setdefault(min(a, b), min(a, b))
+        nodes = [x for x in above if top(x) != x]
+        plain = (lambda x: x.decode()) if texts else (lambda x: x)
+        for start in range(0, len(nodes), 1 << 16):
+            part = nodes[start : start + (1 << 16)]
+            columns = [pa.array(list(map(plain, c)), kind) for c in (part, map(top, part))]
+            yield pa.RecordBatch.from_arrays(columns, ["u", "v"])
+
+    kind = pa.string() if texts else {"int": pa.int32(), "bigint": pa.int64()}[edges.schema["u"].dataType.simpleString()]
+    return edges.coalesce(tasks).mapInArrow(run, edges.schema)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): the least node of its component.
 
@@ -25,6 +65,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "components")
     before = None
+    if edges.schema["u"].dataType.simpleString() in ("int", "bigint", "string"):
+        tasks = max(1, -(-edges.count() // FOREST_EDGES))
+        edges = cut(local_forests(edges, tasks), "components")
+        max_rounds = 0 if tasks == 1 else max_rounds
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
@@ -39,7 +83,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = state
     else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        if max_rounds:
+            raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
