@@ -16,7 +16,8 @@ different components, none left out.
 Texts are read and never shuffled, but for those of candidates. Postings are packed as arrays, a row for each block of texts and
 part of the shingles; parts are of about ``PART_POSTINGS`` postings and grow in number.
 
-Defined cases: words as in SimHash. A text of fewer than five words is one shingle; wordless and null texts are alike.
+Defined cases: words as in SimHash. A text of fewer than five words is one shingle; wordless and null texts are alike. Texts are known by a 64-bit hash:
+of ten billion different texts some two share one, and count as equal.
 """
 
 from __future__ import annotations
@@ -46,9 +47,11 @@ FLUSH_POSTINGS = 400_000
 BYTES_A_POSTING = 30
 #: Candidate pairs that are handed on at once, parity bits to a shingle, and most of a text.
 PAIRS_AT_ONCE = 100_000
-BITS_A_SHINGLE, PARITY_BITS = 2, 1 << 17
-#: 64-bit words of parity bits that go along with the members of lists; pairs are held against all bits afterwards.
+BITS_A_SHINGLE, PARITY_BITS = 2, 1 << 22
+#: 64-bit words of parity bits that go along with a member of a list, at least; pairs are held against all bits afterwards.
 LIST_WORDS = 8
+#: Members of a list that one task compares; a longer list is cut into tiles, each two of which are a group of their own.
+TILE = 8192
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,6 +98,12 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(slots.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def few_bits(bits: np.ndarray) -> np.ndarray:
+    """Parity bits for a list: half of all, which is a bit or more to a shingle, or ``LIST_WORDS``. With fewer, sets that have nothing in common would not
+    differ in enough bits to tell."""
+    return folded(bits, max(LIST_WORDS, len(bits) // 2))
+
+
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
     """The last axis of parity bits, folded to so many words: as if there had been fewer slots."""
     while bits.shape[-1] > words:
@@ -106,8 +115,8 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
 class Members:
     """The members of a list: sizes, places, and parity bits in one table for each width."""
 
-    def __init__(self, h, n, i, root, bits: list[bytes]):
-        self.h, self.n, self.i, self.root = h, n, i, root
+    def __init__(self, h, n, i, root, side, bits: list[bytes]):
+        self.h, self.n, self.i, self.root, self.side = h, n, i, root, side
         raw = [np.frombuffer(b, np.uint64) for b in bits]
         self.width = np.array([len(b) for b in raw])
         self.row = np.zeros(len(raw), np.int64)
@@ -133,9 +142,11 @@ class Members:
         return others[keep]
 
     def all(self):
+        """Each member with its candidates: those behind it, or, in a group of two tiles (sides 1 and 2), those of the other."""
         every = np.arange(len(self.h))
-        for k in range(len(self.h) - 1):
-            found = self.candidates(k, every[k + 1 :])
+        for k in range(len(self.h)):
+            others = every[k + 1 :] if not self.side[k] else every[self.side == 2] if self.side[k] == 1 else every[:0]
+            found = self.candidates(k, others)
             if len(found):
                 yield k, found
 
@@ -221,7 +232,7 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
                     held.append(prefix(found, rank))
                     table.append((h, len(found)))
                     bits = parities(found)
-                    rows.append((None, None, h, len(found), _signed(set_bits(found)), bits.tobytes(), folded(bits, LIST_WORDS).tobytes()))
+                    rows.append((None, None, h, len(found), _signed(set_bits(found)), bits.tobytes(), few_bits(bits).tobytes()))
                 if rows:
                     yield list(zip(*rows))
             if held and (part is None or sum(map(len, held)) >= FLUSH_POSTINGS):
@@ -308,11 +319,11 @@ def _other_pairs(members: DataFrame) -> DataFrame:
             return out
 
         def one_list():
-            h, n, i, root = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("h", "n", "i", "root"))
+            h, n, i, root, side = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("h", "n", "i", "root", "side"))
             held_bits = [x for b in held for x in b.column("bits").to_pylist()]
             held.clear()
             order = np.argsort(h)
-            m = Members(*(x[order] for x in (h, n, i, root)), [held_bits[k] for k in order.tolist()])
+            m = Members(*(x[order] for x in (h, n, i, root, side)), [held_bits[k] for k in order.tolist()])
             for k, found in m.all():
                 made[0].append(np.full(len(found), m.h[k]))
                 made[1].append(m.h[found])
@@ -321,28 +332,33 @@ def _other_pairs(members: DataFrame) -> DataFrame:
 
         name = None
         for batch in batches:
-            at = batch.column("list").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            at, tiles = batch.column("list").to_numpy(), batch.column("tiles").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(at).astype(bool) | np.diff(tiles).astype(bool)) + 1).tolist(), len(at)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if lo == hi:
                     continue
-                if at[lo] != name and held:
+                if (at[lo], tiles[lo]) != name and held:
                     yield from one_list()
-                name = at[lo]
+                name = at[lo], tiles[lo]
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield from one_list()
         if made[0]:
             yield flush()
 
-    return members.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("list", "tiles").sortWithinPartitions("list", "tiles").mapInArrow(run, "a long, b long").distinct()
 
 
 def _named(lists: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of all lists that hold texts of two components or more, with their roots and parity bits."""
+    """The members of all lists that hold texts of two components or more, with their roots and parity bits; tiles and side tell the groups
+    of a list that is longer than ``TILE``."""
     rows = lists.join(roots.withColumnRenamed("node", "__h"), F.col("h") == F.col("__h"), "left").withColumn("root", F.coalesce("root", "h")).drop("__h")
-    open_lists = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("list")
-    rows = rows.join(open_lists, "list", "left_semi")
+    open_lists = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
+    rows = rows.join(open_lists.select("list", F.ceil(F.col("n") / TILE).alias("cuts")), "list")
+    # Tile t of T meets every other one: the group (low, high) is numbered low * T + high.
+    own, every = F.pmod(F.xxhash64("h"), F.col("cuts")), F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)
+    group = lambda t: F.struct((F.least(own, t) * F.col("cuts") + F.greatest(own, t)).alias("tiles"), F.when(own == t, 0).when(own < t, 1).otherwise(2).alias("side"))
+    rows = rows.withColumn("g", F.explode(F.transform(every, group))).select("list", "h", "n", "i", "root", "g.tiles", "g.side")
     return rows.join(sets.select(F.col("h").alias("__h"), F.col("few_bits").alias("bits")), F.col("h") == F.col("__h")).drop("__h")
 
 
