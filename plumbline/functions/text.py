@@ -71,19 +71,25 @@ def without_comment(line, mark: str = "#") -> Column:
     return F.rtrim(F.substring_index(col(line), mark, 1))
 
 
-def csv_field(c) -> Column:
-    """A field for CSV: quoted where it holds a comma, a quote or a line break; null is empty."""
+def csv_field(c, delimiter: str = ",") -> Column:
+    """A field for CSV: quoted where it holds the delimiter, a quote or a line break; null is empty."""
     t = F.coalesce(col(c).cast("string"), F.lit(""))
-    return F.when(t.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
+    return F.when(t.contains(delimiter) | t.rlike('["\n\r]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
 
 
 def snippet(text, query, before: int = 90, length: int = 260) -> Column:
-    """A window of ``text`` around the first place of ``query``, ignoring case, with dots where it is cut."""
+    """A window of ``text`` around the first place of ``query``, with dots where it is cut. Both are folded as search folds them; where the query isn't
+    found as a whole, the first of its words counts, and without any of them the window is the start, without dots. A place in the folded text is
+    one in the text by the ratio of their lengths. A blank text has none."""
     text, query = col(text), col(query)
-    at = F.instr(F.lower(text), F.lower(query))
-    start = F.greatest(F.lit(1), F.when(at > 0, at - before).otherwise(1))
-    body = F.substring(text, start, F.lit(length))
-    return F.concat(F.when(start > 1, "...").otherwise(""), F.trim(body), F.when(start + length <= F.length(text), "...").otherwise(""))
+    folded, asked = search_text(text), search_text(query)
+    whole = F.instr(folded, asked)
+    words = F.transform(F.filter(F.split(asked, " "), lambda w: w != ""), lambda w: F.instr(folded, w))
+    at = F.when(asked != "", F.when(whole > 0, whole).otherwise(F.array_min(F.filter(words, lambda p: p > 0)))) - 1
+    start = F.greatest(F.lit(0), F.floor(at * (F.length(text) / F.greatest(F.length(folded), F.lit(1)))).cast("int") - before)
+    body = F.substring(text, start + 1, F.lit(length))
+    window = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + length < F.length(text), "...").otherwise(""))
+    return F.when(text.rlike(r"^\s*$"), "").when(at.isNull(), F.substring(text, 1, length)).otherwise(window)
 
 
 #: Named character references that pages use.

@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.functions.angles import wrap_pi
 from plumbline.functions.numbers import clip, huber_weight, is_finite
@@ -191,9 +192,11 @@ def control_equations(stations: DataFrame, id_type) -> DataFrame | None:
             row(2, held("sh"), off["h"], F.col("sh"), term("h", F.lit(1.0))),
         )
     )
-    # An identifier below all others, so that it stands apart from those of observations.
-    name = F.concat(F.lit("control "), F.col("station").cast("string")) if id_type.simpleString() == "string" else -F.pmod(F.xxhash64("station"), F.lit(1 << 30)) - 1
-    rows = stations.filter(~F.col("fixed")).select("net", name.cast(id_type).alias("obs_id"), F.lit("control").alias("type"), F.explode(made).alias("r"))
+    # An identifier below all others, so that it stands apart from those of observations; numbers count a network's held stations.
+    number = -F.row_number().over(Window.partitionBy("net").orderBy("station"))
+    name = F.concat(F.lit("control "), F.col("station").cast("string")) if id_type.simpleString() == "string" else number
+    rows = stations.filter(~F.col("fixed")).withColumn("__made", made).filter(F.size("__made") > 0).withColumn("__name", name.cast(id_type))
+    rows = rows.select("net", F.col("__name").alias("obs_id"), F.lit("control").alias("type"), F.explode("__made").alias("r"))
     return rows.select("net", "obs_id", "r.part", "type", "r.terms", "r.misclosure", "r.sigma")
 
 

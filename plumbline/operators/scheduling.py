@@ -131,9 +131,9 @@ def latest_attempts(attempts: DataFrame, unit: str, at: str, tie: str) -> DataFr
 
 
 def without_last(attempts: DataFrame, unit: str, at: str, tie: str) -> DataFrame:
-    """What is left of a log when each unit's last attempt is taken back."""
-    last = latest_attempts(attempts, unit, at, tie).select(F.col(tie).alias("__tie"))
-    return attempts.join(last, F.col(tie) == F.col("__tie"), "left_anti")
+    """What is left of a log when each unit's last attempt is taken back. Ties need only tell the attempts of one unit apart."""
+    w = Window.partitionBy(unit).orderBy(F.col(at).desc_nulls_last(), F.col(tie).desc())
+    return attempts.withColumn("__n", F.row_number().over(w)).filter("__n > 1").drop("__n")
 
 
 def due_classes(units: DataFrame, now: Column, soon_days: int = 7) -> DataFrame:
@@ -157,10 +157,10 @@ def next_review(units: DataFrame, now: Column) -> DataFrame:
 
 
 def least_recent(units: DataFrame, attempts: DataFrame, unit: str, at: str, k: int) -> DataFrame:
-    """k units for a surprise: never attempted ones first, then those whose last attempt is longest ago; ties by hash of the unit."""
+    """k units for a surprise: never attempted ones first, then those whose last attempt is longest ago; ties by hash (MD5) of the unit."""
     last = attempts.groupBy(F.col(unit).alias("__u")).agg(F.max(at).alias("last_at"))
     rows = units.select(unit).join(last, F.col(unit) == F.col("__u"), "left").drop("__u")
-    return rows.orderBy(F.col("last_at").asc_nulls_first(), F.crc32(F.col(unit).cast("string").cast("binary")), unit).limit(k)
+    return rows.orderBy(F.col("last_at").asc_nulls_first(), F.md5(F.col(unit).cast("string").cast("binary")), unit).limit(k)
 
 
 def session_summary(attempts: DataFrame, by: str, rating: str) -> DataFrame:

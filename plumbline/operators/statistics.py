@@ -89,7 +89,8 @@ def value_at_rank(df: DataFrame, value: str, rank: int) -> float:
             return s["low"]
         if s["n"] <= RANK_ROWS:
             return sorted(r["v"] for r in rows.collect())[rank]
-        part = F.least(F.floor((F.col("v") - s["low"]) / (s["high"] - s["low"]) * RANK_PARTS), F.lit(RANK_PARTS - 1))
+        # Halves: the range itself may be beyond the largest number.
+        part = F.least(F.floor((F.col("v") / 2 - s["low"] / 2) / (s["high"] / 2 - s["low"] / 2) * RANK_PARTS), F.lit(RANK_PARTS - 1))
         counts = sorted(map(tuple, rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()))
         for p, n in counts:
             if rank < n:

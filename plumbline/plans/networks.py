@@ -128,16 +128,19 @@ def error_ellipses(spark, sf_dir):
 
 @networks.query("""
 WITH c AS (SELECT s_suppkey AS net, 0.001 + (s_suppkey % 5) * 0.001 AS s1, 0.001 + (s_suppkey % 3) * 0.002 AS s2, 11 + (s_suppkey % 4) * 0.01 AS target FROM supplier)
-SELECT net, round((target / (s1 * s1) + 11.02 / (s2 * s2)) / (1 / (s1 * s1) + 1 / (s2 * s2)), 6) AS h FROM c""")
+SELECT net, 2 AS station, round((target / (s1 * s1) + 11.02 / (s2 * s2)) / (1 / (s1 * s1) + 1 / (s2 * s2)), 6) AS h FROM c
+UNION ALL SELECT net, 3, round(((target + 1) / (s2 * s2) + 12.03 / (s1 * s1)) / (1 / (s1 * s1) + 1 / (s2 * s2)), 6) FROM c""")
 def weighted_control(spark, sf_dir):
-    """A height held to a target by its own sigma and levelled once: the weighted mean of both."""
+    """Two heights of each network, each held to a target by its own sigma and levelled once: the weighted means."""
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").select(k.alias("net"), (0.001 + (k % 5) * 0.001).alias("s1"), (0.001 + (k % 3) * 0.002).alias("s2"), (11 + (k % 4) * 0.01).alias("target"))
-    obs = s.select("net", F.lit(1).alias("obs_id"), F.lit("lev").alias("type"), F.lit(1).alias("from_id"), F.lit(2).alias("to_id"), F.lit(None).cast("int").alias("at_id"), F.lit(1.02).alias("value"), F.lit(None).cast("double").alias("value_n"), F.col("s2").alias("sigma"))
+    line = lambda i, to, v, sigma: s.select("net", F.lit(i).alias("obs_id"), F.lit("lev").alias("type"), F.lit(1).alias("from_id"), F.lit(to).alias("to_id"), F.lit(None).cast("int").alias("at_id"), F.lit(v).alias("value"), F.lit(None).cast("double").alias("value_n"), F.col(sigma).alias("sigma"))
+    obs = line(1, 2, 1.02, "s2").unionByName(line(2, 3, 2.03, "s1"))
     none = F.lit(None).cast("double")
-    free = s.select("net", F.lit(2).alias("station"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.9).alias("h"), F.lit(False).alias("fixed"), none.alias("sx"), none.alias("sy"), F.col("s1").alias("sh"), F.col("target").alias("target_h"))
+    held = lambda i, h, sigma, target: s.select("net", F.lit(i).alias("station"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(h).alias("h"), F.lit(False).alias("fixed"), none.alias("sx"), none.alias("sy"), F.col(sigma).alias("sh"), target.alias("target_h"))
+    free = held(2, 10.9, "s1", F.col("target")).unionByName(held(3, 11.9, "s2", F.col("target") + 1))
     base = s.select("net", F.lit(1).alias("station"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("h"), F.lit(True).alias("fixed"), none.alias("sx"), none.alias("sy"), none.alias("sh"), none.alias("target_h"))
-    return rounded(adjustment.adjust(obs, free.unionByName(base)).stations.filter("station = 2").select("net", "h"))
+    return rounded(adjustment.adjust(obs, free.unionByName(base)).stations.filter("not fixed").select("net", "station", "h"))
 
 
 @networks.query("""

@@ -295,12 +295,11 @@ def natural_order(spark, sf_dir):
 
 
 @records.query("""
-SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 9 THEN c_custkey ELSE c_custkey // 10 * 10 + 9 END AS resolved, CAST(CASE WHEN c_custkey // 10 * 10 + 9 > (SELECT max(c_custkey) FROM customer) THEN 0 ELSE 9 - c_custkey % 10 END AS INTEGER) AS steps, false AS cycle
-FROM customer WHERE c_custkey // 10 * 10 + 9 <= (SELECT max(c_custkey) FROM customer)""")
+WITH t AS (SELECT c_custkey AS id, least(c_custkey // 7 * 7 + 6, (SELECT max(c_custkey) FROM customer)) AS resolved FROM customer) SELECT id, resolved, CAST(resolved - id AS INTEGER) AS steps, false AS cycle FROM t""")
 def alias_resolution(spark, sf_dir):
-    """Chains of up to nine rules, k to k + 1 within each ten."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    top = c.agg(F.max("id").alias("top")).first()["top"]
-    ids = c.filter(F.floor(F.col("id") / 10) * 10 + 9 <= top)
-    rules = ids.filter("id % 10 <> 9").select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("to_id"))
+    """Chains of up to six rules, k to k + 1 within each seven, the last of which is not whole."""
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    known = ids.select(F.col("id").alias("to_id"))
+    rules = ids.filter("id % 7 <> 6").select(F.col("id").alias("from_id"), (F.col("id") + 1).alias("next"))
+    rules = rules.join(known, F.col("next") == F.col("to_id")).select("from_id", "to_id")
     return relational.resolve_aliases(ids, rules)

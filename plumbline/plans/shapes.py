@@ -103,12 +103,13 @@ def planned_values(spark, sf_dir):
 
 
 @shapes.query("""
-WITH n AS (SELECT o_custkey % 25 AS net, o_orderkey % 40 AS a, (o_orderkey + 1 + o_custkey) % 40 AS b FROM orders WHERE o_orderkey % 9 = 0), e AS (SELECT DISTINCT net, least(a, b) AS a, greatest(a, b) AS b FROM n WHERE a <> b AND a <> 7 AND b <> 7)
-SELECT net, count(DISTINCT s) AS stations FROM (SELECT net, a AS s FROM e UNION SELECT net, b FROM e) GROUP BY net""")
+WITH RECURSIVE n AS (SELECT o_custkey // 2 AS net, o_orderkey % 20 AS a, (o_orderkey + 1 + o_custkey) % 20 AS b FROM orders), e AS (SELECT DISTINCT net, a, b FROM (SELECT net, a, b FROM n UNION ALL SELECT net, b, a FROM n) WHERE a <> b AND a <> 7 AND b <> 7),
+r AS (SELECT DISTINCT net, a AS s, a AS r FROM e UNION SELECT r.net, e.b, r.r FROM r JOIN e ON e.net = r.net AND e.a = r.s), m AS (SELECT net, s, min(r) AS root FROM r GROUP BY net, s)
+SELECT net, count(*) AS stations, count(DISTINCT root) AS pieces FROM m GROUP BY net""")
 def connectivity_without(spark, sf_dir):
-    """The stations that are left, and reached by anything, when station 7 is taken out of every network."""
-    n = table(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select((F.col("o_custkey") % 25).alias("net"), (F.col("o_orderkey") % 40).alias("a"), ((F.col("o_orderkey") + 1 + F.col("o_custkey")) % 40).alias("b"))
-    return planning.pieces_without(n, 7).select("net", "stations")
+    """The stations that are left, and into how many pieces they fall, when station 7 is taken out of every network."""
+    n = table(spark, sf_dir, "orders").select(F.floor(F.col("o_custkey") / 2).alias("net"), (F.col("o_orderkey") % 20).alias("a"), ((F.col("o_orderkey") + 1 + F.col("o_custkey")) % 20).alias("b"))
+    return planning.pieces_without(n, 7)
 
 
 @shapes.query("""

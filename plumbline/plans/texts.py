@@ -170,13 +170,14 @@ def highlight_spans(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.explode(spans).alias("s")).select("item_id", "s.start", "s.length")
 
 
-@texts.query("""
-WITH p AS (SELECT doc_id, text, instr(lower(text), 'license') AS pos FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, text, greatest(1, CASE WHEN pos > 0 THEN pos - 90 ELSE 1 END) AS st FROM p)
-SELECT doc_id, CASE WHEN st > 1 THEN '...' ELSE '' END || trim(substring(text, st, 260), ' ') || CASE WHEN st + 260 <= length(text) THEN '...' ELSE '' END AS snippet FROM s""")
+@texts.query(f"""
+WITH n AS (SELECT doc_id, text, {_folded('text')} AS folded FROM documents WHERE text IS NOT NULL),
+p AS (SELECT *, CASE WHEN instr(folded, 'license terms') > 0 THEN instr(folded, 'license terms') ELSE least(nullif(instr(folded, 'license'), 0), nullif(instr(folded, 'terms'), 0)) END AS pos FROM n),
+s AS (SELECT *, greatest(0, CAST(floor((pos - 1) * (length(text) / greatest(length(folded), 1))) AS BIGINT) - 90) AS st FROM p)
+SELECT doc_id, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN '' WHEN pos IS NULL THEN substring(text, 1, 260) ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || substring(text, st + 1, 260) || CASE WHEN st + 260 < length(text) THEN '...' ELSE '' END END AS snippet FROM s""")
 def snippet_window(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter("text is not null")
-    return docs.select("doc_id", snippet("text", F.lit("license")).alias("snippet"))
+    return docs.select("doc_id", snippet("text", F.lit("L\u00efcense, Terms!")).alias("snippet"))
 
 
 _RATED = """a AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 'again' WHEN 'signup' THEN 'hard' WHEN 'click' THEN 'good' WHEN 'purchase' THEN 'easy' END AS rating FROM events WHERE ts IS NOT NULL)"""
@@ -215,14 +216,16 @@ def latest_attempt(spark, sf_dir):
     return scheduling.latest_attempts(_log(spark, sf_dir), "user_id", "ts", "event_id").select("user_id", "event_id", "rating")
 
 
-@texts.query(f"WITH {_RATED} SELECT user_id, count(*) AS left_over, max(event_id) AS last_event FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) > 1) GROUP BY user_id")
+@texts.query(f"WITH {_RATED} SELECT user_id, count(*) AS left_over, max(event_id) AS last_event FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id % 5 DESC) > 1) GROUP BY user_id")
 def undo_last(spark, sf_dir):
-    left = scheduling.without_last(_log(spark, sf_dir), "user_id", "ts", "event_id")
+    """Each user's last attempt taken back; ties are shared by many users."""
+    left = scheduling.without_last(_log(spark, sf_dir).withColumn("tie", F.col("event_id") % 5), "user_id", "ts", "tie")
     return left.groupBy("user_id").agg(F.count(F.lit(1)).alias("left_over"), F.max("event_id").alias("last_event"))
 
 
 _UNITS = """units AS (SELECT o_orderkey AS unit_id, o_orderpriority AS title, o_orderkey % 13 = 0 AS needs_review, CASE WHEN o_orderkey % 7 = 0 THEN 'unread' ELSE 'free-recall' END AS phase, o_orderdate AS due_at FROM orders)"""
 NOW = "1997-06-01"
+SURPRISES = 1450
 
 
 def _units(spark, sf_dir):
@@ -242,12 +245,11 @@ def next_review(spark, sf_dir):
     return scheduling.next_review(_units(spark, sf_dir), F.lit(NOW).cast("timestamp_ntz")).select("unit_id", "title", F.col("due_at").cast("timestamp_ntz").alias("due_at"))
 
 
-@texts.query(f"WITH {_RATED} SELECT c_custkey AS user_id FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_at FROM a WHERE user_id % 3 <> 0 GROUP BY 1) l ON c_custkey = l.user_id WHERE c_custkey <= 150 AND last_at IS NOT NULL ORDER BY last_at, c_custkey LIMIT 10")
+@texts.query(f"WITH {_RATED} SELECT c_custkey AS user_id FROM customer LEFT JOIN (SELECT user_id, max(ts) AS last_at FROM a GROUP BY 1) l ON c_custkey = l.user_id ORDER BY last_at NULLS FIRST, md5(CAST(c_custkey AS VARCHAR)), c_custkey LIMIT {SURPRISES}")
 def surprise_units(spark, sf_dir):
-    """The ten units whose last attempt is longest ago."""
-    log = _log(spark, sf_dir).filter("user_id % 3 <> 0")
-    units = table(spark, sf_dir, "customer").filter("c_custkey <= 150").select(F.col("c_custkey").alias("user_id")).join(log.select("user_id").distinct(), "user_id", "left_semi")
-    return scheduling.least_recent(units, log, "user_id", "ts", 10).select("user_id")
+    """Units for a surprise: those that nobody attempted, then those whose last attempt is longest ago."""
+    units = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
+    return scheduling.least_recent(units, _log(spark, sf_dir), "user_id", "ts", SURPRISES).select("user_id")
 
 
 @texts.query(f"WITH {_RATED} SELECT CAST(ts AS DATE) AS day, count(*) AS reviewed, count(*) FILTER (rating = 'again') AS again, count(*) FILTER (rating = 'hard') AS hard, count(*) FILTER (rating = 'good') AS good, count(*) FILTER (rating = 'easy') AS easy FROM a WHERE rating IS NOT NULL GROUP BY 1")

@@ -40,7 +40,7 @@ def geojson_lines(obs: DataFrame, points: DataFrame, key: str, x: str, y: str) -
 
 def delimited(points: DataFrame, columns: list[str], delimiter: str = ",") -> DataFrame:
     """(line): the columns as text, quoted where needed."""
-    return points.select(F.concat_ws(delimiter, *(csv_field(c) for c in columns)).alias("line"))
+    return points.select(F.concat_ws(delimiter, *(csv_field(c, delimiter) for c in columns)).alias("line"))
 
 
 def transform_points(points: DataFrame, x: str, y: str, about: tuple[float, float], scale: float = 1.0, rotation: float = 0.0, shift: tuple[float, float] = (0.0, 0.0), within: Column | None = None) -> DataFrame:

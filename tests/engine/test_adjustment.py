@@ -145,3 +145,17 @@ def test_networks_come_to_rest_on_their_own(spark):
 def test_drop_worst_leaves_exact_networks_alone(spark):
     obs, stations = levels(spark, [1.0, 1.0, 1.0])
     assert adjustment.drop_worst(obs, stations, threshold=0.5, cycles=1)[1].collect() == []
+
+
+def test_control_rows_are_named_apart(spark):
+    """As many names as held stations, however many a network has; the rows of one station share its name."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    places = spark.range(60_000).select((F.col("id") % 2).alias("net"), F.concat(F.lit("P"), "id").alias("station"), *(F.lit(1.0).alias(c) for c in "xyh"), (F.col("id") % 5 == 0).alias("fixed"), *(F.when(F.col("id") % 3 > 0, 0.01).alias(f"s{c}") for c in "xyh"))
+    rows = adjustment.control_equations(places, T.LongType())
+    held = places.filter("not fixed and sx is not null").groupBy("net").count()
+    got = rows.groupBy("net").agg(F.count_distinct("obs_id").alias("names"), F.count(F.lit(1)).alias("rows"), F.max("obs_id").alias("high"))
+    assert {(r["net"], r["names"], r["rows"], r["high"]) for r in got.collect()} == {(r["net"], r["count"], 3 * r["count"], -1) for r in held.collect()}
+    names = adjustment.control_equations(places, T.StringType()).filter("net = 1").select("obs_id").distinct()
+    assert names.filter("obs_id = 'control P1'").count() == 1

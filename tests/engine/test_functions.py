@@ -101,6 +101,9 @@ def test_median_and_totals(spark, monkeypatch):
         s, n = sorted(values), len(values)
         assert exact_median(df, "v") == (s[(n - 1) // 2] + s[n // 2]) / 2
     assert exact_median(df.limit(0), "v") is None
+    wide = spark.createDataFrame([(v,) for v in (-1e308, -5.0, 2.0, 7.0, 1e308)], "v double")
+    monkeypatch.setattr(statistics, "RANK_ROWS", 2)
+    assert exact_median(wide, "v") == 2.0
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, v int")
     assert {r["total"] for r in with_total(df, F.sum("v").alias("total")).collect()} == {6}
     assert sorted((r["k"], r["v"]) for r in worst_rows(df, ["k"], [F.col("v").desc()]).collect()) == [("a", 3), ("b", 2)]

@@ -77,3 +77,11 @@ def test_scan_and_numbers(spark):
         assert r["total"] == sum(10 - k for k in range(11) if k % 3 == r["g"] and k <= r["k"])
     assert [r["rank"] for r in ordered.numbered(df, [df["k"].desc()]).orderBy("k").collect()] == list(range(11, 0, -1))
     assert ordered.numbered(df.limit(0), [df["k"]]).collect() == []
+
+
+def test_undo_takes_one_attempt_of_each_unit(spark):
+    at = lambda h: START + dt.timedelta(hours=h)
+    rows = [("A", at(1), 1), ("A", at(2), 2), ("B", at(1), 2), ("B", at(3), 1), ("C", at(1), 2), ("C", at(1), 2), ("D", None, 1), ("D", at(0), 0)]
+    df = spark.createDataFrame(rows, "unit string, at timestamp_ntz, tie int")
+    left = sorted(map(tuple, scheduling.without_last(df, "unit", "at", "tie").collect()), key=repr)
+    assert left == sorted([("A", at(1), 1), ("B", at(1), 2), ("C", at(1), 2), ("D", None, 1)], key=repr)
