@@ -1,4 +1,9 @@
-"""Parcels and sight lines: joins through a grid, then exact geometry on the pairs that meet."""
+"""Parcels and sight lines: joins through a grid, then exact geometry on the pairs that meet; outlines as ordered rings.
+
+Rings come from lone sides by pointer doubling: each side stands twice, once for either direction, and points to the side that goes on at its
+end. A round doubles the stretch that a pointer spans, and carries the least side in it and how many steps away that is; when nothing is
+less any more, every side knows its ring and its place. So a ring of n sides takes about log n rounds of one join, and is never gathered.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry
+from plumbline.tables import cut
 
 
 def _bounds(df: DataFrame, shape: str) -> DataFrame:
@@ -74,6 +80,96 @@ def blocked_lines(lines: DataFrame, key: str, obstacles: DataFrame, shape: str)
     return lines.select(key).join(hit, F.col(key) == F.col("h"), "left").select(key, F.col("h").isNotNull().alias("blocked"))
 
 
+def _point(c: str, digits: int) -> Column:
+    # A zero without a sign: sides are compared by their points.
+    return F.struct((F.round(F.col(f"{c}.x"), digits) + 0.0).alias("x"), (F.round(F.col(f"{c}.y"), digits) + 0.0).alias("y"))
+
+
+def boundary_sides(parcels: DataFrame, key: str, shape: str, digits: int = 4, split: bool = True) -> DataFrame:
+    """(k, a, b) of all sides of all parcels, counter-clockwise, points rounded to so many digits. With ``split`` a side is cut where another parcel's
+    corner lies on it."""
+    ccw = F.when(geometry.signed_area(shape) < 0, F.reverse(F.col(shape))).otherwise(F.col(shape))
+    rows = parcels.select(F.col(key).alias("k"), F.explode(geometry._edges(ccw)).alias("e"))
+    sides = rows.select("k", _point("e.a", digits).alias("a"), _point("e.b", digits).alias("b")).filter("a <> b")
+    if not split:
+        return sides
+    sides = cut(sides, "sides")
+    corners = sides.select(F.col("a.x").alias("x"), F.col("a.y").alias("y")).distinct().withColumns({"x0": F.col("x"), "x1": F.col("x"), "y0": F.col("y"), "y1": F.col("y")})
+    boxes = sides.select("k", "a", "b", *(f(f"a.{c}", f"b.{c}").alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.least, F.greatest))))
+    dx, dy = F.col("a_b.x") - F.col("a_a.x"), F.col("a_b.y") - F.col("a_a.y")
+    px, py = F.col("b_x") - F.col("a_a.x"), F.col("b_y") - F.col("a_a.y")
+    along, off = (px * dx + py * dy) / (dx * dx + dy * dy), F.abs(px * dy - py * dx) / F.hypot(dx, dy)
+    met = meeting_boxes(boxes, corners).filter((off <= 0.5 * 10.0**-digits) & (along > 0) & (along < 1))
+    at = F.struct(along.alias("t"), F.struct(F.col("b_x").alias("x"), F.col("b_y").alias("y")).alias("p"))
+    cuts = met.select(F.col("a_k").alias("m_k"), F.col("a_a").alias("m_a"), F.col("a_b").alias("m_b"), at.alias("at")).distinct()
+    cuts = cuts.filter("at.p <> m_a and at.p <> m_b").groupBy("m_k", "m_a", "m_b").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    found = sides.join(cuts, (F.col("k") == F.col("m_k")) & (F.col("a") == F.col("m_a")) & (F.col("b") == F.col("m_b")), "left")
+    points = F.flatten(F.array(F.array("a"), F.coalesce(F.transform("at", lambda x: x["p"]), F.array().cast("array<struct<x:double,y:double>>")), F.array("b")))
+    steps = F.transform(F.sequence(F.lit(1), F.size("ps") - 1), lambda i: F.struct(F.element_at("ps", i).alias("a"), F.element_at("ps", i + 1).alias("b")))
+    return found.withColumn("ps", points).select("k", F.explode(steps).alias("s")).select("k", "s.a", "s.b")
+
+
+def lone_sides(parcels: DataFrame, key: str, shape: str, digits: int = 4, split: bool = True) -> DataFrame:
+    """(k, a, b) of the sides that one parcel alone has, as the parcel runs."""
+    sides = boundary_sides(parcels, key, shape, digits, split)
+    ends = sides.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+    return ends.agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "a", "b")).alias("s")).filter("n = 1").select("s.*")
+
+
+def odd_corners(lone: DataFrame) -> DataFrame:
+    """(p, n) of the corners where other than two lone sides meet: no ring goes through them."""
+    return lone.select(F.explode(F.array("a", "b")).alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n <> 2")
+
+
+def rings(lone: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(ring, place, point, size) of every corner of the rings that ``lone`` sides (a, b) close, in order: from the ring's least corner, by which
+    it is named, towards the lesser of its neighbours. Sides in chains that don't close, or that meet at odd corners, are in no ring."""
+    darts = lone.select("a", "b").unionByName(lone.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    out = darts.groupBy("a").agg(F.collect_set("b").alias("to"), F.count(F.lit(1)).alias("n")).filter("n = 2 and size(to) = 2").select(F.col("a").alias("at"), "to")
+    follow = darts.join(out, F.col("b") == F.col("at")).withColumn("on", F.when(F.col("to")[0] == F.col("a"), F.col("to")[1]).otherwise(F.col("to")[0]))
+    dart = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
+    jump = cut(follow.select(dart("a", "b").alias("d"), dart("b", "on").alias("at"), dart("a", "b").alias("low"), F.lit(0).cast("long").alias("steps"), F.lit(1).cast("long").alias("span")), "rings")
+    before = None
+    for _ in range(most_rounds):
+        then = jump.select(F.col("d").alias("t_d"), F.col("at").alias("t_at"), F.col("low").alias("t_low"), F.col("steps").alias("t_steps"))
+        # A chain that ends loses its sides, from its end on.
+        both = jump.join(then, F.col("at") == F.col("t_d"))
+        nearer = F.col("low") <= F.col("t_low")
+        jump = cut(
+            both.select(
+                "d", F.col("t_at").alias("at"), F.least("low", "t_low").alias("low"),
+                F.when(nearer, F.col("steps")).otherwise(F.col("span") + F.col("t_steps")).alias("steps"), (F.col("span") * 2).alias("span"),
+            ),
+            "rings",
+        )
+        state = jump.agg(F.count(F.lit(1)), F.sum(F.xxhash64("d", "low").cast("decimal(38,0)"))).first()
+        if state == before:
+            break
+        before = state
+    else:
+        raise RuntimeError(f"a ring is longer than 2 ** {most_rounds} sides")
+    # Either direction is a ring of its own; the one that begins towards the lesser neighbour stays.
+    sizes = jump.groupBy("low").agg(F.count(F.lit(1)).alias("size"))
+    first = sizes.groupBy("low.a").agg(F.min(F.struct("low", "size")).alias("f")).select(F.col("f.low").alias("f_low"), F.col("f.size").alias("size"))
+    rows = jump.join(first, F.col("low") == F.col("f_low"))
+    return rows.select(F.col("low.a").alias("ring"), F.pmod(F.col("size") - F.col("steps"), F.col("size")).alias("place"), F.col("d.a").alias("point"), "size")
+
+
+def gap_loops(parcels: DataFrame, key: str, shape: str, digits: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(loops, corners) of what parcels leave open. Loops: x and y of the least corner, n_sides, area, and is_gap, true for a hole between parcels,
+    false for an outline of the whole. Corners: x, y of the loop, place, px, py. Loops with an odd corner are left out."""
+    lone = cut(lone_sides(parcels, key, shape, digits), "lone-sides")
+    found = cut(rings(lone), "gap-rings")
+    # A parcel lies to the left of its sides, so a hole runs clockwise.
+    ends = found.select(F.col("ring").alias("r"), F.col("point").alias("p"), "size")
+    cross = F.col("a.x") * F.col("b.y") - F.col("b.x") * F.col("a.y")
+    sides = lone.join(ends, F.col("a") == F.col("p"))
+    loops = sides.groupBy("r").agg(F.count(F.lit(1)).alias("n_sides"), (F.sum(cross) / 2).alias("signed"))
+    loops = loops.select(F.col("r.x").alias("x"), F.col("r.y").alias("y"), "n_sides", F.abs("signed").alias("area"), (F.col("signed") < 0).alias("is_gap"))
+    corners = found.select(F.col("ring.x").alias("x"), F.col("ring.y").alias("y"), "place", F.col("point.x").alias("px"), F.col("point.y").alias("py"))
+    return loops, corners
+
+
 def open_sides(parcels: DataFrame, key: str, shape: str, digits: int = 4) -> DataFrame:
     """(key, x0, y0, x1, y1) of sides that one parcel alone has, whichever way they run: the outlines of gaps and of the whole. Points are
     compared to so many digits."""

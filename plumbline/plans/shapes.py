@@ -125,6 +125,35 @@ def chi_square_tests(spark, sf_dir):
     return rounded(adjustment.chi_square_tests(summary).select("net", "dof", "ss", "pass"), 5)
 
 
+def _blocks(spark, sf_dir):
+    """For each supplier a block of three by three units without its middle: the lowest row is one parcel, the others are squares, some of them
+    clockwise, so the corners of squares lie on the side of the long one."""
+    square = lambda n, i, j, w=1: F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w"))
+    cells = F.array(square(0, 0, 0, 3), *(square(3 * j + i, i, j) for i in range(3) for j in (1, 2) if (i, j) != (1, 1)))
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.explode(cells).alias("c"))
+    x, y = 10.0 * F.col("s") + F.col("c.i"), F.col("s") % 7 + F.col("c.j") + 0.5
+    at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    shape = F.array(at(0, 0), at(F.col("c.w"), 0), at(F.col("c.w"), 1), at(0, 1))
+    return rows.select((F.col("s") * 10 + F.col("c.n")).alias("k"), F.when(F.col("c.n") % 2 == 0, shape).otherwise(F.reverse(shape)).alias("p"))
+
+
+@shapes.query("""
+WITH s AS (SELECT 10.0 * s_suppkey AS x, s_suppkey % 7 + 0.5 AS y FROM supplier)
+SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, 10 AS n_sides, 9.0::DOUBLE AS area, false AS is_gap FROM s UNION ALL SELECT x + 1, y + 1, 4, 1.0, true FROM s""")
+def parcel_loops(spark, sf_dir):
+    """The outline of each block, and the hole in it."""
+    return rounded(parcels.gap_loops(_blocks(spark, sf_dir), "k", "p")[0], 5)
+
+
+@shapes.query("""
+WITH s AS (SELECT 10.0 * s_suppkey AS x, s_suppkey % 7 + 0.5 AS y FROM supplier), c AS (SELECT x, y, unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9]) AS place, unnest([0, 0, 0, 0, 1, 2, 3, 3, 3, 3]) AS dx, unnest([0, 1, 2, 3, 3, 3, 3, 2, 1, 0]) AS dy FROM s),
+g AS (SELECT x + 1 AS x, y + 1 AS y, unnest([0, 1, 2, 3]) AS place, unnest([0, 0, 1, 1]) AS dx, unnest([0, 1, 1, 0]) AS dy FROM s)
+SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, place, CAST(x + dx AS DOUBLE) AS px, CAST(y + dy AS DOUBLE) AS py FROM (SELECT * FROM c UNION ALL SELECT * FROM g)""")
+def loop_corners(spark, sf_dir):
+    """The corners of all loops in order."""
+    return parcels.gap_loops(_blocks(spark, sf_dir), "k", "p")[1]
+
+
 @shapes.query("""
 WITH p AS (SELECT s_nationkey AS g, s_suppkey AS k, s_acctbal AS x FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) AS n FROM p)
 SELECT g, count(*) AS members FROM r GROUP BY g""")
