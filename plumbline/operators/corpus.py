@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,6 +36,38 @@ def sections(pages: DataFrame, key: str, html: str, start: str, label: str) -> D
     return rows.withColumn("__n", n).select(key, "position", "label", name.alias("source_key"), "text", F.sha2("text", 256).alias("content_hash"))
 
 
+def elements(pages: DataFrame, key: str, html: str, ids: list[str], tag: str = "div", ends: list[str] = ()) -> DataFrame:
+    """(key, container, content) of the element ``tag`` with the first of ``ids`` that a page has, with all that is nested in it; where no end closes it,
+    up to the end of the page; without any of the ids, the whole page, with a null container. What follows the first match of a pattern in ``ends``
+    is left out. ``key`` is unique. Null pages have null content.
+
+    Tags of the kind become events, one row each, with what they add to the depth; running sums over a page's events give depth and place,
+    and the first event at depth 0 ends the element. Only events are shuffled, not pages.
+    """
+    begin = lambda name: F.regexp_extract(html, f"(?i)<{tag}\\b[^>]*\\bid=[\"\']{re.escape(name)}[\"\'][^>]*>", 0)
+    start, container = F.lit(""), F.lit(None).cast("string")
+    for name in reversed(ids):
+        start = F.when(begin(name) != "", begin(name)).otherwise(start)
+        container = F.when(begin(name) != "", F.lit(name)).otherwise(container)
+    rows = pages.select(F.col(key).alias("__k"), F.col(html).alias("__html"), container.alias("container"), start.alias("__start"))
+    at = F.instr(F.col("__html"), F.col("__start")) + F.length("__start")
+    rest = F.when(F.col("container").isNull(), F.col("__html")).otherwise(F.substring(F.col("__html"), at, F.length("__html")))
+    rows = rows.select("__k", "container", rest.alias("__rest"))
+
+    mark = f"(?i)</?{tag}\\b[^>]*>"
+    tags, texts = F.regexp_extract_all("__rest", F.lit(f"({mark})"), 1), F.split("__rest", mark, -1)
+    events = F.arrays_zip(F.transform(tags, lambda t: F.when(t.startswith("</"), -1).otherwise(1)).alias("step"), F.transform(tags, F.length).alias("size"), F.transform(F.slice(texts, F.lit(1), F.size(tags)), F.length).alias("before"))
+    found = rows.filter("container is not null").select("__k", F.posexplode(events).alias("i", "e"))
+    so_far = Window.partitionBy("__k").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    depth, place = 1 + F.sum("e.step").over(so_far), F.sum(F.col("e.before") + F.col("e.size")).over(so_far) - F.col("e.size")
+    closed = found.select("__k", "i", depth.alias("depth"), place.alias("place")).filter("depth = 0").groupBy("__k").agg(F.min_by("place", "i").alias("place"))
+    out = rows.join(closed.withColumnRenamed("__k", "__c"), F.col("__k") == F.col("__c"), "left")
+    content = F.when(F.col("place").isNotNull(), F.substring(F.col("__rest"), F.lit(1), F.col("place").cast("int"))).otherwise(F.col("__rest"))
+    if ends:
+        content = F.split(content, "|".join(f"(?:{e})" for e in ends), 2)[0]
+    return out.select(F.col("__k").alias(key), "container", content.alias("content"))
+
+
 def integrity(parts: DataFrame, key: str, markers: list[str]) -> DataFrame:
     """(key, parts, empty, repeated, contaminated) of each page's sections: how many, how many labels are empty or come again, and how
     many hold a marker of boilerplate."""

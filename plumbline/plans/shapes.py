@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry
-from plumbline.operators import graph, parcels, planning
+from plumbline.operators import graph, parcels, planning, snaps, splits
 from plumbline.plans.measurements import rounded
 from plumbline.plans.networks import repeated_levels
 from plumbline.plans.registry import Registry
@@ -125,6 +125,40 @@ def chi_square_tests(spark, sf_dir):
     return rounded(adjustment.chi_square_tests(summary).select("net", "dof", "ss", "pass"), 5)
 
 
+@shapes.query(f"""
+WITH {_RECT}, r AS (SELECT k, x1 - x0 AS w, y1 - y0 AS h, (k % 9 + 0.5) / 9 * (x1 - x0) * (y1 - y0) AS t FROM rect)
+SELECT k, round(atan(CASE WHEN t <= w * h / 2 THEN 2 * t / (h * h) ELSE w * w / (2 * (w * h - t)) END), 6) AS azimuth, round(t, 4) AS left_area, round(w * h - t, 4) AS right_area FROM r""")
+def area_splits(spark, sf_dir):
+    """Each rectangle cut from its lower left corner, so that a share of it lies to the left."""
+    rows = _rects(spark, sf_dir)
+    rows = rows.select("k", "p", F.col("p")[0]["x"].alias("px"), F.col("p")[0]["y"].alias("py"), (geometry.signed_area("p") * (F.col("k") % 9 + 0.5) / 9).alias("area"))
+    out = splits.split_by_area(rows, "k", "p", "px", "py", "area")
+    return out.select("k", F.round("azimuth", 6).alias("azimuth"), F.round("left_area", 4).alias("left_area"), F.round("right_area", 4).alias("right_area"))
+
+
+_SNAP = 6.0
+
+
+@shapes.query(f"""
+WITH seg AS (SELECT s_suppkey AS id, 100.0 * s_suppkey AS x FROM supplier), s2 AS (SELECT id * 10 AS seg_id, x AS ax, 0.0 AS ay, x + 40 AS bx, 40.0 AS b_y FROM seg UNION ALL SELECT id * 10 + 1, x, 40.0, x + 40, 0.0 FROM seg UNION ALL SELECT id * 10 + 2, x + 40, 0.0, x, 40.0 FROM seg),
+cur AS (SELECT id AS cursor_id, x + CASE id % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 18.0 WHEN 2 THEN 10.0 ELSE 80.0 END AS cx, CASE id % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 20.0 WHEN 2 THEN 12.0 ELSE 0.0 END AS cy FROM seg),
+ends AS (SELECT seg_id, ax AS x, ay AS y, 'endpoint' AS kind FROM s2 UNION ALL SELECT seg_id, bx, b_y, 'endpoint' FROM s2 UNION ALL SELECT seg_id, (ax + bx) / 2, (ay + b_y) / 2, 'midpoint' FROM s2),
+crossing AS (SELECT id * 10 AS seg_id, x + 20 AS x, 20.0 AS y, 'intersection' AS kind FROM seg),
+foot AS (SELECT cursor_id, seg_id, ax + t * (bx - ax) AS x, ay + t * (b_y - ay) AS y, 'nearest' AS kind FROM (SELECT *, greatest(0, least(1, ((cx - ax) * (bx - ax) + (cy - ay) * (b_y - ay)) / 3200)) AS t FROM s2 JOIN cur ON cursor_id = seg_id // 10)),
+c AS (SELECT cursor_id, seg_id, x, y, kind, sqrt((x - cx) ** 2 + (y - cy) ** 2) AS dist FROM (SELECT * FROM ends UNION ALL SELECT * FROM crossing) e JOIN cur ON cursor_id = seg_id // 10 UNION ALL SELECT cursor_id, seg_id, x, y, kind, sqrt((x - cx) ** 2 + (y - cy) ** 2) FROM foot JOIN cur USING (cursor_id)),
+d AS (SELECT *, CASE kind WHEN 'endpoint' THEN 1 WHEN 'intersection' THEN 2 WHEN 'midpoint' THEN 3 ELSE 4 END AS k FROM c WHERE dist <= {_SNAP} QUALIFY row_number() OVER (PARTITION BY cursor_id, kind, round(x, 9), round(y, 9) ORDER BY seg_id) = 1)
+SELECT cursor_id, kind, seg_id, round(CAST(x AS DOUBLE), 5) AS x, round(CAST(y AS DOUBLE), 5) AS y, round(CAST(dist AS DOUBLE), 5) AS dist, CAST(row_number() OVER (PARTITION BY cursor_id ORDER BY round(dist, 9), k, seg_id) AS INTEGER) AS rank FROM d""")
+def snap_candidates(spark, sf_dir):
+    """Where a cursor may snap to: two segments that cross, one of them drawn twice in either direction."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (100.0 * F.col("s_suppkey")).alias("x"))
+    line = lambda n, ay, by, turned: F.struct((F.col("id") * 10 + n).alias("seg_id"), (F.col("x") + (40 if turned else 0)).alias("ax"), F.lit(ay).alias("ay"), (F.col("x") + (0 if turned else 40)).alias("bx"), F.lit(by).alias("by"))
+    segments = s.select(F.explode(F.array(line(0, 0.0, 40.0, False), line(1, 40.0, 0.0, False), line(2, 0.0, 40.0, True))).alias("l")).select("l.*")
+    at = lambda values, other: F.when(F.col("id") % 4 == 0, values[0]).when(F.col("id") % 4 == 1, values[1]).when(F.col("id") % 4 == 2, values[2]).otherwise(other)
+    cursors = s.select(F.col("id").alias("cursor_id"), (F.col("x") + at((0.0, 18.0, 10.0), 80.0)).alias("x"), at((1.0, 20.0, 12.0), 0.0).alias("y"))
+    out = snaps.snap_candidates(cursors, segments, _SNAP)
+    return out.select("cursor_id", "kind", "seg_id", *(F.round(F.round(c, 5) + 0.0, 5).alias(c) for c in ("x", "y", "dist")), "rank")
+
+
 def _blocks(spark, sf_dir):
     """For each supplier a block of three by three units without its middle: the lowest row is one parcel, the others are squares, some of them
     clockwise, so the corners of squares lie on the side of the long one."""

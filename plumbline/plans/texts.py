@@ -42,6 +42,34 @@ def html_to_text(spark, sf_dir):
     return corpus.pages_as_text(table(spark, sf_dir, "pages"))
 
 
+#: What goes around a page's HTML: an element of either name, nested ones, one that isn't closed, and none.
+_AROUND = (
+    ("<div id='main'><DIV class=a>x</DIV><div>", "</div>y</div>behind<div>z</div>"),
+    ("<p>before</p><Div class=\"b\" id=\"other\" >", "<div><div>deep</div></div>end</div></div>tail"),
+    ("<div id=\"main\"><div><div>", "</div>open"),
+    ("<div idx='main'>", "</div>"),
+)
+
+
+def _wrapped_sql(part: int) -> str:
+    return "CASE page_id % 4 " + " ".join(f"WHEN {n} THEN '{w[part].replace(chr(39), chr(39) * 2)}'" for n, w in enumerate(_AROUND)) + " END"
+
+
+@texts.query(f"""
+WITH h AS (SELECT page_id, {_wrapped_sql(0)} || html || {_wrapped_sql(1)} AS h FROM pages),
+m AS (SELECT *, regexp_extract(h, '<div\\b[^>]*\\bid=["'']main["''][^>]*>', 0, 'i') AS a, regexp_extract(h, '<div\\b[^>]*\\bid=["'']other["''][^>]*>', 0, 'i') AS b FROM h),
+r AS (SELECT page_id, CASE WHEN a <> '' THEN 'main' WHEN b <> '' THEN 'other' END AS container, CASE WHEN a <> '' THEN substring(h, instr(h, a) + length(a)) WHEN b <> '' THEN substring(h, instr(h, b) + length(b)) ELSE h END AS rest FROM m),
+e AS (SELECT page_id, unnest(regexp_extract_all(rest, '</?div\\b[^>]*>', 0, 'i')) AS t, unnest((string_split_regex(rest, '(?i)</?div\\b[^>]*>'))[:-2]) AS x, unnest(range(len(regexp_extract_all(rest, '</?div\\b[^>]*>', 0, 'i')))) AS i FROM r WHERE container IS NOT NULL),
+d AS (SELECT *, 1 + sum(CASE WHEN t[2] = '/' THEN -1 ELSE 1 END) OVER w AS depth, sum(length(x) + length(t)) OVER w - length(t) AS place FROM e WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+c AS (SELECT page_id, CAST(min_by(place, i) AS BIGINT) AS place FROM d WHERE depth = 0 GROUP BY page_id)
+SELECT r.page_id, container, string_split_regex(CASE WHEN place IS NULL THEN rest ELSE substring(rest, 1, place) END, '<footer|<!-- ad 3')[1] AS content FROM r LEFT JOIN c ON c.page_id = r.page_id""")
+def page_elements(spark, sf_dir):
+    """The content of a page's main element, with what is nested in it."""
+    around = lambda part: F.element_at(F.array(*(F.lit(w[part]) for w in _AROUND)), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(around(0), "html", around(1)).alias("html"))
+    return corpus.elements(pages, "page_id", "html", ["main", "other"], ends=["<footer", "<!-- ad 3"])
+
+
 START = r"<(?:h1|p|footer)\b[^>]*>"
 _SECTIONS = f"""parts AS (SELECT page_id, unnest(string_split(regexp_replace(html, '({START})', chr(1) || '\\1', 'g'), chr(1))) AS part, unnest(range(len(string_split(regexp_replace(html, '({START})', chr(1) || '\\1', 'g'), chr(1))))) AS position FROM pages),
 named AS (SELECT page_id, CAST(position AS INTEGER) AS position, lower(trim({text_of("regexp_extract(part, '^<([a-z0-9]+)', 1)")}, ' ')) AS label, {text_of('part')} AS text FROM parts WHERE position > 0),
