@@ -200,6 +200,37 @@ def control_equations(stations: DataFrame, id_type) -> DataFrame | None:
     return rows.select("net", "obs_id", "r.part", "type", "r.terms", "r.misclosure", "r.sigma")
 
 
+def whitened_sets(rows: DataFrame, members: DataFrame, rho: float) -> DataFrame:
+    """``rows`` whose ``members`` (net, obs_id, set) of one set are all correlated by ``rho`` as independent rows of sigma 1: they give the normal equations
+    and the sum of squares of the full weight matrix. Other rows stay as they are.
+
+    The inverse of an equal correlation has a root of the form a (I - b J), J all ones: a row is scaled, and b times its set's sum is taken off. So a set needs
+    sums by unknown, not its matrix. Rows of a set then hold the unknowns of all of it.
+    """
+    if not 0 <= rho < 1:
+        raise ValueError("a correlation is at least 0 and less than 1")
+    of = members.filter("set is not null").select(F.col("net").alias("s_net"), F.col("obs_id").alias("s_id"), F.col("set").cast("string").alias("s_set"))
+    rows = rows.join(of, (F.col("net") == F.col("s_net")) & (F.col("obs_id") == F.col("s_id")), "left").drop("s_net", "s_id")
+    own = rows.filter("s_set is not null")
+    by = lambda df: df.groupBy(F.col("net").alias("g_net"), F.col("s_set").alias("g_set"))
+    whole = by(own).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("misclosure") / F.col("sigma")).alias("m_sum"))
+    # The sum of the misclosures goes along with those of the coefficients; a set of rows without a term has none.
+    parts = own.select("net", "s_set", "sigma", F.explode("terms").alias("t")).groupBy("net", "s_set", F.col("t.p").alias("p")).agg(F.sum(F.col("t.a") / F.col("sigma")).alias("a"))
+    sums = parts.groupBy(F.col("net").alias("t_net"), F.col("s_set").alias("t_set")).agg(F.collect_list(F.struct("p", "a")).alias("a_sums"))
+    whole = whole.join(sums, (F.col("g_net") == F.col("t_net")) & (F.col("g_set") == F.col("t_set")), "left").drop("t_net", "t_set")
+    rows = rows.join(whole, (F.col("net") == F.col("g_net")) & (F.col("s_set") == F.col("g_set")), "left")
+    a = 1 / math.sqrt(1 - rho)
+    b = (1 - F.sqrt((1 - rho) / (1 - rho + F.col("n") * rho))) / F.col("n")
+    term = lambda p, v: F.struct(p.alias("p"), v.alias("a"))
+    scaled = F.transform("terms", lambda t: term(t["p"], t["a"] * a / F.col("sigma")))
+    taken = F.transform(F.coalesce("a_sums", F.array().cast("array<struct<p:string,a:double>>")), lambda t: term(t["p"], -a * b * t["a"]))
+    inside = F.col("n").isNotNull()
+    return rows.select(
+        "net", "obs_id", "part", "type", F.when(inside, F.concat(scaled, taken)).otherwise(F.col("terms")).alias("terms"),
+        F.when(inside, a * (F.col("misclosure") / F.col("sigma") - b * F.col("m_sum"))).otherwise(F.col("misclosure")).alias("misclosure"), F.when(inside, 1.0).otherwise(F.col("sigma")).alias("sigma"),
+    )
+
+
 def normal_equations(rows: DataFrame, weight: Column | None = None) -> DataFrame:
     """(net, i, j, value) of A'PA, with j null for A'PL: one grouped sum over pairs of coefficients within a row. Only one triangle
     is summed up, then mirrored."""
@@ -289,10 +320,15 @@ def _turned(turned: DataFrame, dx: DataFrame) -> DataFrame:
     return joined.select("o_net", "o_p", (F.col("o") + F.coalesce("dx", F.lit(0.0))).alias("o"))
 
 
-def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: int = 15, robust_k: float | None = None) -> Adjusted:
+def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: int = 15, robust_k: float | None = None, correlated: tuple[str, float] | None = None) -> Adjusted:
     """Gauss-Newton on all networks together until no coordinate of a network moves by more than ``tolerance``, at most ``most``
     times; with ``robust_k`` each round weights residuals by Huber's function of the last ones. A network that has come to
-    rest takes no further part; which ones have not is in ``summary``."""
+    rest takes no further part; which ones have not is in ``summary``. ``correlated`` is a column of ``obs`` that names sets of rows and the correlation
+    between any two rows of a set; the rows of the result are then the independent ones of ``whitened_sets``."""
+    rows_of = equations
+    if correlated is not None:
+        column, rho = correlated
+        rows_of = lambda o, *more: whitened_sets(equations(o, *more), o.select("net", "obs_id", F.col(column).alias("set")), rho)
     weight = 1 / (F.col("sigma") * F.col("sigma"))
     if robust_k is not None:
         weight = weight * huber_weight("misclosure", "sigma", robust_k)
@@ -301,7 +337,7 @@ def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: i
     has_sets = not turned.isEmpty()
     while turn < most and not done:
         turn += 1
-        rows = equations(going, stations if turn == 1 else stations.join(left, "net", "left_semi"), turned)
+        rows = rows_of(going, stations if turn == 1 else stations.join(left, "net", "left_semi"), turned)
         dx = cut(solve_networks(normal_equations(rows, weight if turn > 1 else None)), "adjust-dx")
         stations = cut(_moved(stations, dx), "adjust")
         turned = cut(_turned(turned, dx), "adjust-turned") if has_sets else turned
@@ -312,7 +348,7 @@ def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: i
         going = obs.join(left, "net", "left_semi")
     last = log.groupBy("net").agg(F.max("iterations").alias("iterations"), F.max_by("step", "iterations").alias("step"), F.max("damping").alias("damping"))
     summary = cut(last.withColumn("converged", F.coalesce(F.col("step") <= tolerance, F.lit(False))), "adjust-summary")
-    return Adjusted(stations, equations(obs, stations, turned), turn, done and summary.filter("not converged").isEmpty(), summary)
+    return Adjusted(stations, rows_of(obs, stations, turned), turn, done and summary.filter("not converged").isEmpty(), summary)
 
 
 def degrees_of_freedom(rows: DataFrame) -> DataFrame:

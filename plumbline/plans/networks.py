@@ -143,6 +143,22 @@ def weighted_control(spark, sf_dir):
     return rounded(adjustment.adjust(obs, free.unionByName(base)).stations.filter("not fixed").select("net", "station", "h"))
 
 
+_RHO = 0.3
+
+
+@networks.query(f"""
+WITH {_REPEATED}, v AS (SELECT net, obs_id, v, 0.001 * (1 + obs_id % 3) AS s, obs_id <= 4 AS grouped FROM r), k AS (SELECT {_RHO} / (1 - {_RHO} + 4 * {_RHO}) AS k),
+g AS (SELECT net, (sum(1 / (s * s)) - any_value(k) * sum(1 / s) ** 2) / (1 - {_RHO}) AS n, (sum(v / (s * s)) - any_value(k) * sum(1 / s) * sum(v / s)) / (1 - {_RHO}) AS u FROM v, k WHERE grouped GROUP BY net),
+o AS (SELECT net, sum(1 / (s * s)) AS n, sum(v / (s * s)) AS u FROM v WHERE NOT grouped GROUP BY net)
+SELECT g.net, round(10 + (g.u + o.u) / (g.n + o.n), 7) AS h FROM g JOIN o ON g.net = o.net""")
+def correlated_levels(spark, sf_dir):
+    """A height levelled six times with unequal sigmas; four of the lines are equally correlated."""
+    obs, stations = repeated_levels(spark, sf_dir)
+    obs = obs.withColumns({"sigma": 0.001 * (1 + F.col("obs_id") % 3), "grp": F.when(F.col("obs_id") <= 4, F.lit("a"))})
+    out = adjustment.adjust(obs, stations, correlated=("grp", _RHO))
+    return out.stations.filter("not fixed").select("net", F.round("h", 7).alias("h"))
+
+
 @networks.query("""
 WITH c AS (SELECT s_suppkey AS net, 0.002 AS se, 0.003 + (s_suppkey % 4) * 0.001 AS sn, ((s_suppkey % 9) - 4) * 0.2 AS r FROM supplier),
 p AS (SELECT net, 1 / (se * se * (1 - r * r)) AS a, 1 / (sn * sn * (1 - r * r)) AS b, -r / (se * sn * (1 - r * r)) AS c FROM c),
