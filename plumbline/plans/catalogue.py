@@ -12,10 +12,11 @@ from plumbline.plans.records import records
 from plumbline.plans.registry import Query
 from plumbline.plans.reviews import reviews
 from plumbline.plans.shapes import shapes
+from plumbline.plans.simulations import simulations
 from plumbline.plans.studies import studies
 from plumbline.plans.texts import texts
 
-_ALL = (levels, measurements, merges, networks, plannings, records, reviews, shapes, studies, texts, outputs)
+_ALL = (levels, measurements, merges, networks, plannings, records, reviews, shapes, simulations, studies, texts, outputs)
 
 
 def queries() -> dict[str, Query]:
