@@ -9,9 +9,9 @@ size, which is summed up by ranges of slots and broadcast. Results don't depend
 Candidates are sifted before any text is fetched, by rules that never rule out a similar pair: sizes, places in the list,
 and parities. A text's parity bits say for each of m slots whether an odd number of its shingles falls there; each shingle that only
 one of two texts has can change one bit, so more differing bits than dissimilar shingles allowed rule a pair out.
-What is left is verified on whole texts, in two rounds: first one pair for each text, with the least of those that it met as, or together
-with, the least member of a list, which ties large groups of copies together with few pairs; then all candidates that are still in
-different components, none left out.
+What is left is verified on whole texts, in three rounds: first one pair for each text, with the least of those that it met as, or together
+with, the least member of a list; then one or two for each text that shares a list with texts of another component. These tie large groups of copies
+together with few pairs. Last come all candidates that are still in different components, none left out.
 
 Texts are read and never shuffled, but for those of candidates. Postings are packed as arrays, a row for each block of texts and
 part of the shingles; parts are of about ``PART_POSTINGS`` postings and grow in number.
@@ -47,9 +47,7 @@ FLUSH_POSTINGS = 400_000
 BYTES_A_POSTING = 30
 #: Candidate pairs that are handed on at once, parity bits to a shingle, and most of a text.
 PAIRS_AT_ONCE = 100_000
-BITS_A_SHINGLE, PARITY_BITS = 2, 1 << 22
-#: 64-bit words of parity bits that go along with a member of a list, at least; pairs are held against all bits afterwards.
-LIST_WORDS = 8
+BITS_A_SHINGLE, LEAST_BITS, PARITY_BITS = 1, 256, 1 << 22
 #: Members of a list that one task compares; a longer list is cut into tiles, each two of which are a group of their own.
 TILE = 8192
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -92,18 +90,13 @@ def possible(n, i, m, j):
 
 
 def parities(found: np.ndarray) -> np.ndarray:
-    """The parity bits of a set as 64-bit words, their number a power of two."""
-    size = min(PARITY_BITS, max(64, 1 << (BITS_A_SHINGLE * len(found) - 1).bit_length()))
+    """The parity bits of a set as 64-bit words, their number a power of two: with fewer bits than shingles, sets that have nothing in common would not
+    differ in enough of them to tell."""
+    size = min(PARITY_BITS, max(LEAST_BITS, 1 << (BITS_A_SHINGLE * len(found) - 1).bit_length()))
     slots = np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(slots.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def few_bits(bits: np.ndarray) -> np.ndarray:
-    """Parity bits for a list: half of all, which is a bit or more to a shingle, or ``LIST_WORDS``. With fewer, sets that have nothing in common would not
-    differ in enough bits to tell."""
-    return folded(bits, max(LIST_WORDS, len(bits) // 2))
-
-
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
     """The last axis of parity bits, folded to so many words: as if there had been fewer slots."""
     while bits.shape[-1] > words:
@@ -219,7 +212,7 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
                 i = order[cuts[p] : cuts[p + 1]]
                 own, of = np.unique(text[i], return_inverse=True)
                 packed = pack(np.diff(key[i], prepend=np.uint64(0)), of.astype(np.uint32), place[i].astype(np.uint32), h[own], n[own].astype(np.uint32))
-                yield [p], [packed], *([None] for _ in range(5))
+                yield [p], [packed], *([None] for _ in range(4))
 
         def fn(part):
             if part is not None:
@@ -232,7 +225,7 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
                     held.append(prefix(found, rank))
                     table.append((h, len(found)))
                     bits = parities(found)
-                    rows.append((None, None, h, len(found), _signed(set_bits(found)), bits.tobytes(), few_bits(bits).tobytes()))
+                    rows.append((None, None, h, len(found), _signed(set_bits(found)), bits.tobytes()))
                 if rows:
                     yield list(zip(*rows))
             if held and (part is None or sum(map(len, held)) >= FLUSH_POSTINGS):
@@ -240,7 +233,7 @@ def _sets(texts: DataFrame, rank: np.ndarray, parts: int) -> DataFrame:
 
         return fn
 
-    fields = [("part", "int"), ("packed", "binary"), ("h", "long"), ("n", "int"), ("fp", "long"), ("bits", "binary"), ("few_bits", "binary")]
+    fields = [("part", "int"), ("packed", "binary"), ("h", "long"), ("n", "int"), ("fp", "long"), ("bits", "binary")]
     return emit_rows(texts.select("h", "text"), make, fields, finish=True)
 
 
@@ -305,8 +298,8 @@ def _sifted(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return append_columns(both, inputs, make, [("maybe", "boolean")], inputs).filter("maybe").select("a", "b")
 
 
-def _other_pairs(members: DataFrame) -> DataFrame:
-    """(a, b) of all candidates of a list that are in different components."""
+def _other_pairs(members: DataFrame, first: bool = False) -> DataFrame:
+    """(a, b) of all candidates of a list that are in different components, or only the ``first`` one of each member."""
 
     def run(batches):
         held: list = []
@@ -325,6 +318,7 @@ def _other_pairs(members: DataFrame) -> DataFrame:
             order = np.argsort(h)
             m = Members(*(x[order] for x in (h, n, i, root, side)), [held_bits[k] for k in order.tolist()])
             for k, found in m.all():
+                found = found[:1] if first else found
                 made[0].append(np.full(len(found), m.h[k]))
                 made[1].append(m.h[found])
                 if sum(map(len, made[0])) >= PAIRS_AT_ONCE:
@@ -349,17 +343,29 @@ def _other_pairs(members: DataFrame) -> DataFrame:
     return members.repartition("list", "tiles").sortWithinPartitions("list", "tiles").mapInArrow(run, "a long, b long").distinct()
 
 
-def _named(lists: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """The members of all lists that hold texts of two components or more, with their roots and parity bits; tiles and side tell the groups
-    of a list that is longer than ``TILE``."""
+def _open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """(list, h, n, i, root, cuts) of the members of all lists that hold texts of two components or more, with the number of tiles of the list."""
     rows = lists.join(roots.withColumnRenamed("node", "__h"), F.col("h") == F.col("__h"), "left").withColumn("root", F.coalesce("root", "h")).drop("__h")
     open_lists = rows.groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    rows = rows.join(open_lists.select("list", F.ceil(F.col("n") / TILE).alias("cuts")), "list")
+    return rows.join(open_lists.select("list", F.ceil(F.col("n") / TILE).alias("cuts")), "list")
+
+
+def _named(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members of open lists with their parity bits; tiles and side tell the groups of a list that is longer than ``TILE``."""
     # Tile t of T meets every other one: the group (low, high) is numbered low * T + high.
     own, every = F.pmod(F.xxhash64("h"), F.col("cuts")), F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)
     group = lambda t: F.struct((F.least(own, t) * F.col("cuts") + F.greatest(own, t)).alias("tiles"), F.when(own == t, 0).when(own < t, 1).otherwise(2).alias("side"))
     rows = rows.withColumn("g", F.explode(F.transform(every, group))).select("list", "h", "n", "i", "root", "g.tiles", "g.side")
-    return rows.join(sets.select(F.col("h").alias("__h"), F.col("few_bits").alias("bits")), F.col("h") == F.col("__h")).drop("__h")
+    return rows.join(sets.select(F.col("h").alias("__h"), "bits"), F.col("h") == F.col("__h")).drop("__h")
+
+
+def _first_met(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): for each text of open lists a candidate in another component, by its least open list and by its greatest one. Near copies mostly
+    agree on these, so groups of them grow together by as many pairs as they have texts, where all candidates would be pairs of all with all."""
+    whole = F.struct("list", "n", "i", "root", "cuts")
+    picked = rows.groupBy("h").agg(F.min(whole).alias("low"), F.max(whole).alias("high"))
+    picked = cut(picked.select("h", F.explode(F.array_distinct(F.array("low", "high"))).alias("l")).select("l.list", "h", "l.n", "l.i", "l.root", "l.cuts"), "near-picked")
+    return _other_pairs(_named(picked, sets), first=True)
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -408,13 +414,18 @@ def near_copies(texts: DataFrame) -> DataFrame:
         size = texts.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).first()
         parts = max(8, math.ceil(((size["bytes"] or 0) / BYTES_A_POSTING + size["rows"]) / PART_POSTINGS))
         made = cut(_sets(texts, _ranks(texts, SLOTS), parts), "near-sets")
-        sets = made.filter("h is not null").select("h", "n", "fp", "bits", "few_bits").dropDuplicates(["h"])
+        sets = made.filter("h is not null").select("h", "n", "fp", "bits").dropDuplicates(["h"])
         lists = cut(_lists(made.filter("packed is not null").select("part", "packed"), parts), "near-lists")
         maybe = cut(_sifted(_by_fingerprint(sets).unionByName(_first_pairs(lists)).distinct(), sets), "near-maybe")
         least = maybe.groupBy(F.greatest("a", "b").alias("b")).agg(F.min(F.least("a", "b")).alias("a")).select("a", "b")
         edges = _verified(least, texts)
         roots = components(edges)
-        met = _other_pairs(_named(lists.select("list", "h", "n", "i"), sets, roots))
+        lists = lists.select("list", "h", "n", "i")
+        tied = _verified(_first_met(_open(lists, roots), sets), texts)
+        if not tied.isEmpty():
+            edges = edges.unionByName(tied)
+            roots = components(edges)
+        met = _other_pairs(_named(_open(lists, roots), sets))
         others = _apart(maybe, roots).unionByName(_sifted(met, sets)).distinct()
         more = _verified(others, texts)
         return roots if more.isEmpty() else components(edges.unionByName(more))

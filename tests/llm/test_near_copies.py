@@ -94,7 +94,7 @@ def test_a_list_of_unrelated_long_texts_gives_no_pairs(size):
     near[: size // 12] = r.integers(0, 1 << 63, size // 12)
     sets.append(np.unique(near))
     every = np.arange(len(sets))
-    m = n.Members(every, np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64), every, np.zeros(len(sets), np.int64), [n.few_bits(n.parities(x)).tobytes() for x in sets])
+    m = n.Members(every, np.array([len(x) for x in sets]), np.zeros(len(sets), np.int64), every, np.zeros(len(sets), np.int64), [n.parities(x).tobytes() for x in sets])
     pairs = [(a, b) for a, found in m.all() for b in found.tolist()]
     assert (0, k) in pairs and len(pairs) <= 3
 
@@ -103,10 +103,10 @@ def test_tiles_compare_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(n, "TILE", 7)
     rows = [(5, h, 100, 0) for h in range(50)] + [(6, h, 100, 0) for h in range(3)]
     lists = spark.createDataFrame(rows, "list long, h long, n int, i int")
-    bits = n.few_bits(n.parities(np.arange(100, dtype=np.uint64))).tobytes()
-    sets = spark.createDataFrame([(h, bits) for h in range(50)], "h long, few_bits binary")
+    bits = n.parities(np.arange(100, dtype=np.uint64)).tobytes()
+    sets = spark.createDataFrame([(h, bits) for h in range(50)], "h long, bits binary")
     roots = spark.createDataFrame([(1, 0)], "node long, root long")
-    named = n._named(lists, sets, roots)
+    named = n._named(n._open(lists, roots), sets)
     assert named.groupBy("list", "tiles").count().agg({"count": "max"}).first()[0] < 40
     got = n._other_pairs(named)
     assert got.count() == got.distinct().count()
