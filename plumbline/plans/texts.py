@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions import law
 from plumbline.functions.text import ENTITIES, snippet
 from plumbline.operators import corpus, scheduling, search
 from plumbline.plans.measurements import rounded
@@ -80,6 +81,32 @@ def _sections(spark, sf_dir):
     return corpus.sections(table(spark, sf_dir, "pages"), "page_id", "html", START, "^<([a-z0-9]+)")
 
 
+#: Lines and their classes: text, blank, note of consolidation, history and heading.
+_LAW_LINES = (
+    ("1 A person shall file a plan.", "t"), ("", "b"), ("N.B. This Act is consolidated to June 1, 2020.", "n"), ("R.S. 1973, c. A-1", "h"), ("GENERAL", "g"),
+    ("(a) text, and   ", "t"), ("84-12; 86-3", "h"), ("2001, c.5, s.3", "h"),
+)
+_LAW_PICKS = ("o_orderkey % 8", "o_orderkey // 8 % 8", "o_orderkey // 64 % 8", "o_custkey % 8", "o_custkey // 8 % 8")
+
+
+@texts.query(f"""
+WITH l AS (SELECT o_orderkey, [{", ".join(f"CAST({p} + 1 AS INTEGER)" for p in _LAW_PICKS)}] AS k FROM orders),
+c AS (SELECT *, list_transform(k, lambda x: [{", ".join(f"'{c}'" for _, c in _LAW_LINES)}][x]) AS c, list_transform(k, lambda x: [{", ".join(f"'{t}'" for t, _ in _LAW_LINES)}][x]) AS t FROM l),
+b AS (SELECT *, coalesce(list_min(list_filter(range(1, 6), lambda i: c[i] NOT IN ('b', 'n'))), 6) AS f, coalesce(list_max(list_filter(range(1, 6), lambda i: c[i] NOT IN ('b', 'h', 'g'))), 0) AS e FROM c),
+d AS (SELECT *, greatest(e, CASE WHEN c[f] = 'g' THEN f ELSE 0 END) AS z FROM b)
+SELECT o_orderkey, trim(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(range(1, 6), lambda i: i BETWEEN f AND z AND c[i] NOT IN ('n', 'h')), lambda i: t[i]), chr(10)), ' +\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || ' ') AS operative,
+  nullif(array_to_string(list_transform(list_concat(list_filter(range(1, 6), lambda i: i > z AND c[i] = 'h'), list_filter(range(1, 6), lambda i: i BETWEEN f AND z AND c[i] = 'h')), lambda i: t[i]), chr(10)), '') AS history,
+  nullif(array_to_string(list_transform(list_filter(range(1, 6), lambda i: c[i] = 'n'), lambda i: t[i]), chr(10)), '') AS consolidation,
+  nullif(array_to_string(list_transform(list_filter(range(1, 6), lambda i: i > z AND c[i] = 'g'), lambda i: t[i]), chr(10)), '') AS headings FROM d""")
+def law_parts(spark, sf_dir):
+    """What is in force of a text for each order, made of five lines of all classes."""
+    lines = F.array(*(F.lit(t) for t, _ in _LAW_LINES))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    picks = (k % 8, F.floor(k / 8) % 8, F.floor(k / 64) % 8, c % 8, F.floor(c / 8) % 8)
+    text = F.concat_ws("\n", *(F.element_at(lines, (p + 1).cast("int")) for p in picks))
+    return table(spark, sf_dir, "orders").select("o_orderkey", law.prepared(text).alias("p")).select("o_orderkey", "p.*")
+
+
 @texts.query(f"WITH {_SECTIONS} SELECT page_id, position, label, CASE WHEN n = 1 THEN label ELSE label || '#' || n END AS source_key, text, sha256(text) AS content_hash FROM sections")
 def page_sections(spark, sf_dir):
     return _sections(spark, sf_dir)
