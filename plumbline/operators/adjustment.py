@@ -11,7 +11,10 @@ orientation is one more unknown for each set_id), ``dir`` (a bearing; with flip1
 and ``zenith`` (with hi and ht). The columns set_id, flip180, hi and ht may be absent or null: then a station's directions are one
 set, and the others are false or 0. A ``gps`` row may have value_u (up), sigma_n, sigma_u and the correlations corr_en, corr_eu and
 corr_nu; where they are absent or null, north and up are as good as east, nothing is correlated, and without value_u the
-row is a plane vector. Stations: net, station, x, y, h, fixed (both plane and height), and for weighted control sx, sy, sh with
+row is a plane vector. Observations are made on the ground and stations lie in the plane of a grid; what lies between them may be given by line: ``scale``, grid over
+ground distance, ``convergence``, by which grid azimuths are less than the bearings read, ``prism``, added to distances, ``mode``, where ``slope`` is a distance between
+instrument and target, and ``refraction``, the coefficient with which zeniths are lowered by the earth's curvature less refraction. Absent or null they are 1, 0, 0, a plane
+distance, and no curvature. Stations: net, station, x, y, h, fixed (both plane and height), and for weighted control sx, sy, sh with
 the coordinates held as target_x, target_y, target_h (default: those given) and corr_xy. Rows with a missing end, value or positive
 sigma are left out; a row of another type is an error.
 
@@ -32,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from plumbline.functions.angles import wrap_pi
+from plumbline.functions.angles import curvature_refraction, wrap_pi
 from plumbline.functions.numbers import clip, huber_weight, is_finite
 from plumbline.tables import cut
 
@@ -116,10 +119,14 @@ def equations(obs: DataFrame, stations: DataFrame, turned: DataFrame | None = No
     rows = rows.join(turned, (F.col("net") == F.col("o_net")) & (F.col("o_name") == F.col("o_p")), "left")
     dx, dy = F.col("t_x") - F.col("f_x"), F.col("t_y") - F.col("f_y")
     d = F.greatest(F.hypot(dx, dy), F.lit(1e-9))
+    scale, prism = _optional(rows, "scale", "double", F.lit(1.0)), _optional(rows, "prism", "double", F.lit(0.0))
+    converged = _optional(rows, "convergence", "double", F.lit(0.0))
+    slope = _optional(rows, "mode", "string", F.lit("")) == "slope"
+    bend = F.coalesce(curvature_refraction(F.lit(1.0), _optional(rows, "refraction", "double", F.lit(None).cast("double"))), F.lit(0.0))
     fx, fy, tx, ty = (F.col(f"{r}_{c}") for r in "ft" for c in "xy")
     ax, ay = F.col("a_x"), F.col("a_y")
     df2, dt2 = F.greatest((fx - ax) ** 2 + (fy - ay) ** 2, F.lit(1e-18)), F.greatest((tx - ax) ** 2 + (ty - ay) ** 2, F.lit(1e-18))
-    az = F.atan2(dx, dy)
+    az = F.atan2(dx, dy) + converged
     angle = F.atan2(tx - ax, ty - ay) - F.atan2(fx - ax, fy - ay)
     gx_t, gy_t = (ty - ay) / dt2, -(tx - ax) / dt2
     gx_f, gy_f = -(fy - ay) / df2, (fx - ax) / df2
@@ -127,9 +134,13 @@ def equations(obs: DataFrame, stations: DataFrame, turned: DataFrame | None = No
     half_turn = F.when(_optional(rows, "flip180", "boolean", F.lit(False)) & (F.abs(wrap_pi(F.col("value") + math.pi - az)) < F.abs(wrap_pi(F.col("value") - az))), math.pi).otherwise(0.0)
     turn = F.struct(F.col("o_name").alias("p"), F.lit(1.0).alias("a"))
     dh = F.col("t_h") + _optional(rows, "ht", "double", F.lit(0.0)) - F.col("f_h") - _optional(rows, "hi", "double", F.lit(0.0))
-    flat = F.hypot(dx, dy)
+    # On the ground: the plane's distance over the scale, and how it changes with east and north.
+    flat = F.hypot(dx, dy) / scale
+    gx, gy = dx / (d * scale), dy / (d * scale)
     slope2 = F.greatest(flat**2 + dh**2, F.lit(1e-18))
-    zx, zy, zh = dh * dx / (slope2 * d), dh * dy / (slope2 * d), -flat / slope2
+    zx, zy, zh = (dh / slope2 + bend) * gx, (dh / slope2 + bend) * gy, -flat / slope2
+    s3 = F.sqrt(slope2)
+    sx, sy, sh = flat * gx / s3, flat * gy / s3, dh / s3
 
     def row(kind, part, misclosure, *terms, sigma=F.col("sigma"), only=F.lit(True)):
         return F.when((F.col("type") == kind) & only, F.struct(F.lit(part).alias("part"), misclosure.alias("misclosure"), sigma.alias("sigma"), F.array_compact(F.array(*terms)).alias("terms")))
@@ -151,14 +162,15 @@ def equations(obs: DataFrame, stations: DataFrame, turned: DataFrame | None = No
 
     made = F.array_compact(
         F.array(
-            row("dist", 0, v - F.hypot(dx, dy), _term("f", "x", -dx / d), _term("f", "y", -dy / d), _term("t", "x", dx / d), _term("t", "y", dy / d)),
+            row("dist", 0, v + prism - flat, _term("f", "x", -gx), _term("f", "y", -gy), _term("t", "x", gx), _term("t", "y", gy), only=~slope),
+            row("dist", 0, v + prism - s3, _term("f", "x", -sx), _term("f", "y", -sy), _term("f", "h", -sh), _term("t", "x", sx), _term("t", "y", sy), _term("t", "h", sh), only=slope),
             row("bearing", 0, wrap_pi(v - az), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2)),
             row("angle", 0, wrap_pi(v - angle), _term("t", "x", gx_t), _term("t", "y", gy_t), _term("f", "x", gx_f), _term("f", "y", gy_f), _term("a", "x", -(gx_t + gx_f)), _term("a", "y", -(gy_t + gy_f))),
             *(vector(i) for i in range(3)),
             row("lev", 0, v - (F.col("t_h") - F.col("f_h")), _term("f", "h", F.lit(-1.0)), _term("t", "h", F.lit(1.0))),
             row("direction", 0, wrap_pi(v - az - F.col("o")), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2), turn),
             row("dir", 0, wrap_pi(v + half_turn - az), _term("f", "x", -dy / d**2), _term("f", "y", dx / d**2), _term("t", "x", dy / d**2), _term("t", "y", -dx / d**2)),
-            row("zenith", 0, v - F.atan2(flat, dh), _term("f", "x", -zx), _term("f", "y", -zy), _term("f", "h", -zh), _term("t", "x", zx), _term("t", "y", zy), _term("t", "h", zh)),
+            row("zenith", 0, v - F.atan2(flat, dh) - bend * flat, _term("f", "x", -zx), _term("f", "y", -zy), _term("f", "h", -zh), _term("t", "x", zx), _term("t", "y", zy), _term("t", "h", zh)),
         )
     )
     unknown = F.raise_error(F.concat(F.lit("unknown type of observation: "), F.coalesce("type", F.lit("null"))))

@@ -143,6 +143,23 @@ def weighted_control(spark, sf_dir):
     return rounded(adjustment.adjust(obs, free.unionByName(base)).stations.filter("not fixed").select("net", "station", "h"))
 
 
+@networks.query("""
+WITH n AS (SELECT s_suppkey AS net, 0.9996 + (s_suppkey % 9) * 0.0001 AS s, (s_suppkey % 5) * 0.01 AS c, 300.0 + s_suppkey % 200 AS d, 0.1 + (s_suppkey % 4) * 0.02 AS k FROM supplier)
+SELECT net, round(d * s * sin(0.7 - c), 4) AS x, round(d * s * cos(0.7 - c), 4) AS y, round(d / tan(1.55 - (1 - k) * d / 12742000.0), 4) AS h FROM n""")
+def ground_reductions(spark, sf_dir):
+    """A station by a ground distance, a bearing and a zenith: scale, convergence, curvature and refraction are in the equations."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k.alias("net"), (0.9996 + (k % 9) * 0.0001).alias("scale"), ((k % 5) * 0.01).alias("c"), (300.0 + k % 200).alias("d"), (0.1 + (k % 4) * 0.02).alias("k"))
+    none = F.lit(None).cast("double")
+    row = lambda i, kind, v, scale, turn, refraction, prism: F.struct(F.lit(i).alias("obs_id"), F.lit(kind).alias("type"), v.alias("value"), scale.alias("scale"), turn.alias("convergence"), refraction.alias("refraction"), F.lit(prism).cast("double").alias("prism"))
+    rows = F.array(row(1, "dist", F.col("d") - 0.02, F.col("scale"), none, none, 0.02), row(2, "bearing", F.lit(0.7), none, F.col("c"), none, None), row(3, "zenith", F.lit(1.55), F.col("scale"), none, F.col("k"), None))
+    ends = [F.lit(1).alias("from_id"), F.lit(2).alias("to_id"), F.lit(None).cast("int").alias("at_id"), none.alias("value_n"), F.when(F.col("o.type") == "dist", 0.002).otherwise(1e-5).alias("sigma")]
+    obs = s.select("net", F.explode(rows).alias("o")).select("net", "o.*", *ends)
+    at = lambda i, x, y, f: s.select("net", F.lit(i).alias("station"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("h"), F.lit(f).alias("fixed"))
+    out = adjustment.adjust(obs, at(1, 0.0, 0.0, True).unionByName(at(2, 230.0, 250.0, False)))
+    return out.stations.filter("not fixed").select("net", *(F.round(c, 4).alias(c) for c in "xyh"))
+
+
 _RHO = 0.3
 
 

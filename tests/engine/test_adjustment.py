@@ -62,6 +62,48 @@ def test_derivatives(spark):
             assert (base[i]["misclosure"] - r["misclosure"]) / step == pytest.approx(want, abs=1e-6)
 
 
+GROUND = OBS + ", scale double, convergence double, prism double, mode string, refraction double"
+
+
+def on_the_ground(spark):
+    """Every line with a scale, a convergence, a prism constant and refraction of its own."""
+    rows = []
+
+    def add(kind, a, b, value, *more, set_id=None, hi=0.0, ht=0.0):
+        rows.append((1, len(rows), kind, a, b, None, value, None, 1e-5 if kind != "dist" else 1e-4, set_id, None, hi, ht, *more))
+
+    for a in TRUE:
+        for b in TRUE:
+            if a == b:
+                continue
+            dx, dy, dh = (TRUE[b][k] - TRUE[a][k] for k in range(3))
+            scale, turn, k = 0.9996 + 1e-5 * a, 0.01 * b, 0.13 + 0.01 * a
+            flat, az = math.hypot(dx, dy) / scale, math.atan2(dx, dy)
+            add("dist", a, b, flat - 0.03, scale, None, 0.03, None, None)
+            add("dist", a, b, math.hypot(flat, dh + 1.5 - 1.7), scale, None, None, "slope", None, hi=1.7, ht=1.5)
+            add("bearing", a, b, (az + turn) % (2 * math.pi), None, turn, None, None, None)
+            add("direction", a, b, (az + turn - 0.7 - a) % (2 * math.pi), None, turn, None, None, None, set_id=f"s{a}")
+            add("zenith", a, b, math.atan2(flat, dh) + (1 - k) * flat / (2 * 6_371_000.0), scale, None, None, None, k)
+    return spark.createDataFrame(rows, GROUND)
+
+
+def test_scale_convergence_prism_and_refraction(spark):
+    obs = on_the_ground(spark)
+    out = adjustment.adjust(obs, spark.createDataFrame(place({3, 4}), PLACES))
+    assert out.converged
+    for r in out.stations.collect():
+        assert (r["x"], r["y"], r["h"]) == pytest.approx(TRUE[r["station"]], abs=1e-5)
+    turned = spark.createDataFrame(adjustment.orientations(obs, spark.createDataFrame(place({1, 2, 3, 4}), PLACES)).collect(), "o_net int, o_p string, o double")
+    at = place({1, 2, 3, 4})
+    rows = lambda places: {(r["obs_id"], r["part"]): r for r in adjustment.equations(obs, spark.createDataFrame(places, PLACES), turned).collect()}
+    base, step = rows(at), 1e-4
+    for k, axis in enumerate("xyh"):
+        moved = [tuple(v + step if i == 2 + k and r[1] == 3 else v for i, v in enumerate(r)) for r in at]
+        for i, r in rows(moved).items():
+            want = sum(t["a"] for t in base[i]["terms"] if t["p"] == f"3:{axis}")
+            assert (base[i]["misclosure"] - r["misclosure"]) / step == pytest.approx(want, abs=2e-6)
+
+
 def test_unknown_types_are_errors(spark):
     obs, stations = network(spark, {"dir"}).replace("dir", "azimut", "type"), spark.createDataFrame(place({3, 4}), PLACES)
     with pytest.raises(PySparkException, match="unknown type"):
