@@ -122,16 +122,59 @@ def nearest(points: DataFrame, key: str, targets: DataFrame, target_key: str, x:
     return best.select(F.col("p").alias(key), F.col("best.t").alias(target_key), F.col("best.dist").alias("dist"))
 
 
-def boxes_overlap(boxes: DataFrame, key: str, cell: float) -> DataFrame:
-    """(a, b) of boxes (x0, y0, x1, y1) that overlap, by meeting in grid cells; each pair once."""
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    cells = boxes.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1")))
-    a = cells.select(F.col(key).alias("a"), *(F.col(c).alias(f"a_{c}") for c in ("x0", "y0", "x1", "y1")), "cx", "cy")
-    b = cells.select(F.col(key).alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("x0", "y0", "x1", "y1")), "cx", "cy")
+def boxes_overlap(boxes: DataFrame, key: str) -> DataFrame:
+    """(a, b) of boxes (x0, y0, x1, y1) that overlap, each pair once; boxes meet in cells of their own size, however sizes differ."""
+    from plumbline.operators.parcels import meeting_boxes
+
+    rows = boxes.select(F.col(key).alias("k"), "x0", "y0", "x1", "y1")
     hit = (F.col("a_x0") < F.col("b_x1")) & (F.col("b_x0") < F.col("a_x1")) & (F.col("a_y0") < F.col("b_y1")) & (F.col("b_y0") < F.col("a_y1"))
-    # A pair counts in the cell of the overlap's lower corner alone, so nothing needs deduplicating.
-    own = (F.floor(F.greatest("a_x0", "b_x0") / cell) == F.col("cx")) & (F.floor(F.greatest("a_y0", "b_y0") / cell) == F.col("cy"))
-    return a.join(b, ["cx", "cy"]).filter(F.col("a") < F.col("b")).filter(hit & own).select("a", "b")
+    return meeting_boxes(rows, rows).filter((F.col("a_k") < F.col("b_k")) & hit).select(F.col("a_k").alias("a"), F.col("b_k").alias("b"))
+
+
+#: Parts of a cell, along each side, whose boxes tell whether two cells are linked.
+PARTS = 4
+
+
+def near_links(points: DataFrame, key: str, x: str, y: str, tolerance: float) -> DataFrame:
+    """(a, b): edges that tie together just those points which chains of steps of at most ``tolerance`` connect, as all pairs within it would.
+
+    All points of a cell of side tolerance / sqrt(2) are linked, so each is tied to the cell's least, and cells are what remains to link. Two cells near each other are
+    linked for sure where the boxes of some parts of theirs lie within the tolerance with all they hold. Only cells that are in different components by
+    then, with parts that may or may not reach each other, have their points compared, in those parts alone. So a dense cell gives as
+    many edges as it has points. Points with a null place have none.
+    """
+    from plumbline.operators.graph import components
+
+    side = tolerance / 2**0.5 * (1 - 1e-12)
+    p = points.select(F.col(key).alias("k"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x is not null and y is not null")
+    part = lambda c: F.floor((F.col(c) / side - F.floor(F.col(c) / side)) * PARTS).cast("int")
+    p = grid_cells(p, "x", "y", side).withColumns({"px": part("x"), "py": part("y")})
+    p = cut(p, "near-points")
+    least = cut(p.groupBy("cx", "cy").agg(F.min("k").alias("low")), "near-cells")
+    within = p.join(least, ["cx", "cy"]).filter("k <> low").select(F.col("low").alias("a"), F.col("k").alias("b"))
+
+    boxes = p.groupBy("cx", "cy", "px", "py").agg(*(f(c).alias(f"{c}{i}") for c in "xy" for i, f in enumerate((F.min, F.max)))).join(least, ["cx", "cy"])
+    boxes = cut(boxes, "near-parts")
+    # Half of the cells around, so that each two cells meet once.
+    steps = [(i, j) for i in range(3) for j in range(-2, 3) if (i, j) > (0, 0)]
+    right = boxes.select(*(F.col(c).alias(f"b_{c}") for c in boxes.columns))
+    left = boxes.withColumn("s", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps))))
+    met = left.join(right, (F.col("cx") + F.col("s.i") == F.col("b_cx")) & (F.col("cy") + F.col("s.j") == F.col("b_cy")))
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"b_{c}0") - F.col(f"{c}1"), F.col(f"{c}0") - F.col(f"b_{c}1"))
+    reach = lambda c: F.greatest(F.col(f"b_{c}1") - F.col(f"{c}0"), F.col(f"{c}1") - F.col(f"b_{c}0"))
+    met = met.withColumns({"sure": F.hypot(reach("x"), reach("y")) <= tolerance, "maybe": F.hypot(gap("x"), gap("y")) <= tolerance}).filter("maybe")
+    met = cut(met.select("cx", "cy", "px", "py", "low", "b_cx", "b_cy", "b_px", "b_py", "b_low", "sure"), "near-met")
+    sure = met.filter("sure").select(F.col("low").alias("a"), F.col("b_low").alias("b")).distinct()
+
+    roots = components(sure).select(F.col("node").alias("n"), "root")
+    open_parts = met.filter("not sure")
+    for c in ("low", "b_low"):
+        open_parts = open_parts.join(roots.select(F.col("n").alias(f"n_{c}"), F.col("root").alias(f"root_{c}")), F.col(c) == F.col(f"n_{c}"), "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c)).drop(f"n_{c}")
+    open_parts = open_parts.filter("root_low <> root_b_low")
+    here, there = p.select("cx", "cy", "px", "py", "x", "y"), p.select(*(F.col(c).alias(f"b_{c}") for c in ("cx", "cy", "px", "py", "x", "y")))
+    pairs = open_parts.join(here, ["cx", "cy", "px", "py"]).join(there, ["b_cx", "b_cy", "b_px", "b_py"])
+    close = pairs.filter(F.hypot(F.col("x") - F.col("b_x"), F.col("y") - F.col("b_y")) <= tolerance).select(F.col("low").alias("a"), F.col("b_low").alias("b")).distinct()
+    return within.unionByName(sure).unionByName(close)
 
 
 def _chains(rule: DataFrame, most_rounds: int = 64) -> DataFrame:

@@ -137,7 +137,7 @@ r AS (SELECT DISTINCT a AS node, a AS root FROM e UNION SELECT e.b, r.root FROM
 SELECT node, min(root) AS root FROM r GROUP BY node""")
 def connected_components(spark, sf_dir):
     """Single-linkage clusters of points."""
-    return graph.components(relational.near_pairs(_points(spark, sf_dir), "k", "x", "y", 8.0).select("a", "b"))
+    return graph.components(relational.near_links(_points(spark, sf_dir), "k", "x", "y", 8.0))
 
 
 @records.query(f"""
@@ -155,7 +155,7 @@ SELECT a.k AS a, b.k AS b FROM b a JOIN b ON a.k < b.k AND a.x0 < b.x1 AND b.x0
 def parcel_overlaps(spark, sf_dir):
     y = F.col("s_nationkey") * 10.0
     boxes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("x0"), y.alias("y0"), (F.col("s_acctbal") + 40).alias("x1"), (y + 25).alias("y1"))
-    return relational.boxes_overlap(boxes, "k", 50.0)
+    return relational.boxes_overlap(boxes, "k")
 
 
 _LEGS = """legs AS (SELECT o_custkey AS c, o_orderkey AS k, (o_totalprice % 100) - 50 AS de, (o_totalprice % 37) - 18 AS dn FROM orders)"""
