@@ -14,7 +14,7 @@ Defined cases: a call without a result has status ``no_result``, a result withou
 with null level and arguments. Identifiers are of one conversation: two conversations may use the same. A call with a null
 identifier or conversation links to nothing and has level 0. Of several results the first by (turn, content) counts, and n_results
 says how many there were; calls that repeat an identifier each get it. Identifiers that nobody has, and null ones, are not
-waited for. Calls in a cycle, and those that wait for one, have a null level. Arguments that are null, not JSON or not to the schema
+waited for. Calls in a cycle, and those that wait for one, have a null level. Arguments that are null (a JSON null too), not JSON or not to the schema
 have args_valid false; they are serialised as null if they are not JSON. Numbers out of a double's range, NaN and integers of more than
 4300 digits are not JSON here. A lone surrogate stays as its escape. An unknown tool has no valid arguments. Other columns are not read.
 """
@@ -53,6 +53,17 @@ _TYPES = {
 }
 
 
+def same(a, b) -> bool:
+    """Whether two JSON values are equal: true and false equal no number."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(same, a, b))
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(same(v, b[k]) for k, v in a.items())
+    return a == b
+
+
 def valid(value, schema: dict) -> bool:
     """Whether ``value`` is to a JSON schema of type, enum, const, bounds, lengths, properties, required and items."""
     kinds = schema.get("type", [])
@@ -62,7 +73,7 @@ def valid(value, schema: dict) -> bool:
         (k == "number" and number) or (k == "integer" and number and (isinstance(value, int) or value.is_integer())) or isinstance(value, _TYPES.get(k, ())) for k in kinds
     ):
         return False
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    if "enum" in schema and not any(same(value, v) for v in schema["enum"]) or "const" in schema and not same(value, schema["const"]):
         return False
     if number and not schema.get("minimum", -math.inf) <= value <= schema.get("maximum", math.inf):
         return False

@@ -112,3 +112,10 @@ def test_other_roles_give_no_row(spark):
     rows = [(1, 0, "tool", "t"), (1, 1, None, "n"), (1, 2, "user", "u"), (1, 3, "assistant", "a")]
     got = chat.link_tool_calls(*chat.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()
     assert [(x["turn"], x["status"]) for x in got] == [(2, "linked")]
+
+
+def test_booleans_are_no_numbers():
+    from plumbline.llm.chat_format import valid
+
+    for value, schema, ok in ((True, {"enum": [1]}, False), (1, {"enum": [True]}, False), (False, {"const": 0}, False), (1.0, {"enum": [1]}, True), (True, {"const": True}, True), ([1, True], {"const": [1, 1]}, False), ({"a": 0}, {"const": {"a": False}}, False), ({"a": [0]}, {"enum": [{"a": [0.0]}]}, True), (None, {"enum": [None]}, True)):
+        assert valid(value, schema) is ok, (value, schema)
