@@ -103,12 +103,12 @@ def interval_of(stability: float) -> int:
 
 def memory_states(log: DataFrame, unit: str, at: str, rating: str, tie: str) -> DataFrame:
     """(unit, reps, lapses, stability, difficulty, due_at) of every unit by the free spaced repetition scheduler without learning steps.
-    Rows without a time or with another rating don't count."""
+    Days between reviews are those of the calendar. Rows without a time or with another rating don't count."""
 
     def step(state, row):
         when, kind = row
         s, d, last, reps, lapses = state
-        days = 0.0 if last is None else (when - last).total_seconds() / 86_400
+        days = 0 if last is None else (when.date() - last.date()).days
         grade = GRADES[kind]
         s, d = memory_after(s, d, days, grade)
         return s, d, when, reps + 1, lapses + (grade == 1 and reps > 0)

@@ -260,9 +260,29 @@ def phase_fold(spark, sf_dir):
     return scheduling.unit_phases(_log(spark, sf_dir), "user_id", "ts", "rating", "event_id")
 
 
-@texts.query()
+_W = scheduling.FSRS
+
+
+@texts.query(f"""
+WITH {_RATED}, u AS (SELECT *, least(event_id, (SELECT max(event_id) FROM events) - event_id) AS unit FROM a WHERE rating IS NOT NULL), g AS (SELECT unit, ts, CASE rating WHEN 'again' THEN 1 WHEN 'hard' THEN 2 WHEN 'good' THEN 3 ELSE 4 END AS g, row_number() OVER (PARTITION BY unit ORDER BY ts, event_id) AS n FROM u),
+f AS (SELECT unit, ts, g, [{_W[0]}, {_W[1]}, {_W[2]}, {_W[3]}][g] AS s, least(10, greatest(1, {_W[4]} - exp({_W[5]} * (g - 1)) + 1)) AS d FROM g WHERE n = 1),
+p AS (SELECT f.unit, f.s, f.d, t.g, t.ts, date_diff('day', CAST(f.ts AS DATE), CAST(t.ts AS DATE)) AS days FROM f JOIN g t ON t.unit = f.unit AND t.n = 2),
+r AS (SELECT *, (1 + 19.0 / 81 * days / s) ** -0.5 AS r FROM p),
+q AS (SELECT unit, ts, g, least(10, greatest(1, {_W[7]} * ({_W[4]} - exp({_W[5]} * 3) + 1) + (1 - {_W[7]}) * (d - {_W[6]} * (g - 3) * (10 - d) / 9))) AS d, greatest(0.01, CASE WHEN days < 1 THEN s * exp({_W[17]} * (g - 3 + {_W[18]}))
+  WHEN g = 1 THEN least(s, {_W[11]} * d ** -{_W[12]} * ((s + 1) ** {_W[13]} - 1) * exp({_W[14]} * (1 - r))) ELSE s * (1 + exp({_W[8]}) * (11 - d) * s ** -{_W[9]} * (exp({_W[10]} * (1 - r)) - 1) * CASE g WHEN 2 THEN {_W[15]} WHEN 4 THEN {_W[16]} ELSE 1 END) END) AS s FROM r)
+SELECT f.unit, CAST(CASE WHEN q.unit IS NULL THEN 1 ELSE 2 END AS BIGINT) AS reps, CAST(CASE WHEN q.g = 1 THEN 1 ELSE 0 END AS BIGINT) AS lapses, round(CAST(coalesce(q.s, f.s) AS DOUBLE), 5) AS stability, round(CAST(coalesce(q.d, f.d) AS DOUBLE), 5) AS difficulty,
+  coalesce(q.ts, f.ts) + to_days(CAST(greatest(1, round(coalesce(q.s, f.s))) AS INTEGER)) AS due_at FROM f LEFT JOIN q ON q.unit = f.unit""")
 def memory_states(spark, sf_dir):
-    """Spaced repetition over each user's log."""
+    """Spaced repetition over logs of one or two reviews, from the same day to the whole time apart: the first event with the last, and so on."""
+    k = F.col("event_id")
+    top = table(spark, sf_dir, "events").agg(F.max("event_id")).first()[0]
+    log = _log(spark, sf_dir).withColumn("unit", F.least(k, top - k))
+    return rounded(scheduling.memory_states(log, "unit", "ts", "rating", "event_id"), 5)
+
+
+@texts.query()
+def memory_of_users(spark, sf_dir):
+    """Spaced repetition over each user's whole log."""
     return rounded(scheduling.memory_states(_log(spark, sf_dir), "user_id", "ts", "rating", "event_id"))
 
 

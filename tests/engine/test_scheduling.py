@@ -51,7 +51,7 @@ def test_memory(spark):
         s = d = last = None
         reps = lapses = 0
         for _, at, _, rating in sorted((r for r in rows if r[0] == unit and r[1] is not None and r[3]), key=lambda r: (r[1], r[2])):
-            days = 0.0 if last is None else (at - last) / dt.timedelta(days=1)
+            days = 0 if last is None else (at.date() - last.date()).days
             s, d = scheduling.memory_after(s, d, days, scheduling.GRADES[rating])
             lapses += rating == "again" and reps > 0
             last, reps = at, reps + 1
