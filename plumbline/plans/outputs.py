@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.measurements import OBS_SQL, observations, rounded
 from plumbline.plans.registry import Registry
-from plumbline.sources import exports
+from plumbline.plans.reviews import SHOTS_SQL, shots
+from plumbline.sources import exports, residuals
 from plumbline.streaming.windows import windowed_counts
 from plumbline.tables import table
 
@@ -53,6 +54,28 @@ def network_lines(spark, sf_dir):
     return exports.geojson_lines(obs, points, "s_suppkey", "s_acctbal", "y")
 
 
+_ANGULAR = ", ".join(f"'{t}'" for t in residuals.ANGULAR)
+_NUMBER = lambda v, digits: f"printf('%.{digits}f', CASE WHEN abs({v}) < 5e-13 THEN 0.0 ELSE {v} END)"
+_SCALAR = lambda v, factor, digits: f"CASE WHEN g THEN '' WHEN a THEN {_NUMBER(f'{v} * (180 / pi()) * {factor}', digits)} ELSE {_NUMBER(v, 4)} END"
+
+
+@outputs.query(f"""
+WITH {SHOTS_SQL}, n AS (SELECT *, type = 'gps' AS g, type IN ({_ANGULAR}) AS a, (obs_id % 5000) / 7.0::DOUBLE AS v, (obs_id % 601 - 300) / 7000.0::DOUBLE AS r, (obs_id % 13 + 1) / 1100.0::DOUBLE AS s, obs_id % 9 = 0 AS planned, CASE WHEN obs_id % 9 = 0 AND obs_id % 2 = 0 THEN NULL ELSE 1 END AS k FROM named)
+SELECT CAST(obs_id AS VARCHAR) AS "obsId", CASE WHEN obs_id % 13 = 0 THEN 'post-adjust-only' WHEN planned AND k IS NULL THEN 'planned' ELSE 'active' END AS status, type, label AS stations, CAST(planned AS VARCHAR) AS planned,
+  CASE WHEN type = 'dist' THEN coalesce(mode, '') ELSE '' END AS mode, CASE WHEN type = 'direction' THEN '' ELSE CAST(from_id AS VARCHAR) END AS "fromStation", CASE type WHEN 'angle' THEN CAST(at_id AS VARCHAR) WHEN 'direction' THEN CAST(from_id AS VARCHAR) ELSE '' END AS "atStation",
+  {_SCALAR('v', 1, 8)} AS "observedValue", CASE WHEN g THEN {_NUMBER('v', 4)} ELSE '' END AS "observedDeltaE", CASE WHEN k IS NULL THEN '' ELSE {_SCALAR('(v - r)', 1, 8)} END AS "calculatedValue", CASE WHEN k IS NULL THEN '' ELSE {_SCALAR('r', 3600, 3)} END AS "residualValue",
+  CASE WHEN k IS NULL OR NOT g THEN '' ELSE {_NUMBER('r', 4)} END AS "residualDeltaE", {_SCALAR('s', 3600, 3)} AS "stdDev", CASE WHEN g THEN {_NUMBER('s', 4)} ELSE '' END AS "stdDevN", CAST(local_pass AS VARCHAR) AS "localTestPass",
+  CASE WHEN g THEN 'm (m E/m N)' WHEN a THEN 'deg' ELSE 'm' END AS "observedUnit", CASE WHEN a THEN 'arcsec' ELSE 'm' END AS "sigmaUnit" FROM n""")
+def residual_table(spark, sf_dir):
+    """Columns of the table of residuals for observations of all types, some planned, some sideshots."""
+    k = F.col("obs_id")
+    left = F.when((k % 9 == 0) & (k % 2 == 0), None)
+    value, residual = (k % 5000) / 7.0, left.otherwise((k % 601 - 300) / 7000.0)
+    obs = shots(spark, sf_dir).withColumns({"value": value, "sigma": (k % 13 + 1) / 1100.0, "planned": k % 9 == 0, "sideshot": k % 13 == 0, "residual": residual, "residual_e": F.when(F.col("type") == "gps", residual)})
+    names = ("obsId", "status", "type", "stations", "planned", "mode", "fromStation", "atStation", "observedValue", "observedDeltaE", "calculatedValue", "residualValue", "residualDeltaE", "stdDev", "stdDevN", "localTestPass", "observedUnit", "sigmaUnit")
+    return residuals.residual_table(obs).select(*names)
+
+
 @outputs.query("SELECT event_type, date_trunc('hour', ts) AS start, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     return rounded(windowed_counts(table(spark, sf_dir, "events"), "ts", ["event_type"], "value"), 4)
