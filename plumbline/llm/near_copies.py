@@ -10,7 +10,7 @@ Candidates are sifted before any text is fetched, by rules that never rule out a
 and parities. A text's parity bits say for each of m slots whether an odd number of its shingles falls there; each shingle that only
 one of two texts has can change one bit, so more differing bits than dissimilar shingles allowed rule a pair out.
 What is left is verified on whole texts, in three rounds: first one pair for each text, with the least of those that it met as, or together
-with, the least member of a list; then one or two for each text that shares a list with texts of another component. These tie large groups of copies
+with, the least member of a list; then up to four for each text that shares a list with texts of another component. These tie large groups of copies
 together with few pairs. Last come all candidates that are still in different components, none left out.
 
 Texts are read and never shuffled, but for those of candidates. Postings are packed as arrays, a row for each block of texts and
@@ -360,11 +360,13 @@ def _named(rows: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _first_met(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): for each text of open lists a candidate in another component, by its least open list and by its greatest one. Near copies mostly
-    agree on these, so groups of them grow together by as many pairs as they have texts, where all candidates would be pairs of all with all."""
+    """(a, b): for each text of open lists a candidate in another component, by those of its open lists that come first and last in two orders. Near copies
+    mostly agree on some of these, so groups of them grow together by a few pairs for each text, where all candidates would be pairs of all with all."""
     whole = F.struct("list", "n", "i", "root", "cuts")
-    picked = rows.groupBy("h").agg(F.min(whole).alias("low"), F.max(whole).alias("high"))
-    picked = cut(picked.select("h", F.explode(F.array_distinct(F.array("low", "high"))).alias("l")).select("l.list", "h", "l.n", "l.i", "l.root", "l.cuts"), "near-picked")
+    other = F.struct(F.xxhash64("list").alias("order"), whole.alias("l"))
+    picks = F.array_distinct(F.array(F.min(whole), F.max(whole), F.min(other)["l"], F.max(other)["l"]))
+    picked = rows.groupBy("h").agg(picks.alias("picks"))
+    picked = cut(picked.select("h", F.explode("picks").alias("l")).select("l.list", "h", "l.n", "l.i", "l.root", "l.cuts"), "near-picked")
     return _other_pairs(_named(picked, sets), first=True)
 
 
