@@ -30,14 +30,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.angles import curvature_refraction, wrap_pi
 from plumbline.functions.numbers import clip, huber_weight, is_finite
-from plumbline.tables import cut
+from plumbline.tables import by_groups, cut, group_starts
 
 
 def _at(stations: DataFrame, role: str) -> DataFrame:
@@ -258,15 +259,35 @@ def normal_equations(rows: DataFrame, weight: Column | None = None) -> DataFrame
     return half.select("net", F.explode(both).alias("c")).select("net", "c.i", "c.j", "c.value")
 
 
-def _system(cells: pd.DataFrame):
-    names = sorted(cells["i"].unique())
-    at = {p: k for k, p in enumerate(names)}
-    n, u = np.zeros((len(names), len(names))), np.zeros(len(names))
-    left = cells[cells["j"].notna()]
-    n[left["i"].map(at), left["j"].map(at)] = left["value"]
-    right = cells[cells["j"].isna()]
-    u[right["i"].map(at)] = right["value"]
-    return names, n, u
+def _systems(cells: pa.Table):
+    """The systems of the networks in ``cells``, those with as many unknowns together: (names, nets, at, n, u), where ``nets`` are the rows of ``cells``
+    at which networks begin and ``at`` [network, unknown] are places in ``names``."""
+    starts = group_starts(cells, ["net"])
+    g = np.repeat(np.arange(len(starts)), np.diff([*starts, cells.num_rows]))
+    both = pc.dictionary_encode(pa.chunked_array([*cells["i"].chunks, *cells["j"].chunks])).combine_chunks()
+    order = np.argsort(both.dictionary.to_numpy(zero_copy_only=False), kind="stable")
+    names, rank = both.dictionary.take(pa.array(order)), np.empty(len(order) + 1, np.int64)
+    rank[order], rank[-1] = np.arange(len(order)), -1
+    i, j = rank[both.indices.fill_null(len(order)).to_numpy()].reshape(2, -1)
+    width = len(order)
+    unknowns = np.unique(g * width + i)
+    first = np.searchsorted(unknowns, np.arange(len(starts) + 1) * width)
+    local = lambda p: np.searchsorted(unknowns, g * width + p) - first[g]
+    at_i, left, value = local(i), j >= 0, cells["value"].to_numpy()
+    at_j = local(np.maximum(j, 0))
+    sizes = np.diff(first)
+    for size in np.unique(sizes):
+        if size > MOST_UNKNOWNS:
+            net = cells["net"][int(starts[np.argmax(sizes == size)])].as_py()
+            raise ValueError(f"network {net} has {size} unknowns; one task solves {MOST_UNKNOWNS}")
+        nets = np.flatnonzero(sizes == size)
+        slot, mine = np.full(len(starts), -1), sizes[g] == size
+        slot[nets] = np.arange(len(nets))
+        n, u = np.zeros((len(nets), size, size)), np.zeros((len(nets), size))
+        a, b = mine & left, mine & ~left
+        n[slot[g[a]], at_i[a], at_j[a]] = value[a]
+        u[slot[g[b]], at_i[b]] = value[b]
+        yield names, starts[nets], unknowns[first[nets][:, None] + np.arange(size)] % width, n, u
 
 
 def damped_factor(n: np.ndarray, attempts: int = 24):
@@ -285,29 +306,45 @@ def damped_factor(n: np.ndarray, attempts: int = 24):
 MOST_UNKNOWNS = 6000
 
 
+def _factors(n: np.ndarray):
+    """``damped_factor`` of each of a stack of matrices, and which have one."""
+    diagonal = np.diagonal(n, axis1=1, axis2=2)
+    scale = 1 / np.sqrt(np.where(diagonal > 0, diagonal, 1.0))
+    try:
+        return np.linalg.cholesky(n * scale[:, :, None] * scale[:, None, :]), scale, np.zeros(len(n)), np.ones(len(n), bool)
+    except np.linalg.LinAlgError:
+        pass
+    factor, damping, solved = np.tile(np.eye(n.shape[1]), (len(n), 1, 1)), np.full(len(n), np.inf), np.zeros(len(n), bool)
+    for k, own in enumerate(n):
+        try:
+            factor[k], _, damping[k] = damped_factor(own)
+            solved[k] = True
+        except np.linalg.LinAlgError:
+            pass
+    return factor, scale, damping, solved
+
+
 def solve_networks(normals: DataFrame, covariance: bool = False) -> DataFrame:
     """(net, p, dx, damping) of each network, or (net, i, j, q) of its inverse with ``covariance``. One group is one network of at
-    most MOST_UNKNOWNS unknowns; a larger one is an error. A network that can't be solved has null dx, and no inverse."""
+    most MOST_UNKNOWNS unknowns; a larger one is an error. A network that can't be solved has null dx, and no inverse. Small networks with
+    as many unknowns are solved together, as a stack."""
     net = normals.schema["net"].dataType.simpleString()
 
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        names, n, u = _system(cells)
-        if len(names) > MOST_UNKNOWNS:
-            raise ValueError(f"network {cells['net'].iloc[0]} has {len(names)} unknowns; one task solves {MOST_UNKNOWNS}")
-        try:
-            factor, scale, damping = damped_factor(n)
-        except np.linalg.LinAlgError:
+    def run(cells: pa.Table):
+        for names, nets, at, n, u in _systems(cells):
+            factor, scale, damping, solved = _factors(n)
+            half = np.linalg.inv(factor) * scale[:, None, :]
+            q = half.transpose(0, 2, 1) @ half
+            size = n.shape[1]
             if covariance:
-                return pd.DataFrame({"net": [], "i": [], "j": [], "q": []})
-            return pd.DataFrame({"net": cells["net"].iloc[0], "p": names, "dx": pd.array([None] * len(names), "Float64"), "damping": float("inf")})
-        half = np.linalg.inv(factor) * scale[None, :]
-        q = half.T @ half
-        if covariance:
-            i, j = np.meshgrid(range(len(names)), range(len(names)), indexing="ij")
-            return pd.DataFrame({"net": cells["net"].iloc[0], "i": np.array(names)[i.ravel()], "j": np.array(names)[j.ravel()], "q": q.ravel()})
-        return pd.DataFrame({"net": cells["net"].iloc[0], "p": names, "dx": q @ u, "damping": damping})
+                nets, at, q = nets[solved], at[solved], q[solved]
+                i, j = np.repeat(at, size, axis=1), np.tile(at, (1, size))
+                yield pa.table({"net": cells["net"].take(pa.array(np.repeat(nets, size * size))), "i": names.take(pa.array(i.ravel())), "j": names.take(pa.array(j.ravel())), "q": q.ravel()})
+            else:
+                dx = pa.array((q @ u[:, :, None]).ravel(), mask=np.repeat(~solved, size))
+                yield pa.table({"net": cells["net"].take(pa.array(np.repeat(nets, size))), "p": names.take(pa.array(at.ravel())), "dx": dx, "damping": np.repeat(damping, size)})
 
-    return normals.groupBy("net").applyInPandas(run, f"net {net}, i string, j string, q double" if covariance else f"net {net}, p string, dx double, damping double")
+    return by_groups(normals.select("net", "i", "j", "value"), ["net"], run, f"net {net}, i string, j string, q double" if covariance else f"net {net}, p string, dx double, damping double")
 
 
 def _moved(stations: DataFrame, dx: DataFrame) -> DataFrame:
@@ -442,15 +479,17 @@ def deweight_outliers(obs: DataFrame, stations: DataFrame, threshold: float = 3.
     return result, marked.groupBy("net", "obs_id").agg(F.count(F.lit(1)).alias("times"))
 
 
-def leave_one_out(obs: DataFrame, stations: DataFrame, candidates: DataFrame) -> DataFrame:
+def leave_one_out(obs: DataFrame, stations: DataFrame, candidates: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """(net, obs_id, s0, base_s0, delta_s0): what the a posteriori standard deviation becomes without each candidate. Every
-    candidate is a scenario of its own, and all scenarios are adjusted together as networks."""
-    base = degrees_of_freedom(adjust(obs, stations).rows).select(F.col("net").alias("b_net"), F.col("s0").alias("base_s0"))
-    picks = candidates.select(F.col("net").alias("c_net"), F.col("obs_id").alias("c_id")).distinct()
+    candidate is a scenario of its own, and all scenarios are adjusted together as networks. ``rows`` are those of the networks' adjustment, if it is at hand."""
+    whole = adjust(obs, stations).rows if rows is None else rows
+    base = degrees_of_freedom(whole).select(F.col("net").alias("b_net"), F.col("s0").alias("base_s0"))
+    # Each round of the scenarios reads these again.
+    picks = cut(candidates.select(F.col("net").alias("c_net"), F.col("obs_id").alias("c_id")).distinct(), "scenario-picks")
     name = F.concat_ws("/", F.col("net").cast("string"), F.col("c_id").cast("string"))
-    rows = obs.join(picks, (F.col("net") == F.col("c_net")) & (F.col("obs_id") != F.col("c_id"))).withColumn("net", name).select(*obs.columns)
+    others = obs.join(picks, (F.col("net") == F.col("c_net")) & (F.col("obs_id") != F.col("c_id"))).withColumn("net", name).select(*obs.columns)
     places = stations.join(picks, F.col("net") == F.col("c_net")).withColumn("net", name).select(*stations.columns)
-    after = degrees_of_freedom(adjust(rows, places).rows).select(F.col("net").alias("s_net"), "s0")
+    after = degrees_of_freedom(cut(adjust(cut(others, "scenario-obs"), places).rows, "scenario-rows")).select(F.col("net").alias("s_net"), "s0")
     keyed = picks.withColumn("s", F.concat_ws("/", F.col("c_net").cast("string"), F.col("c_id").cast("string")))
     out = keyed.join(after, F.col("s") == F.col("s_net")).join(base, F.col("c_net") == F.col("b_net"))
     return out.select(F.col("c_net").alias("net"), F.col("c_id").alias("obs_id"), "s0", "base_s0", (F.col("s0") - F.col("base_s0")).alias("delta_s0"))

@@ -8,7 +8,7 @@ from plumbline.operators import adjustment, graph, precision
 from plumbline.plans.measurements import rounded
 from plumbline.plans.registry import Registry
 from plumbline.plans.reviews import SHOTS_SQL, shots
-from plumbline.tables import table
+from plumbline.tables import cut, table
 
 networks = Registry()
 
@@ -96,10 +96,10 @@ def leave_one_out_impact(spark, sf_dir):
     from pyspark.sql.window import Window
 
     obs, stations = repeated_levels(spark, sf_dir)
-    first = adjustment.adjust(obs, stations)
+    rows = cut(adjustment.adjust(obs, stations).rows, "impact-rows")
     w = Window.partitionBy("net").orderBy(F.round(F.abs("misclosure"), 9).desc(), "obs_id")
-    picks = first.rows.withColumn("n", F.row_number().over(w)).filter("n <= 3").select("net", "obs_id")
-    return rounded(adjustment.leave_one_out(obs, stations, picks), 5)
+    picks = rows.withColumn("n", F.row_number().over(w)).filter("n <= 3").select("net", "obs_id")
+    return rounded(adjustment.leave_one_out(obs, stations, picks, rows), 5)
 
 
 _ANGLES = (0.3, 1.4, 2.6)

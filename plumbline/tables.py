@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 #: Bytes of a row group of a working table.
@@ -37,3 +42,47 @@ def cut(df: DataFrame, name: str, folders: Sequence[str] = ()) -> DataFrame:
     writer = df.write.option("parquet.block.size", ROW_GROUP_BYTES)
     (writer.partitionBy(*folders) if folders else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def group_starts(rows: pa.Table | pa.RecordBatch, keys: Sequence[str]) -> np.ndarray:
+    """Where each run of rows with equal keys begins."""
+    new = np.zeros(rows.num_rows, bool)
+    new[:1] = True
+    for key in keys:
+        column = rows.column(key)
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        codes = pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole(batches: Iterable[pa.RecordBatch], keys: Sequence[str]) -> Iterator[pa.Table]:
+    """Batches sorted by ``keys`` as tables that hold whole groups: about a batch each, or a group where that is larger."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts = group_starts(batch, keys)
+        if held and any(batch.column(k)[0].as_py() != held[-1].column(k)[0].as_py() for k in keys):
+            yield pa.Table.from_batches(held)
+            held = []
+        if len(starts) > 1:
+            yield pa.Table.from_batches([*held, batch.slice(0, starts[-1])])
+            held = []
+        held.append(batch.slice(starts[-1]))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def by_groups(df: DataFrame, keys: Sequence[str], run: Callable[[pa.Table], Iterator[pa.Table]], schema: str) -> DataFrame:
+    """``run`` on tables of whole groups of ``keys``, many small ones or a large one at a time, so that a group costs no call of its own. Rows of
+    a table are sorted by the keys."""
+    out = StructType.fromDDL(schema)
+
+    def each(batches):
+        arrow = to_arrow_schema(out)
+        for rows in _whole(batches, keys):
+            for made in run(rows):
+                yield from made.cast(arrow).to_batches(max_chunksize=1 << 17)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, out)
