@@ -7,6 +7,8 @@ less any more, every side knows its ring and its place. So a ring of n sides tak
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,64 +21,89 @@ def _bounds(df: DataFrame, shape: str) -> DataFrame:
     return df.withColumns({"x0": F.array_min(xs), "x1": F.array_max(xs), "y0": F.array_min(ys), "y1": F.array_max(ys)})
 
 
-def _level() -> Column:
-    """The level whose cells, of size 2 ** level, are as large as the box."""
-    size = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-6))
-    return F.ceil(F.log2(size)).cast("int")
+def _level(axis: str) -> Column:
+    """The level whose cells, of length 2 ** level along an axis, are as long as the box."""
+    return F.ceil(F.log2(F.greatest(F.col(f"{axis}1") - F.col(f"{axis}0"), F.lit(1e-6)))).cast("int")
+
+
+def _cells(df: DataFrame, axis: str) -> DataFrame:
+    """``df`` once for each cell c_<axis> of level l_<axis> that its box touches along an axis."""
+    size = F.pow(F.lit(2.0), F.col(f"l_{axis}"))
+    return df.withColumn(f"c_{axis}", F.explode(F.sequence(F.floor(F.col(f"{axis}0") / size), F.floor(F.col(f"{axis}1") / size))))
+
+
+_KEYS = ["l_x", "c_x", "l_y", "c_y"]
 
 
-def _cells(df: DataFrame, level) -> DataFrame:
-    """``df`` once for each cell (level, cx, cy) that its box touches."""
-    size = F.pow(F.lit(2.0), level)
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size))
-    return df.withColumn("cx", F.explode(span("x0", "x1"))).withColumn("cy", F.explode(span("y0", "y1"))).withColumn("level", level)
+def _ways(a: DataFrame, b: DataFrame):
+    """(rows of a, rows of b, condition) of the joins in which all boxes that overlap meet. A cell has a level for each axis, so that it is as long and as wide as
+    boxes are. Along an axis the smaller box climbs to the levels that occur among the others; equal levels meet from one side only. So a box stands
+    in at most four cells of a level, however sizes differ."""
+    own = {"a": a, "b": b}
+    own = {t: df.withColumns({f"own_{axis}": _level(axis) for axis in "xy"}) for t, df in own.items()}
+    found = {t: df.select("own_x", "own_y").distinct().collect() for t, df in own.items()}  # a few powers of two
+    levels = {(t, axis): sorted({r[f"own_{axis}"] for r in rows if r[f"own_{axis}"] is not None}) for t, rows in found.items() for axis in "xy"}
+
+    def side(tag, climbs):
+        rows, other = own[tag], "b" if tag == "a" else "a"
+        for axis in "xy":
+            at = F.col(f"own_{axis}")
+            if climbs[axis]:
+                at = F.explode(F.filter(F.array(*map(F.lit, levels[other, axis])), lambda k: k >= F.col(f"own_{axis}")))  # noqa: B023
+            rows = _cells(rows.withColumn(f"l_{axis}", at), axis)
+        return rows.select(*(F.col(c).alias(f"{tag}_{c}") for c in rows.columns))
+
+    same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in _KEYS]
+    apart = [F.col(f"a_{c}0") <= F.col(f"b_{c}1") for c in "xy"] + [F.col(f"b_{c}0") <= F.col(f"a_{c}1") for c in "xy"]
+    for up in ({"x": x, "y": y} for x in (True, False) for y in (True, False)):
+        meets = lambda axis: any(u <= v if up[axis] else u > v for u in levels["a", axis] for v in levels["b", axis])  # noqa: B023, E731
+        if not (meets("x") and meets("y")):
+            continue
+        order = [F.col(f"a_own_{c}") <= F.col(f"b_own_{c}") if up[c] else F.col(f"a_own_{c}") > F.col(f"b_own_{c}") for c in "xy"]
+        yield side("a", up), side("b", {c: not u for c, u in up.items()}), reduce(lambda x, y: x & y, [*same, *order, *apart])
 
 
 def meeting_boxes(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs of rows of ``a`` (columns a_...) and ``b`` (columns b_...) whose boxes x0, y0, x1, y1 overlap, each once. A box stands in at most four
-    cells of a level of its own size; it looks for others on its own level and, on the levels that occur, larger ones, so no box is cut
-    into many cells however sizes differ."""
-    own = lambda df: df.withColumn("own", _level())
-    a, b = own(a), own(b)
-    levels = [r["own"] for r in a.select("own").union(b.select("own")).distinct().orderBy("own").collect()]  # a few powers of two
-    if not levels:
-        levels = [0]
-    above = F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col("own"))
-
-    def side(df, tag, up):
-        rows = df.withColumn("at", F.explode(above)) if up else df.withColumn("at", F.col("own"))
-        cells = _cells(rows, F.col("at"))
-        return cells.select(*(F.col(c).alias(f"{tag}_{c}") for c in df.columns), F.col("level").alias(f"{tag}_level"), F.col("cx").alias(f"{tag}_cx"), F.col("cy").alias(f"{tag}_cy"))
-
-    def joined(up_a):
-        x, y = side(a, "a", up_a), side(b, "b", not up_a)
-        pairs = x.join(y, (F.col("a_level") == F.col("b_level")) & (F.col("a_cx") == F.col("b_cx")) & (F.col("a_cy") == F.col("b_cy")))
-        # The smaller one climbs; equal levels are met from one side only.
-        pairs = pairs.filter(F.col("a_own") <= F.col("b_own") if up_a else F.col("a_own") > F.col("b_own"))
-        size = F.pow(F.lit(2.0), F.col("a_level"))
-        # A pair counts in the cell of the overlap's lower corner alone.
-        first = (F.floor(F.greatest("a_x0", "b_x0") / size) == F.col("a_cx")) & (F.floor(F.greatest("a_y0", "b_y0") / size) == F.col("a_cy"))
-        hit = (F.col("a_x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("a_x1")) & (F.col("a_y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("a_y1"))
-        return pairs.filter(first & hit)
-
-    gone = ["a_level", "a_cx", "a_cy", "b_level", "b_cx", "b_cy", "a_own", "b_own"]
-    return joined(True).unionByName(joined(False)).drop(*gone)
+    """Pairs of rows of ``a`` (columns a_...) and ``b`` (columns b_...) whose boxes x0, y0, x1, y1 overlap, each once."""
+    columns = [f"{t}_{c}" for t, df in (("a", a), ("b", b)) for c in df.columns]
+    # A pair counts in the cell of the overlap's lower corner alone.
+    first = [F.floor(F.greatest(f"a_{c}0", f"b_{c}0") / F.pow(F.lit(2.0), F.col(f"a_l_{c}"))) == F.col(f"a_c_{c}") for c in "xy"]
+    found = [x.join(y, on & first[0] & first[1]).select(*columns) for x, y, on in _ways(a, b)]
+    if not found:
+        empty = [df.filter(F.lit(False)).select(*(F.col(c).alias(f"{t}_{c}") for c in df.columns)) for t, df in (("a", a), ("b", b))]
+        return empty[0].crossJoin(empty[1])
+    return reduce(DataFrame.unionByName, found)
+
+
+def _is_box(shape: str) -> Column:
+    """Whether a convex polygon is its own bounding box."""
+    corner = lambda p: p["x"].isin(F.col("x0"), F.col("x1")) & p["y"].isin(F.col("y0"), F.col("y1"))
+    return (F.size(shape) == 4) & (F.size(F.array_distinct(shape)) == 4) & F.forall(shape, corner)
 
 
 def overlaps(parcels: DataFrame, key: str, shape: str, least: float = 1e-6) -> DataFrame:
-    """(a, b, area) of convex parcels, counter-clockwise, that overlap by more than ``least``, a < b."""
-    rows = _bounds(parcels.select(F.col(key).alias("k"), F.col(shape).alias("p")), "p")
+    """(a, b, area) of convex parcels, counter-clockwise, that overlap by more than ``least``, a < b. Upright rectangles need no clipping."""
+    rows = _bounds(parcels.select(F.col(key).alias("k"), F.col(shape).alias("p")), "p").withColumn("box", _is_box("p"))
     pairs = meeting_boxes(rows, rows).filter("a_k < b_k")
-    area = F.abs(geometry.signed_area(geometry.clip("a_p", "b_p")))
+    side = lambda c: F.least(f"a_{c}1", f"b_{c}1") - F.greatest(f"a_{c}0", f"b_{c}0")
+    # The clipped polygon is bound to a name, or each of its corners would be clipped anew.
+    clipped = F.transform(F.array(geometry.clip("a_p", "b_p")), lambda p: F.abs(geometry.signed_area(p)))[0]
+    area = F.when(F.col("a_box") & F.col("b_box"), side("x") * side("y")).otherwise(clipped)
     return pairs.select(F.col("a_k").alias("a"), F.col("b_k").alias("b"), area.alias("area")).filter(F.col("area") > least)
 
 
 def blocked_lines(lines: DataFrame, key: str, obstacles: DataFrame, shape: str) -> DataFrame:
-    """``key`` and blocked of every sight line (ax, ay, bx, by): whether any obstacle stands in its way."""
+    """``key`` and blocked of every sight line (ax, ay, bx, by): whether any obstacle stands in its way. The first one found is enough."""
     box = {"x0": F.least("ax", "bx"), "x1": F.greatest("ax", "bx"), "y0": F.least("ay", "by"), "y1": F.greatest("ay", "by")}
     a = lines.select(F.col(key).alias("k"), "ax", "ay", "bx", "by").withColumns(box)
-    b = _bounds(obstacles.select(F.col(shape).alias("p")), "p")
-    hit = meeting_boxes(a, b).filter(geometry.blocks("b_p", "a_ax", "a_ay", "a_bx", "a_by")).select(F.col("a_k").alias("h")).distinct()
+    b = _bounds(obstacles.select(F.col(shape).alias("p")), "p").withColumn("box", _is_box("p"))
+    # Where both are upright, they meet if their boxes do.
+    upright = F.col("b_box") & ((F.col("a_ax") == F.col("a_bx")) | (F.col("a_ay") == F.col("a_by")))
+    blocks = F.when(upright, F.lit(True)).otherwise(geometry.blocks("b_p", "a_ax", "a_ay", "a_bx", "a_by"))
+    found = [x.join(y, on & blocks, "left_semi").select(F.col("a_k").alias("h")) for x, y, on in _ways(a, b)]
+    if not found:
+        return lines.select(key, F.lit(False).alias("blocked"))
+    hit = reduce(DataFrame.unionByName, found).distinct()
     return lines.select(key).join(hit, F.col(key) == F.col("h"), "left").select(key, F.col("h").isNotNull().alias("blocked"))
 
 
