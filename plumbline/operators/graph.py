@@ -11,12 +11,13 @@ import heapq
 import re
 from collections import defaultdict
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from plumbline.tables import cut
+from plumbline.tables import by_groups, cut, group_starts
 
 
 #: Edges of which one task makes a forest.
@@ -94,40 +95,40 @@ def natural(name) -> list:
     return [(0, int(p), "") if p.isdigit() else (1, 0, p.lower()) for p in re.findall(r"\d+|\D+", str(name))]
 
 
-def _loops(rows: pd.DataFrame, values: list[str]) -> list[tuple]:
-    """(edge, number of edges, sums of ``values`` around) of the loop of each edge off the spanning forest. The first value counts on both
-    ways alike (a length), the others change their sign with the direction. The forest is grown breadth first from the least name, neighbours in
-    natural order, so that loops are the same in any input order."""
-    rows = rows.dropna(subset=["a", "b", *values[1:]]).sort_values("edge_id", kind="stable")
+def _loops(rows: list[tuple], signs: list[int]) -> list[tuple]:
+    """(edge, number of edges, sums of the values around) of the loop of each edge off the spanning forest. ``rows``: edge_id, a, b and the values. The first value
+    counts on both ways alike (a length), the others change their sign with the direction. The forest is grown breadth first from the least name, neighbours in
+    natural order, so that loops are the same in any input order. Rows with a null end or a value after the first that is none are left out."""
+    rows = sorted((r for r in rows if all(x is not None and x == x for x in (r[1], r[2], *r[4:]))), key=lambda r: (r[0] is None, r[0]))
     around, tree, out = defaultdict(list), {}, []
-    signs = [1] + [-1] * (len(values) - 1)
-    for r in rows.itertuples():
-        v = [getattr(r, c) for c in values]
-        around[r.a].append((r.b, r.edge_id, v))
-        around[r.b].append((r.a, r.edge_id, [s * x for s, x in zip(signs, v)]))
+    key = {x: natural(x) for r in rows for x in r[1:3]}
+    for edge, a, b, *v in rows:
+        around[a].append((b, edge, v))
+        around[b].append((a, edge, [s * x for s, x in zip(signs, v)]))
     used = set()
-    for root in sorted(around, key=natural):
+    for root in sorted(around, key=key.get):
         if root in tree:
             continue
-        tree[root] = (None, [0.0] * len(values), 0)  # parent, sums from the root, depth
+        tree[root] = (None, [0.0] * len(signs), 0)  # parent, sums from the root, depth
         queue = [root]
         for node in queue:
-            for to, edge, v in sorted(around[node], key=lambda e: (natural(e[0]), e[1])):
+            for to, edge, v in sorted(around[node], key=lambda e: (key[e[0]], e[1])):
                 if to not in tree:
                     tree[to] = (node, [x + y for x, y in zip(tree[node][1], v)], tree[node][2] + 1)
                     used.add(edge)
                     queue.append(to)
-    for r in rows.itertuples():
-        if r.edge_id in used or r.a == r.b:
+    for r in rows:
+        edge, start, end, *v = r
+        if edge in used or start == end:
             continue
-        a, b = r.a, r.b
+        a, b = start, end
         while a != b:  # up to where the two ways to the root meet
             if tree[a][2] >= tree[b][2]:
                 a = tree[a][0]
             else:
                 b = tree[b][0]
-        n = tree[r.a][2] + tree[r.b][2] - 2 * tree[a][2] + 1
-        sums = [tree[r.a][1][k] + s * tree[r.b][1][k] + getattr(r, c) - (2 * tree[a][1][k] if s > 0 else 0) for k, (c, s) in enumerate(zip(values, signs))]
+        n = tree[start][2] + tree[end][2] - 2 * tree[a][2] + 1
+        sums = [tree[start][1][k] + s * tree[end][1][k] + v[k] - (2 * tree[a][1][k] if s > 0 else 0) for k, s in enumerate(signs)]
         out.append((r, n, sums))
     return out
 
@@ -136,57 +137,65 @@ def _loops(rows: pd.DataFrame, values: list[str]) -> list[tuple]:
 MOST_EDGES = 500_000
 
 
-def _per_network(edges: DataFrame, make, schema: str) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MOST_EDGES:
-            raise ValueError(f"network {rows['net'].iloc[0]} has {len(rows)} edges; one task takes {MOST_EDGES}")
-        return make(rows)
+def _per_network(edges: DataFrame, columns: list[str], make, schema: str) -> DataFrame:
+    """Rows that ``make`` gives of each network's name and edges, which have these columns."""
 
-    return edges.groupBy("net").applyInPandas(run, schema)
+    def run(table: pa.Table):
+        starts = group_starts(table, ["net"])
+        sizes = np.diff([*starts, table.num_rows])
+        if sizes.max() > MOST_EDGES:
+            net = table["net"][int(starts[sizes.argmax()])].as_py()
+            raise ValueError(f"network {net} has {sizes.max()} edges; one task takes {MOST_EDGES}")
+        nets, rows = table["net"].take(pa.array(starts)).to_pylist(), list(zip(*(table[c].to_pylist() for c in columns)))
+        out = [row for net, start, size in zip(nets, starts, sizes) for row in make(net, rows[start : start + size])]
+        if out:
+            kinds = [table["net"].type, *(None,) * (len(out[0]) - 1)]
+            yield pa.table([pa.array(c, kind) for c, kind in zip(zip(*out), kinds)], names=names)
+
+    names = StructType.fromDDL(schema).names
+    return by_groups(edges.select("net", *columns), ["net"], run, schema)
 
 
 def loop_closures(edges: DataFrame, base_m: float, per_sqrt_km_m: float) -> DataFrame:
     """(net, loop, n_edges, closure, length_km, tolerance, pass) of levelling: one loop for each edge off the spanning forest. ``edges``: net,
     edge_id, a, b, dh, length_km. Edges with a null end or difference are left out; a network of over MOST_EDGES is an error."""
 
-    def make(rows):
-        out = []
-        for r, n, (km, closure) in _loops(rows, ["length_km", "dh"]):
+    def make(net, rows):
+        for (edge, a, b, *_), n, (km, closure) in _loops(rows, [1, -1]):
             tolerance = base_m + per_sqrt_km_m * km**0.5
-            out.append((r.net, f"{r.a}|{r.b}|{r.edge_id}", n, closure, km, tolerance, abs(closure) <= tolerance))
-        return pd.DataFrame(out, columns=["net", "loop", "n_edges", "closure", "length_km", "tolerance", "pass"])
+            yield net, f"{a}|{b}|{edge}", n, closure, km, tolerance, abs(closure) <= tolerance
 
     kind = edges.schema["net"].dataType.simpleString()
-    return _per_network(edges, make, f"net {kind}, loop string, n_edges int, closure double, length_km double, tolerance double, pass boolean")
+    return _per_network(edges, ["edge_id", "a", "b", "length_km", "dh"], make, f"net {kind}, loop string, n_edges int, closure double, length_km double, tolerance double, pass boolean")
 
 
 def vector_loop_closures(edges: DataFrame, base_m: float, ppm: float) -> DataFrame:
     """(net, loop, n_edges, closure_e, closure_n, length, tolerance, pass) of satellite vectors (net, edge_id, a, b, de, dn), as ``loop_closures``;
     the tolerance grows with the length of the loop."""
 
-    def make(rows):
-        rows = rows.assign(length=(rows["de"] ** 2 + rows["dn"] ** 2) ** 0.5)
-        out = []
-        for r, n, (length, e, north) in _loops(rows, ["length", "de", "dn"]):
+    def make(net, rows):
+        for (edge, a, b, *_), n, (length, e, north) in _loops(rows, [1, -1, -1]):
             tolerance = base_m + length * ppm * 1e-6
-            out.append((r.net, f"{r.a}|{r.b}|{r.edge_id}", n, e, north, length, tolerance, (e * e + north * north) ** 0.5 <= tolerance))
-        return pd.DataFrame(out, columns=["net", "loop", "n_edges", "closure_e", "closure_n", "length", "tolerance", "pass"])
+            yield net, f"{a}|{b}|{edge}", n, e, north, length, tolerance, (e * e + north * north) ** 0.5 <= tolerance
 
+    edges = edges.withColumn("length", F.sqrt(F.col("de") * F.col("de") + F.col("dn") * F.col("dn")))
     kind = edges.schema["net"].dataType.simpleString()
-    return _per_network(edges, make, f"net {kind}, loop string, n_edges int, closure_e double, closure_n double, length double, tolerance double, pass boolean")
+    return _per_network(edges, ["edge_id", "a", "b", "length", "de", "dn"], make, f"net {kind}, loop string, n_edges int, closure_e double, closure_n double, length double, tolerance double, pass boolean")
 
 
 def minimax_paths(edges: DataFrame, anchors: DataFrame) -> DataFrame:
     """(net, node, worst, total, hops): the way of each node to the nearest anchor whose worst edge is least, then its
     sum, then its number of edges. ``edges``: net, a, b, weight; ``anchors``: net, node. Unreached nodes are left out."""
 
-    def run(key, rows: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
-        around = defaultdict(list)
-        for r in rows.itertuples():
-            around[r.a].append((r.b, r.weight))
-            around[r.b].append((r.a, r.weight))
+    def run(net, rows):
+        around, heap = defaultdict(list), []
+        for a, b, weight, is_start in rows:
+            if is_start:
+                heap.append((0.0, 0.0, 0, a))
+            else:
+                around[a].append((b, weight))
+                around[b].append((a, weight))
         done: dict = {}
-        heap = [(0.0, 0.0, 0, n) for n in starts["node"]]
         heapq.heapify(heap)
         while heap:
             worst, total, hops, node = heapq.heappop(heap)
@@ -195,7 +204,9 @@ def minimax_paths(edges: DataFrame, anchors: DataFrame) -> DataFrame:
                 for to, w in around[node]:
                     if to not in done:
                         heapq.heappush(heap, (max(worst, w), total + w, hops + 1, to))
-        return pd.DataFrame([(key[0], n, *v) for n, v in done.items()], columns=["net", "node", "worst", "total", "hops"])
+        return [(net, n, *v) for n, v in done.items()]
 
-    net, node = (edges.schema[c].dataType.simpleString() for c in ("net", "a"))
-    return edges.groupBy("net").cogroup(anchors.groupBy("net")).applyInPandas(run, f"net {net}, node {node}, worst double, total double, hops int")
+    kinds = {c: edges.schema[c].dataType for c in ("net", "a")}
+    starts = anchors.select(F.col("net").cast(kinds["net"]).alias("net"), F.col("node").cast(kinds["a"]).alias("a"), F.col("node").cast(kinds["a"]).alias("b"), F.lit(0.0).alias("weight"), F.lit(True).alias("is_start"))
+    both = edges.select("net", "a", F.col("b").cast(kinds["a"]).alias("b"), F.coalesce(F.col("weight").cast("double"), F.lit(float("nan"))).alias("weight"), F.lit(False).alias("is_start")).unionByName(starts)
+    return _per_network(both, ["a", "b", "weight", "is_start"], run, f"net {kinds['net'].simpleString()}, node {kinds['a'].simpleString()}, worst double, total double, hops int")

@@ -15,7 +15,7 @@ are left out, as are those without a free plane station.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,7 +24,7 @@ from plumbline.functions.numbers import is_finite, natural_key, pair_key
 from plumbline.operators.adjustment import equations, normal_equations, solve_networks
 from plumbline.operators.graph import minimax_paths
 from plumbline.operators.precision import relative_covariance
-from plumbline.tables import cut
+from plumbline.tables import by_groups, cut, group_starts
 
 #: The order of kinds between sets that are otherwise equal, the weights of the score's parts and the ratio to the median from which geometry is weak.
 KINDS = (
@@ -73,24 +73,37 @@ def set_effects(covariance: DataFrame, candidates: DataFrame, stations: DataFram
     through = through.groupBy("net", "scenario", "k", F.col("j").alias("p")).agg(F.sum(F.col("v") * F.col("q")).alias("v"))
     cells = own.unionByName(through.select("net", "scenario", F.lit("bq").alias("what"), "k", "p", "v"))
 
-    def run(cells: pd.DataFrame) -> pd.DataFrame:
-        ks, parts = sorted(cells["k"].unique()), {}
-        for what in ("old", "new", "bq"):
-            parts[what] = cells[cells["what"] == what].pivot(index="k", columns="p", values="v").reindex(ks).fillna(0.0)
-        bq = parts["bq"]
-        b, g = parts["old"].reindex(columns=bq.columns).fillna(0.0).to_numpy(), bq.to_numpy()
-        u, s, _ = np.linalg.svd(parts["new"].to_numpy()) if parts["new"].shape[1] else (np.eye(len(ks)), np.zeros(0), None)
+    def one(rows):
+        """(k, p, z) of one set's cells (what, k, p, v)."""
+        ks = {k: i for i, k in enumerate(sorted({r[1] for r in rows}))}
+        # Unknowns that the network knows stand in B and BQ alike.
+        names = {what: {p: i for i, p in enumerate(sorted({r[2] for r in rows if r[0] == what}))} for what in ("new", "bq")}
+        parts = {what: np.zeros((len(ks), len(names["new" if what == "new" else "bq"]))) for what in ("old", "new", "bq")}
+        for what, k, p, v in rows:
+            at = names["new" if what == "new" else "bq"].get(p)
+            if at is not None:
+                parts[what][ks[k], at] = v
+        b, new, g = parts["old"], parts["new"], parts["bq"]
+        u, s, _ = np.linalg.svd(new) if new.shape[1] else (np.eye(len(ks)), np.zeros(0), None)
         free = u[:, int((s > 1e-9 * s.max(initial=0.0)).sum()) :]
         factor = np.linalg.cholesky(np.eye(free.shape[1]) + free.T @ (g @ b.T) @ free)
         z = np.linalg.solve(factor, free.T @ g)
-        first = cells.iloc[0]
         at, p = np.nonzero(z)
-        if not len(at):  # it changes nothing, but it is a case
-            return pd.DataFrame({"net": [first["net"]], "scenario": [first["scenario"]], "k": [0], "p": [None], "z": [0.0]})
-        return pd.DataFrame({"net": first["net"], "scenario": first["scenario"], "k": at, "p": bq.columns.to_numpy()[p], "z": z[at, p]})
+        places = list(names["bq"])
+        # A set that changes nothing is a case.
+        return [(int(i), places[j], float(z[i, j])) for i, j in zip(at, p)] or [(0, None, 0.0)]
+
+    def run(table: pa.Table):
+        starts = group_starts(table, ["net", "scenario"])
+        bounds = [*starts, table.num_rows]
+        rows = list(zip(*(table[c].to_pylist() for c in ("what", "k", "p", "v"))))
+        made = [one(rows[x:y]) for x, y in zip(bounds, bounds[1:])]
+        of = pa.array(np.repeat(starts, list(map(len, made))))
+        k, p, z = zip(*(r for rs in made for r in rs))
+        yield pa.table({"net": table["net"].take(of), "scenario": table["scenario"].take(of), "k": pa.array(k, pa.int32()), "p": pa.array(p, pa.string()), "z": pa.array(z, pa.float64())})
 
     net = covariance.schema["net"].dataType.simpleString()
-    return cells.groupBy("net", "scenario").applyInPandas(run, f"net {net}, scenario string, k int, p string, z double")
+    return by_groups(cells.select("net", "scenario", "what", "k", "p", "v"), ["net", "scenario"], run, f"net {net}, scenario string, k int, p string, z double")
 
 
 def _major(e: Column, n: Column, en: Column) -> Column:

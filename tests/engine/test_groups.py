@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators.adjustment import solve_networks
+from plumbline.operators.graph import _loops, minimax_paths
 from plumbline.tables import by_groups
 
 
@@ -55,3 +56,16 @@ def test_a_solution_is_planned_for_many(spark):
     one = spark.createDataFrame([(1, "a", "a", 2.0), (1, "a", None, 4.0)], "net long, i string, j string, value double")
     plan = solve_networks(one)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+
+
+def test_loops_leave_out_what_has_no_value():
+    rows = [("e1", "A", "B", 1.0, 1.0), ("e2", "B", "C", 1.0, 1.0), ("e3", "A", "C", 1.0, 2.5), ("e4", "A", None, 1.0, 1.0), ("e5", "A", "B", 1.0, None)]
+    found = _loops(rows, [1, -1])
+    assert [(r[0], n, sums) for r, n, sums in found] == [("e2", 3, [3.0, -0.5])]
+
+
+def test_paths_of_many_networks_in_one_call(spark):
+    edges = spark.range(50).select(F.col("id").alias("net"), F.lit("A").alias("a"), F.lit("B").alias("b"), (F.col("id") + 1.0).alias("weight"))
+    paths = minimax_paths(edges, spark.range(25).select(F.col("id").alias("net"), F.lit("A").alias("node")))
+    assert "CoGroup" not in paths._jdf.queryExecution().executedPlan().toString()
+    assert {(r["net"], r["node"]): r["worst"] for r in paths.collect()} == {(n, x): (n + 1.0 if x == "B" else 0.0) for n in range(25) for x in "AB"}
