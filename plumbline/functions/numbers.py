@@ -16,6 +16,13 @@ def is_finite(c) -> Column:
     return F.coalesce(~F.isnan(c) & (F.abs(c) != float("inf")), F.lit(False))
 
 
+def rounded_half_away(c, digits: int) -> Column:
+    """``c`` to so many decimals by scaling it in doubles, halves away from zero, as databases do; Spark's own rounding goes by the decimals that a double
+    is printed with, and may differ in the last place."""
+    scale = 10.0**digits
+    return F.round(col(c) * scale) / scale
+
+
 def finite_or(c, default) -> Column:
     return F.when(is_finite(c), col(c)).otherwise(default)
 

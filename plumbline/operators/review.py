@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.angles import ARCSEC
-from plumbline.functions.numbers import is_finite, natural_key, pair_key
+from plumbline.functions.numbers import is_finite, natural_key, pair_key, rounded_half_away
 from plumbline.functions.text import clean_id
 from plumbline.operators.ordered import ordered_scan
 
@@ -89,9 +89,9 @@ def largest_differences(obs: DataFrame, k: int = 25) -> DataFrame:
 LISTING_ORDERS = {
     "input": lambda: [F.col("obs_id")],
     "name": lambda: [natural_key(station_label()), F.col("obs_id")],
-    "residual": lambda: [F.round(F.abs("residual"), 12).desc_nulls_last(), F.col("obs_id")],
-    "stdError": lambda: [F.round("sigma", 12).desc_nulls_last(), F.col("obs_id")],
-    "stdResidual": lambda: [F.round(F.abs("std_res"), 12).desc_nulls_last(), F.col("obs_id")],
+    "residual": lambda: [rounded_half_away(F.abs("residual"), 12).desc_nulls_last(), F.col("obs_id")],
+    "stdError": lambda: [rounded_half_away("sigma", 12).desc_nulls_last(), F.col("obs_id")],
+    "stdResidual": lambda: [rounded_half_away(F.abs("std_res"), 12).desc_nulls_last(), F.col("obs_id")],
 }
 
 
@@ -109,7 +109,7 @@ def impact_scores(base: DataFrame, without: DataFrame) -> DataFrame:
 def traverse_severity(loops: DataFrame, min_ratio: float, max_ppm: float, max_arcsec: float, max_vertical: float) -> DataFrame:
     """``loops`` (loop, de, dn, distance, angle_arcsec, vertical; the last two may be null) with misclosure, closure_ratio, linear_ppm,
     severity and pass. What goes over a limit counts by how many times it does, 70 for length and 35 for angle and height."""
-    size, d = F.hypot("de", "dn"), F.col("distance")
+    size, d = F.sqrt(F.col("de") * F.col("de") + F.col("dn") * F.col("dn")), F.col("distance")
     ratio, ppm = F.when(size > 1e-12, d / size), F.when(d > 1e-12, size / d * 1e6)
     ang, vert = F.abs("angle_arcsec"), F.abs("vertical")
     over = lambda weight, excess: F.when(excess > 0, excess * weight).otherwise(0.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.numbers import rounded_half_away
 from plumbline.operators import ordered, review
 from plumbline.plans.measurements import rounded
 from plumbline.plans.registry import Registry
@@ -116,7 +117,8 @@ def traverse_diagnostics(spark, sf_dir):
         F.when(key % 3 != 0, (key % 40 - 20).cast("double")).alias("angle_arcsec"), F.when(key % 5 != 0, (key % 9 - 4) / 100.0).alias("vertical"),
     )
     out = review.traverse_severity(loops, 50_000, 20, 10, 0.03)
-    return out.select("loop", F.round("misclosure", 6).alias("misclosure"), F.round("closure_ratio", 2).alias("closure_ratio"), F.round("linear_ppm", 4).alias("linear_ppm"), F.round("severity", 4).alias("severity"), "pass")
+    digits = {"misclosure": 6, "closure_ratio": 2, "linear_ppm": 4, "severity": 4}
+    return out.select("loop", *(rounded_half_away(c, n).alias(c) for c, n in digits.items()), "pass")
 
 
 @reviews.query("""
@@ -209,7 +211,9 @@ SELECT 'zenith', count(*), 1 FROM z WHERE kind = 'dist' AND mode = 'slope' AND N
 def missing_zeniths(spark, sf_dir):
     obs = shots(spark, sf_dir).withColumns({"type": F.when(F.col("type") == "lev", "zenith").otherwise(F.col("type")), "from_id": F.col("from_id") % 30, "to_id": F.col("to_id") % 30, "line": F.col("line") % 30})
     out = review.with_missing_zeniths(obs, 1e-4)
-    return out.groupBy("type", F.col("made").cast("int").alias("made")).agg(F.count(F.lit(1)).alias("n"))
+    given = out.filter("not made").groupBy("type", F.lit(0).alias("made")).agg(F.count(F.lit(1)).alias("n"))
+    # There is a row of those made even if there are none.
+    return given.unionByName(out.filter("made").agg(F.count(F.lit(1)).alias("n")).select(F.lit("zenith").alias("type"), F.lit(1).alias("made"), "n"))
 
 
 @reviews.query("""
