@@ -49,8 +49,9 @@ def residual_table(obs: DataFrame, feet: bool = False) -> DataFrame:
     vector, angular = kind == "gps", kind.isin(*ANGULAR)
 
     def number(v: Column, digits: int) -> Column:
+        # This rounds the double itself; format_string rounds the decimals that it is printed with.
         shown = F.when(F.abs(v) < 5e-13, F.lit(0.0)).otherwise(v)
-        return F.when(is_finite(v), F.format_string(f"%.{digits}f", shown)).otherwise("")
+        return F.when(is_finite(v), F.call_function("format_number", shown, F.lit("0." + "0" * digits))).otherwise("")
 
     linear = lambda v: number(v * scale, 4)
     scalar = lambda v: F.when(vector, "").when(angular, number(v * (180 / math.pi), 8)).otherwise(linear(v))
