@@ -179,7 +179,7 @@ WITH {_LEGS}, r AS (SELECT c, k, sum(sqrt(de * de + dn * dn)) OVER (PARTITION BY
 p AS (SELECT c, k, unnest(generate_series(CAST(ceil((e - len) / 25) AS BIGINT), CAST(ceil(e / 25) AS BIGINT) - 1)) * 25.0 AS station FROM r)
 SELECT c, k, CAST(station AS DOUBLE) AS station FROM p""")
 def alignment_stations(spark, sf_dir):
-    legs = _legs(spark, sf_dir).withColumn("len", F.hypot("de", "dn"))
+    legs = _legs(spark, sf_dir).withColumn("len", F.sqrt(F.col("de") * F.col("de") + F.col("dn") * F.col("dn")))
     return ordered.station_points(ordered.stationing(legs, "c", [F.col("k")], "len"), 25.0).select("c", "k", "station")
 
 
