@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt out over all cores, by ``keys`` if given. A file of few bytes is read by one task, however much is made of its rows."""
+    return df.repartition(max(2, 3 * df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; where it is unset on one machine, as in tests, one under the warehouse.
     On a cluster it has to be set: the warehouse may be a local folder there."""
