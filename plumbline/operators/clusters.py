@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.numbers import natural_key
 from plumbline.operators.adjustment import Adjusted, adjust
-from plumbline.operators.graph import components
+from plumbline.operators.graph import network_components
 from plumbline.tables import cut
 
 
@@ -39,13 +39,12 @@ def approved_merges(merges: DataFrame) -> DataFrame:
 def merged_names(merges: DataFrame) -> DataFrame:
     """(net, station, name) of every station that a merge names: what it is called afterwards."""
     pairs = cut(approved_merges(merges), "merges")
-    node = lambda c: F.struct("net", F.col(c).alias("s"))
-    roots = components(pairs.select(node("alias_id").alias("a"), node("canonical_id").alias("b")))
+    roots = network_components(pairs.select("net", F.col("alias_id").alias("a"), F.col("canonical_id").alias("b")))
     alias = pairs.select(F.col("net").alias("a_net"), F.col("alias_id").alias("a_s")).distinct()
-    rows = roots.select(F.col("node.net").alias("net"), F.col("node.s").alias("station"), "root").join(alias, (F.col("net") == F.col("a_net")) & (F.col("station") == F.col("a_s")), "left")
+    rows = roots.withColumnRenamed("node", "station").join(alias, (F.col("net") == F.col("a_net")) & (F.col("station") == F.col("a_s")), "left")
     key = F.struct(F.col("a_s").isNotNull().alias("is_alias"), natural_key("station").alias("k"), F.col("station").alias("s"))
-    heads = rows.groupBy(F.col("root").alias("h_root")).agg(F.min(key)["s"].alias("name"))
-    return rows.join(heads, F.col("root") == F.col("h_root")).select("net", "station", "name")
+    heads = rows.groupBy(F.col("net").alias("h_net"), F.col("root").alias("h_root")).agg(F.min(key)["s"].alias("name"))
+    return rows.join(heads, (F.col("net") == F.col("h_net")) & (F.col("root") == F.col("h_root"))).select("net", "station", "name")
 
 
 def _renamed(df: DataFrame, names: DataFrame, column: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -90,6 +91,49 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
+def network_components(edges: DataFrame) -> DataFrame:
+    """(net, node, root) for every node of ``edges`` (net, a, b): the least node of its component within the network. A network of up to MOST_EDGES
+    edges is done in one task, many small ones at a time; larger ones go in rounds over all edges, as ``components``."""
+    rows = cut(edges.select("net", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "network-edges")
+    kind = rows.schema["u"].dataType.simpleString()
+    sizes = rows.groupBy(F.col("net").alias("large")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_EDGES)
+    large = cut(sizes.select("large"), "large-networks")
+    some = not large.isEmpty()
+
+    def run(table: pa.Table):
+        starts = group_starts(table, ["net"])
+        g = np.repeat(np.arange(len(starts)), np.diff([*starts, table.num_rows]))
+        both = pc.dictionary_encode(pa.chunked_array([*table["u"].chunks, *table["v"].chunks])).combine_chunks()
+        # Nodes are numbered in the order of their names (texts by their bytes, as Spark orders them), so that the least number is the least name.
+        rank = np.empty(len(both.dictionary), np.int64)
+        order = pc.sort_indices(both.dictionary).to_numpy()
+        rank[order] = np.arange(len(order))
+        ends = np.concatenate([g, g]) * len(order) + rank[both.indices.to_numpy()]
+        nodes, ends = np.unique(ends, return_inverse=True)
+        u, v = ends.reshape(2, -1)
+        root = np.arange(len(nodes))
+        while True:
+            # Roots of either end are tied to the lesser one, then every node to its root's root.
+            a, b = root[u], root[v]
+            if (a == b).all():
+                break
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+        names = both.dictionary.take(pa.array(order))
+        name = lambda i: names.take(pa.array(nodes[i] % len(order)))
+        yield pa.table({"net": table["net"].take(pa.array(starts[nodes // len(order)])), "node": name(np.arange(len(nodes))), "root": name(root)})
+
+    net = rows.schema["net"].dataType.simpleString()
+    small = rows.join(large, F.col("net") == F.col("large"), "left_anti") if some else rows
+    out = by_groups(small.select("net", "u", "v"), ["net"], run, f"net {net}, node {kind}, root {kind}")
+    if some:
+        node = lambda c: F.struct("net", F.col(c).alias("s"))
+        rest = components(rows.join(large, F.col("net") == F.col("large"), "left_semi").select(node("u").alias("a"), node("v").alias("b")))
+        out = out.unionByName(rest.select("node.net", F.col("node.s").alias("node"), F.col("root.s").alias("root")))
+    return out
+
+
 def natural(name) -> list:
     """Sort key of a name: numbers by value."""
     return [(0, int(p), "") if p.isdigit() else (1, 0, p.lower()) for p in re.findall(r"\d+|\D+", str(name))]

@@ -47,15 +47,13 @@ def populate(obs: DataFrame, stations: DataFrame) -> DataFrame:
 def pieces_without(edges: DataFrame, station, bypass: tuple | None = None) -> DataFrame:
     """(net, stations, pieces) of every network (edges net, a, b) when a station is taken out, with one more edge ``bypass`` if given: how many
     stations are left that any edge reaches, and into how many pieces they fall."""
-    from plumbline.operators.graph import components
+    from plumbline.operators.graph import network_components
 
     rows = edges.filter((F.col("a") != station) & (F.col("b") != station) & (F.col("a") != F.col("b"))).select("net", "a", "b")
     if bypass is not None:
         rows = rows.unionByName(edges.select("net", F.lit(bypass[0]).cast(edges.schema["a"].dataType).alias("a"), F.lit(bypass[1]).cast(edges.schema["b"].dataType).alias("b")).distinct())
-    # Nodes of all networks together, by name and network.
-    node = lambda c: F.struct("net", F.col(c).alias("s"))
-    roots = components(rows.select(node("a").alias("a"), node("b").alias("b")))
-    return roots.groupBy(F.col("node.net").alias("net")).agg(F.count(F.lit(1)).alias("stations"), F.count_distinct("root").alias("pieces"))
+    roots = network_components(rows)
+    return roots.groupBy("net").agg(F.count(F.lit(1)).alias("stations"), F.count_distinct("root").alias("pieces"))
 
 
 def complete_linkage(points: DataFrame, by: str, key: str, tolerance: float) -> DataFrame:
