@@ -24,14 +24,27 @@ MARKED, PLAIN = _marked_letters()
 LONE_MARKS = r"[\p{M}^`\x{A8}\x{AF}\x{B4}\x{B7}\x{B8}\x{2B0}-\x{2FF}]"
 
 
+#: What stands between words of lower-case ASCII text.
+_BETWEEN = "".join(c for c in map(chr, range(128)) if not (c.islower() or c.isdigit() or c in ".-"))
+
+
 def fold(c) -> Column:
     """Lower case without marks."""
-    return F.lower(F.translate(F.regexp_replace(col(c).cast("string"), LONE_MARKS, ""), MARKED, PLAIN))
+    t = col(c).cast("string")
+    # Most texts have plain letters alone, and of the marks only these two.
+    plain = F.replace(F.replace(t, F.lit("^"), F.lit("")), F.lit("`"), F.lit(""))
+    marked = F.translate(F.regexp_replace(t, LONE_MARKS, ""), MARKED, PLAIN)
+    return F.lower(F.when(F.octet_length(t) == F.length(t), plain).otherwise(marked))
 
 
 def search_text(c) -> Column:
     """For searching: folded, only letters, digits, dots and hyphens, single spaces."""
-    return F.trim(F.regexp_replace(fold(c), r"[^a-z0-9.\-]+", " "))
+
+    def kept(t):
+        words = F.filter(F.split(F.translate(t, _BETWEEN, " " * len(_BETWEEN)), " "), lambda w: w != "")
+        return F.when(F.octet_length(t) == F.length(t), F.array_join(words, " ")).otherwise(F.trim(F.regexp_replace(t, r"[^a-z0-9.\-]+", " ")))
+
+    return F.transform(F.array(fold(c)), kept)[0]
 
 
 def search_tokens(c) -> Column:
@@ -81,15 +94,22 @@ def snippet(text, query, before: int = 90, length: int = 260) -> Column:
     """A window of ``text`` around the first place of ``query``, with dots where it is cut. Both are folded as search folds them; where the query isn't
     found as a whole, the first of its words counts, and without any of them the window is the start, without dots. A place in the folded text is
     one in the text by the ratio of their lengths. A blank text has none."""
-    text, query = col(text), col(query)
-    folded, asked = search_text(text), search_text(query)
-    whole = F.instr(folded, asked)
-    words = F.transform(F.filter(F.split(asked, " "), lambda w: w != ""), lambda w: F.instr(folded, w))
-    at = F.when(asked != "", F.when(whole > 0, whole).otherwise(F.array_min(F.filter(words, lambda p: p > 0)))) - 1
-    start = F.greatest(F.lit(0), F.floor(at * (F.length(text) / F.greatest(F.length(folded), F.lit(1)))).cast("int") - before)
-    body = F.substring(text, start + 1, F.lit(length))
-    window = F.concat(F.when(start > 0, "...").otherwise(""), body, F.when(start + length < F.length(text), "...").otherwise(""))
-    return F.when(text.rlike(r"^\s*$"), "").when(at.isNull(), F.substring(text, 1, length)).otherwise(window)
+    text, asked = col(text), search_text(query)
+    let = lambda value, then: F.transform(F.array(value), then)[0]
+
+    def place(folded):
+        """Where the window's middle is in the text, from 0, or null; ``folded`` is worked out once."""
+        whole = F.instr(folded, asked)
+        words = F.transform(F.filter(F.split(asked, " "), lambda w: w != ""), lambda w: F.instr(folded, w))
+        at = F.when(asked != "", F.when(whole > 0, whole).otherwise(F.array_min(F.filter(words, lambda p: p > 0)))) - 1
+        return F.floor(at * (F.length(text) / F.greatest(F.length(folded), F.lit(1)))).cast("int")
+
+    def window(at):
+        start = F.greatest(F.lit(0), at - before)
+        body = F.concat(F.when(start > 0, "...").otherwise(""), F.substring(text, start + 1, F.lit(length)), F.when(start + length < F.length(text), "...").otherwise(""))
+        return F.when(at.isNull(), F.substring(text, 1, length)).otherwise(body)
+
+    return F.when(text.rlike(r"^\s*$"), "").otherwise(let(let(search_text(text), place), window))
 
 
 #: Named character references that pages use.

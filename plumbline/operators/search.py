@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.text import search_text
-from plumbline.tables import cut
+from plumbline.tables import cut, spread
 
 #: Shortest words with prefix matches and with fuzzy ones, the share of letters that may differ and their largest number, what such
 #: matches count, and the constants of BM25 with its lower bound.
@@ -100,7 +100,8 @@ def build(docs: DataFrame, key: str, category: str, fields: list[str], more: lis
     totals = cut(totals, "search-fields")
     n = {"postings": _folders(totals.agg(F.sum("all")).first()[0] or 0)}
     each = F.array(*(F.struct(F.lit(f).alias("field"), tokens(f).alias("t")) for f in fields))
-    rows = texts.select("key", F.explode(each).alias("e")).select("key", "e.field", F.size("e.t").alias("length"), F.explode("e.t").alias("term"))
+    # Texts are dealt out by key, so that their words are counted where they are: what moves is texts, and then postings.
+    rows = spread(texts.select("key", *fields), "key").select("key", F.explode(each).alias("e")).select("key", "e.field", F.size("e.t").alias("length"), F.explode("e.t").alias("term"))
     found = rows.groupBy("term", "key", "field").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
     found = found.select(_folder("term", n["postings"]), "term", "key", "field", "tf", "length")
     # A frequent term's postings go to several files.

@@ -9,7 +9,7 @@ from plumbline.functions.text import ENTITIES, snippet
 from plumbline.operators import corpus, scheduling, search
 from plumbline.plans.measurements import rounded
 from plumbline.plans.registry import Registry
-from plumbline.tables import table
+from plumbline.tables import spread, table
 
 texts = Registry()
 
@@ -208,7 +208,7 @@ def search_ranked(spark, sf_dir):
     k = F.col("doc_id")
     line = lambda n: F.coalesce(F.get(F.split("text", "\n"), F.lit(n)), F.lit(""))
     long = F.element_at(F.array(*map(F.lit, _LONG)), (k % 3 + 1).cast("int"))
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", line(0).alias("title"), line(1).alias("heading"), F.concat(F.lit("c-"), k % 50, F.coalesce(F.concat(F.lit(" "), "lang"), F.lit(""))).alias("citation"),
         F.concat_ws(" ", F.coalesce("source", F.lit("")), long, F.when(k % 4 == 0, _LONG[1])).alias("metadata"), F.col("text").alias("body"),
     )
@@ -231,7 +231,7 @@ p AS (SELECT *, CASE WHEN instr(folded, 'license terms') > 0 THEN instr(folded,
 s AS (SELECT *, greatest(0, CAST(floor((pos - 1) * (length(text) / greatest(length(folded), 1))) AS BIGINT) - 90) AS st FROM p)
 SELECT doc_id, CASE WHEN trim(text, chr(32) || chr(9) || chr(10) || chr(13)) = '' THEN '' WHEN pos IS NULL THEN substring(text, 1, 260) ELSE CASE WHEN st > 0 THEN '...' ELSE '' END || substring(text, st + 1, 260) || CASE WHEN st + 260 < length(text) THEN '...' ELSE '' END END AS snippet FROM s""")
 def snippet_window(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
     return docs.select("doc_id", snippet("text", F.lit("L\u00efcense, Terms!")).alias("snippet"))
 
 
