@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.angles import curvature_refraction, wrap_pi
 from plumbline.functions.numbers import clip, huber_weight, is_finite
-from plumbline.tables import by_groups, cut, group_starts
+from plumbline.tables import by_groups, cut, group_starts, spread
 
 
 def _at(stations: DataFrame, role: str) -> DataFrame:
@@ -223,7 +223,8 @@ def whitened_sets(rows: DataFrame, members: DataFrame, rho: float) -> DataFrame:
     if not 0 <= rho < 1:
         raise ValueError("a correlation is at least 0 and less than 1")
     of = members.filter("set is not null").select(F.col("net").alias("s_net"), F.col("obs_id").alias("s_id"), F.col("set").cast("string").alias("s_set"))
-    rows = rows.join(of, (F.col("net") == F.col("s_net")) & (F.col("obs_id") == F.col("s_id")), "left").drop("s_net", "s_id")
+    # Read three times: as they are, and for the sums of misclosures and of coefficients.
+    rows = cut(rows.join(of, (F.col("net") == F.col("s_net")) & (F.col("obs_id") == F.col("s_id")), "left").drop("s_net", "s_id"), "whitened-rows")
     own = rows.filter("s_set is not null")
     by = lambda df: df.groupBy(F.col("net").alias("g_net"), F.col("s_set").alias("g_set"))
     whole = by(own).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("misclosure") / F.col("sigma")).alias("m_sum"))
@@ -381,7 +382,9 @@ def adjust(obs: DataFrame, stations: DataFrame, tolerance: float = 1e-6, most: i
     weight = 1 / (F.col("sigma") * F.col("sigma"))
     if robust_k is not None:
         weight = weight * huber_weight("misclosure", "sigma", robust_k)
-    stations, done, turn, going, log = cut(stations, "adjust"), False, 0, obs, None
+    # Each round reads the observations again; they are worked out once.
+    obs = cut(spread(obs, "net"), "adjust-obs")
+    stations, done, turn, going, log = cut(spread(stations, "net"), "adjust"), False, 0, obs, None
     turned = cut(orientations(obs, stations), "adjust-turned")
     has_sets = not turned.isEmpty()
     while turn < most and not done:

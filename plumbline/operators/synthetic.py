@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.angles import azimuth
 from plumbline.functions.numbers import col
 from plumbline.operators.adjustment import adjust, chi_square_tests, degrees_of_freedom
+from plumbline.tables import cut
 
 #: The generator's step, and the spread of approximate places.
 STEP = 0x6D2B79F5
@@ -94,7 +95,7 @@ def recovery(obs: DataFrame, stations: DataFrame, truth: DataFrame) -> DataFrame
     off = done.stations.filter("not fixed").join(at, (F.col("net") == F.col("t_net")) & (F.col("station") == F.col("t_s"))).withColumn("d2", (F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2)
     far = off.groupBy(F.col("net").alias("o_net")).agg(F.sqrt(F.max("d2")).alias("worst"), F.sqrt(F.avg("d2")).alias("rms"))
     state = done.summary.select(F.col("net").alias("c_net"), "converged")
-    tests = chi_square_tests(degrees_of_freedom(done.rows))
+    tests = chi_square_tests(cut(degrees_of_freedom(cut(done.rows, "recovery-rows")), "recovery-tests"))
     out = tests.join(far, F.col("net") == F.col("o_net")).join(state, F.col("net") == F.col("c_net"), "left")
     return out.select("net", F.coalesce("converged", F.lit(False)).alias("converged"), "worst", "rms", "s0", "dof", F.col("pass").alias("chi_pass"))
 

@@ -8,7 +8,7 @@ from plumbline.operators import adjustment, graph, precision
 from plumbline.plans.measurements import rounded
 from plumbline.plans.registry import Registry
 from plumbline.plans.reviews import SHOTS_SQL, shots
-from plumbline.tables import cut, table
+from plumbline.tables import cut, spread, table
 
 networks = Registry()
 
@@ -20,7 +20,7 @@ def grids(spark, sf_dir):
     """A braced grid for each supplier: two fixed corners, approximate places off by centimetres, all sides, diagonals and levels to a
     millimetre, so that the truth must come back."""
     k = F.when(F.col("s_suppkey") % EVERY == 0, LARGE).otherwise(2)
-    n = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("net"), k.cast("int").alias("k"), (100.0 + F.col("s_suppkey") % 50).alias("s"))
+    n = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("net"), k.cast("int").alias("k"), (100.0 + F.col("s_suppkey") % 50).alias("s"))
     cells = n.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     number = F.col("j") * F.col("k") + F.col("i") + 1
     truth = cells.select("net", "k", "i", "j", number.alias("station"), (F.col("s") * F.col("i")).alias("tx"), (F.col("s") * F.col("j")).alias("ty"), number.cast("double").alias("th"))
@@ -77,7 +77,7 @@ _REPEATED = "r AS (" + " UNION ALL ".join(f"SELECT s_suppkey AS net, {i} AS obs_
 
 def repeated_levels(spark, sf_dir):
     """One free height in each network, levelled six times with noise."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("net"))
+    s = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("net"))
     runs = F.array(*(F.struct(F.lit(i).alias("obs_id"), (1.0 + ((F.col("net") * (7 * i + 3) + i * i) % 11 - 5) * 0.001).alias("value")) for i in range(1, _RUNS + 1)))
     obs = s.select("net", F.explode(runs).alias("o")).select("net", "o.obs_id", F.lit("lev").alias("type"), F.lit(1).alias("from_id"), F.lit(2).alias("to_id"), F.lit(None).cast("int").alias("at_id"), "o.value", F.lit(None).cast("double").alias("value_n"), F.lit(0.002).alias("sigma"))
     place = F.array(*(F.struct(F.lit(k).alias("station"), F.lit(h).alias("h"), F.lit(f).alias("fixed")) for k, h, f in ((1, 10.0, True), (2, 11.1, False))))

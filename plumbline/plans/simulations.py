@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import synthetic
 from plumbline.plans.registry import Registry
-from plumbline.tables import table
+from plumbline.tables import spread, table
 
 simulations = Registry()
 
@@ -23,7 +23,7 @@ def seeded_numbers(spark, sf_dir):
 
 
 def _seeds(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("net"), (F.col("s_suppkey") * 1009 + 5).alias("seed"))
+    return spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("net"), (F.col("s_suppkey") * 1009 + 5).alias("seed"))
 
 
 @simulations.query("SELECT s_suppkey AS net, true AS converged, 0.0::DOUBLE AS worst, CAST(30 - 10 - 6 AS BIGINT) AS dof FROM supplier")
