@@ -9,7 +9,7 @@ from plumbline.operators import graph, parcels, planning, snaps, splits
 from plumbline.plans.measurements import rounded
 from plumbline.plans.networks import repeated_levels
 from plumbline.plans.registry import Registry
-from plumbline.tables import table
+from plumbline.tables import spread, table
 
 shapes = Registry()
 
@@ -21,7 +21,7 @@ def _rects(spark, sf_dir):
     k = F.col("c_custkey")
     x0, y0 = F.col("c_acctbal"), F.col("c_nationkey") * 40.0
     x1, y1 = x0 + 5 + (k % 9) * F.when(k % 100 == 0, 50).otherwise(1), y0 + 10 + k % 37
-    return table(spark, sf_dir, "customer").select(k.alias("k"), geometry.polygon([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]).alias("p"))
+    return spread(table(spark, sf_dir, "customer")).select(k.alias("k"), geometry.polygon([(x0, y0), (x1, y0), (x1, y1), (x0, y1)]).alias("p"))
 
 
 @shapes.query(f"""
@@ -36,7 +36,7 @@ WITH {_RECT}, line AS (SELECT s_suppkey AS s, s_acctbal AS ax, s_suppkey % 900 *
 SELECT s, EXISTS (SELECT 1 FROM rect WHERE ay BETWEEN y0 AND y1 AND x0 <= bx AND x1 >= ax) AS blocked FROM line""")
 def sight_lines(spark, sf_dir):
     """Level lines of sight through a field of rectangles."""
-    s = table(spark, sf_dir, "supplier")
+    s = spread(table(spark, sf_dir, "supplier"))
     y = F.col("s_suppkey") % 900 * 1.0
     lines = s.select(F.col("s_suppkey").alias("s"), F.col("s_acctbal").alias("ax"), y.alias("ay"), (F.col("s_acctbal") + 400.0).alias("bx"), y.alias("by"))
     return parcels.blocked_lines(lines, "s", _rects(spark, sf_dir), "p")
@@ -164,7 +164,7 @@ def _blocks(spark, sf_dir):
     clockwise, so the corners of squares lie on the side of the long one."""
     square = lambda n, i, j, w=1: F.struct(F.lit(n).alias("n"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(w).alias("w"))
     cells = F.array(square(0, 0, 0, 3), *(square(3 * j + i, i, j) for i in range(3) for j in (1, 2) if (i, j) != (1, 1)))
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("s"), F.explode(cells).alias("c"))
+    rows = spread(table(spark, sf_dir, "supplier")).select(F.col("s_suppkey").alias("s"), F.explode(cells).alias("c"))
     x, y = 10.0 * F.col("s") + F.col("c.i"), F.col("s") % 7 + F.col("c.j") + 0.5
     at = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
     shape = F.array(at(0, 0), at(F.col("c.w"), 0), at(F.col("c.w"), 1), at(0, 1))
